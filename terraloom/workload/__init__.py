@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("areas",)
+MODULES = ("areas", "registry_queries")
 
 
 def load() -> None:

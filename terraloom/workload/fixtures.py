@@ -38,3 +38,56 @@ fixture(
               1500000 + (c_custkey * 7919) % 100000 + 1000 + (c_custkey % 9) * 500 AS xmax,
               5100000 + (c_custkey * 104729) % 100000 + 1000 + (c_custkey % 4) * 1000 AS ymax FROM {customer}""",
 )
+
+fixture(
+    "fx_instruction",
+    """SELECT c_custkey * 2 + part AS pos, c_custkey AS doc, part,
+              CASE (c_custkey + part) % 4 WHEN 0 THEN 'LINZ' WHEN 1 THEN 'StatsNZ' WHEN 2 THEN 'MFE' ELSE NULL END
+                  AS data_provider,
+              100 + (c_nationkey + part) % 25 AS layer_id,
+              'layer_' || CAST(c_nationkey % 10 AS STRING) AS table_name,
+              CASE WHEN c_acctbal > 5000 THEN 'id' WHEN c_acctbal > 2000 THEN ' ' ELSE NULL END AS unique_column_name,
+              CASE WHEN c_acctbal > 5000 AND part = 0 THEN NULL WHEN c_nationkey % 3 = 0 THEN 'New Zealand'
+                   WHEN c_nationkey % 3 = 1 THEN 'Regional' ELSE '' END AS coverage_area,
+              'https://example.org/' || CAST(c_nationkey AS STRING) AS url
+       FROM {customer} {each:part:0,1}""",
+)
+fixture(
+    "fx_registry",
+    """SELECT s_suppkey + 1 AS unique_id,
+              CASE s_suppkey % 4 WHEN 0 THEN 'LINZ' WHEN 1 THEN 'StatsNZ' WHEN 2 THEN 'MFE' ELSE NULL END AS data_provider,
+              100 + s_nationkey AS layer_id, 'layer_' || CAST(s_nationkey AS STRING) AS table_name,
+              CASE WHEN s_acctbal > 4000 THEN 'id' ELSE NULL END AS unique_column_name,
+              CASE WHEN s_acctbal > 8000 THEN 'Regional' WHEN s_acctbal > 4000 THEN NULL
+                   WHEN s_acctbal > 2000 THEN 'New Zealand' ELSE 'Regional' END AS coverage_area,
+              'https://example.org/' || CAST(s_suppkey AS STRING) AS url FROM {supplier}""",
+)
+fixture(
+    "fx_cache",
+    """SELECT c_custkey AS unique_id, c_custkey % 97 AS flood_model_id, c_custkey % 6 AS created_rank,
+              2030 + 10 * (c_custkey % 4) AS year, CASE WHEN c_custkey % 3 = 0 THEN 'low' ELSE 'medium' END AS confidence,
+              1500000 + (c_custkey * 7919) % 60000 AS xmin, 5100000 + (c_custkey * 104729) % 60000 AS ymin,
+              1500000 + (c_custkey * 7919) % 60000 + 10000 + (c_custkey % 9) * 3000 AS xmax,
+              5100000 + (c_custkey * 104729) % 60000 + 10000 + (c_custkey % 4) * 5000 AS ymax FROM {customer}""",
+)
+fixture(
+    "fx_cache_request",
+    """SELECT p_partkey AS request_id, 2030 + 10 * (p_partkey % 4) AS year,
+              CASE WHEN p_size % 2 = 0 THEN 'low' ELSE 'medium' END AS confidence,
+              1500000 + (p_partkey * 31337) % 90000 AS xmin, 5100000 + (p_partkey * 15485863) % 90000 AS ymin,
+              1500000 + (p_partkey * 31337) % 90000 + p_size * 50 AS xmax,
+              5100000 + (p_partkey * 15485863) % 90000 + p_size * 50 AS ymax FROM {part}""",
+)
+fixture(
+    "fx_layer",
+    """SELECT CASE c_nationkey % 3 WHEN 0 THEN 'static_files' WHEN 1 THEN 'input_layers' ELSE 'extruded_layers' END
+                  AS workspace,
+              CASE WHEN c_custkey % 2 = 0 THEN 'vector' ELSE 'raster' END AS kind,
+              lower(replace(c_name, '#', '_')) AS layer_name FROM {customer}""",
+)
+fixture("fx_workspace", "SELECT lower(n_name) AS workspace, n_nationkey AS nation FROM {nation}")
+fixture(
+    "fx_nation_layer",
+    """SELECT lower(n_name) AS workspace, CASE WHEN c_acctbal > 9000 THEN 'vector' ELSE 'raster' END AS kind,
+              lower(c_name) AS layer_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+)
