@@ -400,3 +400,66 @@ def point_segment_distance_sq(p: Column, a: Column, b: Column) -> Column:
 def grow(box: Sequence[Column], distance: float) -> tuple[Column, Column, Column, Column]:
     """Rectangle grown by ``distance`` on all sides; the exact round buffer is this plus a distance test."""
     return box[0] - distance, box[1] - distance, box[2] + distance, box[3] + distance
+
+
+# ---------------------------------------------------------------- clipping
+
+
+def _half_plane_clip(ring: Column, plane: Column) -> Column:
+    """Open ring clipped to ``plane.a * x + plane.b * y <= plane.c`` (Sutherland and Hodgman 1974)."""
+
+    def side(p: Column) -> Column:
+        return plane["a"] * p["x"] + plane["b"] * p["y"] - plane["c"]
+
+    def kept(p: Column, q: Column) -> Column:
+        sp, sq = side(p), side(q)
+        t = sp / (sp - sq)
+        cut = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
+        none = F.array().cast(f"array<{POINT_TYPE}>")
+        return (
+            F.when((sp <= 0) & (sq <= 0), F.array(q))
+            .when((sp <= 0) & (sq > 0), F.when(sp == 0, none).otherwise(F.array(cut)))
+            .when((sp > 0) & (sq <= 0), F.when(sq == 0, F.array(q)).otherwise(F.array(cut, q)))
+            .otherwise(none)
+        )
+
+    following = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, F.lit(1), F.lit(1)))
+    return F.flatten(F.zip_with(ring, following, kept)).cast(f"array<{POINT_TYPE}>")
+
+
+PLANE_TYPE = "struct<a:double,b:double,c:double>"
+
+
+def plane(a: Column, b: Column, c: Column) -> Column:
+    return F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), c.cast("double").alias("c"))
+
+
+def clip_ring(ring: Column, planes: Column) -> Column:
+    """Closed ring clipped to all half planes; an empty array when nothing is left."""
+    opened = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))).cast(f"array<{POINT_TYPE}>")
+    clipped = F.aggregate(planes, opened, _half_plane_clip)
+    closed = F.transform(F.array(clipped), lambda r: F.concat(r, F.slice(r, F.lit(1), F.lit(1))))[0]
+    return F.when(F.size(closed) >= 4, closed).otherwise(F.array().cast(f"array<{POINT_TYPE}>"))
+
+
+def box_planes(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    one, zero = F.lit(1.0), F.lit(0.0)
+    return F.array(
+        plane(-one, zero, -xmin), plane(one, zero, xmax), plane(zero, -one, -ymin), plane(zero, one, ymax)
+    )
+
+
+def clip_to_box(geom: Column | str, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Polygon clipped to a rectangle, ring by ring; null when they share no area.
+
+    A concave ring may come back with edges doubled along the rectangle; its area is still right.
+    """
+    g = _c(geom)
+    planes = box_planes(xmin, ymin, xmax, ymax)
+    clipped = F.transform(
+        g["parts"],
+        lambda part: F.filter(F.transform(part, lambda ring: clip_ring(ring, planes)), lambda ring: F.size(ring) > 0),
+    )
+    # A part whose outer ring is gone has no holes left either, as they lie inside it.
+    parts = F.filter(clipped, lambda part: F.size(part) > 0)
+    return F.when(F.size(parts) > 0, geometry(g["kind"], parts))

@@ -234,6 +234,84 @@ def closest_within(
     return best.select("_best.*")
 
 
+def _around() -> Column:
+    return F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
+
+
+class Pyramid:
+    """Grids of doubling cell size over a set of points, answering how far a probe must look.
+
+    ``keys`` are equality columns (for example a raster id) that probe and point must share. Points at equal
+    coordinates collapse to the smallest id.
+    """
+
+    def __init__(self, probes: DataFrame, points: DataFrame, point_id: str, keys: Sequence[str] = ()):
+        """``probes`` and ``points`` have columns ``x, y`` (and ``keys``)."""
+        self.keys = list(keys)
+        self.point_id = point_id
+        self.points = points.groupBy(
+            *self.keys, F.col("x").cast("double").alias("_rx"), F.col("y").cast("double").alias("_ry")
+        ).agg(F.min(point_id).alias(point_id))
+        self.size, self.levels = _pyramid_shape(probes, points, self.keys)
+
+    def cell(self, value: Column, level: Column) -> Column:
+        return F.floor(value / (F.lit(self.size) * F.pow(F.lit(2.0), level))).cast("long")
+
+    def tall_points(self) -> DataFrame:
+        """Every point once per level, with its cell there."""
+        tall = self.points.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(self.levels + 2))))
+        return tall.select(
+            "*", self.cell(F.col("_rx"), F.col("_k")).alias("_cx"), self.cell(F.col("_ry"), F.col("_k")).alias("_cy")
+        )
+
+    def block_counts(self) -> DataFrame:
+        """Number of points in the 3x3 block around each cell that has any, per level."""
+        return (
+            self.tall_points()
+            .groupBy(*self.keys, "_k", "_cx", "_cy")
+            .agg(F.count("*").alias("_n"))
+            .withColumn("_dx", _around())
+            .withColumn("_dy", _around())
+            .groupBy(*self.keys, "_k", (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy"))
+            .agg(F.sum("_n").alias("_n"))
+        )
+
+    def with_level(self, probes: DataFrame, at_least: int) -> DataFrame:
+        """Add ``_k``: the smallest level at which the 3x3 block around the probe holds ``at_least`` points.
+
+        Probes in one finest cell share the search, so crowded cells cost one lookup. Probes whose widest
+        block holds fewer points get the top level.
+        """
+        based = probes.withColumn("_bx", self.cell(F.col("x"), F.lit(0))).withColumn("_by", self.cell(F.col("y"), F.lit(0)))
+        found = (
+            based.select(*self.keys, "_bx", "_by")
+            .distinct()
+            .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(self.levels))))
+            .withColumn("_cx", F.floor(F.col("_bx") / F.pow(F.lit(2.0), F.col("_k"))).cast("long"))
+            .withColumn("_cy", F.floor(F.col("_by") / F.pow(F.lit(2.0), F.col("_k"))).cast("long"))
+            .join(self.block_counts().filter(F.col("_n") >= at_least), [*self.keys, "_k", "_cx", "_cy"], "left_semi")
+            .groupBy(*self.keys, "_bx", "_by")
+            .agg(F.min("_k").alias("_k"))
+        )
+        joined = based.join(found, [*self.keys, "_bx", "_by"], "left")
+        return joined.withColumn("_k", F.coalesce("_k", F.lit(self.levels))).drop("_bx", "_by")
+
+    def block_candidates(self, probes: DataFrame) -> DataFrame:
+        """Every probe paired with the points in the 3x3 block around it at its own level ``_k``."""
+        around = (
+            probes.withColumn("_dx", _around())
+            .withColumn("_dy", _around())
+            .withColumn("_cx", self.cell(F.col("x"), F.col("_k")) + F.col("_dx"))
+            .withColumn("_cy", self.cell(F.col("y"), F.col("_k")) + F.col("_dy"))
+        )
+        dx, dy = F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry")
+        return (
+            around.join(self.tall_points(), [*self.keys, "_k", "_cx", "_cy"])
+            .drop("_dx", "_dy", "_cx", "_cy")
+            .withColumn("dist_sq", dx * dx + dy * dy)
+        )
+
+
 def nearest(
     left: DataFrame,
     right: DataFrame,
@@ -241,87 +319,47 @@ def nearest(
     right_id: str,
     left_xy: tuple[str, str] = ("x", "y"),
     right_xy: tuple[str, str] = ("x", "y"),
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact nearest right point of each left point: ``left_id, right_id, dist_sq``; ties to the smaller id.
+    """Exact nearest right point of each left point: ``keys, left_id, right_id, dist_sq``; ties to the smaller id.
 
-    A pyramid of grids over the right side tells, per finest grid cell of the left side, the smallest level
-    ``k`` at which the 3x3 block around it holds a right point. The nearest one is then no farther than the
-    block's diagonal span, which one 3x3 block two levels up always covers; only those candidates are
-    compared. Left rows of one cell share the level search, so crowded cells cost one lookup.
+    At the smallest pyramid level whose 3x3 block around the left point holds a right point, the nearest one
+    is no farther than the block's diagonal span, which one 3x3 block two levels up always covers; only those
+    candidates are compared, and their minimum is taken before the shuffle.
     """
-    lx, ly = left_xy
-    rx, ry = right_xy
-    points = right.groupBy(F.col(rx).cast("double").alias("_rx"), F.col(ry).cast("double").alias("_ry")).agg(
-        F.min(right_id).alias(right_id)
+    probes = left.select(*keys, left_id, *(F.col(c).cast("double").alias(n) for c, n in zip(left_xy, "xy", strict=True)))
+    points = right.select(*keys, right_id, *(F.col(c).cast("double").alias(n) for c, n in zip(right_xy, "xy", strict=True)))
+    pyramid = Pyramid(probes, points, right_id, keys)
+    wide = pyramid.with_level(probes, 1).withColumn("_k", F.col("_k") + 2)
+    best = F.min_by(F.struct(right_id, "dist_sq"), F.struct("dist_sq", right_id))
+    return (
+        pyramid.block_candidates(wide)
+        .groupBy(*keys, left_id)
+        .agg(best.alias("_best"))
+        .select(*keys, left_id, f"_best.{right_id}", "_best.dist_sq")
     )
-    size, levels = _pyramid(left.select(F.col(lx).alias("x"), F.col(ly).alias("y")), right.select(F.col(rx).alias("x"), F.col(ry).alias("y")))
 
-    def at_level(value: Column, level: Column) -> Column:
-        return F.floor(value / (F.lit(size) * F.pow(F.lit(2.0), level))).cast("long")
 
-    every_level = F.explode(F.sequence(F.lit(0), F.lit(levels + 2)))
-    tall = points.withColumn("_k", every_level).select(
-        "*", at_level(F.col("_rx"), F.col("_k")).alias("_cx"), at_level(F.col("_ry"), F.col("_k")).alias("_cy")
-    )
-    around = F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1))))
-    occupied = (
-        tall.filter(F.col("_k") <= levels)
-        .select("_k", "_cx", "_cy")
-        .distinct()
-        .withColumn("_dx", around)
-        .withColumn("_dy", around)
-        .select("_k", (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy"))
-        .distinct()
-    )
-    probes = left.select(
-        F.col(left_id), F.col(lx).cast("double").alias("_lx"), F.col(ly).cast("double").alias("_ly")
-    ).withColumn("_bx", at_level(F.col("_lx"), F.lit(0))).withColumn("_by", at_level(F.col("_ly"), F.lit(0)))
-    cell_level = (
-        probes.select("_bx", "_by")
-        .distinct()
-        .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-        .withColumn("_cx", F.floor(F.col("_bx") / F.pow(F.lit(2.0), F.col("_k"))).cast("long"))
-        .withColumn("_cy", F.floor(F.col("_by") / F.pow(F.lit(2.0), F.col("_k"))).cast("long"))
-        .join(occupied, ["_k", "_cx", "_cy"], "left_semi")
-        .groupBy("_bx", "_by")
-        .agg((F.min("_k") + 2).alias("_k"))
-    )
-    candidates = (
-        probes.join(cell_level, ["_bx", "_by"])
-        .withColumn("_dx", around)
-        .withColumn("_dy", around)
-        .withColumn("_cx", at_level(F.col("_lx"), F.col("_k")) + F.col("_dx"))
-        .withColumn("_cy", at_level(F.col("_ly"), F.col("_k")) + F.col("_dy"))
-        .join(tall, ["_k", "_cx", "_cy"])
-        .withColumn(
-            "dist_sq",
-            (F.col("_lx") - F.col("_rx")) * (F.col("_lx") - F.col("_rx"))
-            + (F.col("_ly") - F.col("_ry")) * (F.col("_ly") - F.col("_ry")),
-        )
-    )
-    return candidates.groupBy(left_id).agg(
-        F.min_by(F.struct(right_id, "dist_sq"), F.struct("dist_sq", right_id)).alias("_best")
-    ).select(left_id, f"_best.{right_id}", "_best.dist_sq")
+def _pyramid_shape(probes: DataFrame, points: DataFrame, keys: Sequence[str]) -> tuple[float, int]:
+    """Finest cell size (about one point per cell and key) and the doublings needed to span everything.
 
+    Two aggregate rows reach the driver.
+    """
 
-def _pyramid(left: DataFrame, right: DataFrame) -> tuple[float, int]:
-    """Finest cell size (about one right point per cell) and the number of doublings to span both sides.
+    def ends(df: DataFrame) -> DataFrame:
+        groups = F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)
+        return df.agg(
+            F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"),
+            F.count("*").alias("n"), F.max(groups).alias("groups") if not keys else groups.alias("groups"),
+        )
 
-    One aggregate row reaches the driver.
-    """
-    ends = [F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count("*")]
-    lo = left.agg(*(e.alias(n) for e, n in zip(ends, "abcdn", strict=True)))
-    ro = right.agg(*(e.alias(n) for e, n in zip(ends, "abcdn", strict=True)))
-    left_row, right_row = lo.unionByName(ro).withColumn("side", F.lit(0)).collect()
-    if not right_row["n"] or not left_row["n"]:
+    rows = ends(points).withColumn("side", F.lit(0)).unionByName(ends(probes).withColumn("side", F.lit(1))).collect()
+    own, asked = sorted(rows, key=lambda r: r["side"])
+    if not own["n"] or not asked["n"]:
         return 1.0, 0
-    span = max(
-        max(left_row["c"], right_row["c"]) - min(left_row["a"], right_row["a"]),
-        max(left_row["d"], right_row["d"]) - min(left_row["b"], right_row["b"]),
-        1e-9,
-    )
-    own = max(right_row["c"] - right_row["a"], right_row["d"] - right_row["b"], span * 1e-6)
-    size = float(own) / math.sqrt(right_row["n"])
+    span = max(max(own["x1"], asked["x1"]) - min(own["x0"], asked["x0"]), max(own["y1"], asked["y1"]) - min(own["y0"], asked["y0"]), 1e-9)
+    spread = max(own["x1"] - own["x0"], own["y1"] - own["y0"], span * 1e-6)
+    size = float(spread) / math.sqrt(max(1.0, own["n"] / max(1, own["groups"])))
     return size, max(0, math.ceil(math.log2(float(span) / size)))
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("areas", "registry_queries")
+MODULES = ("areas", "registry_queries", "shapes", "rasters")
 
 
 def load() -> None:

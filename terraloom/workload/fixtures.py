@@ -91,3 +91,70 @@ fixture(
     """SELECT lower(n_name) AS workspace, CASE WHEN c_acctbal > 9000 THEN 'vector' ELSE 'raster' END AS kind,
               lower(c_name) AS layer_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
 )
+
+# ---------------------------------------------------------------- shapes
+
+fixture(
+    "fx_zone",
+    """SELECT zone_id, cx, cy, a, b, c, d,
+              'POLYGON((' || CAST(cx - a AS STRING) || ' ' || CAST(cy AS STRING) || ',' || CAST(cx AS STRING) || ' ' || CAST(cy - b AS STRING)
+              || ', ' || CAST(cx + c AS STRING) || ' ' || CAST(cy AS STRING) || ', ' || CAST(cx AS STRING) || ' ' || CAST(cy + d AS STRING)
+              || ', ' || CAST(cx - a AS STRING) || ' ' || CAST(cy AS STRING) || '))' AS wkt
+       FROM (SELECT s_suppkey AS zone_id, 1505000 + (s_suppkey * 7919) % 90000 AS cx, 5105000 + (s_suppkey * 104729) % 90000 AS cy,
+                    1000 + (s_suppkey % 7) * 300 AS a, 800 + (s_suppkey % 5) * 450 AS b, 1200 + (s_suppkey % 3) * 700 AS c,
+                    900 + (s_suppkey % 11) * 200 AS d FROM {supplier}) z""",
+)
+fixture(
+    "fx_square",
+    """SELECT s_suppkey AS site_id, 1500000 + (s_suppkey * 7919) % 90000 AS sx0, 5100000 + (s_suppkey * 104729) % 90000 AS sy0,
+              1500000 + (s_suppkey * 7919) % 90000 + 6000 + (s_suppkey % 5) * 1000 AS sx1,
+              5100000 + (s_suppkey * 104729) % 90000 + 5000 + (s_suppkey % 3) * 2000 AS sy1 FROM {supplier}""",
+)
+fixture(
+    "fx_reach",
+    """SELECT o_orderkey AS objectid, x0, y0, x0 + dx1 AS x1, y0 + dy1 AS y1, x0 + dx1 + dx2 AS x2, y0 + dy1 + dy2 AS y2,
+              'LINESTRING (' || CAST(x0 AS STRING) || ' ' || CAST(y0 AS STRING) || ', ' || CAST(x0 + dx1 AS STRING) || ' '
+              || CAST(y0 + dy1 AS STRING) || ', ' || CAST(x0 + dx1 + dx2 AS STRING) || ' ' || CAST(y0 + dy1 + dy2 AS STRING) || ')' AS wkt
+       FROM (SELECT o_orderkey, 1500000 + (o_orderkey * 7919) % 100003 AS x0, 5100000 + (o_orderkey * 104729) % 100019 AS y0,
+                    (o_orderkey * 31) % 2999 - 1499 AS dx1, (o_orderkey * 37) % 2997 - 1498 AS dy1,
+                    (o_orderkey * 41) % 3001 - 1500 AS dx2, (o_orderkey * 43) % 2993 - 1496 AS dy2 FROM {orders}) r""",
+)
+fixture(
+    "fx_coast",
+    """SELECT p_partkey AS coast_id, 1500000 + (p_partkey * 31337) % 100000 AS x0, 5100000 + (p_partkey * 15485863) % 100000 AS y0,
+              1500000 + (p_partkey * 31337) % 100000 + CASE WHEN p_size % 2 = 0 THEN p_size * 40 ELSE 0 END AS x1,
+              5100000 + (p_partkey * 15485863) % 100000 + CASE WHEN p_size % 2 = 0 THEN 0 ELSE p_size * 40 END AS y1 FROM {part}""",
+)
+fixture(
+    "fx_parcel",
+    """SELECT parcel_id, col + CAST(floor(col / 3) AS BIGINT) AS gx,
+              row_no + CAST(floor(row_no / (3 + CAST(floor(col / 3) AS BIGINT) % 4)) AS BIGINT) AS gy
+       FROM (SELECT c_custkey AS parcel_id, c_custkey % 42 AS col, CAST(floor(c_custkey / 42) AS BIGINT) AS row_no FROM {customer}) p""",
+)
+fixture(
+    "fx_degree",
+    """SELECT c_custkey AS id, 166.5 + (c_custkey * 7919) % 11900 / 1000.0 AS lon, -47.5 + (c_custkey * 104729) % 13900 / 1000.0 AS lat
+       FROM {customer}""",
+)
+fixture(
+    "fx_cell",
+    """SELECT l_linenumber AS raster_id, l_partkey % 50 AS cx, l_suppkey % 40 AS cy, 1500050 + (l_partkey % 50) * 100 AS x,
+              5100050 + (l_suppkey % 40) * 100 AS y, (year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS t,
+              CAST(round(l_discount * 100) AS BIGINT) AS h FROM {lineitem}""",
+)
+fixture(
+    "fx_building",
+    """SELECT p_partkey AS building_outline_id, 1 + p_partkey % 7 AS raster_id, 1500000 + (p_partkey * 31337) % 4950 AS xmin,
+              5100000 + (p_partkey * 15485863) % 3950 AS ymin, 1500000 + (p_partkey * 31337) % 4950 + p_size AS xmax,
+              5100000 + (p_partkey * 15485863) % 3950 + p_size AS ymax FROM {part}""",
+)
+fixture(
+    "fx_probe",
+    """SELECT c_custkey AS point_id, 1 + c_custkey % 7 AS raster_id, 1499000 + (c_custkey * 7919) % 7001 AS x,
+              5099000 + (c_custkey * 104729) % 6007 AS y FROM {customer}""",
+)
+fixture(
+    "fx_terrain",
+    """SELECT DISTINCT 1500050 + (l_partkey % 50) * 100 AS x, 5100050 + (l_suppkey % 40) * 100 AS y,
+              ((l_partkey % 50) * 7 + (l_suppkey % 40) * 13) % 101 AS z FROM {lineitem}""",
+)
