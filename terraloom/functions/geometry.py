@@ -25,6 +25,14 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    Inside higher-order functions Spark shares no subexpressions, so a repeated term is a repeated cost.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def point(x: Column | str, y: Column | str) -> Column:
     """A coordinate pair struct."""
     return F.struct(_c(x).cast("double").alias("x"), _c(y).cast("double").alias("y"))
@@ -32,18 +40,25 @@ def point(x: Column | str, y: Column | str) -> Column:
 
 def geometry(kind: Column | str, parts: Column) -> Column:
     """Assemble a geometry struct and its bounding box from ``parts``."""
-    flat = F.flatten(F.flatten(parts))
-    xs = F.transform(flat, lambda p: p["x"])
-    ys = F.transform(flat, lambda p: p["y"])
     kind_col = F.lit(kind) if isinstance(kind, str) else kind
-    return F.struct(
-        kind_col.alias("kind"),
-        parts.alias("parts"),
-        F.array_min(xs).alias("xmin"),
-        F.array_min(ys).alias("ymin"),
-        F.array_max(xs).alias("xmax"),
-        F.array_max(ys).alias("ymax"),
+
+    def boxed(row: Column) -> Column:
+        return F.struct(
+            row["kind"].alias("kind"),
+            row["parts"].alias("parts"),
+            F.array_min(F.transform(row["flat"], lambda p: p["x"])).alias("xmin"),
+            F.array_min(F.transform(row["flat"], lambda p: p["y"])).alias("ymin"),
+            F.array_max(F.transform(row["flat"], lambda p: p["x"])).alias("xmax"),
+            F.array_max(F.transform(row["flat"], lambda p: p["y"])).alias("ymax"),
+        )
+
+    flattened = let(
+        F.struct(kind_col.alias("kind"), parts.alias("parts")),
+        lambda row: F.struct(
+            row["kind"].alias("kind"), row["parts"].alias("parts"), F.flatten(F.flatten(row["parts"])).alias("flat")
+        ),
     )
+    return let(flattened, boxed)
 
 
 def point_geometry(x: Column | str, y: Column | str) -> Column:
@@ -102,20 +117,21 @@ def _parts_from_json(kind: Column, coords: Column) -> Column:
 
 def from_wkt(wkt: Column | str) -> Column:
     """Parse WKT (2D, single or multi geometries, no collections); null for other input."""
-    text = F.trim(F.regexp_replace(_c(wkt), r"\s+", " "))
-    kind = F.upper(F.regexp_extract(text, r"^([A-Za-z]+)", 1))
-    body = F.regexp_replace(text, r"^[A-Za-z]+\s*", "")
-    # "(x y)" inside a MULTIPOINT is optional; drop the inner brackets so both spellings parse alike.
-    body = F.when(
-        kind == "MULTIPOINT",
-        F.concat(F.lit("("), F.regexp_replace(body, r"[()]", ""), F.lit(")")),
-    ).otherwise(body)
     number = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
-    pairs = F.regexp_replace(body, rf"({number}) ({number})", "[$1,$2]")
-    coords = F.translate(F.regexp_replace(pairs, r"\s", ""), "()", "[]")
-    coords = F.when(kind == "POINT", F.regexp_extract(coords, r"^\[(.*)\]$", 1)).otherwise(coords)
-    known = kind.isin(*_LEVELS)
-    return F.when(known, geometry(_stored_kind(kind), _parts_from_json(kind, coords)))
+
+    def parse(text: Column) -> Column:
+        kind = F.upper(F.regexp_extract(text, r"^([A-Za-z]+)", 1))
+        body = F.regexp_replace(text, r"^[A-Za-z]+\s*", "")
+        # "(x y)" inside a MULTIPOINT is optional; drop the inner brackets so both spellings parse alike.
+        body = F.when(
+            kind == "MULTIPOINT", F.concat(F.lit("("), F.regexp_replace(body, r"[()]", ""), F.lit(")"))
+        ).otherwise(body)
+        pairs = F.regexp_replace(body, rf"({number}) ({number})", "[$1,$2]")
+        coords = F.translate(F.regexp_replace(pairs, r"\s", ""), "()", "[]")
+        coords = F.when(kind == "POINT", F.regexp_extract(coords, r"^\[(.*)\]$", 1)).otherwise(coords)
+        return F.struct(kind.alias("kind"), coords.alias("coords"))
+
+    return let(let(F.trim(F.regexp_replace(_c(wkt), r"\s+", " ")), parse), _from_kind_and_coords)
 
 
 def from_geojson(text: Column | str) -> Column:
@@ -123,11 +139,12 @@ def from_geojson(text: Column | str) -> Column:
     col = _c(text)
     kind = F.upper(F.get_json_object(col, "$.type"))
     coords = F.get_json_object(col, "$.coordinates")
-    return F.when(kind.isin(*_LEVELS), geometry(_stored_kind(kind), _parts_from_json(kind, coords)))
+    return let(F.struct(kind.alias("kind"), coords.alias("coords")), _from_kind_and_coords)
 
 
-def _stored_kind(kind: Column) -> Column:
-    return kind
+def _from_kind_and_coords(row: Column) -> Column:
+    known = row["kind"].isin(*_LEVELS)
+    return F.when(known, geometry(row["kind"], _parts_from_json(row["kind"], row["coords"])))
 
 
 def number_text(value: Column) -> Column:
@@ -190,9 +207,10 @@ def area(geom: Column | str) -> Column:
     g = _c(geom)
 
     def part_area(part: Column) -> Column:
-        rings = F.transform(part, ring_area)
-        total = F.aggregate(rings, F.lit(0.0), lambda acc, value: acc + value)
-        return F.element_at(rings, 1) * 2.0 - total
+        return let(
+            F.transform(part, ring_area),
+            lambda rings: F.element_at(rings, 1) * 2.0 - F.aggregate(rings, F.lit(0.0), lambda acc, value: acc + value),
+        )
 
     value = F.aggregate(F.transform(g["parts"], part_area), F.lit(0.0), lambda acc, value: acc + value)
     return F.when(g["kind"].isin("POLYGON", "MULTIPOLYGON"), value).otherwise(F.lit(0.0))
@@ -297,27 +315,44 @@ def _segments_touch(s: Column, t: Column) -> Column:
     )
 
 
-def point_on_boundary(p: Column, geom: Column | str) -> Column:
-    return F.exists(segments(geom), lambda s: (_orient(s["a"], s["b"], p) == 0) & _in_span(s["a"], s["b"], p))
-
+def _on_segments(segs: Column, p: Column) -> Column:
+    return F.exists(segs, lambda s: (_orient(s["a"], s["b"], p) == 0) & _in_span(s["a"], s["b"], p))
 
-def point_inside(p: Column, geom: Column | str) -> Column:
-    """Even-odd test over all rings, so holes count as outside; boundary points are not reliable here."""
 
-    def crosses(s: Column) -> Column:
+def _inside_segments(segs: Column, p: Column) -> Column:
+    def crosses(acc: Column, s: Column) -> Column:
         a, b = s["a"], s["b"]
         at = (b["x"] - a["x"]) * (p["y"] - a["y"]) / (b["y"] - a["y"]) + a["x"]
-        return F.when((a["y"] > p["y"]) != (b["y"] > p["y"]), F.when(p["x"] < at, 1).otherwise(0)).otherwise(0)
+        return F.when(((a["y"] > p["y"]) != (b["y"] > p["y"])) & F.coalesce(p["x"] < at, F.lit(False)), ~acc).otherwise(acc)
 
-    hits = F.aggregate(F.transform(segments(geom), crosses), F.lit(0), lambda acc, value: acc + value)
-    return hits % 2 == 1
+    return F.aggregate(F.filter(segs, lambda s: s["a"]["y"] != s["b"]["y"]), F.lit(False), crosses)
+
+
+def _covered(segs: Column, p: Column) -> Column:
+    return _inside_segments(segs, p) | _on_segments(segs, p)
+
+
+def point_on_boundary(p: Column, geom: Column | str) -> Column:
+    return _on_segments(segments(geom), p)
+
+
+def point_inside(p: Column, geom: Column | str) -> Column:
+    """Even-odd test over all rings, so holes count as outside; boundary points are not reliable here."""
+    return _inside_segments(segments(geom), p)
 
 
 def covers_point(geom: Column | str, p: Column) -> Column:
     """Polygon covers the point, boundary included."""
     g = _c(geom)
     inside_box = (g["xmin"] <= p["x"]) & (p["x"] <= g["xmax"]) & (g["ymin"] <= p["y"]) & (p["y"] <= g["ymax"])
-    return inside_box & (point_inside(p, g) | point_on_boundary(p, g))
+    return inside_box & let(segments(g), lambda segs: _covered(segs, p))
+
+
+def _with_segments(a: Column, b: Column, body) -> Column:
+    both = F.struct(
+        a.alias("a"), b.alias("b"), segments(a).alias("sa"), segments(b).alias("sb")
+    )
+    return let(both, lambda row: body(row["a"], row["b"], row["sa"], row["sb"]))
 
 
 def _is_polygon(g: Column) -> Column:
@@ -327,25 +362,21 @@ def _is_polygon(g: Column) -> Column:
 def intersects(a: Column | str, b: Column | str) -> Column:
     """Geometries share at least one point; touching boundaries count."""
     ga, gb = _c(a), _c(b)
-    edges = F.exists(segments(ga), lambda s: F.exists(segments(gb), lambda t: _segments_touch(s, t)))
-    # When no edges meet, either one geometry lies wholly in the other or they are apart. Testing one
-    # point of every part catches the first case.
-    a_in_b = _is_polygon(gb) & F.exists(ga["parts"], lambda part: covers_point(gb, part[0][0]))
-    b_in_a = _is_polygon(ga) & F.exists(gb["parts"], lambda part: covers_point(ga, part[0][0]))
-    same_point = (
-        (ga["kind"] == "POINT")
-        & (gb["kind"] == "POINT")
-        & (ga["xmin"] == gb["xmin"])
-        & (ga["ymin"] == gb["ymin"])
-    )
-    on_line = ((ga["kind"] == "POINT") & point_on_boundary(first_point(ga), gb)) | (
-        (gb["kind"] == "POINT") & point_on_boundary(first_point(gb), ga)
-    )
-    return boxes_intersect(box_columns(ga), box_columns(gb)) & (edges | a_in_b | b_in_a | same_point | on_line)
 
+    def test(ga: Column, gb: Column, sa: Column, sb: Column) -> Column:
+        edges = F.exists(sa, lambda s: F.exists(sb, lambda t: _segments_touch(s, t)))
+        # When no edges meet, either one geometry lies wholly in the other or they are apart. Testing one
+        # point of every part catches the first case.
+        a_in_b = _is_polygon(gb) & F.exists(ga["parts"], lambda part: _covered(sb, part[0][0]))
+        b_in_a = _is_polygon(ga) & F.exists(gb["parts"], lambda part: _covered(sa, part[0][0]))
+        points = (ga["kind"] == "POINT") & (gb["kind"] == "POINT")
+        same_point = points & (ga["xmin"] == gb["xmin"]) & (ga["ymin"] == gb["ymin"])
+        on_line = ((ga["kind"] == "POINT") & _on_segments(sb, first_point(ga))) | (
+            (gb["kind"] == "POINT") & _on_segments(sa, first_point(gb))
+        )
+        return a_in_b | b_in_a | edges | same_point | on_line
 
-def _midpoint(s: Column) -> Column:
-    return point((s["a"]["x"] + s["b"]["x"]) / 2.0, (s["a"]["y"] + s["b"]["y"]) / 2.0)
+    return boxes_intersect(box_columns(ga), box_columns(gb)) & _with_segments(ga, gb, test)
 
 
 def contains(outer: Column | str, inner: Column | str) -> Column:
@@ -356,19 +387,23 @@ def contains(outer: Column | str, inner: Column | str) -> Column:
     rectangles and convex rings are exact.
     """
     go, gi = _c(outer), _c(inner)
-    vertices = F.flatten(F.flatten(gi["parts"]))
 
     def proper_cross(s: Column, t: Column) -> Column:
         return (_orient(s["a"], s["b"], t["a"]) * _orient(s["a"], s["b"], t["b"]) < 0) & (
             _orient(t["a"], t["b"], s["a"]) * _orient(t["a"], t["b"], s["b"]) < 0
         )
 
-    return (
-        box_contains(box_columns(go), box_columns(gi))
-        & F.forall(vertices, lambda p: covers_point(go, p))
-        & F.forall(segments(gi), lambda s: covers_point(go, _midpoint(s)))
-        & ~F.exists(segments(gi), lambda s: F.exists(segments(go), lambda t: proper_cross(s, t)))
-    )
+    def midpoint(s: Column) -> Column:
+        return point((s["a"]["x"] + s["b"]["x"]) / 2.0, (s["a"]["y"] + s["b"]["y"]) / 2.0)
+
+    def test(go: Column, gi: Column, so: Column, si: Column) -> Column:
+        return (
+            F.forall(F.flatten(F.flatten(gi["parts"])), lambda p: _covered(so, p))
+            & F.forall(si, lambda s: let(midpoint(s), lambda m: _covered(so, m)))
+            & ~F.exists(si, lambda s: F.exists(so, lambda t: proper_cross(s, t)))
+        )
+
+    return box_contains(box_columns(go), box_columns(gi)) & _with_segments(go, gi, test)
 
 
 # ---------------------------------------------------------------- distances
@@ -384,17 +419,40 @@ def box_distance_sq(a: Sequence[Column], b: Sequence[Column]) -> Column:
 def point_segment_distance_sq(p: Column, a: Column, b: Column) -> Column:
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     len_sq = dx * dx + dy * dy
-    along = F.when(len_sq == 0, F.lit(0.0)).otherwise(
-        F.greatest(
-            F.lit(0.0),
-            F.least(
-                F.lit(1.0),
-                ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.when(len_sq == 0, F.lit(1.0)).otherwise(len_sq),
-            ),
+    raw = ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.when(len_sq != 0, len_sq)
+    along = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
+
+    def distance(t: Column) -> Column:
+        ex, ey = p["x"] - (a["x"] + t * dx), p["y"] - (a["y"] + t * dy)
+        return ex * ex + ey * ey
+
+    return let(along, distance)
+
+
+def segment_box_distance_sq(a: Column, b: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Squared distance between a segment and a closed rectangle."""
+    corners = F.array(*(point(x, y) for x, y in ((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax))))
+    to_corners = F.array_min(F.transform(corners, lambda c: point_segment_distance_sq(c, a, b)))
+    box = (xmin, ymin, xmax, ymax)
+    to_ends = [box_distance_sq((p["x"], p["y"], p["x"], p["y"]), box) for p in (a, b)]
+
+    # The segment passes through the rectangle when the parameter intervals inside both slabs overlap
+    # (Liang and Barsky 1984). A segment parallel to a slab is inside it always or never.
+    def slab(p: Column, q: Column, low: Column, high: Column) -> Column:
+        run = F.when(q != p, q - p)
+        t0, t1 = (low - p) / run, (high - p) / run
+        inside = (p >= low) & (p <= high)
+        return F.struct(
+            F.coalesce(F.when(run.isNotNull(), F.least(t0, t1)), F.when(inside, 0.0).otherwise(2.0)).alias("lo"),
+            F.coalesce(F.when(run.isNotNull(), F.greatest(t0, t1)), F.lit(1.0)).alias("hi"),
         )
+
+    slabs = F.struct(slab(a["x"], b["x"], xmin, xmax).alias("x"), slab(a["y"], b["y"], ymin, ymax).alias("y"))
+    meets = let(
+        slabs,
+        lambda s: F.greatest(s["x"]["lo"], s["y"]["lo"], F.lit(0.0)) <= F.least(s["x"]["hi"], s["y"]["hi"], F.lit(1.0)),
     )
-    ex, ey = p["x"] - (a["x"] + along * dx), p["y"] - (a["y"] + along * dy)
-    return ex * ex + ey * ey
+    return F.when(meets, F.lit(0.0)).otherwise(F.least(to_corners, *to_ends))
 
 
 def grow(box: Sequence[Column], distance: float) -> tuple[Column, Column, Column, Column]:
@@ -438,8 +496,8 @@ def clip_ring(ring: Column, planes: Column) -> Column:
     """Closed ring clipped to all half planes; an empty array when nothing is left."""
     opened = F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))).cast(f"array<{POINT_TYPE}>")
     clipped = F.aggregate(planes, opened, _half_plane_clip)
-    closed = F.transform(F.array(clipped), lambda r: F.concat(r, F.slice(r, F.lit(1), F.lit(1))))[0]
-    return F.when(F.size(closed) >= 4, closed).otherwise(F.array().cast(f"array<{POINT_TYPE}>"))
+    none = F.array().cast(f"array<{POINT_TYPE}>")
+    return let(clipped, lambda r: F.when(F.size(r) >= 3, F.concat(r, F.slice(r, F.lit(1), F.lit(1)))).otherwise(none))
 
 
 def box_planes(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:

@@ -41,14 +41,14 @@ INVERSE = _series((1 / 2, -2 / 3, 37 / 96, -1 / 360), (1 / 48, 1 / 15, -437 / 14
 LATITUDE = _series((2.0, -2 / 3, -2.0, 116 / 45), (7 / 3, -8 / 5, -227 / 45), (56 / 15, -136 / 35), (4279 / 630,))
 
 
-def to_projected(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Longitude/latitude in degrees to easting/northing in metres."""
+def _forward_start(lon: Column, lat: Column) -> tuple[Column, Column]:
     phi = F.radians(lat.cast("double"))
     lam = F.radians(lon.cast("double") - CENTRAL_MERIDIAN)
-    sin_phi = F.sin(phi)
-    t = F.sinh(F.atanh(sin_phi) - _ECC * F.atanh(_ECC * sin_phi))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(1.0 + t * t))
+    t = F.sinh(F.atanh(F.sin(phi)) - _ECC * F.atanh(_ECC * F.sin(phi)))
+    return F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1.0 + t * t))
+
+
+def _forward_end(xi: Column, eta: Column) -> tuple[Column, Column]:
     east, north = eta, xi
     for j, coefficient in enumerate(FORWARD, start=1):
         east = east + coefficient * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta)
@@ -56,20 +56,35 @@ def to_projected(lon: Column, lat: Column) -> tuple[Column, Column]:
     return FALSE_EASTING + _RADIUS * east, FALSE_NORTHING + _RADIUS * north
 
 
-def to_geographic(x: Column, y: Column) -> tuple[Column, Column]:
-    """Easting/northing in metres to longitude/latitude in degrees."""
+def _inverse_start(x: Column, y: Column) -> tuple[Column, Column]:
     xi = (y.cast("double") - FALSE_NORTHING) / _RADIUS
     eta = (x.cast("double") - FALSE_EASTING) / _RADIUS
     xi0, eta0 = xi, eta
     for j, coefficient in enumerate(INVERSE, start=1):
         xi0 = xi0 - coefficient * F.sin(2.0 * j * xi) * F.cosh(2.0 * j * eta)
         eta0 = eta0 - coefficient * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta)
-    chi = F.asin(F.sin(xi0) / F.cosh(eta0))
-    phi = chi
-    for j, coefficient in enumerate(LATITUDE, start=1):
-        phi = phi + coefficient * F.sin(2.0 * j * chi)
+    return xi0, eta0
+
+
+def _inverse_end(xi0: Column, eta0: Column) -> tuple[Column, Column]:
+    def latitude(chi: Column) -> Column:
+        phi = chi
+        for j, coefficient in enumerate(LATITUDE, start=1):
+            phi = phi + coefficient * F.sin(2.0 * j * chi)
+        return F.degrees(phi)
+
     lon = CENTRAL_MERIDIAN + F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0)))
-    return lon, F.degrees(phi)
+    return lon, latitude(F.asin(F.sin(xi0) / F.cosh(eta0)))
+
+
+def to_projected(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Longitude/latitude in degrees to easting/northing in metres."""
+    return _forward_end(*_forward_start(lon, lat))
+
+
+def to_geographic(x: Column, y: Column) -> tuple[Column, Column]:
+    """Easting/northing in metres to longitude/latitude in degrees."""
+    return _inverse_end(*_inverse_start(x, y))
 
 
 def transform_geometry(geom: Column | str, from_srid: int, to_srid: int) -> Column:
@@ -77,18 +92,23 @@ def transform_geometry(geom: Column | str, from_srid: int, to_srid: int) -> Colu
     col = F.col(geom) if isinstance(geom, str) else geom
     if from_srid == to_srid:
         return col
-    pair = (from_srid, to_srid)
-    if pair == (GEOGRAPHIC_SRID, WORKING_SRID):
-        move = to_projected
-    elif pair == (WORKING_SRID, GEOGRAPHIC_SRID):
-        move = to_geographic
-    else:
+    steps = {
+        (GEOGRAPHIC_SRID, WORKING_SRID): (_forward_start, _forward_end),
+        (WORKING_SRID, GEOGRAPHIC_SRID): (_inverse_start, _inverse_end),
+    }.get((from_srid, to_srid))
+    if steps is None:
         raise ValueError(f"no transformation from EPSG:{from_srid} to EPSG:{to_srid}")
-    parts = F.transform(
-        col["parts"],
-        lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: g.point(*move(p["x"], p["y"])))),
-    )
-    return g.geometry(col["kind"], parts)
+    start, end = steps
+
+    def move(p: Column) -> Column:
+        # Binding the halfway point keeps each vertex at one evaluation of either half.
+        return g.let(g.point(*start(p["x"], p["y"])), lambda half: g.point(*end(half["x"], half["y"])))
+
+    def moved(shape: Column) -> Column:
+        parts = F.transform(shape["parts"], lambda part: F.transform(part, lambda ring: F.transform(ring, move)))
+        return g.geometry(shape["kind"], parts)
+
+    return g.let(col, lambda shape: F.when(shape.isNotNull(), moved(shape)))
 
 
 def wkt_to_working_box(wkt: Column | str) -> Column:

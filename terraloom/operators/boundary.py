@@ -182,31 +182,12 @@ def coastline_near(areas: DataFrame, coast: DataFrame, distance: float, cell_siz
     grown = areas.select("aoi_id", *g.BOX, *(c.alias(f"_w_{s}") for c, s in zip(g.grow([F.col(s) for s in g.BOX], distance), g.BOX, strict=True)))
     pairs = intersecting_pairs(segs, grown, cell_size, left_box=("sx0", "sy0", "sx1", "sy1"), right_box=[f"_w_{s}" for s in g.BOX])
     return (
-        pairs.withColumn("dist_sq", segment_box_distance_sq(F.col("sa"), F.col("sb"), *(F.col(s).cast("double") for s in g.BOX)))
+        pairs.withColumn("dist_sq", g.segment_box_distance_sq(F.col("sa"), F.col("sb"), *(F.col(s).cast("double") for s in g.BOX)))
         .filter(F.col("dist_sq") <= distance * distance)
         .select("aoi_id", "sa", "sb", "dist_sq", *g.BOX)
     )
 
 
-def segment_box_distance_sq(a: Column, b: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Squared distance between a segment and a closed rectangle."""
-    corners = [g.point(x, y) for x, y in ((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax))]
-    to_corners = [g.point_segment_distance_sq(c, a, b) for c in corners]
-    box = (xmin, ymin, xmax, ymax)
-    to_ends = [g.box_distance_sq((p["x"], p["y"], p["x"], p["y"]), box) for p in (a, b)]
-    # The segment passes through the rectangle when the slab intervals of its parameter overlap (Liang and Barsky 1984).
-    lo, hi = F.lit(0.0), F.lit(1.0)
-    outside = F.lit(False)
-    for p, q, low, high in ((a["x"], b["x"], xmin, xmax), (a["y"], b["y"], ymin, ymax)):
-        run = q - p
-        safe = F.when(run != 0, run).otherwise(F.lit(1.0))
-        t0, t1 = (low - p) / safe, (high - p) / safe
-        lo = F.when(run != 0, F.greatest(lo, F.least(t0, t1))).otherwise(lo)
-        hi = F.when(run != 0, F.least(hi, F.greatest(t0, t1))).otherwise(hi)
-        outside = outside | ((run == 0) & ((p < low) | (p > high)))
-    return F.when(~outside & (lo <= hi), F.lit(0.0)).otherwise(F.least(*to_corners, *to_ends))
-
-
 def tide_query_locations(
     areas: DataFrame, coast: DataFrame, distance: float = 1000.0, cell_size: float | None = None, strict: bool = False
 ) -> DataFrame:

@@ -31,7 +31,7 @@ def sp14(fx):
 
 @query(
     "sp14_raster_boundary",
-    """WITH b AS (SELECT raster_id, min(x) - 50.0 AS xmin, min(y) - 50.0 AS ymin, max(x) + 50.0 AS xmax, max(y) + 50.0 AS ymax FROM fx_cell GROUP BY raster_id)
+    """WITH b AS (SELECT raster_id, (min(x) - 50)::DOUBLE AS xmin, (min(y) - 50)::DOUBLE AS ymin, (max(x) + 50)::DOUBLE AS xmax, (max(y) + 50)::DOUBLE AS ymax FROM fx_cell GROUP BY raster_id)
        SELECT raster_id, 'bottom' AS position, xmin AS x0, ymin AS y0, xmax AS x1, ymin AS y1 FROM b UNION ALL SELECT raster_id, 'right', xmax, ymin, xmax, ymax FROM b
        UNION ALL SELECT raster_id, 'top', xmin, ymax, xmax, ymax FROM b UNION ALL SELECT raster_id, 'left', xmin, ymin, xmin, ymax FROM b""",
 )

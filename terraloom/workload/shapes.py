@@ -241,14 +241,14 @@ def sp11(fx):
 
 
 CROSSED = f"""WITH {SIDE_ROWS},
-segs AS (SELECT objectid, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS by, 0.0::DOUBLE AS before, x0 AS fx, y0 AS fy FROM fx_reach
+segs AS (SELECT objectid, x0 AS ax, y0 AS ay, x1 AS qx, y1 AS qy, 0.0::DOUBLE AS ahead, x0 AS fx, y0 AS fy FROM fx_reach
   UNION ALL SELECT objectid, x1, y1, x2, y2, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))::DOUBLE, x0, y0 FROM fx_reach),
-solved AS (SELECT aoi_id, objectid, ax, ay, bx, by, before, fx, fy, x0, y0, x1, y1, position,
-  CASE WHEN position IN ('bottom', 'top') THEN (y0 - ay)::DOUBLE / nullif(by - ay, 0) ELSE (x0 - ax)::DOUBLE / nullif(bx - ax, 0) END AS t
-  FROM segs JOIN sides ON least(ax, bx) <= x1 AND greatest(ax, bx) >= x0 AND least(ay, by) <= y1 AND greatest(ay, by) >= y0),
-points AS (SELECT aoi_id, objectid, fx, fy, CASE WHEN position IN ('bottom', 'top') THEN ax + t * (bx - ax) ELSE x0 END AS x,
-  CASE WHEN position IN ('bottom', 'top') THEN y0 ELSE ay + t * (by - ay) END AS y,
-  before + t * sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) AS distance, x0, y0, x1, y1 FROM solved WHERE t >= 0 AND t <= 1),
+solved AS (SELECT aoi_id, objectid, ax, ay, qx, qy, ahead, fx, fy, x0, y0, x1, y1, position,
+  CASE WHEN position IN ('bottom', 'top') THEN (y0 - ay)::DOUBLE / nullif(qy - ay, 0) ELSE (x0 - ax)::DOUBLE / nullif(qx - ax, 0) END AS t
+  FROM segs JOIN sides ON least(ax, qx) <= x1 AND greatest(ax, qx) >= x0 AND least(ay, qy) <= y1 AND greatest(ay, qy) >= y0),
+points AS (SELECT aoi_id, objectid, fx, fy, CASE WHEN position IN ('bottom', 'top') THEN ax + t * (qx - ax) ELSE x0 END AS x,
+  CASE WHEN position IN ('bottom', 'top') THEN y0 ELSE ay + t * (qy - ay) END AS y,
+  ahead + t * sqrt((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay)) AS distance, x0, y0, x1, y1 FROM solved WHERE t >= 0 AND t <= 1),
 crossed AS (SELECT aoi_id, objectid, fx, fy, x, y, min(distance) AS distance FROM points
   WHERE x >= x0 AND x <= x1 AND y >= y0 AND y <= y1 GROUP BY ALL),
 ranked AS (SELECT c.*, row_number() OVER w AS crossing_no, count(*) OVER (PARTITION BY c.aoi_id, objectid) AS crossing_count,
@@ -428,11 +428,11 @@ def ov2(fx):
 
 @query(
     "ov3_site_coverage",
-    f"{CLIPPED} SELECT aoi_id, site_id, (x1 - x0) * (y1 - y0) AS site_area, round((x1 - x0) * (y1 - y0) / whole, 8) AS site_share FROM c",
+    f"{CLIPPED} SELECT aoi_id, site_id, (x1 - x0) * (y1 - y0) AS site_area, (x1 - x0) * (y1 - y0) / whole AS site_share FROM c",
 )
 def ov3(fx):
     cover = overlay.site_coverage(overlay.clipped_sites(areas(fx), squares(fx), CELL))
-    return cover.select("aoi_id", "site_id", F.col("site_area").cast("long").alias("site_area"), F.round("site_share", 8).alias("site_share"))
+    return cover.select("aoi_id", "site_id", F.col("site_area").cast("long").alias("site_area"), "site_share")
 
 
 @query(
