@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Workers unpickle the spline helper without importing this package, so it need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Interpolation names.
 METHODS = ("linear", "nearest", "nearest-up", "zero", "slinear", "quadratic", "cubic", "previous", "next")
 SPLINE_DEGREE = {"quadratic": 2, "cubic": 3}

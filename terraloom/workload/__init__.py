@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("areas", "registry_queries", "shapes", "rasters")
+MODULES = ("areas", "registry_queries", "shapes", "rasters", "series_queries", "network_queries", "ingest_queries")
 
 
 def load() -> None:

@@ -158,3 +158,85 @@ fixture(
     """SELECT DISTINCT 1500050 + (l_partkey % 50) * 100 AS x, 5100050 + (l_suppkey % 40) * 100 AS y,
               ((l_partkey % 50) * 7 + (l_suppkey % 40) * 13) % 101 AS z FROM {lineitem}""",
 )
+
+# ---------------------------------------------------------------- series
+
+MINS = (
+    "CASE k WHEN 1 THEN 10 WHEN 2 THEN 20 WHEN 3 THEN 30 WHEN 4 THEN 60 WHEN 5 THEN 120 WHEN 6 THEN 360 WHEN 7 THEN 720"
+    " WHEN 8 THEN 1440 WHEN 9 THEN 2880 WHEN 10 THEN 4320 WHEN 11 THEN 5760 ELSE 7200 END"
+)
+fixture(
+    "fx_rain",
+    f"""SELECT s_suppkey AS site_id, CAST({MINS} AS BIGINT) AS mins, CAST((10 + s_suppkey % 17) * k AS DOUBLE) AS depth
+        FROM {{supplier}} {{each:k:1,2,3,4,5,6,7,8,9,10,11,12}}""",
+)
+fixture(
+    "fx_rain_scenario",
+    f"""SELECT s_suppkey AS site_id, CAST({MINS} AS BIGINT) AS duration_mins, CAST(ari AS DOUBLE) AS ari,
+               CASE variant WHEN 0 THEN NULL WHEN 1 THEN 2.5 ELSE 8.5 END AS rcp,
+               CASE variant WHEN 0 THEN NULL WHEN 1 THEN '2031-2050' ELSE '2081-2100' END AS time_period,
+               (10 + s_suppkey % 17) * k + ari + variant AS depth
+        FROM {{supplier}} {{each:k:1,2,3,4,5,6,7,8,9,10,11,12}} {{each:ari:2,50,100}} {{each:variant:0,1,2}}""",
+)
+fixture(
+    "fx_slr",
+    """SELECT s_suppkey AS point_id, 1500000 + (s_suppkey * 7919) % 100000 AS x, 5100000 + (s_suppkey * 104729) % 100000 AS y,
+              CASE WHEN conf = 0 THEN 'low' ELSE 'medium' END AS confidence_level,
+              CASE WHEN ssp = 0 THEN 'SSP1-2.6' WHEN conf = 0 THEN 'SSP5-8.5' ELSE 'SSP2-4.5' END AS ssp_scenario,
+              vlm = 1 AS add_vlm, percentile, 2020 + 10 * step + CASE WHEN conf = 0 THEN 100 ELSE 0 END AS year,
+              (step * step * 3 + step * (s_suppkey % 7) + percentile + vlm * 5 + ssp * 2) AS rise
+       FROM {supplier} {each:conf:0,1} {each:ssp:0,1} {each:vlm:0,1} {each:percentile:17,50,83} {each:step:1,2,3,4,5,6,7,8}""",
+)
+fixture(
+    "fx_slr_request",
+    """SELECT c_custkey AS request_id, CASE c_custkey % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS confidence_level,
+              CASE c_nationkey % 4 WHEN 0 THEN 'SSP1-2.6' WHEN 1 THEN 'SSP2-4.5' WHEN 2 THEN 'SSP5-8.5' ELSE 'SSP3-7.0' END AS ssp_scenario,
+              CASE c_custkey % 4 WHEN 0 THEN 17 WHEN 1 THEN 50 WHEN 2 THEN 83 ELSE 95 END AS percentile,
+              2000 + c_custkey % 300 AS year FROM {customer}""",
+)
+fixture(
+    "fx_tide",
+    """SELECT CASE user_id % 4 WHEN 0 THEN 'bottom' WHEN 1 THEN 'right' WHEN 2 THEN 'top' ELSE 'left' END AS position,
+              {epoch:ts} AS epoch, CAST(round(value * 100) AS BIGINT) AS level FROM {events}""",
+)
+fixture(
+    "fx_rise",
+    """SELECT CASE c_custkey % 4 WHEN 0 THEN 'bottom' WHEN 1 THEN 'right' WHEN 2 THEN 'top' ELSE 'left' END AS position,
+              2030 + c_nationkey AS year, max(CAST(round(c_acctbal) AS BIGINT)) AS rise FROM {customer} GROUP BY 1, 2""",
+)
+fixture(
+    "fx_inflow",
+    """SELECT c_custkey AS objectid, 1500000 + (c_custkey * 7919) % 100000 AS x, 5100000 + (c_custkey * 104729) % 100000 AS y,
+              c_custkey % 50 + 10 AS f, c_name AS note FROM {customer}""",
+)
+fixture(
+    "fx_waterway",
+    """SELECT p_partkey AS osm_id, CASE p_size % 4 WHEN 0 THEN 'river' WHEN 1 THEN 'stream' WHEN 2 THEN 'drain' ELSE 'canal' END AS waterway,
+              1500000 + (p_partkey * 31337) % 100000 AS x0, 5100000 + (p_partkey * 15485863) % 100000 AS y0,
+              1500000 + (p_partkey * 31337) % 100000 + CASE WHEN p_partkey % 2 = 0 THEN p_size * 40 ELSE 0 END AS x1,
+              5100000 + (p_partkey * 15485863) % 100000 + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE p_size * 40 END AS y1 FROM {part}""",
+)
+
+# ---------------------------------------------------------------- network
+
+fixture(
+    "fx_link",
+    """SELECT c_custkey AS objectid, c_custkey AS upper_node,
+              CASE WHEN c_custkey % 10 = 9 THEN c_custkey + 1000000 ELSE CAST(floor(c_custkey / 2) AS BIGINT) END AS lower_node,
+              c_custkey % 4 = 1 AS flipped FROM {customer} WHERE c_custkey > 0""",
+)
+fixture(
+    "fx_line",
+    """SELECT objectid, 1500000 + (a % 1000) * 10 AS ax, 5100000 + CAST(floor(a / 1000) AS BIGINT) * 10 AS ay,
+              1500000 + (b % 1000) * 10 AS bx, 5100000 + CAST(floor(b / 1000) AS BIGINT) * 10 AS b_y, a, b
+       FROM (SELECT objectid, CASE WHEN flipped THEN lower_node ELSE upper_node END AS a,
+                    CASE WHEN flipped THEN upper_node ELSE lower_node END AS b FROM fx_link) l""",
+)
+fixture("fx_outlet", "SELECT min(c_custkey) AS id FROM {customer}")
+fixture("fx_present", "SELECT o_custkey AS upper_node, CAST(floor(o_custkey / 2) AS BIGINT) AS lower_node FROM {orders}")
+fixture(
+    "fx_network",
+    """SELECT s_suppkey + 1 AS rec_network_id, 1500000 + (s_suppkey * 7919) % 70000 AS xmin, 5100000 + (s_suppkey * 104729) % 70000 AS ymin,
+              1500000 + (s_suppkey * 7919) % 70000 + 20000 + (s_suppkey % 5) * 3000 AS xmax,
+              5100000 + (s_suppkey * 104729) % 70000 + 20000 + (s_suppkey % 7) * 2000 AS ymax FROM {supplier}""",
+)

@@ -53,6 +53,7 @@ class Reader:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         sql = _spark_text(FIXTURES[name])
+        sql = re.sub(r"\bfx_\w+", r"{\g<0>}", sql)
         used = sorted(set(re.findall(r"\{(\w+)\}", sql)))
         return self.spark.sql(sql, **{table: self(table) for table in used})
 
