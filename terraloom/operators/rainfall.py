@@ -40,11 +40,22 @@ def scenario_for_sites(rain: DataFrame, sites: DataFrame, ari: float, rcp: float
     return filter_scenario(rain, ari, rcp, time_period).join(sites.select("site_id"), "site_id", "left_semi")
 
 
+def minutes_of(name: str) -> int:
+    """Minutes of a duration column's name."""
+    return int(name[:-1]) * {"m": 1, "h": 60}[name[-1]]
+
+
 def long_durations(wide: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
-    """One row per site and duration from one column per duration; missing depths are dropped."""
-    columns = [c for c in wide.columns if c in DURATIONS]
-    long = wide.unpivot(list(keys), columns, "duration", "depth").filter("depth IS NOT NULL")
-    return long.select(*keys, duration_minutes(F.col("duration")).alias("mins"), F.col("depth").cast("double").alias("depth"))
+    """One row per site and duration from one column per duration; missing depths are dropped.
+
+    Minutes are read off the column names while planning, not per row.
+    """
+    pairs = [
+        F.struct(F.lit(minutes_of(c)).cast("long").alias("mins"), F.col(f"`{c}`").cast("double").alias("depth"))
+        for c in wide.columns
+        if c in DURATIONS
+    ]
+    return wide.select(*keys, F.inline(F.array(*pairs))).filter("depth IS NOT NULL")
 
 
 def wide_from_long(series: DataFrame, site_ids: Sequence[int], value: str, index: str = "seconds") -> DataFrame:

@@ -39,7 +39,8 @@ def handle_batch(store: Store, fetch: Fetch, handled_table: str, batch: DataFram
     spark = store.spark
     tables.create_if_absent(spark, handled_table, HANDLED_SCHEMA)
     fresh = tables.unseen(tables.first_per_key(batch, ["request_id"], ["wkt"]), spark.table(handled_table), ["request_id"])
-    fresh = cut_lineage(fresh)
+    # A batch belongs to a session of its own, whose table cache is not ours; go on in the store's session.
+    fresh = cut_lineage(fresh, spark)
     if fresh.isEmpty():
         return
     ingest(store, areas_of(fresh), fetch)

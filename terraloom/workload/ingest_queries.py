@@ -221,14 +221,17 @@ def asset_store(fx):
     database = scratch_database(fx)
     store = ingest.Store(fx.spark, f"{database}.geospatial_layers", f"{database}.user_log_information")
     store.prepare()
-    layers = fx("region").limit(1).select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("layer_id"), F.lit(f"{database}.assets").alias("table_name"), F.lit("asset_id").alias("unique_column_name"), F.lit(None).cast("string").alias("coverage_area")),
-                F.struct(F.lit(2), F.lit(f"{database}.parcels"), F.lit(None).cast("string"), F.lit("New Zealand")),
-            )
-        ).alias("l")
-    )
+    entries = [(1, "assets", "asset_id", None), (2, "parcels", None, "New Zealand")]
+    structs = [
+        F.struct(
+            F.lit(number).alias("layer_id"),
+            F.lit(f"{database}.{name}").alias("table_name"),
+            F.lit(key).cast("string").alias("unique_column_name"),
+            F.lit(area).cast("string").alias("coverage_area"),
+        )
+        for number, name, key, area in entries
+    ]
+    layers = fx.spark.range(1).select(F.explode(F.array(*structs)).alias("l"))
     rows = layers.select(F.col("l.layer_id").cast("bigint").alias("unique_id"), F.lit("LINZ").alias("data_provider"), "l.*", F.lit("https://example.org").alias("url"))
     tables.append(rows, store.registry)
 

@@ -65,8 +65,8 @@ def g3_completed(fx):
     return network.with_absent_edges(links(fx), present)
 
 
-REACH = """WITH RECURSIVE both AS (SELECT upper_node AS s, lower_node AS d FROM fx_link UNION SELECT lower_node, upper_node FROM fx_link),
-walk(id, depth) AS (SELECT id, 0 FROM fx_outlet UNION SELECT b.d, w.depth + 1 FROM walk w JOIN both b ON b.s = w.id WHERE w.depth < 30),
+REACH = """WITH RECURSIVE two_way AS (SELECT upper_node AS s, lower_node AS d FROM fx_link UNION SELECT lower_node, upper_node FROM fx_link),
+walk(id, depth) AS (SELECT id, 0 FROM fx_outlet UNION SELECT b.d, w.depth + 1 FROM walk w JOIN two_way b ON b.s = w.id WHERE w.depth < 30),
 reach AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
 
 

@@ -446,5 +446,5 @@ def w11(fx):
 @query("snk8_river_files", f"WITH {HYDROGRAPH} SELECT objectid, seconds, flow FROM hydro")
 def snk8(fx):
     path = scratch(fx, "river")
-    forcing.write_river(hydrographs(fx), path)
-    return forcing.read_series(fx.spark, f"{path}/series", "objectid", "bigint", "flow")
+    forcing.write_river(hydrographs(fx), path, folders=32)
+    return forcing.read_river(fx.spark, path, in_folders=True)
