@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 
+from ..operators import boundary
 from ..plans import ingest, scenario
 from ..session import scratch_root
 from ..sources import features, tables, vector_files, waterways
@@ -15,7 +16,7 @@ from ..streaming import requests as stream
 from . import fixtures  # noqa: F401
 from .registry import query
 from .series_queries import inflows, scratch
-from .shapes import inverse_sql
+from .shapes import COAST, FACING, coast, inverse_sql
 
 PAGE = 300
 
@@ -287,20 +288,22 @@ def c3(fx):
 
 @query(
     "c4_scenario_forcing",
-    """SELECT 'rain' AS forcing, count(DISTINCT a.aoi_id) * 288 AS n FROM fx_aoi a JOIN fx_site s ON s.x BETWEEN a.xmin AND a.xmax AND s.y BETWEEN a.ymin AND a.ymax
+    f"""WITH {COAST}, facing AS (SELECT DISTINCT aoi_id, {FACING} AS position FROM near),
+       buckets AS (SELECT position, epoch // 600 * 600 AS epoch, avg(level) AS level FROM fx_tide GROUP BY ALL),
+       peak AS (SELECT position, arg_max(epoch, (level, -epoch)) AS p FROM buckets GROUP BY position),
+       event AS (SELECT b.position FROM buckets b JOIN peak ON peak.position = b.position WHERE abs(epoch - p) <= 2880 * 30)
+       SELECT 'rain' AS forcing, count(DISTINCT a.aoi_id) * 288 AS n FROM fx_aoi a JOIN fx_site s ON s.x BETWEEN a.xmin AND a.xmax AND s.y BETWEEN a.ymin AND a.ymax
        UNION ALL SELECT 'river', count(*) * 3 FROM fx_inflow
-       UNION ALL SELECT 'water_level', (SELECT count(*) FROM (SELECT DISTINCT position FROM fx_tide)) * 0 + (SELECT count(*) FROM fx_tide) * 0""",
+       UNION ALL SELECT 'water_level', count(*) FROM facing f JOIN event e ON e.position = f.position""",
 )
 def c4(fx):
-    """Row counts of the three forcing sets; without coast in the batch there is no water level."""
+    """Row counts of the three forcing sets of every area."""
     options = scenario.Options()
     rain = scenario.rain_forcing(fx("fx_aoi"), fx("fx_site"), fx("fx_rain"), options, 10_000.0)
     river = scenario.river_forcing(inflows(fx), options)
-    far_coast = fx("fx_coast").select(
-        g.line_geometry(F.array(g.point(F.col("x0") + 10_000_000, "y0"), g.point(F.col("x1") + 10_000_000, "y1"))).alias("geometry")
-    )
-    levels = fx("fx_tide").select(F.col("position").alias("location_id"), "epoch", "level")
-    sea = scenario.tide_forcing(fx("fx_aoi"), far_coast, levels, fx("fx_slr"), options, 1000.0)
+    places = boundary.tide_query_locations(fx("fx_aoi"), coast(fx))
+    readings = places.select("position", F.concat_ws(":", F.col("aoi_id").cast("string"), "position").alias("location_id")).join(fx("fx_tide"), "position")
+    sea = scenario.tide_forcing(fx("fx_aoi"), coast(fx), readings.drop("position"), fx("fx_slr"), options, 1000.0)
     counted = [df.agg(F.lit(name).alias("forcing"), F.count("*").alias("n")) for name, df in (("rain", rain), ("river", river), ("water_level", sea))]
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
