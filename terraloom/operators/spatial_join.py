@@ -3,7 +3,9 @@
 Both sides list the grid cells their bounding boxes cover and join on the cell, so Spark partitions the work
 by location and never forms a cross product. A pair that shares several cells is reported only in the cell
 holding the lower-left corner of the boxes' intersection (Dittrich and Seeger 2000), so no ``distinct`` is
-needed. Cells holding far more rows than the rest are cut into finer ones; see ``_hot_cells``.
+needed. Cells holding far more rows than the rest are cut into finer ones; see ``_hot_cells``. Finding them
+is a job of its own over the boxes, run when the join is declared: most joins have none, and then plan as a
+plain equi-join.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from ..functions import geometry as g
 ROWS_PER_CELL = 4096
 MAX_HOT_CELLS = 10_000
 MAX_LEVEL = 10
+MAX_COPIES = 4.0
 
 Box = Sequence[str]
 
@@ -40,32 +43,81 @@ def _cells(df: DataFrame, prefix: str, size: float) -> DataFrame:
     )
 
 
-def _hot_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], size: float, rows_per_cell: int) -> DataFrame:
-    """Cells to cut finer and by how many halvings, chosen from their row counts.
+def _hot_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], size: float, rows_per_cell: int) -> DataFrame | None:
+    """Cells to cut finer and by how many halvings, or None when no cell is crowded.
 
-    Halving stops at the mean extent of the boxes in the cell, below which finer cells only copy rows. The
-    table is only a hint about where to split, so keeping the ``MAX_HOT_CELLS`` fullest cells bounds it for
-    broadcasting without changing any result.
+    The level is the first at which the fullest part of the cell holds ``rows_per_cell`` boxes, counted by
+    their centres, but no finer than the level at which the boxes would be copied more than ``MAX_COPIES``
+    times on average. The table only says where to cut, so keeping the ``MAX_HOT_CELLS`` fullest cells
+    bounds what reaches the driver and what is broadcast, without changing any result.
     """
+    cell = [*keys, "_cx", "_cy"]
+    both = _clipped(left, "_l", size).select(*cell, *_CLIP).unionByName(_clipped(right, "_r", size).select(*cell, *_CLIP))
+    width, height = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+    full = (
+        both.groupBy(*cell)
+        .agg(F.count("*").alias("n"), F.sum(width + height).alias("span"), F.sum(width * height).alias("area"))
+        .filter(F.col("n") > rows_per_cell)
+        .orderBy(F.desc("n"), *cell)
+        .limit(MAX_HOT_CELLS)
+    )
+    rows = full.collect()
+    if not rows:
+        return None
+    spark = left.sparkSession
+    crowded = F.broadcast(spark.createDataFrame(rows, full.schema))
+    parts, step = 2**MAX_LEVEL, size / 2**MAX_LEVEL
+
+    def fine(low: str, high: str, index: str) -> Column:
+        inside = F.floor(((F.col(low) + F.col(high)) / 2.0 - F.col(index) * size) / step)
+        return F.greatest(F.least(inside, F.lit(parts - 1)), F.lit(0))
+
+    def coarser(index: str) -> Column:
+        return F.floor(F.col(index) / F.pow(F.lit(2.0), MAX_LEVEL - F.col("_level"))).alias(index)
+
+    densest = (
+        both.join(crowded.select(*cell), cell)
+        .groupBy(*cell, fine("_x0", "_x1", "_cx").alias("_fx"), fine("_y0", "_y1", "_cy").alias("_fy"))
+        .agg(F.count("*").alias("m"))
+        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL))))
+        .groupBy(*cell, "_level", coarser("_fx"), coarser("_fy"))
+        .agg(F.sum("m").alias("m"))
+        .groupBy(*cell, "_level")
+        .agg(F.max("m").alias("m"))
+        .groupBy(*cell)
+        .agg(F.min(F.when(F.col("m") <= rows_per_cell, F.col("_level"))).alias("wanted"))
+    )
 
-    def counted(df: DataFrame, prefix: str) -> DataFrame:
-        extent = F.greatest(
-            F.col(f"{prefix}xmax") - F.col(f"{prefix}xmin"), F.col(f"{prefix}ymax") - F.col(f"{prefix}ymin")
-        )
-        return df.groupBy(*keys, "_cx", "_cy").agg(F.count("*").alias("n"), F.sum(extent).alias("extent"))
+    def copies(level: Column) -> Column:
+        cuts = F.pow(F.lit(2.0), level) / size
+        return cuts * cuts * F.col("area") + cuts * F.col("span") + F.col("n")
 
-    both = counted(left, "_l").unionByName(counted(right, "_r"))
-    per_cell = both.groupBy(*keys, "_cx", "_cy").agg(F.sum("n").alias("n"), F.sum("extent").alias("extent"))
-    by_count = F.ceil(F.log2(F.col("n") / rows_per_cell) / 2.0)
-    by_extent = F.floor(F.log2(size / F.greatest(F.col("extent") / F.col("n"), F.lit(size / 2.0**MAX_LEVEL))))
-    level = F.least(by_count, by_extent, F.lit(MAX_LEVEL)).cast("int")
-    return (
-        per_cell.filter(F.col("n") > rows_per_cell)
-        .withColumn("_level", level)
+    affordable = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(MAX_LEVEL)), lambda k: copies(k) <= MAX_COPIES * F.col("n")))
+    chosen = (
+        densest.join(crowded, cell)
+        .select(*cell, F.least(F.coalesce("wanted", F.lit(MAX_LEVEL)), F.coalesce(affordable, F.lit(0))).alias("_level"))
         .filter("_level > 0")
-        .orderBy(F.desc("n"), *keys, "_cx", "_cy")
-        .limit(MAX_HOT_CELLS)
-        .select(*keys, "_cx", "_cy", "_level")
+    )
+    levels = chosen.collect()
+    return spark.createDataFrame(levels, chosen.schema) if levels else None
+
+
+_CLIP = ("_x0", "_y0", "_x1", "_y1")
+
+
+def _clipped(df: DataFrame, prefix: str, size: float) -> DataFrame:
+    """The part of each box inside its cell."""
+
+    def edge(side: str, index: str, low: bool) -> Column:
+        bound = (F.col(index) + (0 if low else 1)) * size
+        return F.greatest(F.col(f"{prefix}{side}"), bound) if low else F.least(F.col(f"{prefix}{side}"), bound)
+
+    return df.select(
+        "*",
+        edge("xmin", "_cx", True).alias("_x0"),
+        edge("ymin", "_cy", True).alias("_y0"),
+        edge("xmax", "_cx", False).alias("_x1"),
+        edge("ymax", "_cy", False).alias("_y1"),
     )
 
 
@@ -106,6 +158,8 @@ def _gridded(
     narrow_left = lhs.select(*keys, *(f"_l{s}" for s in g.BOX), "_cx", "_cy")
     narrow_right = rhs.select(*keys, *(f"_r{s}" for s in g.BOX), "_cx", "_cy")
     hot = _hot_cells(narrow_left, narrow_right, keys, cell_size, rows_per_cell)
+    if hot is None:
+        return lhs, rhs, [*keys, "_cx", "_cy"]
     return (
         _fine_cells(lhs, hot, keys, "_l", cell_size),
         _fine_cells(rhs, hot, keys, "_r", cell_size),
@@ -139,7 +193,7 @@ def intersecting_pairs(
 
     def owner(side: str, cell: str) -> Column:
         corner = F.greatest(F.col(f"_l{side}"), F.col(f"_r{side}"))
-        if not split_hot:
+        if cell in ("_cx", "_cy"):
             return F.floor(corner / cell_size) == F.col(cell)
         parts = F.pow(F.lit(2.0), F.col("_level")).cast("long")
         return F.floor(corner / (F.lit(cell_size) / parts)) == F.col(cell)
