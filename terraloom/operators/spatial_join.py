@@ -220,15 +220,11 @@ def matching_ids(
 ) -> DataFrame:
     """Distinct ids of left rows with at least one partner; stops at the first partner per cell."""
     lhs, rhs, on = _gridded(left, right, cell_size, left_box, right_box, keys, split_hot, rows_per_cell)
-    test = _boxes_meet() if refine is None else _boxes_meet() & refine
-    same_cell = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
-    drop_keys = [c for c in on if c in lhs.columns]
-    renamed = rhs.withColumnsRenamed({c: f"_key_{c}" for c in drop_keys})
-    same_cell = [F.col(c) == F.col(f"_key_{c}") for c in drop_keys]
-    condition = test
-    for equal in same_cell:
-        condition = condition & equal
-    return lhs.join(renamed, condition, "left_semi").select(*left_id).distinct()
+    condition = _boxes_meet() if refine is None else _boxes_meet() & refine
+    for column in on:
+        condition = condition & (F.col(column) == F.col(f"_other_{column}"))
+    others = rhs.withColumnsRenamed({column: f"_other_{column}" for column in on})
+    return lhs.join(others, condition, "left_semi").select(*left_id).distinct()
 
 
 def semi_join(

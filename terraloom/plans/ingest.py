@@ -108,9 +108,12 @@ def load_area_layers(store: Store, areas: DataFrame, fetch: Fetch) -> None:
 
 def coverage_rows(registry: DataFrame, areas: DataFrame) -> DataFrame:
     """One log row per area, listing all area-fetched tables whether or not a fetch returned rows."""
-    listed = instructions.area_layers(registry).agg(F.array_sort(F.collect_set("table_name")).alias("source_table_list"))
-    return areas.select(*(F.col(s).cast("double").alias(s) for s in g.BOX)).join(F.broadcast(listed)).withColumn(
-        "created_at", F.current_timestamp()
+    names = [r["table_name"] for r in instructions.area_layers(registry).select("table_name").distinct().collect()]
+    listed = F.array(*(F.lit(n) for n in sorted(names))).cast("array<string>")
+    return areas.select(
+        *(F.col(s).cast("double").alias(s) for s in g.BOX),
+        listed.alias("source_table_list"),
+        F.current_timestamp().alias("created_at"),
     )
 
 

@@ -83,14 +83,13 @@ def with_new_ids(rows: DataFrame, table: DataFrame, id_column: str, order: Seque
 
     Rows are spread over a fixed number of buckets by the hash of ``order``; a running total over the
     per-bucket counts gives each bucket its first id. The bucket table has at most ``ID_BUCKETS`` rows, so
-    its window and its broadcast are bounded.
+    its window and its broadcast are bounded. The largest id in use is read when this is called.
     """
+    start = table.agg(F.coalesce(F.max(id_column), F.lit(0))).first()[0]
     bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(ID_BUCKETS)))
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    start = table.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_start"))
-    offsets = offsets.join(F.broadcast(start)).select("_bucket", (F.col("_offset") + F.col("_start")).alias("_base"))
+    offsets = counts.select("_bucket", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + start).alias("_base"))
     within = Window.partitionBy("_bucket").orderBy(*order)
     numbered = bucketed.join(F.broadcast(offsets), "_bucket").withColumn(
         id_column, (F.col("_base") + F.row_number().over(within)).cast("bigint")

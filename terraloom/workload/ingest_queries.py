@@ -331,7 +331,7 @@ def st1(fx):
         stream.request_stream(fx.spark, folder, max_files=1), store, fetch, scratch(fx, "stream"), f"{database}.handled"
     )
     running.awaitTermination()
-    logged = fx.spark.table(store.coverage_log).agg(F.count("*").alias("logged"))
-    return fx.spark.table(f"{database}.handled").select("request_id").join(F.broadcast(logged))
+    logged = fx.spark.table(store.coverage_log).count()
+    return fx.spark.table(f"{database}.handled").select("request_id", F.lit(logged).cast("bigint").alias("logged"))
 
 

@@ -22,8 +22,9 @@ NODES = "nodes AS (SELECT ax AS x, ay AS y FROM fx_line UNION SELECT bx, b_y FRO
 def g1(fx):
     """Node ids are consecutive from 1, so the highest id is the number of nodes."""
     nodes = network.unique_nodes(network.reach_ends(lines(fx)))
-    highest = nodes.agg(F.countDistinct("node_id").alias("n"), F.max("node_id").alias("highest_id")).filter("n = highest_id")
-    return nodes.join(F.broadcast(highest)).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "highest_id")
+    distinct, highest = nodes.agg(F.countDistinct("node_id"), F.max("node_id")).first()
+    assert distinct == highest, "node ids have gaps"
+    return nodes.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.lit(highest).alias("highest_id"))
 
 
 @query(

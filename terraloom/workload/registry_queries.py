@@ -70,8 +70,8 @@ def j1(fx):
 def j2(fx):
     rows = ins.parse_instructions(instruction_documents(fx), order_column="doc")
     merged = ins.upserted(fx("fx_registry"), rows)
-    highest = merged.agg(F.max("unique_id").alias("highest_id"))
-    return merged.join(F.broadcast(highest)).select(*ins.FIELDS, "highest_id")
+    highest = merged.agg(F.max("unique_id")).first()[0]
+    return merged.select(*ins.FIELDS, F.lit(highest).alias("highest_id"))
 
 
 @query("p1_country_layers", f"SELECT {FIELDS} FROM fx_registry WHERE coverage_area = 'New Zealand' AND unique_column_name IS NULL")
