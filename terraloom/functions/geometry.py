@@ -520,4 +520,5 @@ def clip_to_box(geom: Column | str, xmin: Column, ymin: Column, xmax: Column, ym
     )
     # A part whose outer ring is gone has no holes left either, as they lie inside it.
     parts = F.filter(clipped, lambda part: F.size(part) > 0)
-    return F.when(F.size(parts) > 0, geometry(g["kind"], parts))
+    cut = let(parts, lambda rest: F.when(F.size(rest) > 0, geometry(g["kind"], rest)))
+    return F.when(box_contains((xmin, ymin, xmax, ymax), box_columns(g)), g).otherwise(cut)
