@@ -23,6 +23,8 @@ ROWS_PER_CELL = 4096
 MAX_HOT_CELLS = 10_000
 MAX_LEVEL = 10
 MAX_COPIES = 4.0
+MAX_HALVINGS = 14
+POINTS_PER_CELL = 16
 
 Box = Sequence[str]
 
@@ -410,8 +412,32 @@ def _pyramid_shape(probes: DataFrame, points: DataFrame, keys: Sequence[str]) ->
     span = max(max(own["x1"], asked["x1"]) - min(own["x0"], asked["x0"]), max(own["y1"], asked["y1"]) - min(own["y0"], asked["y0"]), 1e-9)
     spread = max(own["x1"] - own["x0"], own["y1"] - own["y0"], span * 1e-6)
     size = float(spread) / math.sqrt(max(1.0, own["n"] / max(1, own["groups"])))
+    size /= 2.0 ** _extra_halvings(points, keys, size)
     return size, max(0, math.ceil(math.log2(float(span) / size)))
 
 
+def _extra_halvings(points: DataFrame, keys: Sequence[str], size: float) -> int:
+    """How often to halve the cells until even the densest holds few distinct points.
+
+    Points are counted once in the finest cells and the counts rolled up, so clusters meet no single task;
+    one row per level reaches the driver.
+    """
+    step = size / 2.0**MAX_HALVINGS
+    fullest = (
+        points.select(*keys, "x", "y")
+        .distinct()
+        .groupBy(*keys, F.floor(F.col("x") / step).alias("_cx"), F.floor(F.col("y") / step).alias("_cy"))
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(MAX_HALVINGS))))
+        .withColumn("_wide", F.pow(F.lit(2.0), MAX_HALVINGS - F.col("_level")))
+        .groupBy(*keys, "_level", F.floor(F.col("_cx") / F.col("_wide")).alias("_cx"), F.floor(F.col("_cy") / F.col("_wide")).alias("_cy"))
+        .agg(F.sum("_n").alias("_n"))
+        .groupBy("_level")
+        .agg(F.max("_n").alias("_n"))
+    )
+    fitting = [r["_level"] for r in fullest.collect() if r["_n"] <= POINTS_PER_CELL]
+    return min(fitting, default=MAX_HALVINGS)
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
