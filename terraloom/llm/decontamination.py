@@ -3,8 +3,8 @@
 Benchmark items are cut into windows of words; all windows form one automaton, and every normalised text is
 scanned once. Word numbers lead back to the original text.
 
-The benchmark is the stated query set. Its windows are dealt into blocks of bounded size; a block is one
-automaton (``BLOCK_BYTES``), and further blocks are further scans, so no worker holds more than one block.
+The benchmark is the stated query set. Its windows make one automaton up to ``BLOCK_BYTES``; a larger benchmark is
+dealt into blocks of that size, each an automaton that scans every batch, and a worker holds ``HELD`` of them.
 
 Defined results: a null or wordless text has no words and is never contaminated; a wordless item has no
 window; a null item id counts as the empty string; repeated items are one item.
@@ -26,9 +26,9 @@ WINDOW = 13
 #: A document is contaminated when at least one word in so many is hit.
 SHARE = 20
 #: Bytes of windows in one automaton, which takes about 40 times as much memory.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+HELD = 3
 FOUND = "n_words long, n_hit long, runs array<int>, items array<string>, spans array<int>"
-FOUND_TYPE = f"struct<{FOUND.replace(' ', ':').replace(',:', ',')}>"
 #: Letters and digits stay, A-Z in lower case; other ASCII characters part words; all else is part of words.
 FOLD = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -81,12 +81,9 @@ class Scanner:
         self._automaton.make_automaton()
         self._empty = not patterns
 
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Hit runs of words ``[first, last + 1)``, as found, and the items whose windows occur."""
-        if self._empty or not words:
-            return [], set()
-        line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        matches = list(self._automaton.iter(line))
+    def find(self, line: str) -> tuple[list[tuple[int, int]], set[str]]:
+        """Hit runs of words ``[first, last + 1)``, as found, and the items whose windows occur in a :func:`line`."""
+        matches = [] if self._empty else list(self._automaton.iter(line))
         if not matches:
             return [], set()
         spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), dtype=np.uint8) == 32)
@@ -95,56 +92,57 @@ class Scanner:
         return runs, {item for _, (_, items) in matches for item in items}
 
 
-def _scan(patterns, last: bool):
-    """One block's scan: adds to what the blocks before it found."""
-
-    name = uuid.uuid4().hex
-
-    @F.arrow_udf(returnType=FOUND)
-    def scan(column: pa.Array, before: pa.Array) -> pa.Array:
-        scanner = _scanner(name, patterns)
-        n_words, n_hit, runs, items, spans = [], [], [], [], []
-        for value, old in zip(column, before, strict=True):
-            text, old = value.as_py(), old.as_py()
-            words = normalised(text)
-            hit, names = scanner.find(words)
-            if old and old["runs"]:
-                hit += zip(old["runs"][::2], old["runs"][1::2], strict=True)
-                names |= set(old["items"])
-            hit = merged(hit)
-            n_words.append(len(words))
-            n_hit.append(sum(end - start for start, end in hit))
-            runs.append([x for run in hit for x in run])
-            items.append(sorted(names))
-            spans.append(original_spans(text, hit) if last and hit else [])
-        ints = pa.list_(pa.int32())
-        return pa.StructArray.from_arrays(
-            [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(runs, ints), pa.array(items, pa.list_(pa.string())), pa.array(spans, ints)],
-            names=["n_words", "n_hit", "runs", "items", "spans"],
-        )
+def line(words: list[bytes]) -> str:
+    """Words between single spaces, one character per byte."""
+    return (b" " + b" ".join(words) + b" ").decode("latin-1")
 
-    return scan
 
+_scanners: dict[tuple[str, int], Scanner] = {}
 
-_scanners: dict[str, Scanner] = {}
 
-
-def _scanner(name: str, patterns) -> Scanner:
-    """The block's automaton, built once per worker process; only the last one is held."""
-    if name not in _scanners:
-        _scanners.clear()
-        _scanners[name] = Scanner(patterns.value)
-    return _scanners[name]
+def _scanner(name: str, k: int, patterns) -> Scanner:
+    """A block's automaton; a worker process holds ``HELD`` of them."""
+    if (name, k) not in _scanners:
+        while len(_scanners) >= HELD:
+            _scanners.pop(next(iter(_scanners)))
+        _scanners[name, k] = Scanner(patterns.value)
+    return _scanners[name, k]
 
 
 def found_in(text: Column, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Column:
     """What the benchmark's windows hit in ``text``: words, hit words, runs of hit words, items, spans of characters."""
-    found = F.lit(None).cast(FOUND_TYPE)
     context = benchmark.sparkSession.sparkContext
     held = [context.broadcast(patterns) for patterns in blocks(benchmark, block_bytes)]
-    for k, patterns in enumerate(held):
-        found = _scan(patterns, last=k == len(held) - 1)(text.cast("string"), found)
-    return found
+    name = uuid.uuid4().hex
+
+    @F.arrow_udf(returnType=FOUND)
+    def scan(column: pa.Array) -> pa.Array:
+        texts = column.to_pylist()
+        n_words, lines = [], []
+        for text in texts:
+            words = normalised(text)
+            n_words.append(len(words))
+            lines.append(line(words))
+        runs: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
+        for k, patterns in enumerate(held):
+            scanner = _scanner(name, k, patterns)
+            for i, own in enumerate(lines):
+                hit, names = scanner.find(own)
+                runs[i] += hit
+                items[i] |= names
+        runs = [merged(r) for r in runs]
+        ints = pa.list_(pa.int32())
+        fields = [
+            pa.array(n_words, pa.int64()),
+            pa.array([sum(end - start for start, end in r) for r in runs], pa.int64()),
+            pa.array([[x for run in r for x in run] for r in runs], ints),
+            pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+            pa.array([original_spans(t, r) if r else [] for t, r in zip(texts, runs, strict=True)], ints),
+        ]
+        return pa.StructArray.from_arrays(fields, names=["n_words", "n_hit", "runs", "items", "spans"])
+
+    return scan(text.cast("string"))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from terraloom.llm import bpe, decontamination, quality_rules, sharding
+from terraloom.llm import bpe, compression_quality, decontamination, prob_minhash, quality_rules, sharding, token_counts, token_files
 from terraloom.llm.oracles import DECONTAMINATION, QUALITY_RULES, SHARDING
 from terraloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from terraloom.session import scratch_root
 
 SHARDS = 8
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
+PREDICT_FROM = 0.3
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark, sf_dir):
+    """Tokens of every text under the unigram model of the multilingual vocabulary."""
+    return token_counts.counted(table(spark, sf_dir, "documents"), MULTI_RANKS)
 
 
 @query("op2_sharding", SHARDING)
@@ -22,6 +34,24 @@ def op2_sharding(spark, sf_dir):
     )
 
 
+@query("op3_token_files")
+def op3_token_files(spark, sf_dir):
+    """Every text's ids written to Simple-8b files and read back."""
+    path = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, BYTE_TOKENIZER, END_ID)
+    return token_files.digests(spark, path)
+
+
+@query("op6_compression_quality")
+def op6_compression_quality(spark, sf_dir):
+    """Quality of every text, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    model = compression_quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = compression_quality.scored(docs, model, ("doc_id", held_out.alias("held_out")))
+    return scored.withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int"))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark, sf_dir):
     """Every text encoded by the multilingual ranks and decoded again."""
@@ -34,6 +64,12 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"), host="source").drop("host", "host_rejected")
 
 
+@query("op9_near_duplicates")
+def op9_near_duplicates(spark, sf_dir):
+    """The class of near copies of every document."""
+    return prob_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 @query("op10_decontamination", DECONTAMINATION)
 def op10_decontamination(spark, sf_dir):
     """Words of documents that benchmark windows hit."""
