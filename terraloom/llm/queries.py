@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from terraloom.llm import bpe, compression_quality, decontamination, prob_minhash, quality_rules, sharding, token_counts, token_files
+from terraloom.llm import bpe, compression_quality, decontamination, prob_minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files
 from terraloom.llm.oracles import DECONTAMINATION, QUALITY_RULES, SHARDING
 from terraloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from terraloom.session import scratch_root
@@ -42,6 +42,21 @@ def op3_token_files(spark, sf_dir):
     return token_files.digests(spark, path)
 
 
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark, sf_dir):
+    """Bytes of every text that repeat an earlier string of 100 bytes, removed."""
+    left = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.expr("aggregate(sequence(1, cast(size(spans) / 2 as int)), 0L, (n, i) -> n + spans[2 * i - 1] - spans[2 * i - 2])")
+    n_removed = F.when(F.size("spans") > 0, removed).otherwise(F.lit(0).cast("long"))
+    return left.select(
+        "doc_id",
+        (F.octet_length("kept") + n_removed).cast("long").alias("n_bytes"),
+        n_removed.alias("n_removed"),
+        (F.size("spans") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op6_compression_quality")
 def op6_compression_quality(spark, sf_dir):
     """Quality of every text, learnt from the labels that are not held out."""
