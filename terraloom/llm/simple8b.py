@@ -64,14 +64,17 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     choice = np.full(n, 15, dtype=np.int64)
     place = np.arange(n)
     for selector in range(14, -1, -1):
+        count = COUNTS[selector]
         if BITS[selector] >= width:
-            fits = np.ones(n, dtype=bool)
-        else:
-            wide = np.concatenate(([0], np.cumsum(lengths > BITS[selector])))
-            fits = wide[np.minimum(place + COUNTS[selector], n)] == wide[:-1]
-        if not fits.any():
+            choice[:] = selector
+            continue
+        # Places of narrow values, and as many behind the end: a run is full where the next so many are in step.
+        narrow = np.concatenate((np.flatnonzero(lengths <= BITS[selector]), np.arange(n, n + count)))
+        full = narrow[: 1 - count][narrow[count - 1 :] - narrow[: 1 - count] == count - 1]
+        full = full[full < n]
+        if not len(full):
             break
-        choice[fits] = selector
+        choice[full] = selector
     following = (place + COUNTS[choice]).tolist()
     starts, at = [], 0
     while at < n:

@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,59 +30,99 @@ from terraloom.llm.text import slices
 
 #: Ids after which a block is closed; documents are not cut.
 BLOCK_IDS = 1 << 16
-#: Units whose ids one worker keeps; beyond it the store starts anew, which costs time only.
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 8 << 20
+#: Pre-tokens in one of the two generations that a worker keeps; a smaller store costs time only.
 MAX_STORED = 400_000
 BLOCK_SCHEMA = (
     "part int, block int, first long, doc_ids array<long>, ends array<int>, words binary, escape_positions array<int>, escape_ids array<int>"
 )
+#: A run of Latin letters, about which all engines agree, and what follows it if that is ASCII and no letter.
+_WORD_AND_REST = r"^(?P<word>[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}]+)(?P<rest>(?s:[\x00-@\[-`{-\x7F].*)?)$"
 _SAFE_CUT = regex.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Little-endian 32-bit ids of texts, by the tokenizers library.
+    """Ids of texts, by the tokenizers library.
 
-    A single space between two characters that are not white space always starts a new pre-token, so units
-    between such spaces are encoded alone, each distinct one once, and joined.
+    A single space between two characters that are not white space always starts a new pre-token, and so does an
+    ASCII character that is no letter after a run of letters. What lies between is encoded alone, each distinct
+    part of a piece once; a worker keeps the ids of such parts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(path)
-        self._stored: dict[str, bytes | None] = {}
         self._specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [text.split(" ") for text in texts]
-        inner = set().union(*(units[1:] for units in cut)) if cut else set()
-        new = inner.difference(self._stored)
-        if len(self._stored) + len(new) > MAX_STORED:
-            self._stored.clear()
-            new = inner
+        #: Two generations: when the young one is full it becomes the old one, and what is used again is kept.
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text."""
+        units = pc.split_pattern(texts, " ")
+        cuts = units.offsets.to_numpy()
+        flat = units.flatten().dictionary_encode()
+        entry, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+        firsts = names.take(pa.array(entry[cuts[:-1]])).to_pylist()
+        # Distinct units as a head, which starts with the space, and a tail; and the texts' first units.
+        found = pc.extract_regex(names, _WORD_AND_REST)
+        split = found.is_valid()
+        spaced = pc.binary_join_element_wise(" ", pc.if_else(split, pc.struct_field(found, "word"), names), "").dictionary_encode()
+        tails = pc.if_else(split, pc.struct_field(found, "rest"), "").dictionary_encode()
+        parts = spaced.dictionary.to_pylist() + tails.dictionary.to_pylist() + firsts
+        coded = self._of(parts)
+        n_heads, n_parts = len(spaced.dictionary), len(parts)
+        head = spaced.indices.to_numpy().astype(np.int64)[entry]
+        tail = tails.indices.to_numpy().astype(np.int64)[entry] + n_heads
+        head[cuts[:-1]] = n_parts - len(firsts) + np.arange(len(firsts))
+        length = np.fromiter(map(len, coded), dtype=np.int64, count=n_parts) // 4
+        length_tail = length[tail]
+        length_tail[cuts[:-1]] = 0
+        taken = np.column_stack((length[head], length_tail)).reshape(-1)
+        begin = np.cumsum(length) - length
+        source = np.column_stack((begin[head], begin[tail])).reshape(-1)
+        ends = np.cumsum(taken)
+        ids = np.frombuffer(b"".join(coded), dtype="<u4")
+        gathered = ids[np.repeat(source - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[2 * cuts.astype(np.int64)]
+        out = [gathered[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         # A unit that is empty or has white space at an end belongs to a longer run of white space.
-        odd = {u for u in new if not u or u[0].isspace() or u[-1].isspace()}
-        self._stored.update(dict.fromkeys(odd))
-        plain = [u for u in new if u not in odd]
-        self._stored.update(zip(plain, self._ids([" " + u for u in plain]), strict=True))
-        return [self._joined(text, units) for text, units in zip(texts, cut, strict=True)]
-
-    def _joined(self, text: str, units: list[str]) -> bytes:
-        first = units[0]
-        if (not first or first[-1].isspace()) and len(units) > 1 or any(s in text for s in self._specials):
-            return self._carefully(text)
-        try:
-            return self._ids([first])[0] + b"".join(map(self._stored.__getitem__, units[1:]))
-        except TypeError:  # an odd unit
-            return self._carefully(text)
-
-    def _carefully(self, text: str) -> bytes:
-        if any(s in text for s in self._specials):
-            return self._ids([text])[0]
-        places = [0, *(m.start() for m in _SAFE_CUT.finditer(text)), len(text)]
-        return b"".join(self._ids([text[a:b] for a, b in zip(places, places[1:]) if b > a]))  # noqa: B905
+        odd = pc.or_(pc.equal(pc.utf8_length(names), 0), pc.not_equal(names, pc.utf8_trim_whitespace(names))).to_numpy(zero_copy_only=False)
+        odd_at = odd[entry]
+        odd_at[cuts[:-1]] = [b - a > 1 and (not u or u[-1].isspace()) for u, a, b in zip(firsts, cuts[:-1], cuts[1:], strict=True)]
+        careful = np.zeros(len(texts), dtype=bool)
+        careful[np.searchsorted(cuts, np.flatnonzero(odd_at), side="right") - 1] = True
+        special = np.zeros(len(texts), dtype=bool)
+        for content in self._specials:
+            special |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(careful | special):
+            text = texts[int(k)].as_py()
+            places = [0, *([] if special[k] else [m.start() for m in _SAFE_CUT.finditer(text)]), len(text)]
+            out[k] = np.frombuffer(b"".join(self._ids([text[a:b] for a, b in zip(places, places[1:]) if b > a])), dtype="<u4")  # noqa: B905
+        return out
+
+    def _of(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts, from the store."""
+        self._keep(set(parts))
+        return list(map(self._young.__getitem__, parts))
+
+    def _keep(self, pretokens: set[str]) -> None:
+        if len(self._young) + len(pretokens) > MAX_STORED:
+            self._old, self._young = self._young, {}
+        young, old = self._young, self._old
+        missing = [p for p in pretokens if p not in young]
+        new = []
+        for p in missing:
+            if p in old:
+                young[p] = old[p]
+            else:
+                new.append(p)
+        young.update(zip(new, self._ids(new), strict=True))
 
     def _ids(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
 
 def encoder(path: str) -> Encoder:
@@ -94,18 +136,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([] if end_id is None else [end_id], dtype="<u4")
         part, number, first = TaskContext.get().partitionId(), 0, 0
         names: list[int] = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for piece in slices(batch):
-                encoded = own.encode([t or "" for t in piece.column(1).to_pylist()])
+            for piece in slices(batch, limit=ENCODE_BYTES):
+                encoded = own.encode(piece.column(1).fill_null(""))
                 for name, coded in zip(piece.column(0).to_pylist(), encoded, strict=True):
                     names.append(name)
-                    ids.append(coded + end)
-                    held += len(ids[-1]) // 4
+                    ids.append(np.concatenate((coded, end)))
+                    held += len(ids[-1])
                     if held >= BLOCK_IDS:
                         yield _block(part, number, first, names, ids)
                         number, first, names, ids, held = number + 1, first + held, [], [], 0
@@ -117,9 +159,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None)
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path)
 
 
-def _block(part: int, number: int, first: int, names: list[int], ids: list[bytes]) -> pa.RecordBatch:
-    ends = np.cumsum([len(i) // 4 for i in ids])
-    words, positions, escaped = simple8b.pack(np.frombuffer(b"".join(ids), dtype="<u4"))
+def _block(part: int, number: int, first: int, names: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.cumsum([len(i) for i in ids])
+    words, positions, escaped = simple8b.pack(np.concatenate(ids))
     values = [
         pa.array([part], pa.int32()),
         pa.array([number], pa.int32()),

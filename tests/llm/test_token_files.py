@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,9 +55,13 @@ def test_files_hold_every_id(spark, docs, no_docs, tmp_path, monkeypatch, block_
     assert by_id(token_files.digests(spark, empty)) == []
 
 
-def test_units_encode_as_the_whole(texts):
+def test_units_encode_as_the_whole(texts, monkeypatch):
     own, stored = Tokenizer.from_file(TOKENIZER), token_files.Encoder(TOKENIZER)
     tricky = ["a  b", " a", "a ", "a \n b", "x <|endoftext|> y", "　 a  b", "a\n b c", " ", "  ", "\t x y", "a b" * 50]
     for text in [t or "" for t in texts] + tricky:
         ids = np.array(own.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        assert stored.encode([text])[0] == ids, text
+        assert stored.encode(pa.array([text]))[0].astype("<u4").tobytes() == ids, text
+    monkeypatch.setattr(token_files, "MAX_STORED", 500)
+    together = token_files.Encoder(TOKENIZER).encode(pa.array([t or "" for t in texts] + tricky))
+    for text, ids in zip([t or "" for t in texts] + tricky, together, strict=True):
+        assert ids.tolist() == own.encode(text, add_special_tokens=False).ids
