@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from terraloom.llm import bpe, compression_quality, decontamination, prob_minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files
+from terraloom.llm import bpe, compression_quality, decontamination, ppm, prob_minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files
 from terraloom.llm.oracles import DECONTAMINATION, QUALITY_RULES, SHARDING
 from terraloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from terraloom.session import scratch_root
@@ -42,6 +42,14 @@ def op3_token_files(spark, sf_dir):
     return token_files.digests(spark, path)
 
 
+@query("op4_ppm_scores")
+def op4_ppm_scores(spark, sf_dir):
+    """Every text's probability under a byte model and a word model of the documents that are not held out."""
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    scores = ppm.scored(table(spark, sf_dir, "documents"), ~held_out)
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(spark, sf_dir):
     """Bytes of every text that repeat an earlier string of 100 bytes, removed."""
