@@ -6,8 +6,9 @@ Jaccard similarity of their weighted shingles, which for equal weights is the Ja
 Arrivals after the last register's first one cannot matter, so the processes stop there.
 
 Texts that agree in a band of registers are candidates. In every bucket all texts are first compared with its
-least one; then, as verified links join texts into classes, those of different classes with each other, so every
-pair of a bucket is compared or already in one class. Comparisons use the whole shingle sets.
+least one, over whole shingle sets, and linked texts form classes. Then, among the texts that were compared with
+the same one, those of different classes are compared with each other, in pairs of blocks of ``BLOCK_TEXTS``: so
+every pair of a bucket is compared or already in one class, yet no pair is a row.
 
 Shingles are five words, words are runs without white space; a text of one to four words is one shingle.
 Defined results: equal texts are one class, also wordless ones; a null text is a class of its own; a null doc_id
@@ -20,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,9 @@ THRESHOLD = 0.8
 #: Bands and registers per band: a pair of similarity 0.8 is missed with probability 5e-5, one of 0.85 with 1e-6.
 BANDS, BAND_REGISTERS = 25, 5
 REGISTERS = BANDS * BAND_REGISTERS
+#: Texts in a block of comparisons, and shingles in one step of it.
+BLOCK_TEXTS = 256
+_COLUMNS = 4096
 
 _ARRIVAL = np.uint64(0xA0761D6478BD642F)
 _REGISTER = np.uint64(0xE7037ED1A0B428DB)
@@ -182,6 +187,74 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float, weighted: bool)
     return found.filter(compare("left", "right") >= threshold).select("a", "b")
 
 
+def _across(stars: DataFrame, found: DataFrame, sets: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """Links ``a, b`` between texts of different components that were compared with the same text."""
+    placed = stars.join(found.withColumnRenamed("id", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
+    mixed = placed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")
+    own = placed.join(mixed.filter("low < high").select("a", blocks.alias("blocks")), "a")
+    own = own.withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    # Rounds of block pairs: every text goes to all pairs of its own block with another or itself.
+    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("a", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "b", "component")
+    full = dealt.join(sets.select(F.col("id").alias("b"), "shingles"), "b")
+
+    def compare(group: pa.Table) -> pa.Table:
+        low = group.column("low")[0].as_py()
+        left = group.filter(pa.compute.equal(group.column("block"), low))
+        right = left if low == group.column("high")[0].as_py() else group.filter(pa.compute.not_equal(group.column("block"), low))
+        links = _links_between(left, right, threshold, weighted)
+        return pa.Table.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    linked_ids = full.groupBy("a", "low", "high").applyInArrow(compare, "a long, b long")
+    return linked_ids.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _links_between(left: pa.Table, right: pa.Table, threshold: float, weighted: bool) -> list[tuple[int, int]]:
+    """Links between texts of different components; of a text's links to one component, the first suffices."""
+    ids, component, packed = ([t.column(c).to_pylist() for t in (left, right)] for c in ("b", "component", "shingles"))
+    if not ids[0] or not ids[1]:
+        return []
+    parts = [np.array(c) for c in component]
+    apart = parts[0][:, None] != parts[1][None, :]
+    if not apart.any():
+        return []
+    if weighted:
+        close = np.array([[apart[i, j] and similarity(x, y, True) >= threshold for j, y in enumerate(packed[1])] for i, x in enumerate(packed[0])])
+    else:
+        shared, sizes = _shared_counts(*packed)
+        close = apart & (shared >= threshold * (sizes[0][:, None] + sizes[1][None, :] - shared))
+    links = {}
+    for i, j in zip(*np.nonzero(close), strict=True):
+        links.setdefault((int(i), parts[1][j]), (ids[0][i], ids[1][j]))
+    return list(links.values())
+
+
+def _shared_counts(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Number of shared shingles of every text on the left with every one on the right, and both sides' sizes."""
+    sets = [[np.frombuffer(b, np.uint64) for b in side] for side in (left, right)]
+    sizes = [np.array([len(x) for x in side]) for side in sets]
+    values = [np.concatenate(side) for side in sets]
+    rows = [np.repeat(np.arange(len(side)), n) for side, n in zip(sets, sizes, strict=True)]
+    common = np.intersect1d(*values)
+    at = [np.searchsorted(common, v) for v in values]
+    for side in range(2):
+        hit = np.isin(values[side], common)
+        order = np.argsort(at[side][hit], kind="stable")
+        at[side], rows[side] = at[side][hit][order], rows[side][hit][order]
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    for start in range(0, len(common), _COLUMNS):
+        stop = min(start + _COLUMNS, len(common))
+        planes = []
+        for side, texts in enumerate((left, right)):
+            a, b = np.searchsorted(at[side], [start, stop])
+            plane = np.zeros((len(texts), stop - start), dtype=np.float32)
+            plane[rows[side][a:b], at[side][a:b] - start] = 1
+            planes.append(plane)
+        shared += planes[0] @ planes[1].T
+    return shared, sizes
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
     """``doc_id``, ``text_id`` (least doc_id of an equal text) and ``class_id`` (least doc_id of the class) of every document."""
     rows = cut_lineage(signed(docs, weighted))
@@ -198,12 +271,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Fals
     stars = cut_lineage(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
     edges = cut_lineage(linked(stars, sets, threshold, weighted))
     found = cut_lineage(components(edges))
-    placed = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    apart = cut_lineage(placed.join(mixed, "bucket"))
-    one, two = (apart.select("bucket", F.col("id").alias(x), F.col("component").alias(f"{x}_in")) for x in ("a", "b"))
-    across = one.join(two, "bucket").filter("a < b and a_in <> b_in").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut_lineage(linked(cut_lineage(across), sets, threshold, weighted))
+    more = cut_lineage(_across(stars, found, sets, threshold, weighted))
     if not more.isEmpty():
         found = cut_lineage(components(edges.union(more)))
     named = texts.select("k1", "k2", F.col("id").alias("text_id")).join(found.withColumnRenamed("id", "text_id"), "text_id", "left")
