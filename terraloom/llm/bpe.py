@@ -13,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -89,22 +90,22 @@ def decoded(tokens: DataFrame, ranks: str) -> DataFrame:
     return tokens.select("doc_id", decode("ids").alias("bytes"))
 
 
-def round_trip_digests(docs: DataFrame, ranks: str) -> DataFrame:
-    """Per document the number of ids and the digests of the ids and of the bytes decoded from them."""
+def round_trip_digests(docs: DataFrame, ranks: str, with_ids: bool = False) -> DataFrame:
+    """Per document the number of ids and the digests of the ids and of the bytes decoded from them, and maybe the ``ids``."""
+    fields = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
 
-    @F.arrow_udf(returnType="n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.arrow_udf(returnType="n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def digest(column: pa.Array) -> pa.Array:
         own = codec(ranks)
 
         def work(texts: pa.Array) -> list:
-            counts, ids_digests, byte_digests = [], [], []
+            rows = []
             for text in texts.to_pylist():
                 ids = own.encode(text or "")
-                counts.append(len(ids))
-                ids_digests.append(hashlib.sha256(b",".join(map(own.digits.__getitem__, ids))).hexdigest())
-                byte_digests.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            return [pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(byte_digests, pa.string())]
+                names = hashlib.sha256(b",".join(map(own.digits.__getitem__, ids))).hexdigest()
+                rows.append((len(ids), names, hashlib.sha256(own.decode(ids)).hexdigest(), np.array(ids, np.int32) if with_ids else None))
+            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(fields.values())]
 
-        return row_wise(column, work, ["n_tokens", "ids_sha256", "decoded_sha256"])
+        return row_wise(column, work, list(fields))
 
     return docs.select("doc_id", digest(F.col("text").cast("string")).alias("_d")).select("doc_id", "_d.*")

@@ -287,5 +287,5 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Rows without a doc_id cannot be told apart; all of them stay.
     """
     kept = cut_lineage(classes(docs, threshold).filter("doc_id = class_id").select("doc_id").distinct())
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
     return named.union(docs.filter("doc_id is null"))

@@ -7,6 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from terraloom.llm import bpe, compression_quality, decontamination, ppm, prob_minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files
 from terraloom.llm.oracles import DECONTAMINATION, QUALITY_RULES, SHARDING
 from terraloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
@@ -54,6 +55,7 @@ def op4_ppm_scores(spark, sf_dir):
 def op5_suffix_dedup(spark, sf_dir):
     """Bytes of every text that repeat an earlier string of 100 bytes, removed."""
     left = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = left.withColumn("kept", F.coalesce("kept", F.lit(b"")))
     removed = F.expr("aggregate(sequence(1, cast(size(spans) / 2 as int)), 0L, (n, i) -> n + spans[2 * i - 1] - spans[2 * i - 2])")
     n_removed = F.when(F.size("spans") > 0, removed).otherwise(F.lit(0).cast("long"))
     return left.select(
@@ -99,3 +101,6 @@ def op10_decontamination(spark, sf_dir):
     found = decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -17,7 +17,7 @@ agree and which of them comes first.
 Findings return to the texts by block. No step holds more than a block of texts or a batch of tuples; texts are
 compared by two independent 64-bit hashes of the bytes.
 
-Defined results: a null text is empty; shorter texts than ``MATCH`` lose nothing; a null doc_id precedes all
+Defined results: a null text has no bytes; shorter texts than ``MATCH`` lose nothing; a null doc_id precedes all
 others; of rows with equal ids the one read first precedes; an empty table gives an empty result.
 """
 
@@ -257,13 +257,14 @@ def _removals(key: tuple, texts: pa.Table, findings: pa.Table, names: list[str])
     end = start + span + (MATCH - 1)
     cuts = np.searchsorted(row, np.arange(table.num_rows + 1))
     kept, spans = [], []
+    null = table.column("text").is_null().to_pylist()
     for _, piece in row_slices(table.select(["text"])):
         offsets, data = tx.buffers(piece.column(0))
         for k in range(piece.num_rows):
             own = data[offsets[k] : offsets[k + 1]]
             mine = slice(cuts[len(kept)], cuts[len(kept) + 1])
             if mine.start == mine.stop:
-                kept.append(own.tobytes())
+                kept.append(None if null[len(kept)] else own.tobytes())
                 spans.append([])
                 continue
             starts, ends = start[mine], np.maximum.accumulate(end[mine])
@@ -278,7 +279,8 @@ def _removals(key: tuple, texts: pa.Table, findings: pa.Table, names: list[str])
 
 
 def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns of ``docs`` but ``text``, with the ``kept`` bytes and the removed ``spans`` of bytes (flat pairs)."""
+    """The columns of ``docs`` but ``text``, with the ``kept`` bytes (null for a null text) and the removed ``spans``
+    of bytes (flat pairs)."""
     names = [c for c in docs.columns if c != "text"]
     texts = packed(docs.withColumn("text", F.col("text").cast("string")), block_bytes)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -306,10 +308,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf(returnType="string")
     def decode(kept: pa.Array) -> pa.Array:
-        return pa.array([k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
+        return pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
 
-    marked = docs.withColumn("_no_text", F.col("text").isNull())
-    left = deduplicated(marked).withColumn("text", F.when(~F.col("_no_text"), decode("kept")))
+    left = deduplicated(docs).withColumn("text", decode("kept"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))
