@@ -6,7 +6,7 @@ agree and which of them comes first.
 
 1. *Sampled suffixes.* As induced sorting samples suffixes at local minima, a suffix is sampled where the hash of
    its first ``GRAM`` bytes is the least within a window, so that every string of ``MATCH`` bytes covers a sample
-   whose place in it follows from its content alone. About one suffix in forty is sampled.
+   whose place in it follows from its content alone. About one suffix in thirty-five is sampled.
 2. *Sorting the sample.* A tuple of a sample has the key of its gram, the key of all bytes that its windows cover,
    and its place. Spark's external sorter is the priority queue: tuples are dealt by gram, sorted on disk, and
    scanned once. Equal coverage: the earlier one stays, the others' windows go. No other tuple of that gram: done.
@@ -34,7 +34,7 @@ from terraloom.llm import text as tx
 from terraloom.llm.blocks import BLOCK_BYTES, ids, packed, row_slices, unpacked
 
 MATCH = 100
-GRAM = 20
+GRAM = 32
 PIECE = 16
 #: Windows from whose start a sample is looked for.
 REACH = MATCH - GRAM + 1
