@@ -38,9 +38,11 @@ def file_suffix(path: Column) -> Column:
 def canonical_json(col: Column) -> Column:
     """JSON text with sorted keys and no spacing, so equal documents are equal strings.
 
-    Numbers keep their value, not their spelling (50.0 is 50); a string "50" stays a string.
+    Numbers keep their value, not their spelling (50.0 is 50); a string "50" stays a string. Text that is no JSON
+    gives null, so one bad document cannot end a job. Of a repeated key the last value counts in sessions with the
+    library's defaults (``spark.sql.variant.allowDuplicateKeys``); elsewhere such a document gives null.
     """
-    return F.to_json(F.parse_json(col))
+    return F.to_json(F.try_parse_json(col))
 
 
 def duration_minutes(col: Column) -> Column:
@@ -52,6 +54,6 @@ def duration_minutes(col: Column) -> Column:
 
 
 def parse_epsg(col: Column) -> Column:
-    """EPSG code inside a CRS name such as ``urn:ogc:def:crs:EPSG::2193`` or ``EPSG:2193``."""
+    """EPSG code inside a CRS name such as ``urn:ogc:def:crs:EPSG::2193`` or ``EPSG:2193``; CRS84 is 4326."""
     code = F.regexp_extract(F.upper(col), r"EPSG:+(?:[0-9.]*:)?([0-9]+)$", 1)
-    return F.when(code != "", code).cast("int")
+    return F.when(F.upper(col).rlike(r"\bCRS:?84$"), 4326).when(code != "", code.cast("int"))

@@ -73,26 +73,29 @@ def uncovered_positions(areas: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def crossings(lines: DataFrame, areas: DataFrame, cell_size: float, line_id: str = "objectid", geom: str = "geometry") -> DataFrame:
-    """Points where lines cross area boundaries: ``aoi_id, line_id, x, y, distance`` along the line.
+    """Points where lines cross area boundaries: ``aoi_id, line_id, x, y, distance`` along the line, and ``starts_inside``.
 
-    Every line is cut into segments, segments meet areas through the grid, and each side is solved in closed
-    form. A crossing at a shared vertex or corner is reported once.
+    The lines' boxes meet the areas through the grid; only lines that meet one are cut into segments, and each
+    side is solved in closed form. The length before a crossing is summed within the line. A crossing at a shared
+    vertex or corner is reported once. ``starts_inside``: the line's first node lies strictly inside the area.
     """
-    pos = Window.partitionBy(line_id).orderBy("seg_no").rowsBetween(Window.unboundedPreceding, -1)
-    segs = (
-        lines.select(line_id, F.posexplode(g.segments(geom)).alias("seg_no", "s"))
-        .select(line_id, "seg_no", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
-        .withColumn("seg_len", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
-        .withColumn("before", F.coalesce(F.sum("seg_len").over(pos), F.lit(0.0)))
+    box = [f"_line_{side}" for side in g.BOX]
+    boxes = lines.select(line_id, *(F.col(f"{geom}.{side}").alias(name) for side, name in zip(g.BOX, box, strict=True)))
+    pairs = intersecting_pairs(boxes, areas.select("aoi_id", *g.BOX), cell_size, left_box=box).drop(*box)
+    first = g.first_point("_line")
+    inside = (first["x"] > F.col("xmin")) & (first["x"] < F.col("xmax")) & (first["y"] > F.col("ymin")) & (first["y"] < F.col("ymax"))
+    cut = pairs.join(lines.select(line_id, F.col(geom).alias("_line")), line_id).select(
+        "aoi_id", line_id, *g.BOX, inside.alias("starts_inside"), g.segments("_line").alias("_segments")
     )
-    boxed = segs.select(
-        "*",
-        F.least("ax", "bx").alias("sx0"),
-        F.least("ay", "by").alias("sy0"),
-        F.greatest("ax", "bx").alias("sx1"),
-        F.greatest("ay", "by").alias("sy1"),
+    segs = cut.select("*", F.posexplode("_segments").alias("seg_no", "s")).select(
+        "*", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by")
     )
-    met = intersecting_pairs(boxed, areas.select("aoi_id", *g.BOX), cell_size, left_box=("sx0", "sy0", "sx1", "sy1"))
+    met = segs.filter(
+        g.boxes_intersect([F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")], [F.col(c) for c in g.BOX])
+    )
+
+    def length(s: Column) -> Column:
+        return F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])
 
     def on_side(fixed: str, low: str, high: str, vertical: bool) -> Column:
         a, b = ("ax", "bx") if vertical else ("ay", "by")
@@ -110,10 +113,11 @@ def crossings(lines: DataFrame, areas: DataFrame, cell_size: float, line_id: str
         on_side("ymax", "xmin", "xmax", False),
         on_side("xmin", "ymin", "ymax", True),
     )
-    points = met.select("aoi_id", line_id, "before", "seg_len", F.explode(F.array_compact(found)).alias("_c")).select(
-        "aoi_id", line_id, "_c.x", "_c.y", (F.col("before") + F.col("_c.t") * F.col("seg_len")).alias("distance")
+    before = F.aggregate(F.slice("_segments", 1, F.col("seg_no")), F.lit(0.0), lambda total, s: total + length(s))
+    points = met.select("*", F.explode(F.array_compact(found)).alias("_c")).select(
+        "aoi_id", line_id, "starts_inside", "_c.x", "_c.y", (before + F.col("_c.t") * length(F.col("s"))).alias("distance")
     )
-    return points.groupBy("aoi_id", line_id, "x", "y").agg(F.min("distance").alias("distance"))
+    return points.groupBy("aoi_id", line_id, "x", "y").agg(F.min("distance").alias("distance"), F.first("starts_inside").alias("starts_inside"))
 
 
 def require_crossings(points: DataFrame) -> DataFrame:
@@ -122,26 +126,17 @@ def require_crossings(points: DataFrame) -> DataFrame:
     return points
 
 
-def classify_crossings(points: DataFrame, lines: DataFrame, areas: DataFrame, line_id: str = "objectid", geom: str = "geometry") -> DataFrame:
+def classify_crossings(points: DataFrame, line_id: str = "objectid") -> DataFrame:
     """Number crossings along each line and label them ``inflow`` or ``outflow``.
 
     Lines point downstream. If the first node lies strictly inside the area the first crossing leaves it,
     otherwise it enters; the rest alternate.
     """
     line = ["aoi_id", line_id]
-    ordered = (
-        points.withColumn("crossing_no", F.row_number().over(Window.partitionBy(*line).orderBy("distance", "x", "y")))
-        .withColumn("crossing_count", F.count("*").over(Window.partitionBy(*line)))
-        .join(lines.select(line_id, g.first_point(geom).alias("_first")), line_id)
-        .join(areas.select("aoi_id", *g.BOX), "aoi_id")
-    )
-    starts_inside = (
-        (F.col("_first.x") > F.col("xmin"))
-        & (F.col("_first.x") < F.col("xmax"))
-        & (F.col("_first.y") > F.col("ymin"))
-        & (F.col("_first.y") < F.col("ymax"))
+    ordered = points.withColumn("crossing_no", F.row_number().over(Window.partitionBy(*line).orderBy("distance", "x", "y"))).withColumn(
+        "crossing_count", F.count("*").over(Window.partitionBy(*line))
     )
-    enters = (F.col("crossing_no") % 2 == 1) != starts_inside
+    enters = (F.col("crossing_no") % 2 == 1) != F.col("starts_inside")
     return ordered.select(
         *line, "x", "y", "distance", "crossing_no", "crossing_count", F.when(enters, "inflow").otherwise("outflow").alias("flow")
     )

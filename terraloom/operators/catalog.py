@@ -69,23 +69,25 @@ def workspace_layers(workspaces: DataFrame, layers: DataFrame, kind: str) -> Dat
     )
 
 
-def catalog_groups(layers: DataFrame, base_url: str) -> DataFrame:
-    """One catalogue group document per workspace: vectors before rasters, by name."""
+def catalog_groups(layers: DataFrame, base_url: str, workspaces: DataFrame | None = None) -> DataFrame:
+    """One catalogue group document per workspace: vectors before rasters, by name.
+
+    Every workspace has its group, by default the catalogue's own; one without layers has no members. A group is
+    one document, so all layers of a workspace meet in one row: use :func:`catalog_items` for the items as rows.
+    """
+    if workspaces is None:
+        workspaces = layers.sparkSession.createDataFrame([(w,) for w in WORKSPACES], "workspace string")
     rank = F.when(F.col("kind") == "vector", 0).otherwise(1)
     entry = F.struct(rank.alias("rank"), F.col("layer_name").alias("name"), F.col("item").alias("item"))
     members = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["item"])
     group = F.struct(
         F.lit("group").alias("type"),
         title_from_name(F.col("workspace")).alias("name"),
-        F.col("members"),
+        F.coalesce("members", F.array()).alias("members"),
         F.lit(True).alias("isOpen"),
     )
-    return (
-        catalog_items(layers, base_url)
-        .groupBy("workspace")
-        .agg(members.alias("members"))
-        .select("workspace", F.to_json(group).alias("catalog_group"))
-    )
+    own = catalog_items(layers, base_url).groupBy("workspace").agg(members.alias("members"))
+    return workspaces.select("workspace").join(own, "workspace", "left").select("workspace", F.to_json(group).alias("catalog_group"))
 
 
 def catalog_document(groups: DataFrame) -> DataFrame:

@@ -73,8 +73,7 @@ def interpolated(depths: DataFrame, increment: int, method: str = "linear") -> D
     """Cumulative depth at every ``increment`` minutes, starting from no rain at minute 0."""
     if increment <= 0 or increment > duration_limit():
         raise ValueError("the increment is out of range")
-    start = depths.select("site_id").distinct().select("site_id", F.lit(0).alias("mins"), F.lit(0.0).alias("depth"))
-    return resample(start.unionByName(depths.select("site_id", "mins", "depth")), ["site_id"], "mins", "depth", increment, method)
+    return resample(depths.select("site_id", "mins", "depth"), ["site_id"], "mins", "depth", increment, method, from_zero=True)
 
 
 def duration_limit() -> int:

@@ -17,6 +17,8 @@ SPARK_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # Of a repeated JSON key the last value counts, as in the usual databases.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -54,23 +54,33 @@ class PagePartition(InputPartition):
         self.params = params
 
 
-def page_params(max_count: int, total: int, bbox: str | None, area_srid: int | None, output_srid: int | None) -> list[dict]:
-    """Query parameters of every page. An area fixes the output CRS, so giving both is an error."""
-    if bbox and output_srid is not None:
-        raise ValueError("output_srid must not be given together with an area")
-    if max_count <= 0:
+def selection(bbox: str | None, area_srid: int | None) -> dict:
+    """Which features are meant: all, or those inside an envelope. Counting and paging use the same."""
+    # Parameters of the query protocol.
+    if not bbox:
+        return {"where": "1=1"}
+    return {
+        "where": "1=1",
+        "geometry": bbox,
+        "geometryType": "esriGeometryEnvelope",
+        "inSR": area_srid or DEFAULT_SRID,
+        "spatialRel": "esriSpatialRelContains",
+    }
+
+
+def page_params(size: int, total: int, chosen: dict, output_srid: int | None = None, order_by: str | None = None) -> list[dict]:
+    """Query parameters of every page of a selection, in the order of ``order_by`` so that pages neither repeat nor lose rows.
+
+    An area fixes the output CRS, so giving both is an error.
+    """
+    if size <= 0:
         raise SourceError("the layer reports no page size")
-    base = {"where": "1=1", "outFields": "*", "f": "geojson", "outSR": output_srid or DEFAULT_SRID}
-    if bbox:
-        srid = area_srid or DEFAULT_SRID
-        base |= {
-            "geometry": bbox,
-            "geometryType": "esriGeometryEnvelope",
-            "inSR": srid,
-            "spatialRel": "esriSpatialRelContains",
-            "outSR": srid,
-        }
-    return [base | {"resultOffset": offset} for offset in range(0, total, max_count)]
+    if "inSR" in chosen and output_srid is not None:
+        raise ValueError("output_srid must not be given together with an area")
+    each = chosen | {"outFields": "*", "f": "geojson", "outSR": chosen.get("inSR", output_srid or DEFAULT_SRID)}
+    if order_by:
+        each["orderByFields"] = order_by
+    return [each | {"resultOffset": offset} for offset in range(0, total, size)]
 
 
 def _fetch(url: str, params: dict, retries: int, delay: float) -> dict:
@@ -128,8 +138,11 @@ class Service:
 
     def document(self, name: str, suffix: str, params: dict) -> dict:
         if self.files:
-            with open(os.path.join(self.url, name), encoding="utf-8") as handle:
-                return json.load(handle)
+            try:
+                with open(os.path.join(self.url, name), encoding="utf-8") as handle:
+                    return json.load(handle)
+            except OSError as error:
+                raise SourceError(f"could not read {name} of {self.url}") from error
         return _fetch(self.url + suffix, params, self.retries, self.delay)
 
     def metadata(self) -> dict:
@@ -155,10 +168,12 @@ class Service:
             common = self._wfs("GetFeature", outputFormat="application/json", srsName=f"EPSG:{code}", count=size, **box)
             params = [common | {"startIndex": i, "resultOffset": i} for i in range(0, _known(total), size)]
         else:
-            size = self.metadata().get("maxRecordCount")
-            counted = self.document("count.json", "/query", {"f": "json", "where": "1=1", "returnCountOnly": "true"})
+            layer = self.metadata()
             area_srid = self.options.get("area_srid")
-            params = page_params(_known(size), _known(counted.get("count")), bbox, area_srid and int(area_srid), srid and int(srid))
+            chosen = selection(bbox, area_srid and int(area_srid))
+            counted = self.document("count.json", "/query", chosen | {"f": "json", "returnCountOnly": "true"})
+            size, total = _known(layer.get("maxRecordCount")), _known(counted.get("count"))
+            params = page_params(size, total, chosen, srid and int(srid), _id_field(layer))
         return [PagePartition(p["resultOffset"], p) for p in params]
 
     def page(self, partition: PagePartition) -> dict:
@@ -168,6 +183,12 @@ class Service:
         return self.document(f"page_{partition.offset}.json", "" if self.wfs else "/query", params)
 
 
+def _id_field(layer: dict) -> str | None:
+    """The layer's id field, by which pages can be ordered."""
+    named = [f["name"] for f in layer.get("fields", []) if f.get("type") == "esriFieldTypeOID"]
+    return layer.get("objectIdField") or (named[0] if named else None)
+
+
 def _known(count: object) -> int:
     if count is None:
         raise SourceError("failed to get the feature layer record counts")
@@ -216,11 +237,10 @@ def fetch_with_backup(spark: SparkSession, primary: dict[str, str], backup: dict
     Page failures inside a running job still fail that job; retries are a source option.
     """
     try:
-        found = fetch_features(spark, **primary)
-        _ = Service(dict(primary)).pages()
-        return found
-    except Exception:
+        Service(dict(primary)).pages()
+    except SourceError:
         return fetch_features(spark, **backup)
+    return fetch_features(spark, **primary)
 
 
 def box_option(area: tuple[float, float, float, float]) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InstructionError
 from ..functions.text import blank_to_null, strip
+from ..session import cut_lineage
 from . import tables
 
 FIELDS = ("data_provider", "layer_id", "table_name", "unique_column_name", "coverage_area", "url")
@@ -34,13 +35,13 @@ def parse_instructions(documents: DataFrame, json_column: str = "value", order_c
 
 
 def read_instructions(spark: SparkSession, path: str | None) -> DataFrame:
-    """Read and check one instruction file; no path gives the typed empty frame."""
-    if path is None:
+    """Read and check one instruction file; no path, or one that does not exist, gives the typed empty frame."""
+    if path is None or not tables.path_exists(spark, path):
         fields = ", ".join(f"{f} {'int' if f == 'layer_id' else 'string'}" for f in FIELDS)
         return spark.createDataFrame([], f"section string, {fields}")
-    documents = spark.read.text(path, wholetext=True)
-    require_valid(parse_instructions(documents))
-    return parse_instructions(documents)
+    found = cut_lineage(parse_instructions(spark.read.text(path, wholetext=True)))
+    require_valid(found)
+    return found
 
 
 def violations(instructions: DataFrame) -> DataFrame:

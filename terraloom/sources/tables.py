@@ -134,3 +134,19 @@ def normalise_columns(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     if geometry not in names:
         return lowered
     return lowered.select(*(f"`{n}`" for n in names if n != geometry), geometry)
+
+
+def _path(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, hadoop = _path(spark, path)
+    return system.exists(hadoop)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark reports it for files, with its file system."""
+    system, hadoop = _path(spark, path)
+    return system.makeQualified(hadoop).toString()

@@ -15,12 +15,14 @@ VECTOR_SUFFIXES = (".geojson", ".shp", ".geodb")
 RASTER_SUFFIXES = (".tif", ".tiff", ".geotiff")
 STYLE_SUFFIXES = (".sld",)
 EXTRUDED_FOLDER = "3d"
+LOADED_SUFFIX = ".geojson"
 
 
 def parse_collections(documents: DataFrame, properties: str, json_column: str = "value") -> DataFrame:
     """Feature collections (one JSON text per row) to feature rows with ``srid`` and a geometry struct.
 
-    ``properties`` is the DDL of the feature properties. Other columns of ``documents`` are kept.
+    ``properties`` is the DDL of the feature properties. Other columns of ``documents`` are kept. A collection
+    without a CRS is geographic (RFC 7946).
     """
     schema = (
         "struct<crs:struct<properties:struct<name:string>>,"
@@ -28,7 +30,8 @@ def parse_collections(documents: DataFrame, properties: str, json_column: str =
     )
     kept = [c for c in documents.columns if c != json_column]
     parsed = documents.select(*kept, F.from_json(F.col(json_column), schema).alias("_d"))
-    rows = parsed.select(*kept, parse_epsg(F.col("_d.crs.properties.name")).alias("srid"), F.explode("_d.features").alias("_f"))
+    name = F.coalesce("_d.crs.properties.name", F.lit("EPSG:4326"))
+    rows = parsed.select(*kept, parse_epsg(name).alias("srid"), F.explode("_d.features").alias("_f"))
     return rows.select(*kept, "srid", "_f.properties.*", g.from_geojson("_f.geometry").alias("geometry"))
 
 
@@ -40,7 +43,7 @@ def require_epsg(features: DataFrame) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON files; property types are inferred, the CRS must be an EPSG code."""
+    """Features of GeoJSON files; property types are inferred, a named CRS must be an EPSG code or CRS84."""
     inferred = spark.read.option("multiLine", True).json(path).schema
     properties = inferred["features"].dataType.elementType["properties"].dataType
     ddl = properties.simpleString()[len("struct<") : -1]
@@ -69,24 +72,25 @@ def routed(files: DataFrame, path_column: str = "path") -> DataFrame:
 
 
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Files of a folder and its extruded subfolder, without reading their content."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(directory)
-        .select("path", "length")
-    )
+    """Files of a folder and of its extruded subfolder, not of any other, without reading their content."""
+    root = tables.qualified(spark, directory)
+    parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path", "length")
+    return found.filter(parent.isin(root, f"{root}/{EXTRUDED_FOLDER}"))
 
 
 def load_directory(spark: SparkSession, directory: str) -> DataFrame:
     """Load every GeoJSON file of a folder as a table and return the routed listing.
 
-    A missing folder gives an empty listing. Raster and style files are listed for the caller.
+    A missing folder gives an empty listing. ``reason`` says why a listed file was not loaded.
     """
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        return spark.createDataFrame([], "path string, route string, file_name string, table_name string, workspace string")
-    listing = routed(list_files(spark, directory))
-    for row in listing.filter("route = 'vector' AND path LIKE '%.geojson'").select("path").toLocalIterator():
+    if not tables.path_exists(spark, directory):
+        return spark.createDataFrame([], "path string, route string, file_name string, table_name string, workspace string, reason string")
+    reason = (
+        F.when(F.col("route") != "vector", F.concat("route", F.lit(" files are left to the caller")))
+        .when(F.lower(file_suffix(F.col("path"))) != LOADED_SUFFIX, F.lit("no reader for this vector format"))
+    )
+    listing = routed(list_files(spark, directory)).withColumn("reason", reason)
+    for row in listing.filter("reason IS NULL").select("path").toLocalIterator():
         load_file(spark, row["path"])
     return listing

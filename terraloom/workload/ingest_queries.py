@@ -137,14 +137,15 @@ def src7(fx):
 
 @query(
     "v3_missing_epsg",
-    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 2000 + c_nationkey WHEN c_custkey % 3 = 1 THEN 4326 END AS srid FROM customer",
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 2000 + c_nationkey WHEN 1 THEN 4326 WHEN 2 THEN 4326 END AS srid FROM customer""",
 )
 def v3(fx):
     code = (2000 + F.col("c_nationkey")).cast("string")
     name = (
-        F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("urn:ogc:def:crs:EPSG::"), code))
-        .when(F.col("c_custkey") % 3 == 1, "EPSG:4326")
-        .otherwise("urn:ogc:def:crs:OGC:1.3:CRS84")
+        F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("urn:ogc:def:crs:EPSG::"), code))
+        .when(F.col("c_custkey") % 4 == 1, "EPSG:4326")
+        .when(F.col("c_custkey") % 4 == 2, "urn:ogc:def:crs:OGC:1.3:CRS84")
+        .otherwise("urn:ogc:def:crs:OGC:1.3:CRS27")
     )
     from ..functions.text import parse_epsg
 

@@ -60,7 +60,9 @@ grid AS (SELECT b.*, g.x FROM brackets b JOIN (SELECT unnest(generate_series(0,
   ON g.x >= b.x0 AND (g.x < b.x1 OR (b.x1 IS NULL AND g.x = b.x0)))"""
 VALUE = {
     "linear": "y0 + (y1 - y0) * (x - x0) / (x1 - x0)",
+    "slinear": "y0 + (y1 - y0) * (x - x0) / (x1 - x0)",
     "previous": "y0",
+    "zero": "y0",
     "next": "y1",
     "nearest": "CASE WHEN (x - x0) * 2 <= x1 - x0 THEN y0 ELSE y1 END",
     "nearest-up": "CASE WHEN (x - x0) * 2 < x1 - x0 THEN y0 ELSE y1 END",
@@ -81,14 +83,27 @@ for _method in VALUE:
     register_interpolation(_method, _method.replace("-", "_"))
 
 
-@query("w2_interpolated_cubic")
-def w2_cubic(fx):
-    return rainfall.interpolated(fx("fx_rain"), STEP, "cubic").withColumn("depth", F.round("depth", 4))
+# A spline reproduces polynomials of its own degree, whatever the breakpoints: depths per site that follow one.
+# Exact values may end in a 5 behind the last digit kept; a shift keeps rounding away from it.
+BESIDE_HALVES = 1.234567e-8
+POLYNOMIAL = {"quadratic": "(10 + site_id % 17) * {x} * (2.0 - {x})", "cubic": "(10 + site_id % 17) * {x} * ({x} * {x} - 2.5 * {x} + 2.0)"}
 
 
-@query("w2_interpolated_quadratic")
-def w2_quadratic(fx):
-    return rainfall.interpolated(fx("fx_rain"), STEP, "quadratic").withColumn("depth", F.round("depth", 4))
+def register_spline(method):
+    depth = POLYNOMIAL[method]
+
+    @query(
+        f"w2_interpolated_{method}",
+        f"""SELECT site_id, g.x AS mins, round({depth.format(x="(g.x / 7200.0)")} + {BESIDE_HALVES}, 6) AS depth
+            FROM (SELECT DISTINCT site_id FROM fx_rain) s, (SELECT unnest(generate_series(0, 7200, 10)) AS x) g""",
+    )
+    def w2(fx):
+        shaped = fx("fx_rain").withColumn("depth", F.expr(depth.format(x="(cast(mins as double) / 7200.0)")))
+        return rainfall.interpolated(shaped, STEP, method).withColumn("depth", F.round(F.col("depth") + BESIDE_HALVES, 6))
+
+
+for _method in POLYNOMIAL:
+    register_spline(_method)
 
 
 INCREMENTS = f"""{BRACKETS}, cumulative AS (SELECT site_id, x AS mins, {value_at('linear')} AS depth FROM grid),

@@ -259,7 +259,7 @@ labelled AS (SELECT *, CASE WHEN (crossing_no % 2 = 1) <> starts_inside THEN 'in
 
 def classified(fx):
     points = boundary.crossings(reaches(fx), areas(fx), CELL)
-    return boundary.classify_crossings(points, reaches(fx), areas(fx))
+    return boundary.classify_crossings(points)
 
 
 @query("sp12_boundary_crossings", f"{CROSSED} SELECT aoi_id, objectid, round(x, 4) AS x, round(y, 4) AS y, round(distance, 4) AS distance FROM crossed")

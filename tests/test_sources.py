@@ -69,14 +69,15 @@ def test_missing_count_and_broken_page_fail(spark, tmp_path):
 
 def test_page_parameters():
     with pytest.raises(ValueError):
-        features.page_params(10, 20, "0,0,1,1", 2193, 4326)
+        features.page_params(10, 20, features.selection("0,0,1,1", 2193), 4326)
     with pytest.raises(SourceError):
-        features.page_params(0, 20, None, None, None)
-    plain = features.page_params(10, 25, None, None, None)
+        features.page_params(0, 20, features.selection(None, None))
+    plain = features.page_params(10, 25, features.selection(None, None), order_by="OBJECTID")
+    assert all(p["orderByFields"] == "OBJECTID" for p in plain)
     assert [p["resultOffset"] for p in plain] == [0, 10, 20] and plain[0]["outSR"] == 2193
-    boxed = features.page_params(10, 5, "0,0,1,1", 4326, None)[0]
+    boxed = features.page_params(10, 5, features.selection("0,0,1,1", 4326))[0]
     assert (boxed["inSR"], boxed["outSR"], boxed["spatialRel"]) == (4326, 4326, "esriSpatialRelContains")
-    assert features.page_params(10, 0, None, None, None) == []
+    assert features.page_params(10, 0, features.selection(None, None)) == []
 
 
 def test_unknown_provider(spark, tmp_path):
