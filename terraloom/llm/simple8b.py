@@ -94,12 +94,16 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def unpack(words: np.ndarray, n: int, positions: np.ndarray, escaped: np.ndarray) -> np.ndarray:
     """The ``n`` numbers of a block."""
-    selectors = (words >> np.uint64(60)).astype(np.int64)
-    counts, bits = COUNTS[selectors], BITS[selectors].astype(np.uint64)
-    ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    within = (np.arange(total) - np.repeat(ends - counts, counts)).astype(np.uint64)
-    wide = np.repeat(bits, counts)
-    values = ((np.repeat(words, counts) >> (within * wide)) & ((np.uint64(1) << wide) - np.uint64(1)))[:n]
+    selectors = (words >> np.uint64(60)).astype(np.uint8)
+    counts = COUNTS[selectors]
+    first = np.cumsum(counts) - counts
+    values = np.zeros(int(counts.sum()), dtype=np.uint64)
+    for selector in np.flatnonzero(np.bincount(selectors, minlength=16)):
+        if BITS[selector]:
+            mine = np.flatnonzero(selectors == selector)
+            shifts = (np.arange(COUNTS[selector]) * BITS[selector]).astype(np.uint64)
+            mask = np.uint64((1 << int(BITS[selector])) - 1)
+            values[first[mine][:, None] + np.arange(COUNTS[selector])] = (words[mine][:, None] >> shifts) & mask
+    values = values[:n]
     values[positions] = escaped
     return values

@@ -33,12 +33,15 @@ BLOCK_IDS = 1 << 16
 #: Bytes of text that are encoded at once.
 ENCODE_BYTES = 8 << 20
 #: Pre-tokens in one of the two generations that a worker keeps; a smaller store costs time only.
-MAX_STORED = 400_000
+MAX_STORED = 500_000
 BLOCK_SCHEMA = (
     "part int, block int, first long, doc_ids array<long>, ends array<int>, words binary, escape_positions array<int>, escape_ids array<int>"
 )
 #: A run of Latin letters, about which all engines agree, and what follows it if that is ASCII and no letter.
 _WORD_AND_REST = r"^(?P<word>[A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}]+)(?P<rest>(?s:[\x00-@\[-`{-\x7F].*)?)$"
+#: How byte-level vocabularies write a space, and parts encoded as one text.
+_SPACE = "\u0120"
+_TOGETHER = 512
 _SAFE_CUT = regex.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -54,6 +57,9 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab()
+        self._after_space = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._after_space[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
         self._specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         #: Two generations: when the young one is full it becomes the old one, and what is used again is kept.
         self._young: dict[str, bytes] = {}
@@ -66,31 +72,32 @@ class Encoder:
         flat = units.flatten().dictionary_encode()
         entry, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
         firsts = names.take(pa.array(entry[cuts[:-1]])).to_pylist()
+        # A unit that is empty or has white space at an end belongs to a longer run of white space.
+        odd = pc.or_(pc.equal(pc.utf8_length(names), 0), pc.not_equal(names, pc.utf8_trim_whitespace(names)))
         # Distinct units as a head, which starts with the space, and a tail; and the texts' first units.
         found = pc.extract_regex(names, _WORD_AND_REST)
         split = found.is_valid()
-        spaced = pc.binary_join_element_wise(" ", pc.if_else(split, pc.struct_field(found, "word"), names), "").dictionary_encode()
+        heads = pc.binary_join_element_wise(" ", pc.if_else(split, pc.struct_field(found, "word"), names), "")
+        heads = pc.if_else(odd, "", heads).dictionary_encode()
         tails = pc.if_else(split, pc.struct_field(found, "rest"), "").dictionary_encode()
-        parts = spaced.dictionary.to_pylist() + tails.dictionary.to_pylist() + firsts
+        parts = heads.dictionary.to_pylist() + tails.dictionary.to_pylist() + firsts
         coded = self._of(parts)
-        n_heads, n_parts = len(spaced.dictionary), len(parts)
-        head = spaced.indices.to_numpy().astype(np.int64)[entry]
-        tail = tails.indices.to_numpy().astype(np.int64)[entry] + n_heads
-        head[cuts[:-1]] = n_parts - len(firsts) + np.arange(len(firsts))
-        length = np.fromiter(map(len, coded), dtype=np.int64, count=n_parts) // 4
-        length_tail = length[tail]
-        length_tail[cuts[:-1]] = 0
-        taken = np.column_stack((length[head], length_tail)).reshape(-1)
-        begin = np.cumsum(length) - length
-        source = np.column_stack((begin[head], begin[tail])).reshape(-1)
-        ends = np.cumsum(taken)
         ids = np.frombuffer(b"".join(coded), dtype="<u4")
-        gathered = ids[np.repeat(source - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate(([0], ends))[2 * cuts.astype(np.int64)]
-        out = [gathered[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        # A unit that is empty or has white space at an end belongs to a longer run of white space.
-        odd = pc.or_(pc.equal(pc.utf8_length(names), 0), pc.not_equal(names, pc.utf8_trim_whitespace(names))).to_numpy(zero_copy_only=False)
-        odd_at = odd[entry]
+        length = np.fromiter(map(len, coded), dtype=np.int64, count=len(parts)) // 4
+        begin = np.cumsum(length) - length
+        # The ids of each distinct unit and of each first one, side by side; then those of all units, in place.
+        pair = np.column_stack((heads.indices.to_numpy(), tails.indices.to_numpy().astype(np.int64) + len(heads.dictionary))).reshape(-1)
+        pair = np.concatenate((pair, np.arange(len(parts) - len(firsts), len(parts))))
+        ids = _gathered(ids, begin[pair], length[pair])
+        n = len(names)
+        length = np.concatenate((length[pair[: 2 * n]].reshape(-1, 2).sum(axis=1), length[pair[2 * n :]]))
+        begin = np.cumsum(length) - length
+        entry[cuts[:-1]] = n + np.arange(len(firsts))
+        taken = length[entry]
+        ids = _gathered(ids, begin[entry], taken)
+        bounds = np.concatenate(([0], np.cumsum(taken)))[cuts]
+        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        odd_at = np.concatenate((odd.to_numpy(zero_copy_only=False), np.zeros(len(firsts), dtype=bool)))[entry]
         odd_at[cuts[:-1]] = [b - a > 1 and (not u or u[-1].isspace()) for u, a, b in zip(firsts, cuts[:-1], cuts[1:], strict=True)]
         careful = np.zeros(len(texts), dtype=bool)
         careful[np.searchsorted(cuts, np.flatnonzero(odd_at), side="right") - 1] = True
@@ -100,7 +107,7 @@ class Encoder:
         for k in np.flatnonzero(careful | special):
             text = texts[int(k)].as_py()
             places = [0, *([] if special[k] else [m.start() for m in _SAFE_CUT.finditer(text)]), len(text)]
-            out[k] = np.frombuffer(b"".join(self._ids([text[a:b] for a, b in zip(places, places[1:]) if b > a])), dtype="<u4")  # noqa: B905
+            out[k] = np.frombuffer(b"".join(self._alone([text[a:b] for a, b in zip(places, places[1:]) if b > a])), dtype="<u4")  # noqa: B905
         return out
 
     def _of(self, parts: list[str]) -> list[bytes]:
@@ -121,8 +128,33 @@ class Encoder:
                 new.append(p)
         young.update(zip(new, self._ids(new), strict=True))
 
-    def _ids(self, units: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts. Parts that start with their only space are encoded side by side: each starts where a token does with a space."""
+        spaced = [k for k, p in enumerate(parts) if p and p[0] == " " and " " not in p[1:]]
+        if len(spaced) < 2:
+            return self._alone(parts)
+        together = ["".join([parts[k] for k in spaced[at : at + _TOGETHER]]) for at in range(0, len(spaced), _TOGETHER)]
+        ids = np.frombuffer(b"".join(self._alone(together)), dtype="<u4")
+        starts = np.flatnonzero(self._after_space[ids])
+        if len(starts) != len(spaced):
+            return self._alone(parts)
+        out: list[bytes] = [b""] * len(parts)
+        content, bounds = ids.tobytes(), (np.append(starts, len(ids)) * 4).tolist()
+        for k, a, b in zip(spaced, bounds[:-1], bounds[1:], strict=True):
+            out[k] = content[a:b]
+        rest = sorted(set(range(len(parts))).difference(spaced))
+        for k, coded in zip(rest, self._alone([parts[k] for k in rest]), strict=True):
+            out[k] = coded
+        return out
+
+    def _alone(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+
+def _gathered(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` in order."""
+    ends = np.cumsum(length)
+    return values[np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def encoder(path: str) -> Encoder:
