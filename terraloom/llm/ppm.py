@@ -26,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm import text as tx
-from terraloom.llm.blocks import BLOCK_BYTES, packed, row_slices, unpacked
+from terraloom.llm.blocks import packed, row_slices, unpacked
 from terraloom.session import cut_lineage
 
 ORDER = 5
@@ -39,6 +40,9 @@ END, BEFORE = 0xFE, 0xFF
 #: Symbols that can be coded: all bytes but ``BEFORE``.
 SYMBOLS = 255
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWER_BYTES = np.frombuffer(LOWER, dtype=np.uint8)
+#: Bytes of text in a block.
+BLOCK_BYTES = 24 << 20
 #: The word that stands for a text's end.
 END_WORD = b""
 
@@ -96,54 +100,64 @@ def adaptive_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 def _grams(offsets: np.ndarray, data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and code of every (context, symbol) of a piece of texts; the symbol is the code's lowest byte."""
-    rows = len(offsets) - 1
-    line = np.full(len(data) + rows * (order + 1), BEFORE, dtype=np.uint8)
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    line[np.arange(len(data)) + row * (order + 1) + order] = data
+    rows, lengths = len(offsets) - 1, np.diff(offsets)
+    line = np.full(len(data) + rows * (order + 1) + 8, BEFORE, dtype=np.uint8)
+    line[np.arange(len(data)) + np.repeat(np.arange(rows) * (order + 1) + order, lengths)] = data
     line[offsets[1:] + np.arange(1, rows + 1) * (order + 1) - 1] = END
-    own = np.repeat(np.arange(rows), np.diff(offsets) + order + 1)
-    place = np.arange(len(line)) - (offsets[:-1] + np.arange(rows) * (order + 1))[own]
-    coded = np.flatnonzero(place >= order)
-    code = np.zeros(len(coded), dtype=np.int64)
-    for k in range(order, -1, -1):
-        code = (code << 8) | line[coded - k]
-    return own[coded], code
+    # Every eight bytes as one number, most significant first; a text's first grams begin in what precedes it.
+    eights = np.ndarray((len(line) - 8,), dtype=">u8", buffer=line, strides=(1,))
+    code = (eights.astype(np.uint64) >> np.uint64(8 * (7 - order))).astype(np.int64)
+    first = offsets[:-1] + np.arange(rows) * (order + 1)
+    whole = np.ones(len(code), dtype=bool)
+    for k in range(order):
+        whole[first + lengths + 1 + k] = False
+    return np.repeat(np.arange(rows), lengths + 1), code[whole]
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Row and lower-cased word of every word of a column; the row's end is not among them."""
+    offsets, data = tx.buffers(texts)
+    lowered = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(_LOWER_BYTES[data].tobytes()))
+    split = pc.ascii_split_whitespace(lowered)
+    row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    flat = split.flatten()
+    filled = pc.not_equal(flat, "")  # white space at an end leaves an empty part
+    return row[filled.to_numpy(zero_copy_only=False)], flat.filter(filled).dictionary_encode()
 
 
 def _count_block(content: bytes, block: int, order: int) -> pa.RecordBatch:
     """What occurs in a block: every gram and word with its count in training texts (0: only in others)."""
     table = unpacked(content)
+    train = table.column("train").to_numpy().astype(bool)
     codes, counts = [], []
-    trained, others = Counter(), set()
-    for _, piece in row_slices(table):
-        train = piece.column("train").to_numpy(zero_copy_only=False).astype(bool)
+    for base, piece in row_slices(table):
         row, code = _grams(*tx.buffers(piece.column("text")), order)
         which, distinct = pd.factorize(code)
         codes.append(distinct)
-        counts.append(np.bincount(which, weights=train[row], minlength=len(distinct)).astype(np.int64))
-        for learnt, text in zip(train, piece.column("text").to_pylist(), strict=True):
-            words = (text or "").encode().translate(LOWER).split()
-            words.append(END_WORD)
-            if learnt:
-                trained.update(words)
-            else:
-                others.update(words)
-    which, distinct = pd.factorize(np.concatenate(codes) if codes else np.zeros(0, np.int64))
-    count = np.bincount(which, weights=np.concatenate(counts) if counts else None, minlength=len(distinct)).astype(np.int64)
-    order_of = np.argsort(distinct)
-    words = sorted(trained.keys() | others)
-    n, m = len(distinct), len(words)
+        counts.append(np.bincount(which, weights=train[row + base], minlength=len(distinct)).astype(np.int64))
+    which, grams = pd.factorize(np.concatenate(codes) if codes else np.zeros(0, np.int64))
+    gram_counts = np.bincount(which, weights=np.concatenate(counts) if counts else None, minlength=len(grams)).astype(np.int64)
+    by_code = np.argsort(grams)
+    row, words = _words(_column(table))
+    word_counts = np.bincount(words.indices.to_numpy(), weights=train[row], minlength=len(words.dictionary)).astype(np.int64)
+    n, m = len(grams), len(words.dictionary) + 1
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(n + m, block), pa.int64()),
-            pa.concat_arrays([pa.array(distinct[order_of], pa.int64()), pa.nulls(m, pa.int64())]),
-            pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(words, pa.binary())]),
-            pa.concat_arrays([pa.array(count[order_of], pa.int64()), pa.array([trained[w] for w in words], pa.int64())]),
+            pa.concat_arrays([pa.array(grams[by_code], pa.int64()), pa.nulls(m, pa.int64())]),
+            pa.concat_arrays([pa.nulls(n, pa.binary()), words.dictionary.cast(pa.binary()), pa.array([END_WORD], pa.binary())]),
+            pa.array(np.concatenate((gram_counts[by_code], word_counts, [train.sum()])), pa.int64()),
         ],
         names=["block", "gram", "word", "count"],
     )
 
 
+def _column(table: pa.Table) -> pa.Array:
+    """The texts of a table as one array."""
+    whole = table.column("text").combine_chunks()
+    return pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+
+
 def _suffix(gram: str, order: int) -> Column:
     """A gram of a shorter context: the lowest ``order + 1`` bytes."""
     return F.col(gram).bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
@@ -228,15 +242,11 @@ def scored(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int
 
 def _score_block(texts: pa.Table, findings: pa.Table, order: int) -> pa.Table:
     table = unpacked(texts.column("content")[0].as_py())
-    is_gram = findings.column("gram").is_valid()
-    of_grams, of_words = findings.filter(is_gram), findings.filter(findings.column("word").is_valid())
+    of_grams, of_words = findings.filter(findings.column("gram").is_valid()), findings.filter(findings.column("word").is_valid())
     codes, values = of_grams.column("gram").to_numpy(), of_grams.column("value").to_numpy()
     by_code = np.argsort(codes)
     codes, values = codes[by_code], values[by_code]
-    counts = of_words.column("value").to_numpy()
-    logs = dict(zip(of_words.column("word").to_pylist(), np.log10(counts + 1).tolist(), strict=True))
-    fresh = int(np.sum(of_words.column("fresh").to_numpy(zero_copy_only=False)))
-    score, n_tokens, n_known, log_counts = [], [], [], []
+    score = [np.zeros(0)]
     for _, piece in row_slices(table):
         row, code = _grams(*tx.buffers(piece.column("text")), order)
         which, distinct = pd.factorize(code)
@@ -244,23 +254,23 @@ def _score_block(texts: pa.Table, findings: pa.Table, order: int) -> pa.Table:
         if not len(codes) or not np.array_equal(codes[at], distinct):
             raise ValueError("a block's findings do not fit its texts")
         score.append(np.bincount(row, weights=values[at][which], minlength=piece.num_rows))
-        for text in piece.column("text").to_pylist():
-            words = (text or "").encode().translate(LOWER).split()
-            words.append(END_WORD)
-            own = np.fromiter(map(logs.__getitem__, words), dtype=float, count=len(words))
-            n_tokens.append(len(words))
-            n_known.append(int(np.count_nonzero(own)))
-            log_counts.append(float(own.sum()))
-    once = np.zeros(table.num_rows, dtype=np.int64)
-    once[:1] = fresh
+    row, words = _words(_column(table))
+    known = of_words.column("word").combine_chunks()
+    at = pc.index_in(words.dictionary.cast(pa.binary()), value_set=known).to_numpy(zero_copy_only=False)
+    logs = np.log10(of_words.column("value").to_numpy() + 1)
+    own = logs[at.astype(np.int64)][words.indices.to_numpy()] if len(row) else np.zeros(0)
+    end = float(logs[pc.index_in(pa.array([END_WORD], pa.binary()), value_set=known)[0].as_py()])
+    rows = table.num_rows
+    once = np.zeros(rows, dtype=np.int64)
+    once[:1] = int(np.sum(of_words.column("fresh").to_numpy()))
     return pa.Table.from_arrays(
         [
             table.column("doc_id").cast(pa.int64()),
             table.column("train"),
-            pa.array(n_tokens, pa.int64()),
-            pa.array(n_known, pa.int64()),
-            pa.array(log_counts, pa.float64()),
-            pa.array(np.concatenate(score) if score else [], pa.float64()),
+            pa.array(np.bincount(row, minlength=rows) + 1, pa.int64()),
+            pa.array(np.bincount(row[own > 0], minlength=rows) + int(end > 0), pa.int64()),
+            pa.array(np.bincount(row, weights=own, minlength=rows) + end, pa.float64()),
+            pa.array(np.concatenate(score), pa.float64()),
             pa.array(once, pa.int64()),
         ],
         names=["doc_id", "train", "n_tokens", "n_known", "log_counts", "score", "fresh"],
