@@ -14,7 +14,8 @@ Next to it the base: a unigram model of lower-cased words with one added to ever
 blocks in the same way.
 
 Defined results: a null text is empty (an end alone); without training texts all symbols are equally likely and
-no word is known; repeated rows are counted and scored each; a null doc_id counts as the empty text in the split.
+no word is known; repeated rows are counted and scored each (``docs`` is read twice and must give the same rows in
+the same parts, as stored tables do; if it does not, the job fails); a null doc_id counts as the empty text in the split.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from terraloom.llm import text as tx
 from terraloom.llm.blocks import packed, row_slices, unpacked
 from terraloom.session import cut_lineage
 
-ORDER = 5
+ORDER = 4
 #: Bytes that UTF-8 never uses stand for the end and for what precedes a text.
 END, BEFORE = 0xFE, 0xFF
 #: Symbols that can be coded: all bytes but ``BEFORE``.
@@ -211,15 +212,14 @@ def scored(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int
     """Per document ``score`` (log10 probability of the whole text), and of the base: ``n_tokens``, ``n_known``,
     ``train_tokens`` and ``base_score``; ``train`` says which rows are learnt from."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    texts = cut_lineage(packed(rows, block_bytes))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = packed(rows, block_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, content in zip(batch.column("block").to_pylist(), batch.column("content"), strict=True):
                 yield _count_block(content.as_py(), block, order)
 
-    counted = cut_lineage(texts.repartition(parts, "block").mapInArrow(count, "block long, gram long, word binary, count long"))
+    counted = cut_lineage(texts.mapInArrow(count, "block long, gram long, word binary, count long"))
     grams, words = counted.filter("gram is not null").drop("word"), counted.filter("word is not null").drop("gram")
     distinct = cut_lineage(grams.groupBy("gram").agg(F.sum("count").alias("count")))
     lengths = cut_lineage(code_lengths(distinct, order))
