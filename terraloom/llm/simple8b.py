@@ -38,10 +38,19 @@ _ROOM = np.array([8 / COUNTS[i] for i in _NARROWEST])
 
 
 def _width_to_escape(lengths: np.ndarray) -> int:
-    """The width that makes the block smallest, estimated over short groups, each as wide as its widest kept value."""
+    """The width that makes the block smallest, estimated over short groups, each as wide as its widest kept value.
+
+    A width is not worth a look if its escapes alone take more than all values at full width do.
+    """
+    held = np.bincount(lengths, minlength=61)
+    full = min(w for w in ESCAPE_BITS if not held[w + 1 :].any())
+    bound = len(lengths) * _ROOM[full]
+    widths = [w for w in ESCAPE_BITS if w < full and held[w + 1 :].sum() * _ESCAPE_BYTES < bound]
+    if not widths:
+        return full
     groups = np.concatenate((lengths, np.zeros(-len(lengths) % _GROUP, dtype=lengths.dtype))).reshape(-1, _GROUP)
     cost = {}
-    for width in ESCAPE_BITS:
+    for width in [*widths, full]:
         away = groups > width
         widest = np.where(away, 0, groups).max(axis=1, initial=0)
         cost[width] = float(_ROOM[widest].sum() * _GROUP + away.sum() * _ESCAPE_BYTES)
@@ -62,7 +71,6 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths[away] = 0
     # The longest run that starts at each value, by selector from one value to many.
     choice = np.full(n, 15, dtype=np.int64)
-    place = np.arange(n)
     for selector in range(14, -1, -1):
         count = COUNTS[selector]
         if BITS[selector] >= width:
@@ -75,7 +83,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(full):
             break
         choice[full] = selector
-    following = (place + COUNTS[choice]).tolist()
+    following = (np.arange(n) + COUNTS[choice]).tolist()
     starts, at = [], 0
     while at < n:
         starts.append(at)
@@ -84,11 +92,13 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     selectors = choice[first] if n else np.zeros(0, np.int64)
     words = selectors.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate((values.astype(np.uint64), np.zeros(240, np.uint64)))
-    for selector in np.unique(selectors):
+    for selector in np.flatnonzero(np.bincount(selectors, minlength=16)):
         if BITS[selector]:
             mine = np.flatnonzero(selectors == selector)
+            begin, word = first[mine], words[mine]
             for k in range(COUNTS[selector]):
-                words[mine] |= padded[first[mine] + k] << np.uint64(k * BITS[selector])
+                word |= padded[begin + k] << np.uint64(k * BITS[selector])
+            words[mine] = word
     return words, away, escaped
 
 

@@ -111,22 +111,21 @@ class Encoder:
         return out
 
     def _of(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts, from the store."""
-        self._keep(set(parts))
-        return list(map(self._young.__getitem__, parts))
-
-    def _keep(self, pretokens: set[str]) -> None:
-        if len(self._young) + len(pretokens) > MAX_STORED:
+        """The ids of parts, from the store as far as it has them."""
+        out = list(map(self._young.get, parts))
+        missing = [k for k, coded in enumerate(out) if coded is None]
+        if len(self._young) + len(missing) > MAX_STORED:
             self._old, self._young = self._young, {}
-        young, old = self._young, self._old
-        missing = [p for p in pretokens if p not in young]
-        new = []
-        for p in missing:
-            if p in old:
-                young[p] = old[p]
+        young, new = self._young, []
+        for k in missing:
+            coded = self._old.get(parts[k])
+            if coded is None:
+                new.append(k)
             else:
-                new.append(p)
-        young.update(zip(new, self._ids(new), strict=True))
+                young[parts[k]] = out[k] = coded
+        for k, coded in zip(new, self._ids([parts[k] for k in new]), strict=True):
+            young[parts[k]] = out[k] = coded
+        return out
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         """Ids of parts. Parts that start with their only space are encoded side by side: each starts where a token does with a space."""
