@@ -1,11 +1,11 @@
-"""Spatial joins as equi-joins on grid cells.
-
-Both sides list the grid cells their bounding boxes cover and join on the cell, so Spark partitions the work
-by location and never forms a cross product. A pair that shares several cells is reported only in the cell
-holding the lower-left corner of the boxes' intersection (Dittrich and Seeger 2000), so no ``distinct`` is
-needed. Cells holding far more rows than the rest are cut into finer ones; see ``_hot_cells``. Finding them
-is a job of its own over the boxes, run when the join is declared: most joins have none, and then plan as a
-plain equi-join.
+"""Spatial joins as equi-joins on grid cells of many widths.
+
+Every box has a level by its own size, at whose cells it covers two each way at most; boxes of different levels
+meet at the higher one. So a country and a house make a few rows each, candidates are no farther apart than the
+larger box is wide, and crowded places need no special care: boxes that share a small cell do lie close together.
+Spark partitions the work by cell and never forms a cross product. A pair that shares several cells is reported
+only in the cell holding the lower-left corner of the boxes' intersection (Dittrich and Seeger 2000), so no
+``distinct`` is needed. Where a coarse cell holds very many small boxes, AQE's skew join splits them.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 
-ROWS_PER_CELL = 4096
-MAX_HOT_CELLS = 10_000
-MAX_LEVEL = 10
-MAX_COPIES = 4.0
+#: A level's cells are so many times as wide as those of the level below; ``cell_size`` is the width at level 0.
+LEVEL_FACTOR = 4.0
+LOWEST_LEVEL, HIGHEST_LEVEL = -10, 14
 MAX_HALVINGS = 14
 POINTS_PER_CELL = 16
 
@@ -34,139 +33,53 @@ def _box(df: DataFrame, prefix: str, box: Box) -> DataFrame:
     return df.select("*", *(F.col(c).cast("double").alias(n) for c, n in zip(box, names, strict=True)))
 
 
-def _cells(df: DataFrame, prefix: str, size: float) -> DataFrame:
-    """One row per covered cell, as columns ``_cx, _cy``."""
+def _width(level: Column, size: float) -> Column:
+    return F.lit(size) * F.pow(F.lit(LEVEL_FACTOR), level)
 
-    def index(side: str) -> Column:
-        return F.floor(F.col(f"{prefix}{side}") / size)
 
-    return df.withColumn("_cx", F.explode(F.sequence(index("xmin"), index("xmax")))).withColumn(
-        "_cy", F.explode(F.sequence(index("ymin"), index("ymax")))
-    )
-
-
-def _hot_cells(left: DataFrame, right: DataFrame, keys: Sequence[str], size: float, rows_per_cell: int) -> DataFrame | None:
-    """Cells to cut finer and by how many halvings, or None when no cell is crowded.
-
-    The level is the first at which the fullest part of the cell holds ``rows_per_cell`` boxes, counted by
-    their centres, but no finer than the level at which the boxes would be copied more than ``MAX_COPIES``
-    times on average. The table only says where to cut, so keeping the ``MAX_HOT_CELLS`` fullest cells
-    bounds what reaches the driver and what is broadcast, without changing any result.
-    """
-    cell = [*keys, "_cx", "_cy"]
-    both = _clipped(left, "_l", size).select(*cell, *_CLIP).unionByName(_clipped(right, "_r", size).select(*cell, *_CLIP))
-    width, height = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
-    full = (
-        both.groupBy(*cell)
-        .agg(F.count("*").alias("n"), F.sum(width + height).alias("span"), F.sum(width * height).alias("area"))
-        .filter(F.col("n") > rows_per_cell)
-        .orderBy(F.desc("n"), *cell)
-        .limit(MAX_HOT_CELLS)
-    )
-    rows = full.collect()
-    if not rows:
-        return None
-    spark = left.sparkSession
-    crowded = F.broadcast(spark.createDataFrame(rows, full.schema))
-    parts, step = 2**MAX_LEVEL, size / 2**MAX_LEVEL
-
-    def fine(low: str, high: str, index: str) -> Column:
-        inside = F.floor(((F.col(low) + F.col(high)) / 2.0 - F.col(index) * size) / step)
-        return F.greatest(F.least(inside, F.lit(parts - 1)), F.lit(0))
-
-    def coarser(index: str) -> Column:
-        return F.floor(F.col(index) / F.pow(F.lit(2.0), MAX_LEVEL - F.col("_level"))).alias(index)
-
-    densest = (
-        both.join(crowded.select(*cell), cell)
-        .groupBy(*cell, fine("_x0", "_x1", "_cx").alias("_fx"), fine("_y0", "_y1", "_cy").alias("_fy"))
-        .agg(F.count("*").alias("m"))
-        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL))))
-        .groupBy(*cell, "_level", coarser("_fx"), coarser("_fy"))
-        .agg(F.sum("m").alias("m"))
-        .groupBy(*cell, "_level")
-        .agg(F.max("m").alias("m"))
-        .groupBy(*cell)
-        .agg(F.min(F.when(F.col("m") <= rows_per_cell, F.col("_level"))).alias("wanted"))
-    )
+def _own_level(prefix: str, size: float) -> Column:
+    """The lowest level whose cells are as wide as the box, so that it covers two cells each way at most."""
+    x0, y0, x1, y1 = (F.col(f"{prefix}{side}") for side in g.BOX)
+    extent = F.greatest(x1 - x0, y1 - y0, F.lit(size * LEVEL_FACTOR**LOWEST_LEVEL))
+    level = F.ceil(F.log(extent / size) / math.log(LEVEL_FACTOR)).cast("int")
+    return F.least(F.greatest(level, F.lit(LOWEST_LEVEL)), F.lit(HIGHEST_LEVEL))
 
-    def copies(level: Column) -> Column:
-        cuts = F.pow(F.lit(2.0), level) / size
-        return cuts * cuts * F.col("area") + cuts * F.col("span") + F.col("n")
-
-    affordable = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(MAX_LEVEL)), lambda k: copies(k) <= MAX_COPIES * F.col("n")))
-    chosen = (
-        densest.join(crowded, cell)
-        .select(*cell, F.least(F.coalesce("wanted", F.lit(MAX_LEVEL)), F.coalesce(affordable, F.lit(0))).alias("_level"))
-        .filter("_level > 0")
-    )
-    levels = chosen.collect()
-    return spark.createDataFrame(levels, chosen.schema) if levels else None
-
-
-_CLIP = ("_x0", "_y0", "_x1", "_y1")
 
+def _at_cells(df: DataFrame, targets: Column, prefix: str, size: float) -> DataFrame:
+    """One row per target ``(_part, _level)`` and cell that the box covers there."""
+    placed = df.withColumn("_t", F.explode(targets)).select("*", "_t._part", "_t._level").drop("_t", "_own", "_others")
 
-def _clipped(df: DataFrame, prefix: str, size: float) -> DataFrame:
-    """The part of each box inside its cell."""
-
-    def edge(side: str, index: str, low: bool) -> Column:
-        bound = (F.col(index) + (0 if low else 1)) * size
-        return F.greatest(F.col(f"{prefix}{side}"), bound) if low else F.least(F.col(f"{prefix}{side}"), bound)
-
-    return df.select(
-        "*",
-        edge("xmin", "_cx", True).alias("_x0"),
-        edge("ymin", "_cy", True).alias("_y0"),
-        edge("xmax", "_cx", False).alias("_x1"),
-        edge("ymax", "_cy", False).alias("_y1"),
-    )
+    def indices(low: str, high: str) -> Column:
+        width = _width(F.col("_level"), size)
+        return F.explode(F.sequence(F.floor(F.col(f"{prefix}{low}") / width), F.floor(F.col(f"{prefix}{high}") / width)))
 
+    return placed.withColumn("_cx", indices("xmin", "xmax")).withColumn("_cy", indices("ymin", "ymax"))
 
-def _fine_cells(df: DataFrame, hot: DataFrame, keys: Sequence[str], prefix: str, size: float) -> DataFrame:
-    """Replace a hot cell by the finer cells the box covers inside it: columns ``_level, _fx, _fy``."""
-    parts = F.pow(F.lit(2.0), F.col("_level")).cast("long")
 
-    def inside(low: str, high: str, cell: str) -> Column:
-        step = F.lit(size) / parts
-        first = F.greatest(F.floor(F.col(f"{prefix}{low}") / step), F.col(cell) * parts)
-        last = F.least(F.floor(F.col(f"{prefix}{high}") / step), (F.col(cell) + 1) * parts - 1)
-        return F.explode(F.sequence(first, last))
+def _gridded(
+    left: DataFrame, right: DataFrame, cell_size: float, left_box: Box, right_box: Box, keys: Sequence[str]
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with their cells, and the columns to join on.
 
-    joined = df.join(F.broadcast(hot), [*keys, "_cx", "_cy"], "left").withColumn(
-        "_level", F.coalesce("_level", F.lit(0))
-    )
-    return (
-        joined.withColumn("_fx", inside("xmin", "xmax", "_cx"))
-        .withColumn("_fy", inside("ymin", "ymax", "_cy"))
-        .drop("_cx", "_cy")
-    )
+    A pair meets at the higher of its boxes' levels. Part 0 joins left boxes at their own level with right boxes
+    of that level or raised to it; part 1 joins left boxes raised to a level with right boxes of it. Boxes are
+    raised only to levels that the other side has, a list of at most 25 numbers.
+    """
+    lhs = _box(left, "_l", left_box).withColumn("_own", _own_level("_l", cell_size))
+    rhs = _box(right, "_r", right_box).withColumn("_own", _own_level("_r", cell_size))
+    # Scalar subqueries of one short list each.
+    left_levels, right_levels = (side.agg(F.collect_set("_own")).scalar() for side in (lhs, rhs))
 
+    def targets(part: int, at: Column) -> Column:
+        return F.transform(at, lambda level: F.struct(F.lit(part).alias("_part"), level.alias("_level")))
 
-def _gridded(
-    left: DataFrame,
-    right: DataFrame,
-    cell_size: float,
-    left_box: Box,
-    right_box: Box,
-    keys: Sequence[str],
-    split_hot: bool,
-    rows_per_cell: int,
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    lhs = _cells(_box(left, "_l", left_box), "_l", cell_size)
-    rhs = _cells(_box(right, "_r", right_box), "_r", cell_size)
-    if not split_hot:
-        return lhs, rhs, [*keys, "_cx", "_cy"]
-    narrow_left = lhs.select(*keys, *(f"_l{s}" for s in g.BOX), "_cx", "_cy")
-    narrow_right = rhs.select(*keys, *(f"_r{s}" for s in g.BOX), "_cx", "_cy")
-    hot = _hot_cells(narrow_left, narrow_right, keys, cell_size, rows_per_cell)
-    if hot is None:
-        return lhs, rhs, [*keys, "_cx", "_cy"]
-    return (
-        _fine_cells(lhs, hot, keys, "_l", cell_size),
-        _fine_cells(rhs, hot, keys, "_r", cell_size),
-        [*keys, "_level", "_fx", "_fy"],
-    )
+    own = F.array("_own")
+    lhs, rhs = lhs.withColumn("_others", right_levels), rhs.withColumn("_others", left_levels)
+    raised = F.filter("_others", lambda level: level > F.col("_own"))
+    met_raised = F.when(F.exists("_others", lambda level: level < F.col("_own")), own).otherwise(F.array().cast("array<int>"))
+    lhs = _at_cells(lhs, F.concat(targets(0, own), targets(1, raised)), "_l", cell_size)
+    rhs = _at_cells(rhs, F.concat(targets(0, F.concat(own, raised)), targets(1, met_raised)), "_r", cell_size)
+    return lhs, rhs, [*keys, "_part", "_level", "_cx", "_cy"]
 
 
 def _boxes_meet() -> Column:
@@ -183,25 +96,19 @@ def intersecting_pairs(
     right_box: Box = g.BOX,
     keys: Sequence[str] = (),
     refine: Column | None = None,
-    split_hot: bool = True,
-    rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Every pair whose closed boxes meet, once, with the columns of both sides.
 
     ``keys`` are equality columns common to both sides; other column names must be distinct.
     ``refine`` may use columns of both sides for an exact test.
     """
-    lhs, rhs, on = _gridded(left, right, cell_size, left_box, right_box, keys, split_hot, rows_per_cell)
+    lhs, rhs, on = _gridded(left, right, cell_size, left_box, right_box, keys)
 
     def owner(side: str, cell: str) -> Column:
         corner = F.greatest(F.col(f"_l{side}"), F.col(f"_r{side}"))
-        if cell in ("_cx", "_cy"):
-            return F.floor(corner / cell_size) == F.col(cell)
-        parts = F.pow(F.lit(2.0), F.col("_level")).cast("long")
-        return F.floor(corner / (F.lit(cell_size) / parts)) == F.col(cell)
+        return F.floor(corner / _width(F.col("_level"), cell_size)) == F.col(cell)
 
-    x_cell, y_cell = on[-2:]
-    pairs = lhs.join(rhs, on).filter(_boxes_meet() & owner("xmin", x_cell) & owner("ymin", y_cell))
+    pairs = lhs.join(rhs, on).filter(_boxes_meet() & owner("xmin", "_cx") & owner("ymin", "_cy"))
     if refine is not None:
         pairs = pairs.filter(refine)
     helpers = [f"{p}{s}" for p in ("_l", "_r") for s in g.BOX]
@@ -217,11 +124,9 @@ def matching_ids(
     right_box: Box = g.BOX,
     keys: Sequence[str] = (),
     refine: Column | None = None,
-    split_hot: bool = True,
-    rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Distinct ids of left rows with at least one partner; stops at the first partner per cell."""
-    lhs, rhs, on = _gridded(left, right, cell_size, left_box, right_box, keys, split_hot, rows_per_cell)
+    lhs, rhs, on = _gridded(left, right, cell_size, left_box, right_box, keys)
     condition = _boxes_meet() if refine is None else _boxes_meet() & refine
     for column in on:
         condition = condition & (F.col(column) == F.col(f"_other_{column}"))
@@ -234,7 +139,8 @@ def semi_join(
 ) -> DataFrame:
     """Left rows with a partner (``left_semi``) or without one (``left_anti``).
 
-    Only ids and boxes of the left side travel through the grid join; the full rows are joined back by id.
+    Ids and boxes of the left side, and the columns that ``refine`` needs, travel through the grid join; the full
+    rows are joined back by id.
     """
     keys = options.get("keys", ())
     box = options.get("left_box", g.BOX)

@@ -32,23 +32,31 @@ def meets(a, b):
     return a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]
 
 
-@pytest.mark.parametrize("rows_per_cell", [8, 4096])
-@pytest.mark.parametrize("cell", [37.0, 400.0])
-def test_pairs_equal_brute_force(spark, rows_per_cell, cell):
+@pytest.mark.parametrize("cell", [0.5, 37.0, 400.0, 1e6])
+def test_pairs_equal_brute_force(spark, cell):
     left, right = boxes(1, 200, 30), boxes(2, 150, 60)
     want = sorted((a[0], b[0]) for a in left for b in right if meets(a, b))
-    got = sj.intersecting_pairs(frame(spark, left, "lid"), frame(spark, right, "rid", "r_"), cell, right_box=RIGHT_BOX, rows_per_cell=rows_per_cell)
+    got = sj.intersecting_pairs(frame(spark, left, "lid"), frame(spark, right, "rid", "r_"), cell, right_box=RIGHT_BOX)
     assert sorted((r["lid"], r["rid"]) for r in got.select("lid", "rid").collect()) == want
 
 
-def test_hot_cells_are_cut(spark):
-    points = [(i, 500 + (i % 50) * 0.02, 500 + (i // 50) * 0.02) for i in range(1000)]
-    df = spark.createDataFrame(points, "lid int, x double, y double")
-    lhs, rhs, on = sj._gridded(df, df.withColumnsRenamed({"x": "px", "y": "py"}), 100.0, ("x", "y", "x", "y"), ("px", "py", "px", "py"), [], True, 64)
-    fullest = lhs.groupBy(*on).count().agg(F.max("count")).first()[0]
-    assert on == ["_level", "_fx", "_fy"]
-    assert fullest < 1000
-    assert lhs.count() == rhs.count() == 1000
+def test_crowded_cells_and_one_huge_box(spark):
+    """20,000 places of several houses each and a country: a few rows per box, few candidates beyond the pairs."""
+    houses = spark.range(80_000).select(
+        F.col("id").alias("lid"), (F.col("id") % 200 * 100 + F.floor(F.col("id") / 20_000) * 3).cast("double").alias("xmin"), (F.floor(F.col("id") / 200) % 100 * 100.0).alias("ymin")
+    ).select("*", (F.col("xmin") + 8).alias("xmax"), (F.col("ymin") + 8).alias("ymax"))
+    country = spark.createDataFrame([(-1, -1e6, -1e6, 3e6, 2e6)], "lid long, xmin double, ymin double, xmax double, ymax double")
+    left = houses.union(country)
+    right = left.withColumnsRenamed({"lid": "rid", **{s: f"r_{s}" for s in ("xmin", "ymin", "xmax", "ymax")}})
+    lhs, rhs, on = sj._gridded(left, right, 10_000.0, ("xmin", "ymin", "xmax", "ymax"), RIGHT_BOX, [])
+    assert lhs.count() < 5 * left.count() and rhs.count() < 5 * left.count()
+    candidates = lhs.join(rhs, on).count()
+    pairs = sj.intersecting_pairs(left, right, 10_000.0, right_box=RIGHT_BOX)
+    found = pairs.count()
+    # each house meets the other three of its place and itself (8 m wide, 3 m apart: all but the farthest), the country all
+    assert found == sum(1 for a in range(4) for b in range(4) if abs(a - b) * 3 <= 8) * 20_000 + 2 * 80_000 + 1
+    assert candidates < 8 * found
+    assert pairs.select("lid", "rid").distinct().count() == found
 
 
 def test_semi_anti_and_flag(spark):
@@ -68,7 +76,7 @@ def test_equality_keys_restrict_pairs(spark):
     l = frame(spark, left, "lid").withColumn("k", F.col("lid") % 3)
     r = frame(spark, right, "rid", "r_").withColumn("k", F.col("rid") % 3)
     want = sorted((a[0], b[0]) for a in left for b in right if meets(a, b) and a[0] % 3 == b[0] % 3)
-    got = sj.intersecting_pairs(l, r, 80.0, right_box=RIGHT_BOX, keys=["k"], rows_per_cell=4)
+    got = sj.intersecting_pairs(l, r, 80.0, right_box=RIGHT_BOX, keys=["k"])
     assert sorted((x["lid"], x["rid"]) for x in got.collect()) == want
 
 
