@@ -14,7 +14,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from terraloom.llm.text import slices
+from terraloom.llm.text import bounded, slices
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 32 << 20
@@ -36,7 +36,7 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield _block(number, held)
 
-    return docs.mapInArrow(pack, "block long, content binary")
+    return bounded(docs).mapInArrow(pack, "block long, content binary")
 
 
 def _block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.text import row_wise
+from terraloom.llm.text import bounded, row_wise
 
 #: Characters of a text that are encoded at once.
 PIECE_CHARS = 1 << 16
@@ -76,7 +76,7 @@ def encoded(docs: DataFrame, ranks: str) -> DataFrame:
         own = codec(ranks)
         return pa.array([own.encode(text or "") for text in column.to_pylist()], pa.list_(pa.int32()))
 
-    return docs.select("doc_id", encode(F.col("text").cast("string")).alias("ids"))
+    return bounded(docs).select("doc_id", encode(F.col("text").cast("string")).alias("ids"))
 
 
 def decoded(tokens: DataFrame, ranks: str) -> DataFrame:
@@ -87,7 +87,7 @@ def decoded(tokens: DataFrame, ranks: str) -> DataFrame:
         own = codec(ranks)
         return pa.array([own.decode(ids or []) for ids in column.to_pylist()], pa.binary())
 
-    return tokens.select("doc_id", decode("ids").alias("bytes"))
+    return bounded(tokens).select("doc_id", decode("ids").alias("bytes"))
 
 
 def round_trip_digests(docs: DataFrame, ranks: str, with_ids: bool = False) -> DataFrame:
@@ -108,4 +108,4 @@ def round_trip_digests(docs: DataFrame, ranks: str, with_ids: bool = False) -> D
 
         return row_wise(column, work, list(fields))
 
-    return docs.select("doc_id", digest(F.col("text").cast("string")).alias("_d")).select("doc_id", "_d.*")
+    return bounded(docs).select("doc_id", digest(F.col("text").cast("string")).alias("_d")).select("doc_id", "_d.*")

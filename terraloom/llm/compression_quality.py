@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.text import row_wise
+from terraloom.llm.text import bounded, row_wise
 
 SAMPLE_ROWS = 4000
 SAMPLE_TEXT_BYTES = 1 << 16
@@ -130,4 +130,4 @@ def scored(docs: DataFrame, model: Model, keep: tuple[Column | str, ...] = ("doc
         parts = row_wise(column, lambda texts: [model.scores([(t or "").encode() for t in texts.to_pylist()])], ["score"])
         return parts.field("score")
 
-    return docs.select(*keep, score(F.col("text").cast("string")).alias("score"))
+    return bounded(docs).select(*keep, score(F.col("text").cast("string")).alias("score"))

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.llm.text import bounded
+
 WINDOW = 13
 #: A document is contaminated when at least one word in so many is hit.
 SHARE = 20
@@ -111,7 +113,7 @@ def _scanner(name: str, k: int, patterns) -> Scanner:
 
 def found_in(text: Column, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Column:
     """What the benchmark's windows hit in ``text``: words, hit words, runs of hit words, items, spans of characters."""
-    context = benchmark.sparkSession.sparkContext
+    context = bounded(benchmark).sparkSession.sparkContext
     held = [context.broadcast(patterns) for patterns in blocks(benchmark, block_bytes)]
     name = uuid.uuid4().hex
 

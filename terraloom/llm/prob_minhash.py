@@ -127,7 +127,7 @@ def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:
 
         return tx.row_wise(column, work, ["k1", "k2", "n_shingles", "bands"])
 
-    return docs.select("doc_id", sign(F.col("text").cast("string")).alias("_s")).select("doc_id", "_s.*")
+    return tx.bounded(docs).select("doc_id", sign(F.col("text").cast("string")).alias("_s")).select("doc_id", "_s.*")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, weighted: bool) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.llm import text as tx
-from terraloom.llm.text import row_wise
+from terraloom.llm.text import bounded, row_wise
 from terraloom.session import cut_lineage
 
 MIN_WORDS = 50
@@ -92,7 +92,7 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
     def counts(column: pa.Array) -> pa.Array:
         return row_wise(column, count_text, [c.split()[0] for c in COUNTS.split(", ")])
 
-    counted = docs.select(*keep, counts(F.col("text").cast("string")).alias("_counts")).select(*keep, "_counts.*")
+    counted = bounded(docs).select(*keep, counts(F.col("text").cast("string")).alias("_counts")).select(*keep, "_counts.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 

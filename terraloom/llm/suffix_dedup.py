@@ -123,6 +123,7 @@ def _sample_tuples(group: pa.Table) -> pa.Table:
         return _table(TUPLE, place=np.zeros(0, np.int64))
     found = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
     _, first = np.unique(tx.mix(found["inner"]) ^ found["outer"], return_index=True)
+    first.sort()  # in the order of the texts, tuples pack closer
     again = np.ones(len(found["place"]), dtype=bool)
     again[first] = False
     gone = _joined(found["place"][again], found["span"][again])

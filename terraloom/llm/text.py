@@ -11,10 +11,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Bytes of text handled by numpy at once; a longer single text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of a batch between Spark and a Python worker; one row may be larger.
+BATCH_BYTES = 8 << 20
 #: White space that parts words: space and the control characters 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -24,9 +25,13 @@ _VALUES = tuple(np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uin
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def plain(docs: DataFrame, *columns: str) -> DataFrame:
-    """``doc_id``, ``text`` and the named columns alone, so no other column can clash with a computed one."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns)
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose batches to Python are no larger than ``BATCH_BYTES``, so that a worker's memory is bounded."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(setting).rstrip("b")) <= BATCH_BYTES:
+        conf.set(setting, str(BATCH_BYTES))
+    return docs
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.text import row_wise
+from terraloom.llm.text import bounded, row_wise
 
 #: Offset of ranks in the Zipf-Mandelbrot law.
 RANK_SHIFT = 2.7
@@ -100,4 +100,4 @@ def counted(docs: DataFrame, ranks: str) -> DataFrame:
 
         return row_wise(column, work, ["n_pretokens", "n_tokens", "log_probability"])
 
-    return docs.select("doc_id", count(F.col("text").cast("string")).alias("_c")).select("doc_id", "_c.*")
+    return bounded(docs).select("doc_id", count(F.col("text").cast("string")).alias("_c")).select("doc_id", "_c.*")

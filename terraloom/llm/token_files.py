@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terraloom.llm import simple8b
-from terraloom.llm.text import slices
+from terraloom.llm.text import bounded, slices
 
 #: Ids after which a block is closed; documents are not cut.
 BLOCK_IDS = 1 << 16
@@ -186,7 +186,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None)
             yield _block(part, number, first, names, ids)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path)
 
 
