@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from terraloom.llm.text import bounded, slices
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -44,7 +44,7 @@ def _block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     table = pa.Table.from_batches(held).combine_chunks()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
-    content = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+    content = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([content], pa.binary())], names=["block", "content"])
 
 

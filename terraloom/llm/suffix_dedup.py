@@ -41,7 +41,6 @@ REACH = MATCH - GRAM + 1
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F)
 TUPLE = "block long, outer long, inner long, doc_id long, place long, span int, lead int"
-PIECES = f"{TUPLE}, windows binary"
 FINDING = "block long, place long, span int, lead int"
 _ORDER = ("outer", "inner", "doc_id", "block", "place")
 #: ``lead`` of a finding: this stretch of windows is to be removed. Others: bytes from the first window to the sample.
@@ -91,7 +90,8 @@ def _joined(place: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _table(schema: str, **columns) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    """Columns of the schema from arrays or single values; 0 where none is given."""
+    kinds = {"long": pa.int64(), "int": pa.int32()}
     fields = [c.split() for c in schema.split(", ")]
     n = len(columns["place"])
     arrays = []
@@ -99,16 +99,13 @@ def _table(schema: str, **columns) -> pa.Table:
         value = columns.get(name, 0)
         if isinstance(value, np.ndarray) and value.dtype == np.uint64:
             value = value.view(np.int64)
-        if value is None:
-            arrays.append(pa.nulls(n, kinds[kind]))
-        else:
-            arrays.append(value if isinstance(value, pa.Array) else pa.array(np.broadcast_to(value, n), kinds[kind]))
+        arrays.append(pa.array(np.broadcast_to(value, n), kinds[kind]))
     return pa.Table.from_arrays(arrays, names=[name for name, _ in fields])
 
 
 def _carried(schema: str, block: int, place: np.ndarray, span: np.ndarray) -> pa.Table:
     """Findings on their way through a sort, dealt evenly."""
-    return _table(schema, block=block, outer=tx.mix(place.view(np.uint64)), place=place, span=span, lead=REMOVED, windows=None)
+    return _table(schema, block=block, outer=tx.mix(place.view(np.uint64)), place=place, span=span, lead=REMOVED)
 
 
 def _sample_tuples(group: pa.Table) -> pa.Table:
@@ -118,6 +115,7 @@ def _sample_tuples(group: pa.Table) -> pa.Table:
     for base, piece in row_slices(table):
         found = sampled(*tx.buffers(piece.column("text")))
         found["place"] = ((found.pop("row") + base) << 32) | found.pop("at")
+        found["span"], found["lead"] = found["span"].astype(np.int32), found["lead"].astype(np.int32)
         parts.append(found)
     if not parts:
         return _table(TUPLE, place=np.zeros(0, np.int64))
@@ -169,25 +167,24 @@ def _findings(part: pa.RecordBatch, lead: int | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, leads], names=["block", "place", "span", "lead"])
 
 
-def _scan_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2: later tuples' windows go; those with another coverage beside them come back for induction."""
     for part, kind in _sorted_scan(batches):
         yield _findings(part, None if kind == "shared" else REMOVED)
 
 
-def _piece_tuples(key: tuple, texts: pa.Table, findings: pa.Table) -> pa.Table:
-    """Step 3 for a block: its open samples as pieces of windows; findings so far are carried on."""
+def _induced(texts: pa.Table, findings: pa.Table, step) -> pa.Table:
+    """Step 3 for a block: what is open as tuples of a shorter ``step``; findings so far are carried on."""
     if not texts.num_rows or not findings.num_rows:
-        return _table(PIECES, place=np.zeros(0, np.int64))
+        return _table(TUPLE, place=np.zeros(0, np.int64))
     block, table = texts.column("block")[0].as_py(), unpacked(texts.column("content")[0].as_py())
     place, span, lead = (findings.column(c).to_numpy() for c in ("place", "span", "lead"))
     order = np.argsort(place, kind="stable")
     place, span, lead = place[order], span[order].astype(np.int64), lead[order].astype(np.int64)
     gone = lead == REMOVED
-    out = [_carried(PIECES, block, *_joined(place[gone], span[gone]))]
+    out = [_carried(TUPLE, block, *_joined(place[gone], span[gone]))]
     place, span, lead = place[~gone], span[~gone], lead[~gone]
-    row = place >> 32
-    doc_ids = ids(table)
+    row, doc_ids = place >> 32, ids(table)
     wanted = np.unique(row)
     at = 0
     for _, piece in row_slices(table.select(["text"]).take(wanted).combine_chunks()) if len(wanted) else ():
@@ -196,50 +193,36 @@ def _piece_tuples(key: tuple, texts: pa.Table, findings: pa.Table) -> pa.Table:
         offsets, data = tx.buffers(piece.column(0))
         mine = slice(*np.searchsorted(row, [rows[0], rows[-1] + 1]))
         base = offsets[np.searchsorted(rows, row[mine])]
-        out.append(_pieces(data, base, place[mine], span[mine], lead[mine], block, doc_ids))
+        # One entry per window: its start in the text's row and in the data, and the bytes to its sample.
+        k = np.arange(span[mine].sum()) - np.repeat(np.cumsum(span[mine]) - span[mine], span[mine])
+        places, leads = np.repeat(place[mine], span[mine]) + k, np.repeat(lead[mine], span[mine]) - k
+        tuples = step(data, np.repeat(base, span[mine]) + (places & 0xFFFFFFFF), places, leads, k == 0)
+        out.append(_table(TUPLE, block=block, doc_id=doc_ids[tuples["place"] >> 32], **tuples))
     return pa.concat_tables(out)
 
 
-def _pieces(data, base, place, span, lead, block, doc_ids) -> pa.Table:
-    k = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-    place, lead, base = np.repeat(place, span) + k, np.repeat(lead, span) - k, np.repeat(base, span)
+def _common(hashed: tx.SpanHash, start: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Key of the bytes that all windows of a window's piece have in common."""
+    left = lead // PIECE * PIECE
+    begin = start + lead - left
+    return tx.mix(hashed(begin, begin + (MATCH - PIECE + 1)) + left.astype(np.uint64) * _K3)
+
+
+def _as_pieces(data: np.ndarray, start: np.ndarray, place: np.ndarray, lead: np.ndarray, fresh: np.ndarray) -> dict[str, np.ndarray]:
+    """Pieces of windows, by their common prefix and by all bytes that their windows cover."""
     number = lead // PIECE
-    fresh = (k == 0) | (number != np.concatenate(([0], number[:-1])))
-    first = np.flatnonzero(fresh)
-    length = np.diff(np.append(first, len(k)))
-    start = base + (place & 0xFFFFFFFF)
-    hashed, second = tx.SpanHash(data), tx.SpanHash(data, 1)
-    windows = second(start, start + MATCH)
-    left = number[first] * PIECE
-    common = start[first] + lead[first] - left
-    outer = tx.mix(hashed(common, common + (MATCH - PIECE + 1)) + left.astype(np.uint64) * _K3)
-    inner = tx.mix(hashed(start[first], start[first] + length + (MATCH - 1)) + lead[first].astype(np.uint64) * _K1 + length.astype(np.uint64) * _K2)
-    ends = pa.py_buffer((np.append(first, len(k)) * 8).astype(np.int32).tobytes())
-    packed_windows = pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(windows.tobytes())])
-    return _table(
-        PIECES, block=block, outer=outer, inner=inner, doc_id=doc_ids[place[first] >> 32], place=place[first], span=length, lead=lead[first], windows=packed_windows
-    )
-
-
-def _scan_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Later pieces' windows go; the windows of pieces that share their common prefix are tuples of their own."""
-    names = [c.split()[0] for c in TUPLE.split(", ")]
-    for part, kind in _sorted_scan(batches):
-        if kind == "carried":
-            yield part.select(names)
-        elif kind == "later":
-            place = part.column("place").to_numpy()
-            gone = _table(
-                TUPLE, block=part.column("block"), outer=tx.mix(place.view(np.uint64)), place=place, span=part.column("span"), lead=REMOVED
-            )
-            yield from gone.to_batches()
-        else:
-            span = part.column("span").to_numpy().astype(np.int64)
-            k = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-            _, windows = tx.buffers(part.column("windows"))
-            each = {c: np.repeat(part.column(c).to_numpy(), span) for c in ("block", "outer", "doc_id", "place")}
-            each["place"] = each["place"] + k
-            yield from _table(TUPLE, inner=windows.view(np.int64), span=1, lead=0, **each).to_batches()
+    first = np.flatnonzero(fresh | (number != np.concatenate(([0], number[:-1]))))
+    span = np.diff(np.append(first, len(place)))
+    start, place, lead = start[first], place[first], lead[first]
+    hashed = tx.SpanHash(data)
+    inner = tx.mix(hashed(start, start + span + (MATCH - 1)) + lead.astype(np.uint64) * _K1 + span.astype(np.uint64) * _K2)
+    return {"place": place, "span": span, "lead": lead, "outer": _common(hashed, start, lead), "inner": inner}
+
+
+def _as_windows(data: np.ndarray, start: np.ndarray, place: np.ndarray, lead: np.ndarray, fresh: np.ndarray) -> dict[str, np.ndarray]:
+    """Single windows, by the common prefix of their piece and by their own bytes."""
+    inner = tx.SpanHash(data, 1)(start, start + MATCH)
+    return {"place": place, "span": np.ones(len(place), np.int64), "lead": lead, "outer": _common(tx.SpanHash(data), start, lead), "inner": inner}
 
 
 def _scan_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +231,8 @@ def _scan_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _findings(part, REMOVED)
 
 
-def _removals(key: tuple, texts: pa.Table, findings: pa.Table, names: list[str]) -> pa.Table:
-    """Every row of a block with the bytes that are kept and the removed spans."""
+def _removals(texts: pa.Table, findings: pa.Table, names: list[str], as_text: bool) -> pa.Table:
+    """Every row of a block with the bytes that are kept, or the text that they hold, and the removed spans."""
     table = unpacked(texts.column("content")[0].as_py())
     place, span = findings.column("place").to_numpy(), findings.column("span").to_numpy()
     order = np.argsort(place)
@@ -275,13 +258,14 @@ def _removals(key: tuple, texts: pa.Table, findings: pa.Table, names: list[str])
             edges = np.concatenate(([0], np.column_stack((a, b)).reshape(-1), [len(own)]))
             kept.append(b"".join(own[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2], strict=True)))
             spans.append(edges[1:-1].tolist())
+    left = pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
     result = table.select(names)
-    return result.append_column("kept", pa.array(kept, pa.binary())).append_column("spans", pa.array(spans, pa.list_(pa.int32())))
+    return result.append_column("kept", left).append_column("spans", pa.array(spans, pa.list_(pa.int32())))
 
 
-def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES, as_text: bool = False) -> DataFrame:
     """The columns of ``docs`` but ``text``, with the ``kept`` bytes (null for a null text) and the removed ``spans``
-    of bytes (flat pairs)."""
+    of bytes (flat pairs). ``as_text``: what is kept as a string, in which a character that loses bytes goes whole."""
     names = [c for c in docs.columns if c != "text"]
     texts = packed(docs.withColumn("text", F.col("text").cast("string")), block_bytes)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -290,28 +274,25 @@ def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         return tuples.repartition(parts, *dealt_by).sortWithinPartitions(*_ORDER)
 
     def with_texts(findings: DataFrame, work, schema: str) -> DataFrame:
-        return texts.groupBy("block").cogroup(findings.groupBy("block")).applyInArrow(work, schema)
+        return texts.groupBy("block").cogroup(findings.groupBy("block")).applyInArrow(lambda _, left, right: work(left, right), schema)
 
     samples = texts.groupBy("block").applyInArrow(_sample_tuples, TUPLE)
-    findings = in_order(samples, "outer").mapInArrow(_scan_samples, FINDING)
-    pieces = with_texts(findings, _piece_tuples, PIECES)
-    windows = in_order(pieces, "outer").mapInArrow(_scan_pieces, TUPLE)
+    findings = in_order(samples, "outer").mapInArrow(_scan_open, FINDING)
+    pieces = with_texts(findings, lambda left, right: _induced(left, right, _as_pieces), TUPLE)
+    findings = in_order(pieces, "outer").mapInArrow(_scan_open, FINDING)
+    windows = with_texts(findings, lambda left, right: _induced(left, right, _as_windows), TUPLE)
     found = in_order(windows, "outer", "inner").mapInArrow(_scan_windows, FINDING)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{n}`") for n in names)).schema.fields)
-    return with_texts(found, lambda key, left, right: _removals(key, left, right, names), f"{kinds}, kept binary, spans array<int>")
+    schema = f"{kinds}, kept {'string' if as_text else 'binary'}, spans array<int>"
+    return with_texts(found, lambda left, right: _removals(left, right, names, as_text), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the text that is left, and its length in ``n_chars`` if there is such a column; no row goes.
 
-    A character that loses some of its bytes goes whole. A null text stays null.
+    A null text stays null.
     """
-
-    @F.arrow_udf(returnType="string")
-    def decode(kept: pa.Array) -> pa.Array:
-        return pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
-
-    left = deduplicated(docs).withColumn("text", decode("kept"))
+    left = deduplicated(docs, as_text=True).withColumnRenamed("kept", "text")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))
