@@ -88,7 +88,7 @@ fixture(
 fixture("fx_workspace", "SELECT lower(n_name) AS workspace, n_nationkey AS nation FROM {nation}")
 fixture(
     "fx_nation_layer",
-    """SELECT lower(n_name) AS workspace, CASE WHEN c_acctbal > 9000 THEN 'vector' ELSE 'raster' END AS kind,
+    """SELECT lower(n_name) AS workspace, CASE WHEN c_custkey % 3 = 0 THEN 'vector' ELSE 'raster' END AS kind,
               lower(c_name) AS layer_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
 )
 

@@ -2,7 +2,6 @@
 
 import json
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,12 +9,11 @@ from ..functions import geometry as g
 
 from ..operators import boundary
 from ..plans import ingest, scenario
-from ..session import scratch_root
 from ..sources import features, tables, vector_files, waterways
 from ..streaming import requests as stream
 from . import fixtures  # noqa: F401
-from .registry import query
-from .series_queries import inflows, scratch
+from .registry import query, scratch, scratch_database
+from .series_queries import inflows
 from .shapes import COAST, FACING, coast, inverse_sql
 
 PAGE = 300
@@ -166,13 +164,6 @@ def src15(fx):
 # ---------------------------------------------------------------- tables
 
 
-def scratch_database(fx):
-    """A database in the shared scratch folder."""
-    name = f"terraloom_{uuid.uuid4().hex[:12]}"
-    fx.spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch_root(fx.spark)}/{name}'")
-    return name
-
-
 @query("snk1_replaced_table", "SELECT asset_id, xmin FROM fx_asset")
 def snk1(fx):
     table = f"{scratch_database(fx)}.layer"

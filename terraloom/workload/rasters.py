@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..operators import raster
+from ..sources import tables
 from . import fixtures  # noqa: F401
-from .registry import query
+from .registry import query, scratch, scratch_database
 
 
 @query("a4_max_depth", "SELECT raster_id, cx, cy, max(h) AS h FROM fx_cell GROUP BY raster_id, cx, cy")
@@ -12,9 +13,17 @@ def a4(fx):
     return raster.max_depth(fx("fx_cell"))
 
 
-@query("src17_raster_cells", "SELECT raster_id, count(*) AS n, max(t) AS last_t FROM fx_cell GROUP BY raster_id")
+@query(
+    "src17_raster_cells",
+    """SELECT false AS only_one, raster_id, cx, cy, x, y, t, h FROM fx_cell UNION ALL SELECT true, raster_id, cx, cy, x, y, t, h FROM fx_cell WHERE raster_id = 3""",
+)
 def src17(fx):
-    return fx("fx_cell").groupBy("raster_id").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))
+    """Cells written as one folder per raster and read back, all of them and one raster alone."""
+    path = scratch(fx, "cells")
+    fx("fx_cell").repartition("raster_id", "cx").write.partitionBy("raster_id").parquet(path)
+    columns = ("only_one", "raster_id", "cx", "cy", "x", "y", "t", "h")
+    every = raster.read_cells(fx.spark, path).withColumn("only_one", F.lit(False)).select(*columns)
+    return every.unionByName(raster.read_cells(fx.spark, path, 3).withColumn("only_one", F.lit(True)).select(*columns))
 
 
 @query(
@@ -68,7 +77,11 @@ def j10(fx):
 
 @query("snk10_building_status", FLOODED.format(model="b.raster_id AS flood_model_id,"))
 def snk10(fx):
-    return raster.building_status(flagged(fx))
+    """Status rows appended to the stored table and read back."""
+    table = f"{scratch_database(fx)}.building_flood_status"
+    tables.create_if_absent(fx.spark, table, tables.BUILDING_STATUS_SCHEMA, ["flood_model_id"])
+    tables.append(raster.building_status(flagged(fx)), table)
+    return fx.spark.table(table).select("flood_model_id", "building_outline_id", "is_flooded")
 
 
 @query(

@@ -7,10 +7,13 @@ A fixture is one SQL text used by both engines. Placeholders: ``{table}`` names
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_root
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -58,6 +61,18 @@ class Reader:
         return self.spark.sql(sql, **{table: self(table) for table in used})
 
 
+def scratch(fx: Reader, name: str) -> str:
+    """A new path in the shared scratch folder."""
+    return f"{scratch_root(fx.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_database(fx: Reader) -> str:
+    """A new database in the shared scratch folder."""
+    name = f"terraloom_{uuid.uuid4().hex[:12]}"
+    fx.spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch_root(fx.spark)}/{name}'")
+    return name
+
+
 def _spark_text(sql: str) -> str:
     sql = re.sub(r"\{each:(\w+):([^}]*)\}", r"LATERAL VIEW explode(array(\2)) each_\1 AS \1", sql)
     return re.sub(

@@ -9,7 +9,7 @@ from ..operators import spatial_join as sj
 from ..sources import instructions as ins
 from ..sources import tables
 from . import fixtures  # noqa: F401
-from .registry import query
+from .registry import query, scratch_database
 
 FIELDS = ", ".join(ins.FIELDS)
 BASE_URL = "https://maps.example.org"
@@ -277,11 +277,36 @@ def j7(fx):
 
 @query(
     "snk4_cache_entries",
-    """SELECT flood_model_id, '{"confidence":"' || confidence || '","year":' || year || '}' AS options_key FROM fx_cache""",
+    """SELECT flood_model_id, '{"confidence":"' || confidence || '","year":' || year || '}' AS options_key,
+         xmin::DOUBLE AS xmin, ymin::DOUBLE AS ymin, xmax::DOUBLE AS xmax, ymax::DOUBLE AS ymax, true AS is_dated,
+         count(*) OVER () AS distinct_ids, 1 AS least_id, count(*) OVER () AS greatest_id FROM fx_cache""",
 )
 def snk4(fx):
+    """Entries stored in the cache table, as read back from it."""
     first, _ = cache_rows(fx)
-    return cache.entries(fx("fx_cache").withColumn("scenario_options", first)).select("flood_model_id", "options_key")
+    table = f"{scratch_database(fx)}.cache"
+    results = fx("fx_cache").withColumn("scenario_options", first).select("flood_model_id", "scenario_options", *g.BOX)
+    cache.store(fx.spark, results, table)
+    stored = fx.spark.table(table)
+    ids = stored.agg(F.count_distinct("unique_id").alias("distinct_ids"), F.min("unique_id").alias("least_id"), F.max("unique_id").alias("greatest_id"))
+    return stored.select("flood_model_id", "options_key", *g.BOX, F.col("created_at").isNotNull().alias("is_dated")).join(F.broadcast(ids))
+
+
+@query(
+    "j7_stored_cache_lookup",
+    """SELECT q.request_id, count(c.flood_model_id) > 0 AS is_held
+       FROM fx_cache_request q LEFT JOIN fx_cache c ON c.year = q.year AND c.confidence = q.confidence
+            AND c.xmin <= q.xmin AND c.ymin <= q.ymin AND q.xmax <= c.xmax AND q.ymax <= c.ymax
+       GROUP BY q.request_id""",
+)
+def j7_stored(fx):
+    """Whether j7 over the stored cache finds a model; entries stored at one time win by ids that storing gives."""
+    first, second = cache_rows(fx)
+    table = f"{scratch_database(fx)}.cache"
+    held = fx("fx_cache").withColumn("scenario_options", F.when(F.col("unique_id") % 2 == 0, first).otherwise(second))
+    cache.store(fx.spark, held.select("flood_model_id", "scenario_options", *g.BOX), table)
+    found = cache.lookup_table(fx.spark, fx("fx_cache_request").withColumn("scenario_options", first), table, 20_000.0)
+    return found.select("request_id", F.col("flood_model_id").isNotNull().alias("is_held"))
 
 
 VECTOR_JSON = (
@@ -317,9 +342,14 @@ def snk13(fx):
 
 @query(
     "snk14_workspace_layers",
-    """SELECT w.workspace, coalesce(string_agg(l.layer_name, ',' ORDER BY l.layer_name), '') AS layers
-       FROM fx_workspace w LEFT JOIN fx_nation_layer l ON l.workspace = w.workspace AND l.kind = 'vector' GROUP BY w.workspace""",
+    """SELECT w.workspace, k.kind, coalesce(string_agg(l.layer_name, ',' ORDER BY l.layer_name), '') AS layers
+       FROM fx_workspace w CROSS JOIN (SELECT unnest(['vector', 'raster']) AS kind) k
+       LEFT JOIN fx_nation_layer l ON l.workspace = w.workspace AND l.kind = k.kind GROUP BY w.workspace, k.kind""",
 )
 def snk14(fx):
-    listed = catalog.workspace_layers(fx("fx_workspace").select("workspace"), fx("fx_nation_layer"), "vector")
-    return listed.select("workspace", F.array_join("layers", ",").alias("layers"))
+    """All layers of both kinds; a workspace's list is one row by the catalogue's format."""
+    kinds = [
+        catalog.workspace_layers(fx("fx_workspace").select("workspace"), fx("fx_nation_layer"), kind).withColumn("kind", F.lit(kind))
+        for kind in ("vector", "raster")
+    ]
+    return kinds[0].unionByName(kinds[1]).select("workspace", "kind", F.array_join("layers", ",").alias("layers"))

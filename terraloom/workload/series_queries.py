@@ -1,25 +1,18 @@
 """Rainfall, sea level, tide and river-flow series, and their files."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import overlay, rainfall, river_flow, tide
 from ..operators import spatial_join as sj
-from ..session import scratch_root
 from ..sources import forcing, rainfall_text, sea_level
 from . import fixtures  # noqa: F401
-from .registry import query
+from .registry import query, scratch
 from .shapes import CLIPPED, areas, squares
 
 STORM, PEAK, STEP = 1440, 1000, 10
 
 
-def scratch(fx, name):
-    return f"{scratch_root(fx.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- duration tables
 
 
@@ -338,17 +331,17 @@ def p8(fx):
 
 @query(
     "src13_sea_level_points",
-    "SELECT point_id, year, rise, 'POINT (' || x || ' ' || y || ')' AS wkt FROM fx_slr WHERE add_vlm",
+    "SELECT point_id, year, rise, add_vlm, 'POINT (' || x || ' ' || y || ')' AS wkt FROM fx_slr",
 )
 def src13(fx):
     """Projected points survive the round trip through geographic coordinates, to the metre."""
     from ..functions.projection import to_geographic
 
     lon, lat = to_geographic(F.col("x"), F.col("y"))
-    rows = fx("fx_slr").filter("add_vlm").select("point_id", "year", "rise", lon.alias("lon"), lat.alias("lat"))
+    rows = fx("fx_slr").select("point_id", "year", "rise", "add_vlm", lon.alias("lon"), lat.alias("lat"))
     placed = sea_level.with_points(rows)
     wkt = g.to_wkt(g.point_geometry(F.round("x"), F.round("y")))
-    return placed.select("point_id", "year", "rise", wkt.alias("wkt"))
+    return placed.select("point_id", "year", "rise", "add_vlm", wkt.alias("wkt"))
 
 
 @query("src14_measurement_parts", "SELECT point_id, year, ssp_scenario, confidence_level, add_vlm, percentile FROM fx_slr")
@@ -424,9 +417,14 @@ def inflows(fx):
     return fx("fx_inflow").select("objectid", "x", "y", "note", flow.alias("H_C18_MAF"), *(value.alias(name) for name, value in bounds))
 
 
-@query("p10_cleaned_inflows", "SELECT objectid, x, y, f::DOUBLE AS flow_maf, (f * 5 - 1)::DOUBLE AS flow_5_y_lower, (f * 1000 + 1)::DOUBLE AS flow_1000_y_upper FROM fx_inflow")
+ALL_FLOWS = ", ".join(
+    f"(f * {ari} + {shift})::DOUBLE AS flow_{ari}_y{suffix}" for ari in river_flow.RETURN_PERIODS for suffix, shift in (("_lower", -1), ("", 0), ("_upper", 1))
+)
+
+
+@query("p10_cleaned_inflows", f"SELECT objectid, x, y, f::DOUBLE AS flow_maf, {ALL_FLOWS} FROM fx_inflow")
 def p10(fx):
-    return river_flow.cleaned(inflows(fx)).select("objectid", "x", "y", "flow_maf", "flow_5_y_lower", "flow_1000_y_upper")
+    return river_flow.cleaned(inflows(fx))
 
 
 @query("p9_return_periods", "SELECT DISTINCT ari FROM fx_inflow CROSS JOIN (SELECT unnest([5, 10, 20, 50, 100, 1000]) AS ari) a")
