@@ -382,9 +382,8 @@ def intersects(a: Column | str, b: Column | str) -> Column:
 def contains(outer: Column | str, inner: Column | str) -> Column:
     """Polygon ``outer`` contains ``inner``: every vertex is covered and no edge leaves it.
 
-    An edge leaves when it properly crosses an outer edge or when its midpoint lies outside. For an outer
-    ring with a reflex vertex touching an inner edge twice this is an approximation of the exact relation;
-    rectangles and convex rings are exact.
+    An edge leaves when it properly crosses an outer edge, or when some stretch of it between two outer vertices
+    that lie on it runs outside; so notches that an edge spans from tip to tip are found.
     """
     go, gi = _c(outer), _c(inner)
 
@@ -393,13 +392,31 @@ def contains(outer: Column | str, inner: Column | str) -> Column:
             _orient(t["a"], t["b"], s["a"]) * _orient(t["a"], t["b"], s["b"]) < 0
         )
 
-    def midpoint(s: Column) -> Column:
-        return point((s["a"]["x"] + s["b"]["x"]) / 2.0, (s["a"]["y"] + s["b"]["y"]) / 2.0)
+    def stretches_inside(so: Column, s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+
+        def on_edge(p: Column) -> Column:
+            within_x = (p["x"] >= F.least(a["x"], b["x"])) & (p["x"] <= F.greatest(a["x"], b["x"]))
+            within_y = (p["y"] >= F.least(a["y"], b["y"])) & (p["y"] <= F.greatest(a["y"], b["y"]))
+            return within_x & within_y & (_orient(a, b, p) == 0)
+
+        def along(p: Column) -> Column:
+            return F.when(F.abs(dx) >= F.abs(dy), (p["x"] - a["x"]) / dx).otherwise((p["y"] - a["y"]) / dy)
+
+        ends = F.array(F.lit(0.0), F.lit(1.0))
+        cuts = F.array_sort(F.concat(ends, F.transform(F.filter(so, lambda o: on_edge(o["a"])), lambda o: along(o["a"]))))
+
+        def middle(c: Column, i: Column) -> Column:
+            t = (F.get(c, i - 1) + F.get(c, i)) / 2.0
+            return point(a["x"] + dx * t, a["y"] + dy * t)
+
+        return let(cuts, lambda c: F.forall(F.sequence(F.lit(1), F.size(c) - 1), lambda i: let(middle(c, i), lambda m: _covered(so, m))))
 
     def test(go: Column, gi: Column, so: Column, si: Column) -> Column:
         return (
             F.forall(F.flatten(F.flatten(gi["parts"])), lambda p: _covered(so, p))
-            & F.forall(si, lambda s: let(midpoint(s), lambda m: _covered(so, m)))
+            & F.forall(si, lambda s: stretches_inside(so, s))
             & ~F.exists(si, lambda s: F.exists(so, lambda t: proper_cross(s, t)))
         )
 

@@ -130,3 +130,12 @@ def test_text_helpers(spark):
     assert len({r[0] for r in json_rows.select(text.canonical_json(F.col("j"))).collect()}) == 1
     crs = spark.createDataFrame([("urn:ogc:def:crs:EPSG::2193",), ("EPSG:4326",), ("urn:ogc:def:crs:EPSG:9.8:27200",), ("WGS84",)], "c string")
     assert [r[0] for r in crs.select(text.parse_epsg(F.col("c"))).collect()] == [2193, 4326, 27200, None]
+
+
+def test_contains_with_notches(spark):
+    """A line across a comb's notches leaves it; one below them, or along a tooth, does not."""
+    comb = "POLYGON ((0 0, 12 0, 12 10, 9 10, 8 5, 7 10, 6 10, 3 10, 2 5, 1 10, 0 10, 0 0))"
+    lines = {"LINESTRING (0.5 10, 11 10)": False, "LINESTRING (0.5 4, 11 4)": True, "LINESTRING (3 10, 6 10)": True, "LINESTRING (1 5, 11 5)": True, "LINESTRING (1 6, 11 6)": False}
+    frame = spark.createDataFrame([(comb, wkt) for wkt in lines], "a string, b string")
+    got = {r["b"]: r["c"] for r in frame.select("b", g.contains(g.from_wkt("a"), g.from_wkt("b")).alias("c")).collect()}
+    assert got == lines
