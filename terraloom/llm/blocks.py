@@ -14,7 +14,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from terraloom.llm.text import bounded, slices
+from terraloom.llm.text import bounded, release_memory, slices
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -50,6 +50,7 @@ def _block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def unpacked(content: bytes) -> pa.Table:
     """The rows of a block in ascending order of ``doc_id``, nulls first; equal ids as they were read."""
+    release_memory()
     with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(content)) as reader:
         table = reader.read_all()
     return table.take(np.argsort(ids(table), kind="stable")).combine_chunks()

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.text import bounded
+from terraloom.llm.text import bounded, release_memory
 
 WINDOW = 13
 #: A document is contaminated when at least one word in so many is hit.
@@ -142,6 +142,8 @@ def found_in(text: Column, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
             pa.array([sorted(i) for i in items], pa.list_(pa.string())),
             pa.array([original_spans(t, r) if r else [] for t, r in zip(texts, runs, strict=True)], ints),
         ]
+        del texts, lines
+        release_memory()
         return pa.StructArray.from_arrays(fields, names=["n_words", "n_hit", "runs", "items", "spans"])
 
     return scan(text.cast("string"))

@@ -6,6 +6,7 @@ per byte, so every span of a batch costs two look-ups; equality of long spans is
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _VALUES = tuple(np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (17, 29))
+_LIBC = ctypes.CDLL(None)
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -105,6 +107,14 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker process lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def row_wise(column: pa.Array, work: Callable[[pa.Array], list], names: list[str]) -> pa.Array:
     """``work`` over pieces of a text column; its lists of values become the fields of one struct array."""
     parts = []
@@ -114,4 +124,7 @@ def row_wise(column: pa.Array, work: Callable[[pa.Array], list], names: list[str
     if not parts:
         empty = pa.array([], type=column.type)
         return pa.StructArray.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in work(empty)], names=names)
-    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+    out = parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+    del parts
+    release_memory()
+    return out
