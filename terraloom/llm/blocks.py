@@ -25,20 +25,26 @@ def packed(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``block`` (a number) and ``content`` (its rows, with all columns of ``docs``; one of them is ``text``)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            for piece in slices(batch):
-                held.append(piece)
-                size += piece.column("text").nbytes
-                if size >= block_bytes:
-                    yield _block(number, held)
-                    number, held, size = number + 1, [], 0
-        if held:
+        for number, held in numbered(batches, block_bytes):
             yield _block(number, held)
 
     return bounded(docs).mapInArrow(pack, "block long, content binary")
 
 
+def numbered(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The blocks of a task's rows: number and pieces."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        for piece in slices(batch):
+            held.append(piece)
+            size += piece.column("text").nbytes
+            if size >= block_bytes:
+                yield number, held
+                number, held, size = number + 1, [], 0
+    if held:
+        yield number, held
+
+
 def _block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
     table = pa.Table.from_batches(held).combine_chunks()

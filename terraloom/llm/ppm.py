@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm import text as tx
-from terraloom.llm.blocks import BLOCK_BYTES, packed, row_slices, unpacked
+from terraloom.llm.blocks import BLOCK_BYTES, numbered, packed, row_slices, unpacked
 from terraloom.session import cut_lineage
 
 ORDER = 4
@@ -124,9 +124,8 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     return row[filled.to_numpy(zero_copy_only=False)], flat.filter(filled).dictionary_encode()
 
 
-def _count_block(content: bytes, block: int, order: int) -> pa.RecordBatch:
+def _count_block(table: pa.Table, block: int, order: int) -> pa.RecordBatch:
     """What occurs in a block: every gram and word with its count in training texts (0: only in others)."""
-    table = unpacked(content)
     train = table.column("train").to_numpy().astype(bool)
     codes, counts = [], []
     for base, piece in row_slices(table):
@@ -213,11 +212,11 @@ def scored(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int
     texts = packed(rows, block_bytes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, content in zip(batch.column("block").to_pylist(), batch.column("content"), strict=True):
-                yield _count_block(content.as_py(), block, order)
+        for block, held in numbered(batches, block_bytes):
+            yield _count_block(pa.Table.from_batches(held), block, order)
+            tx.release_memory()
 
-    counted = cut_lineage(texts.mapInArrow(count, "block long, gram long, word binary, count long"))
+    counted = cut_lineage(rows.mapInArrow(count, "block long, gram long, word binary, count long"))
     grams, words = counted.filter("gram is not null").drop("word"), counted.filter("word is not null").drop("gram")
     distinct = cut_lineage(grams.groupBy("gram").agg(F.sum("count").alias("count")))
     lengths = cut_lineage(code_lengths(distinct, order))
