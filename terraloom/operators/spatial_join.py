@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from ..session import cut_lineage
 
 #: A level's cells are so many times as wide as those of the level below; ``cell_size`` is the width at level 0.
 LEVEL_FACTOR = 4.0
@@ -204,13 +205,18 @@ class Pyramid:
     """
 
     def __init__(self, probes: DataFrame, points: DataFrame, point_id: str, keys: Sequence[str] = ()):
-        """``probes`` and ``points`` have columns ``x, y`` (and ``keys``)."""
+        """``probes`` and ``points`` have columns ``x, y`` (and ``keys``).
+
+        The distinct points are written once; all statistics and candidates come from that table.
+        """
         self.keys = list(keys)
         self.point_id = point_id
-        self.points = points.groupBy(
-            *self.keys, F.col("x").cast("double").alias("_rx"), F.col("y").cast("double").alias("_ry")
-        ).agg(F.min(point_id).alias(point_id))
-        self.size, self.levels = _pyramid_shape(probes, points, self.keys)
+        self.points = cut_lineage(
+            points.groupBy(*self.keys, F.col("x").cast("double").alias("_rx"), F.col("y").cast("double").alias("_ry")).agg(
+                F.min(point_id).alias(point_id)
+            )
+        )
+        self.size, self.levels = _pyramid_shape(probes, self.points.withColumnsRenamed({"_rx": "x", "_ry": "y"}), self.keys)
 
     def cell(self, value: Column, level: Column) -> Column:
         return F.floor(value / (F.lit(self.size) * F.pow(F.lit(2.0), level))).cast("long")
@@ -287,6 +293,7 @@ def nearest(
     """
     probes = left.select(*keys, left_id, *(F.col(c).cast("double").alias(n) for c, n in zip(left_xy, "xy", strict=True)))
     points = right.select(*keys, right_id, *(F.col(c).cast("double").alias(n) for c, n in zip(right_xy, "xy", strict=True)))
+    probes = cut_lineage(probes)
     pyramid = Pyramid(probes, points, right_id, keys)
     wide = pyramid.with_level(probes, 1).withColumn("_k", F.col("_k") + 2)
     best = F.min_by(F.struct(right_id, "dist_sq"), F.struct("dist_sq", right_id))
@@ -323,16 +330,14 @@ def _pyramid_shape(probes: DataFrame, points: DataFrame, keys: Sequence[str]) ->
 
 
 def _extra_halvings(points: DataFrame, keys: Sequence[str], size: float) -> int:
-    """How often to halve the cells until even the densest holds few distinct points.
+    """How often to halve the cells until even the densest holds few of the (distinct) points.
 
     Points are counted once in the finest cells and the counts rolled up, so clusters meet no single task;
     one row per level reaches the driver.
     """
     step = size / 2.0**MAX_HALVINGS
     fullest = (
-        points.select(*keys, "x", "y")
-        .distinct()
-        .groupBy(*keys, F.floor(F.col("x") / step).alias("_cx"), F.floor(F.col("y") / step).alias("_cy"))
+        points.groupBy(*keys, F.floor(F.col("x") / step).alias("_cx"), F.floor(F.col("y") / step).alias("_cy"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(MAX_HALVINGS))))
         .withColumn("_wide", F.pow(F.lit(2.0), MAX_HALVINGS - F.col("_level")))
