@@ -117,13 +117,20 @@ def coverage_rows(registry: DataFrame, areas: DataFrame) -> DataFrame:
     )
 
 
-def log_coverage(store: Store, areas: DataFrame) -> None:
+def log_coverage(store: Store, areas: DataFrame, once: bool = False) -> None:
+    """Append the areas' rows. ``once``: an area's id is kept with its row, and an id that the log has is not logged again."""
+    if once:
+        logged = store.spark.table(store.coverage_log)
+        if "request_id" in logged.columns:
+            areas = areas.join(logged.select(F.col("request_id").alias("aoi_id")), "aoi_id", "left_anti")
     rows = coverage_rows(store.spark.table(store.registry), areas)
+    if once:
+        rows = areas.select(F.col("aoi_id").alias("request_id"), *g.BOX).join(rows.dropDuplicates(list(g.BOX)), list(g.BOX))
     numbered = tables.with_new_ids(rows, store.spark.table(store.coverage_log), "unique_id", list(g.BOX))
     tables.append(numbered, store.coverage_log)
 
 
-def ingest(store: Store, areas: DataFrame, fetch: Fetch, instruction_file: str | None = None, static_directory: str | None = None) -> None:
+def ingest(store: Store, areas: DataFrame, fetch: Fetch, instruction_file: str | None = None, static_directory: str | None = None, once: bool = False) -> None:
     """The whole load: registry, country layers, area layers, static files, coverage log."""
     store.prepare()
     instructions.store_instructions(store.spark, store.registry, instruction_file)
@@ -131,4 +138,4 @@ def ingest(store: Store, areas: DataFrame, fetch: Fetch, instruction_file: str |
     load_area_layers(store, areas, fetch)
     if static_directory is not None:
         vector_files.load_directory(store.spark, static_directory)
-    log_coverage(store, areas)
+    log_coverage(store, areas, once)

@@ -34,7 +34,7 @@ def handle_batch(store: Store, fetch: Fetch, handled_table: str, batch: DataFram
     """Ingest the requests not handled before, then record them.
 
     A replayed batch finds its requests recorded and adds nothing. If the job dies before recording, the
-    ingestion itself skips the features and areas it already has.
+    ingestion itself skips the features it already has, and the coverage log the requests it already has.
     """
     spark = store.spark
     tables.create_if_absent(spark, handled_table, HANDLED_SCHEMA)
@@ -43,7 +43,7 @@ def handle_batch(store: Store, fetch: Fetch, handled_table: str, batch: DataFram
     fresh = cut_lineage(fresh, spark)
     if fresh.isEmpty():
         return
-    ingest(store, areas_of(fresh), fetch)
+    ingest(store, areas_of(fresh), fetch, once=True)
     tables.append(fresh.select("request_id", F.lit(batch_id).cast("bigint").alias("batch_id")), handled_table)
 
 

@@ -46,3 +46,17 @@ def test_query_matches_check(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_replayed_requests_are_logged_once(spark):
+    """A job that dies after logging and before recording its requests logs them no second time."""
+    from terraloom.streaming import requests
+    from terraloom.workload.ingest_queries import asset_store
+    from terraloom.workload.registry import Reader
+
+    store, database, fetch = asset_store(Reader(spark, SF_DIR))
+    wkt = "POLYGON ((172.6 -43.6, 172.7 -43.6, 172.7 -43.5, 172.6 -43.5, 172.6 -43.6))"
+    batch = spark.createDataFrame([(1, wkt), (2, wkt)], "request_id bigint, wkt string")
+    for handled in ("first", "second"):
+        requests.handle_batch(store, fetch, f"{database}.{handled}", batch, 0)
+    assert sorted(r["request_id"] for r in spark.table(store.coverage_log).collect()) == [1, 2]
