@@ -92,3 +92,24 @@ SELECT listed.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_
 FROM listed LEFT JOIN covered ON covered.doc_id = listed.id LEFT JOIN named ON named.doc_id = listed.id
 WHERE bench = 0
 """
+
+#: Every string of 100 bytes of the hexadecimal text, by its first start; removed stretches and what lies between.
+SUFFIX_DEDUP = """
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 200) AS s FROM raw, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS t(i)),
+again AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM again),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM spans
+  UNION ALL SELECT raw.doc_id, coalesce(max(b), 0), length(h) // 2 FROM raw LEFT JOIN spans USING (doc_id) GROUP BY raw.doc_id, length(h)
+),
+kept AS (
+  SELECT pieces.doc_id, string_agg(substr(h, CAST(2 * s + 1 AS BIGINT), CAST(2 * (e - s) AS BIGINT)), '' ORDER BY s) AS k, sum(e - s) AS n, count(*) - 1 AS n_spans
+  FROM pieces JOIN raw USING (doc_id) GROUP BY pieces.doc_id
+)
+SELECT raw.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(length(h) // 2 - n AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+  sha256(unhex(k)) AS kept_sha256
+FROM raw JOIN kept USING (doc_id)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terraloom.llm import bpe, compression_quality, decontamination, ppm, prob_minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files
-from terraloom.llm.oracles import DECONTAMINATION, QUALITY_RULES, SHARDING
+from terraloom.llm.oracles import DECONTAMINATION, QUALITY_RULES, SHARDING, SUFFIX_DEDUP
 from terraloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from terraloom.session import scratch_root
 
@@ -51,7 +51,7 @@ def op4_ppm_scores(spark, sf_dir):
     return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-@query("op5_suffix_dedup")
+@query("op5_suffix_dedup", SUFFIX_DEDUP)
 def op5_suffix_dedup(spark, sf_dir):
     """Bytes of every text that repeat an earlier string of 100 bytes, removed."""
     left = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
