@@ -35,7 +35,7 @@ from terraloom.llm import text as tx
 from terraloom.llm.blocks import BLOCK_BYTES, numbered, packed, row_slices, unpacked
 from terraloom.session import cut_lineage
 
-ORDER = 4
+ORDER = 5
 #: Bytes that UTF-8 never uses stand for the end and for what precedes a text.
 END, BEFORE = 0xFE, 0xFF
 #: Symbols that can be coded: all bytes but ``BEFORE``.

@@ -11,6 +11,9 @@ from terraloom.llm import ppm
 from terraloom.llm.queries import QUERIES
 from tests.llm.conftest import SF_DIR, make_texts
 
+#: A table large enough for contexts of five bytes.
+LARGE_DIR = "/root/testdata/sf0.1"
+
 
 def lower_words(text):
     return (text or "").encode().translate(ppm.LOWER).split() + [ppm.END_WORD]
@@ -76,3 +79,21 @@ def test_query(spark):
     texts, unseen = dict(rows), [r for r in got if r.held_out]
     bits = -sum(r.score for r in unseen) / math.log10(2) / sum(len(texts[r.doc_id].encode()) + 1 for r in unseen)
     assert bits < 3.5  # of 8 a byte
+
+
+def test_the_query_uses_contexts_of_five_bytes(spark):
+    # Only the fifth byte before it tells the last letter.
+    rows = [(k, ("a" if k % 2 else "b") + "wxyz" + ("1" if k % 2 else "2")) for k in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    trie = ppm.ContextTrie(5)
+    for k, t in rows:
+        if k >= 20:
+            trie.learn(t.encode())
+    got = {r.doc_id: r.score for r in ppm.scored(frame, F.col("doc_id") >= 20).collect()}
+    for k, t in rows:
+        assert got[k] == pytest.approx(trie.score(t.encode()), rel=1e-9)
+
+
+def test_held_out_texts_score_above_the_word_model(spark):
+    got = QUERIES["op4_ppm_scores"](spark, LARGE_DIR).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
