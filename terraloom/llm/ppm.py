@@ -14,25 +14,26 @@ Next to it the base: a unigram model of lower-cased words with one added to ever
 blocks in the same way.
 
 Defined results: a null text is empty (an end alone); without training texts all symbols are equally likely and
-no word is known; repeated rows are counted and scored each (``docs`` is read twice and must give the same rows in
-the same parts, as stored tables do; if it does not, the job fails); a null doc_id counts as the empty text in the split.
+no word is known; repeated rows are counted and scored each (``docs`` is read once, and counts and scores come from
+the same stored blocks); a null doc_id counts as the empty text in the split.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm import text as tx
-from terraloom.llm.blocks import BLOCK_BYTES, numbered, packed, row_slices, unpacked
+from terraloom.llm.blocks import BLOCK_BYTES, packed, row_slices, unpacked
 from terraloom.session import cut_lineage
 
 ORDER = 5
@@ -44,6 +45,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LOWER_BYTES = np.frombuffer(LOWER, dtype=np.uint8)
 #: The word that stands for a text's end.
 END_WORD = b""
+#: Findings that a task puts together before it sends them to their blocks.
+PARCEL_ROWS = 1 << 20
 
 
 class ContextTrie:
@@ -209,26 +212,28 @@ def scored(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int
     """Per document ``score`` (log10 probability of the whole text), and of the base: ``n_tokens``, ``n_known``,
     ``train_tokens`` and ``base_score``; ``train`` says which rows are learnt from."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    texts = packed(rows, block_bytes)
+    # Written once: a second scan of docs may be split otherwise, and its blocks would not fit the counts.
+    texts = cut_lineage(packed(rows, block_bytes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, held in numbered(batches, block_bytes):
-            yield _count_block(pa.Table.from_batches(held), block, order)
-            tx.release_memory()
+        for batch in batches:
+            for block, content in zip(batch.column("block").to_pylist(), batch.column("content"), strict=True):
+                yield _count_block(unpacked(content.as_buffer()), block, order)
+                tx.release_memory()
 
-    counted = cut_lineage(rows.mapInArrow(count, "block long, gram long, word binary, count long"))
+    counted = cut_lineage(texts.mapInArrow(count, "block long, gram long, word binary, count long"), compression="zstd")
     grams, words = counted.filter("gram is not null").drop("word"), counted.filter("word is not null").drop("gram")
     distinct = cut_lineage(grams.groupBy("gram").agg(F.sum("count").alias("count")))
     lengths = cut_lineage(code_lengths(distinct, order))
-    of_grams = grams.select("block", "gram").join(lengths, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("log10").alias("value"), F.lit(False).alias("fresh"))
+    of_grams = grams.select("block", "gram").join(lengths, "gram").select("block", "gram", "log10").mapInArrow(_parcels(_parcel), "block long, parcel binary")
     # A word has one row per block at most. The first block that has a known word counts it.
     same = Window.partitionBy("word")
     total = F.sum("count").over(same)
-    of_words = words.select(
-        "block", F.lit(None).cast("long").alias("gram"), "word", total.cast("double").alias("value"), ((F.min("block").over(same) == F.col("block")) & (total > 0)).alias("fresh")
-    )
+    of_words = words.select("block", "word", total.alias("total"), ((F.min("block").over(same) == F.col("block")) & (total > 0)).alias("fresh"))
+    of_words = of_words.mapInArrow(_parcels(_word_parcel), "block long, parcel binary")
+    findings = of_grams.withColumn("of_words", F.lit(False)).union(of_words.withColumn("of_words", F.lit(True)))
     schema = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, score double, fresh long"
-    found = texts.groupBy("block").cogroup(of_grams.union(of_words).groupBy("block")).applyInArrow(lambda key, left, right: _score_block(left, right, order), schema)
+    found = texts.groupBy("block").cogroup(findings.groupBy("block")).applyInArrow(lambda key, left, right: _score_block(left, right, order), schema)
     found = cut_lineage(found)
     sizes = found.agg(F.coalesce(F.sum("fresh"), F.lit(0)).alias("kinds")).join(
         counted.filter("word is not null").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("train_tokens"))
@@ -237,10 +242,73 @@ def scored(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int
     return found.join(F.broadcast(sizes)).select("doc_id", "train", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
 
 
+def _parcels(pack: Callable[[pa.Table], bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows with a ``block`` each block's rows together, as bytes by ``pack``."""
+
+    def parcelled(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        table = table.take(np.argsort(table.column("block").to_numpy(), kind="stable")).combine_chunks()
+        block = table.column("block").to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+        parcels = [pack(table.slice(a, b - a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]], pa.int64()), pa.array(parcels, pa.binary())], names=["block", "parcel"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= PARCEL_ROWS:
+                yield parcelled(held)
+                held, rows = [], 0
+                tx.release_memory()
+        if rows:
+            yield parcelled(held)
+            tx.release_memory()
+
+    return run
+
+
+def _parcel(table: pa.Table) -> bytes:
+    """Ascending grams as differences and code lengths by their kinds; like bytes stand together, which compresses well."""
+    gram, value = table.column("gram").to_numpy(), table.column("log10").to_numpy()
+    by_code = np.argsort(gram)
+    gram, value = gram[by_code], value[by_code]
+    which, kinds = pd.factorize(value)
+    steps = np.diff(gram, prepend=0).view(np.uint8).reshape(-1, 8).T
+    places = which.astype(np.int32).view(np.uint8).reshape(-1, 4).T
+    return len(gram).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(steps.tobytes() + places.tobytes() + kinds.tobytes())
+
+
+def _opened(parcel: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The grams and values of a :func:`_parcel`."""
+    n, content = int.from_bytes(parcel[:8], "little"), zstandard.ZstdDecompressor().decompress(parcel[8:])
+    steps = np.frombuffer(content, np.uint8, 8 * n).reshape(8, n).T.copy().view(np.int64)
+    which = np.frombuffer(content, np.uint8, 4 * n, 8 * n).reshape(4, n).T.copy().view(np.int32)
+    return np.cumsum(steps.reshape(-1)), np.frombuffer(content, np.float64, offset=12 * n)[which.reshape(-1)]
+
+
+def _word_parcel(table: pa.Table) -> bytes:
+    """Words with their totals, and whether the block is to count them."""
+    sink = pa.BufferOutputStream()
+    own = table.select(["word", "total", "fresh"]).combine_chunks()
+    with pa.ipc.new_stream(sink, own.schema) as writer:
+        writer.write_table(own)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def _opened_words(parcel: bytes) -> pa.Table:
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(parcel)) as reader:
+        return reader.read_all()
+
+
 def _score_block(texts: pa.Table, findings: pa.Table, order: int) -> pa.Table:
     table = unpacked(texts.column("content")[0].as_py())
-    of_grams, of_words = findings.filter(findings.column("gram").is_valid()), findings.filter(findings.column("word").is_valid())
-    codes, values = of_grams.column("gram").to_numpy(), of_grams.column("value").to_numpy()
+    own = list(zip(findings.column("parcel").to_pylist(), findings.column("of_words").to_pylist(), strict=True))
+    of_words = pa.concat_tables([_opened_words(p) for p, words in own if words])
+    parcels = [_opened(p) for p, words in own if not words]
+    codes, values = (np.concatenate(x) for x in zip(*parcels, strict=True)) if parcels else (np.zeros(0, np.int64), np.zeros(0))
+    del parcels, own
     by_code = np.argsort(codes)
     codes, values = codes[by_code], values[by_code]
     score = [np.zeros(0)]
@@ -252,9 +320,9 @@ def _score_block(texts: pa.Table, findings: pa.Table, order: int) -> pa.Table:
             raise ValueError("a block's findings do not fit its texts")
         score.append(np.bincount(row, weights=values[at][which], minlength=piece.num_rows))
     row, words = _words(_column(table))
-    known = of_words.column("word").combine_chunks()
+    known = pa.concat_arrays(of_words.column("word").chunks)
     at = pc.index_in(words.dictionary.cast(pa.binary()), value_set=known).to_numpy(zero_copy_only=False)
-    logs = np.log10(of_words.column("value").to_numpy() + 1)
+    logs = np.log10(of_words.column("total").to_numpy() + 1.0)
     own = logs[at.astype(np.int64)][words.indices.to_numpy()] if len(row) else np.zeros(0)
     end = float(logs[pc.index_in(pa.array([END_WORD], pa.binary()), value_set=known)[0].as_py()])
     rows = table.num_rows

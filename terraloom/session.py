@@ -50,13 +50,13 @@ def scratch_root(spark: SparkSession) -> str:
     return local
 
 
-def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame, spark: SparkSession | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back, in ``spark`` or the frame's own session.
 
     Unlike ``checkpoint()`` this computes the plan once, keeps the data columnar and gives the next round
-    true sizes, and it survives the loss of executors.
+    true sizes, and it survives the loss of executors. ``compression`` is the session's unless named.
     """
     spark = spark or df.sparkSession
     path = f"{scratch_root(spark)}/terraloom-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,8 @@
 """Distributed scores against the trie in one process, and the word model against plain counts."""
 
 import math
+import os
+import pathlib
 import zlib
 from collections import Counter
 
@@ -97,3 +99,25 @@ def test_the_query_uses_contexts_of_five_bytes(spark):
 def test_held_out_texts_score_above_the_word_model(spark):
     got = QUERIES["op4_ppm_scores"](spark, LARGE_DIR).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
+
+
+def test_blocks_fit_though_the_splits_change(spark, tmp_path):
+    # The rows come in other parts at every scan, as after the loss of an executor or from a shuffle.
+    rows = [(k, t) for k, t in enumerate(make_texts(seed=9, n=20)) if len(t or "") < 3000]
+    passes, mark = spark.sparkContext.accumulator(0), str(tmp_path)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def turned(batches):
+        passes.add(1)
+        turn = os.path.exists(f"{mark}/seen")
+        pathlib.Path(f"{mark}/seen").touch()
+        for b in batches:
+            yield b.take(list(range(b.num_rows))[::-1]) if turn else b
+
+    got = {r.doc_id: r.score for r in ppm.scored(frame.mapInArrow(turned, frame.schema), F.col("doc_id") % 5 != 2, 2, 3_000).collect()}
+    trie = ppm.ContextTrie(2)
+    for k, t in rows:
+        if k % 5 != 2:
+            trie.learn((t or "").encode())
+    assert passes.value == 1
+    assert got == pytest.approx({k: trie.score((t or "").encode()) for k, t in rows}, rel=1e-9)
