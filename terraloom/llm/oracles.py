@@ -1,13 +1,16 @@
 """Check SQL of the queries that SQL can express."""
 
 #: The table of the CRC's 256 remainders comes from its rule: eight steps of the reversed polynomial.
-SHARDING = """
-WITH RECURSIVE steps(b, k, r) AS (
+_REMAINDERS = """steps(b, k, r) AS (
   SELECT b, 0, b FROM range(256) t(b)
   UNION ALL
   SELECT b, k + 1, CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END FROM steps WHERE k < 8
 ),
 remainders AS (SELECT list(r ORDER BY b) AS t FROM steps WHERE k = 8),
+"""
+
+SHARDING = f"""
+WITH RECURSIVE {_REMAINDERS}
 raw AS (SELECT doc_id, coalesce(text, '') AS txt FROM documents),
 sized AS (
   SELECT doc_id, strlen(txt) + 1 AS size,
@@ -113,3 +116,76 @@ SELECT raw.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(length(h) //
   sha256(unhex(k)) AS kept_sha256
 FROM raw JOIN kept USING (doc_id)
 """
+
+#: Damage by key, faults, and backwards by turn the least (cost, edits, lines) to go from each of the four states.
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE {_REMAINDERS}
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations
+),
+dealt AS (
+  SELECT keyed.*, xor(list_reduce(
+      list_transform(range(strlen(k)), lambda i: CAST('0x' || substr(hex(encode(k)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+      lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) % 20 AS kind
+  FROM keyed, remainders
+),
+rows_left AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END AS txt,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM dealt WHERE kind <> 0
+),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY turn NULLS FIRST, copy) AS seen
+  FROM rows_left
+),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(txt, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2
+    WHEN NOT regexp_matches(txt, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+    substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS initial_before
+  FROM ordered
+),
+counted AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (i > 1 AND initial_before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+),
+togo AS (
+  SELECT conv_id, n + 1 AS i, {{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}} AS v0, {{'c': 10, 'a': 'II', 't': ['user:', 'assistant:']}} AS v1,
+    {{'c': 5, 'a': 'I', 't': ['assistant:']}} AS v2, {{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}} AS v3
+  FROM counted
+  UNION ALL
+  SELECT conv_id, i, list_min([b0, {{'c': 5 + v2.c, 'a': 'I' || v2.a, 't': ['user:'] || v2.t}}]), list_min([b1, {{'c': 5 + v2.c, 'a': 'I' || v2.a, 't': ['user:'] || v2.t}}]),
+    v2, list_min([b3, {{'c': 5 + v2.c, 'a': 'I' || v2.a, 't': ['user:'] || v2.t}}])
+  FROM (
+    SELECT conv_id, i, b0, b1, b3, list_min([b2, {{'c': 5 + b3.c, 'a': 'I' || b3.a, 't': ['assistant:'] || b3.t}}]) AS v2
+    FROM (
+      SELECT conv_id, i,
+        list_min([d0, u, CASE WHEN initial = 's' THEN {{'c': v1.c + more, 'a': 'K' || v1.a, 't': [line] || v1.t}} ELSE d0 END]) AS b0,
+        list_min([d1, u]) AS b1, list_min([d2, a]) AS b2, list_min([d3, u]) AS b3
+      FROM (
+        SELECT togo.conv_id, faulty.i, initial, v1, fault, role || ':' || txt AS line, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000000000 END AS more,
+          {{'c': 2 + v0.c, 'a': 'D' || v0.a, 't': v0.t}} AS d0, {{'c': 2 + v1.c, 'a': 'D' || v1.a, 't': v1.t}} AS d1,
+          {{'c': 2 + v2.c, 'a': 'D' || v2.a, 't': v2.t}} AS d2, {{'c': 2 + v3.c, 'a': 'D' || v3.a, 't': v3.t}} AS d3,
+          CASE WHEN initial = 'u' THEN {{'c': v2.c + more, 'a': 'K' || v2.a, 't': [line] || v2.t}}
+            ELSE {{'c': v2.c + more + 1, 'a': 'R' || v2.a, 't': ['user:' || txt] || v2.t}} END AS u,
+          CASE WHEN initial = 'a' THEN {{'c': v3.c + more, 'a': 'K' || v3.a, 't': [line] || v3.t}}
+            ELSE {{'c': v3.c + more + 1, 'a': 'R' || v3.a, 't': ['assistant:' || txt] || v3.t}} END AS a
+        FROM togo JOIN faulty ON faulty.conv_id IS NOT DISTINCT FROM togo.conv_id AND faulty.i = togo.i - 1
+      )
+    )
+  )
+),
+firsts AS (SELECT conv_id, v0 FROM togo WHERE i = 1)
+SELECT named.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(v0.c, 0) AS BIGINT) AS cost, coalesce(v0.a, '') AS audit,
+  sha256(coalesce(array_to_string(v0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) named
+LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM named.conv_id
+LEFT JOIN firsts ON firsts.conv_id IS NOT DISTINCT FROM named.conv_id
+"""
