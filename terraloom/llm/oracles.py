@@ -189,3 +189,28 @@ FROM (SELECT DISTINCT conv_id FROM conversations) named
 LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM named.conv_id
 LEFT JOIN firsts ON firsts.conv_id IS NOT DISTINCT FROM named.conv_id
 """
+
+DOCUMENT_TREE = r"""
+WITH texts AS (
+  SELECT 0 AS bench, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+),
+listed AS (
+  SELECT bench, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM texts
+),
+sizes AS (SELECT id AS doc_id, count(*) AS n FROM listed WHERE bench = 0 GROUP BY id),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+vectors AS (SELECT id AS doc_id, term, count(*) AS tf FROM listed WHERE bench = 0 GROUP BY id, term),
+items AS (SELECT DISTINCT id AS item_id, term FROM listed WHERE bench = 1),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM vectors, total GROUP BY term, n_docs
+),
+lengths AS (SELECT doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM sizes, total),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM items JOIN vectors USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terraloom.llm import bpe, compression_quality, conversation_repair, decontamination, ppm, prob_minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files
-from terraloom.llm.oracles import CONVERSATION_REPAIR, DECONTAMINATION, QUALITY_RULES, SHARDING, SUFFIX_DEDUP
+from terraloom.llm import bpe, compression_quality, conversation_repair, decontamination, document_tree, ppm, prob_minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files
+from terraloom.llm.oracles import CONVERSATION_REPAIR, DECONTAMINATION, DOCUMENT_TREE, QUALITY_RULES, SHARDING, SUFFIX_DEDUP
 from terraloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from terraloom.session import scratch_root
 
@@ -103,6 +103,12 @@ def op10_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+@query("op11_document_tree", DOCUMENT_TREE)
+def op11_document_tree(spark, sf_dir):
+    """The ten best documents of every benchmark item."""
+    return document_tree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_conversation_repair", CONVERSATION_REPAIR)
 def op13_conversation_repair(spark, sf_dir):
     """Faults, cheapest edits and the repaired lines of every conversation, of which about a quarter of the turns are damaged first."""
