@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terraloom.llm import bpe, compression_quality, conversation_repair, decontamination, document_tree, ppm, prob_minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files
+from terraloom.llm import bpe, compression_quality, conversation_repair, decontamination, document_tree, genetic_packing, ppm, prob_minhash, quality_rules, sharding, suffix_dedup, token_counts, token_files
 from terraloom.llm.oracles import CONVERSATION_REPAIR, DECONTAMINATION, DOCUMENT_TREE, QUALITY_RULES, SHARDING, SUFFIX_DEDUP
 from terraloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from terraloom.session import scratch_root
@@ -17,6 +17,7 @@ SHARDS = 8
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
+PACKED_END_ID = 0
 PREDICT_FROM = 0.3
 
 
@@ -109,6 +110,12 @@ def op11_document_tree(spark, sf_dir):
     return document_tree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_genetic_packing")
+def op12_genetic_packing(spark, sf_dir):
+    """Every document's pieces in sequences of at most 2048 tokens."""
+    return genetic_packing.packed(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PACKED_END_ID)
+
+
 @query("op13_conversation_repair", CONVERSATION_REPAIR)
 def op13_conversation_repair(spark, sf_dir):
     """Faults, cheapest edits and the repaired lines of every conversation, of which about a quarter of the turns are damaged first."""
