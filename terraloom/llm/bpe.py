@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with a local rank file.
 
-Long texts are cut where no match of the splitting pattern can run across: before a single space between two
-characters that are not white space. The pieces give the same ids as the whole text. Decoding goes back to raw
-bytes, so cuts inside a character do no harm.
+Long texts are cut where no match of the splitting pattern can run across: before the last character of a run of white
+space, which goes with what follows, and before and behind the rest of a long run, which is one match however long it
+is and is merged as such without the pattern. The pieces give the same ids as the whole text. Decoding goes back to
+raw bytes, so cuts inside a character do no harm.
 
-Defined results: a null text is empty and has no ids; repeated rows are encoded each.
+Defined results: a null text is empty and has no ids; repeated rows are encoded each; runs may be of any length.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from terraloom.llm.text import bounded, row_wise
 
 #: Characters of a text that are encoded at once.
 PIECE_CHARS = 1 << 16
-_SAFE_CUT = regex.compile(r"(?<=\S) (?=\S)")
+#: White space of which so many characters follow each other is not given to the pattern, whose stack it would exhaust.
+LONG_RUN = 1 << 12
+_SAFE_CUT = regex.compile(r"\p{White_Space}(?=\P{White_Space})")
+_LONG_RUN = regex.compile(r"\p{White_Space}{%d,}+" % LONG_RUN)
 _loaded: dict[str, "Codec"] = {}
 
 
@@ -42,24 +46,34 @@ class Codec:
         if len(text) <= PIECE_CHARS:
             return self._encoding.encode_ordinary(text)
         ids: list[int] = []
-        for piece in pieces(text):
-            ids += self._encoding.encode_ordinary(piece)
+        for piece, whole in pieces(text):
+            ids += self._encoding._encode_single_piece(piece) if whole else self._encoding.encode_ordinary(piece)
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return self._encoding.decode_bytes(ids)
 
 
-def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
-    """``text`` cut at the first safe place after every ``size`` characters."""
+def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, bool]]:
+    """``text`` cut around long runs of white space and at the first safe place after every ``size`` characters; each
+    piece with whether it is one match."""
     start = 0
-    while len(text) - start > size:
-        cut = _SAFE_CUT.search(text, start + size)
+    for run in _LONG_RUN.finditer(text):
+        yield from ((piece, False) for piece in _between(text, start, run.start(), size))
+        start = run.end() - (run.end() < len(text))
+        yield text[run.start() : start], True
+    yield from ((piece, False) for piece in _between(text, start, len(text), size))
+
+
+def _between(text: str, start: int, end: int, size: int) -> Iterator[str]:
+    while end - start > size:
+        cut = _SAFE_CUT.search(text, start + size, end)
         if cut is None:
             break
         yield text[start : cut.start()]
         start = cut.start()
-    yield text[start:]
+    if end > start:
+        yield text[start:end]
 
 
 def codec(path: str) -> Codec:

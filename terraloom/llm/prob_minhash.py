@@ -12,7 +12,8 @@ every pair of a bucket is compared or already in one class, yet no pair is a row
 
 Shingles are five words, words are runs without white space; a text of one to four words is one shingle.
 Defined results: equal texts are one class, also wordless ones; a null text is a class of its own; a null doc_id
-takes the class of an equal text or none; repeated rows each get their class.
+takes the class of an equal text or none; repeated rows each get their class; of rows with equal doc_ids and different
+texts each has the class of its text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.llm import text as tx
@@ -47,7 +48,7 @@ def shingles(offsets: np.ndarray, data: np.ndarray, size: int = SHINGLE_WORDS) -
     """Row, hash and number of occurrences of every distinct shingle, by row."""
     rows = len(offsets) - 1
     row, start, end = tx.words(offsets, data)
-    word = tx.SpanHash(data)(start, end)
+    word = tx.SoundSpanHash(data)(start, end)
     count = np.bincount(row, minlength=rows)
     first = np.concatenate(([0], np.cumsum(count)))[:-1]
     begin = np.flatnonzero(np.arange(len(row)) + size <= (first + count)[row]) if len(row) else np.zeros(0, np.int64)
@@ -102,15 +103,16 @@ def band_keys(taken: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def text_keys(offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
-    """Two independent hashes of every whole text."""
-    return [tx.SpanHash(data, kind)(offsets[:-1], offsets[1:]).view(np.int64) + (offsets[1:] - offsets[:-1]) for kind in (0, 1)]
+def text_keys() -> list[Column]:
+    """``k1`` and ``k2``: the first 128 bits of the digest of a whole text, null for a null text."""
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    return [F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(name) for at, name in ((1, "k1"), (17, "k2"))]
 
 
 def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """``doc_id``, the text's keys (null for a null text), its number of shingles and its band keys."""
 
-    @F.arrow_udf(returnType="k1 long, k2 long, n_shingles int, bands array<long>")
+    @F.arrow_udf(returnType="n_shingles int, bands array<long>")
     def sign(column: pa.Array) -> pa.Array:
         def work(texts: pa.Array) -> list:
             offsets, data = tx.buffers(texts)
@@ -118,22 +120,21 @@ def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:
             row, shingle, times = shingles(offsets, data)
             taken = registers(row, shingle, times.astype(float) if weighted else np.ones(len(row)), rows)
             keys = pa.array(band_keys(taken).reshape(-1), pa.int64())
-            null = texts.is_null().to_numpy(zero_copy_only=False)
             return [
-                *(pa.array(k, pa.int64(), mask=null) for k in text_keys(offsets, data)),
                 pa.array(np.bincount(row, minlength=rows), pa.int32()),
                 pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), keys),
             ]
 
-        return tx.row_wise(column, work, ["k1", "k2", "n_shingles", "bands"])
+        return tx.row_wise(column, work, ["n_shingles", "bands"])
 
-    return tx.bounded(docs).select("doc_id", sign(F.col("text").cast("string")).alias("_s")).select("doc_id", "_s.*")
+    texts = tx.bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts.select("doc_id", *text_keys(), sign("text").alias("_s")).select("doc_id", "k1", "k2", "_s.*")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, weighted: bool) -> DataFrame:
-    """``id`` and ``shingles`` (sorted hashes, with counts if weighted) of the texts of ``wanted``: ``id, k1, k2``."""
+    """``id`` and ``shingles`` (sorted hashes, with counts if weighted) of the texts of ``wanted``: ``id, doc_id, k1, k2``."""
 
-    @F.arrow_udf(returnType="k1 long, k2 long, shingles binary")
+    @F.arrow_udf(returnType="shingles binary")
     def sets(column: pa.Array) -> pa.Array:
         def work(texts: pa.Array) -> list:
             offsets, data = tx.buffers(texts)
@@ -145,14 +146,15 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, weighted: bool) -> DataFra
                 np.concatenate((shingle[a:b], times[a:b])).tobytes() if weighted else shingle[a:b].tobytes()
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True)
             ]
-            return [*(pa.array(k, pa.int64()) for k in text_keys(offsets, data)), pa.array(packed, pa.binary())]
+            return [pa.array(packed, pa.binary())]
 
-        return tx.row_wise(column, work, ["k1", "k2", "shingles"])
+        return tx.row_wise(column, work, ["shingles"])
 
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    found = texts.join(wanted.select("id", F.col("k1").alias("own1"), F.col("k2").alias("own2")), "id")
-    found = found.select("id", "own1", "own2", sets("text").alias("_s"))
-    return found.filter("own1 = _s.k1 and own2 = _s.k2").select("id", "_s.shingles")
+    keys = ["doc_id", "k1", "k2"]
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").select("*", *text_keys())
+    # Repeated rows of one document are met once more here than once; one of them is as good as all.
+    found = texts.join(wanted, keys).select("id", *keys, sets("text").alias("_s"))
+    return found.groupBy("id", *keys).agg(F.any_value("_s.shingles").alias("shingles")).select("id", "shingles")
 
 
 def similarity(a: bytes, b: bytes, weighted: bool) -> float:
@@ -255,28 +257,42 @@ def _shared_counts(left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, l
     return shared, sizes
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """``doc_id``, ``text_id`` (least doc_id of an equal text) and ``class_id`` (least doc_id of the class) of every document."""
+def _named(docs: DataFrame, threshold: float, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``doc_id, k1, k2``, and every distinct text's keys with its least ``doc_id``, the least one of its
+    class (``class_id``), and whether it stands for its class (``first``)."""
     rows = cut_lineage(signed(docs, weighted))
-    texts = cut_lineage(
+    texts = (
         rows.filter("k1 is not null and doc_id is not null")
         .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
     )
+    # A number of its own for every text, as several texts may have one doc_id; written once, so that it stays.
+    texts = cut_lineage(texts.withColumn("id", F.monotonically_increasing_id()))
     spread = texts.filter("n_shingles > 0").select("id", F.explode("bands").alias("bucket"))
     buckets = spread.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut_lineage(spread.join(buckets.drop("n"), "bucket"))
-    sets = _shingle_sets(docs, members.select("id").distinct().join(texts.select("id", "k1", "k2"), "id"), weighted)
-    sets = cut_lineage(sets)
+    wanted = members.select("id").distinct().join(texts.select("id", "doc_id", "k1", "k2"), "id")
+    sets = cut_lineage(_shingle_sets(docs, wanted, weighted))
     stars = cut_lineage(members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
     edges = cut_lineage(linked(stars, sets, threshold, weighted))
     found = cut_lineage(components(edges))
     more = cut_lineage(_across(stars, found, sets, threshold, weighted))
     if not more.isEmpty():
         found = cut_lineage(components(edges.union(more)))
-    named = texts.select("k1", "k2", F.col("id").alias("text_id")).join(found.withColumnRenamed("id", "text_id"), "text_id", "left")
-    named = named.select("k1", "k2", "text_id", F.coalesce("component", "text_id").alias("class_id"))
-    return rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left").select(
+    own = texts.select("k1", "k2", "doc_id", "id")
+    linked_texts = own.join(found, "id")
+    least = linked_texts.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("least"))
+    own = own.join(cut_lineage(found.join(least, "component").select("id", "least")), "id", "left")
+    return rows.select("doc_id", "k1", "k2"), own.select(
+        "k1", "k2", "doc_id", F.coalesce("least.doc_id", "doc_id").alias("class_id"), F.coalesce(F.col("least.id") == F.col("id"), F.lit(True)).alias("first")
+    )
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+    """``doc_id``, ``text_id`` (least doc_id of an equal text) and ``class_id`` (least doc_id of the class) of every document."""
+    rows, texts = _named(docs, threshold, weighted)
+    named = texts.select("k1", "k2", F.col("doc_id").alias("text_id"), "class_id")
+    return rows.join(named, ["k1", "k2"], "left").select(
         "doc_id", F.coalesce("text_id", "doc_id").alias("text_id"), F.coalesce("class_id", "doc_id").alias("class_id")
     )
 
@@ -284,8 +300,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weighted: bool = Fals
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without all but one document of each class, with all their columns.
 
-    Rows without a doc_id cannot be told apart; all of them stay.
+    What stays is the text that comes first in its class, by doc_id, under its least doc_id; of rows equal in doc_id
+    and text one stays. A text that is in no class with others stays also if its doc_id is that of other texts. Rows
+    without a doc_id cannot be told apart; all of them stay.
     """
-    kept = cut_lineage(classes(docs, threshold).filter("doc_id = class_id").select("doc_id").distinct())
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return named.union(docs.filter("doc_id is null"))
+    _, texts = _named(docs, threshold, weighted=False)
+    first = cut_lineage(texts.filter("first").select("doc_id", "k1", "k2"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    keyed = docs.select(whole, "doc_id", F.col("text").cast("string").alias("text")).select("_row", "doc_id", *text_keys())
+    named = keyed.join(first, ["doc_id", "k1", "k2"], "left_semi")
+    nulls = keyed.filter("k1 is null and doc_id is not null")
+    kept = named.unionByName(nulls).dropDuplicates(["doc_id", "k1", "k2"])
+    return kept.unionByName(keyed.filter("doc_id is null")).select("_row.*")

@@ -38,7 +38,7 @@ def count_text(column: pa.Array) -> list[np.ndarray]:
     offsets, data = tx.buffers(column)
     rows = len(offsets) - 1
     row, start, end = tx.words(offsets, data)
-    span = tx.SpanHash(data)
+    span = tx.SoundSpanHash(data)
     word = np.concatenate(([0], np.cumsum(~tx.SPACE[data])))
     chars = tx.per_row(~tx.SPACE[data] & ((data & 0xC0) != 0x80), offsets)
     return [
@@ -50,7 +50,7 @@ def count_text(column: pa.Array) -> list[np.ndarray]:
     ]
 
 
-def _repeated_lines(offsets: np.ndarray, data: np.ndarray, span: tx.SpanHash, word: np.ndarray, rows: int) -> np.ndarray:
+def _repeated_lines(offsets: np.ndarray, data: np.ndarray, span: tx.SoundSpanHash, word: np.ndarray, rows: int) -> np.ndarray:
     breaks = np.flatnonzero(data == 10)
     start = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
     row = np.searchsorted(offsets, start, side="right") - 1

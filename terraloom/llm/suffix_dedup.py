@@ -14,8 +14,8 @@ agree and which of them comes first.
    first as pieces of ``PIECE`` windows (the key is the prefix common to all of a piece's windows), then as single
    windows. Each step keeps only tuples that share their common prefix with another one.
 
-Findings return to the texts by block. No step holds more than a block of texts or a batch of tuples; texts are
-compared by two independent 64-bit hashes of the bytes.
+Findings return to the texts by block; the blocks are written once, so that they are the same in every step. No step
+holds more than a block of texts or a batch of tuples; texts are compared by 64-bit hashes of the bytes.
 
 Defined results: a null text has no bytes; shorter texts than ``MATCH`` lose nothing; a null doc_id precedes all
 others; of rows with equal ids the one read first precedes; an empty table gives an empty result.
@@ -29,9 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraloom.llm import text as tx
 from terraloom.llm.blocks import BLOCK_BYTES, ids, packed, row_slices, unpacked
+from terraloom.session import cut_lineage
 
 MATCH = 100
 GRAM = 32
@@ -265,9 +267,10 @@ def _removals(texts: pa.Table, findings: pa.Table, names: list[str], as_text: bo
 
 def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES, as_text: bool = False) -> DataFrame:
     """The columns of ``docs`` but ``text``, with the ``kept`` bytes (null for a null text) and the removed ``spans``
-    of bytes (flat pairs). ``as_text``: what is kept as a string, in which a character that loses bytes goes whole."""
+    of bytes (flat pairs); they may not have these two names. ``as_text``: what is kept as a string, in which a
+    character that loses bytes goes whole."""
     names = [c for c in docs.columns if c != "text"]
-    texts = packed(docs.withColumn("text", F.col("text").cast("string")), block_bytes)
+    texts = cut_lineage(packed(docs.withColumn("text", F.col("text").cast("string")), block_bytes))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def in_order(tuples: DataFrame, *dealt_by: str) -> DataFrame:
@@ -282,8 +285,8 @@ def deduplicated(docs: DataFrame, block_bytes: int = BLOCK_BYTES, as_text: bool
     findings = in_order(pieces, "outer").mapInArrow(_scan_open, FINDING)
     windows = with_texts(findings, lambda left, right: _induced(left, right, _as_windows), TUPLE)
     found = in_order(windows, "outer", "inner").mapInArrow(_scan_windows, FINDING)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{n}`") for n in names)).schema.fields)
-    schema = f"{kinds}, kept {'string' if as_text else 'binary'}, spans array<int>"
+    kinds = [T.StructField(n, docs.schema[n].dataType) for n in names]
+    schema = T.StructType([*kinds, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("spans", T.ArrayType(T.IntegerType()))])
     return with_texts(found, lambda left, right: _removals(left, right, names, as_text), schema)
 
 
@@ -292,7 +295,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A null text stays null.
     """
-    left = deduplicated(docs, as_text=True).withColumnRenamed("kept", "text")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    left = deduplicated(docs.select("doc_id", "text", row), as_text=True)
+    own = {"text": F.col("kept").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+        own["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return left.select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

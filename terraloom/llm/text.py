@@ -1,7 +1,7 @@
 """Helpers for text columns inside Arrow batches: buffers, words, and hashes of any span of a batch.
 
 All hashes are 64-bit and depend on content only. A span's hash is a polynomial over random 64-bit values
-per byte, so every span of a batch costs two look-ups; equality of long spans is decided on two such hashes.
+per byte, so every span of a batch costs two look-ups; equality of spans of any length is decided on sound ones.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _VALUES = tuple(np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (17, 29))
+#: The prime field of a second polynomial, and its bases.
+_PRIME, _FIELD_BASES = np.uint64((1 << 31) - 1), (1_117_695_901, 798_330_367)
 _LIBC = ctypes.CDLL(None)
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -89,6 +91,42 @@ class SpanHash:
         return mix((self._sums[end] - self._sums[start]) * self._down[start])
 
 
+def _field_powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(max(n, 1), dtype=np.uint64)
+    done = 1
+    while done < n:
+        step = np.uint64(pow(base, done, int(_PRIME)))
+        out[done : 2 * done] = out[: min(done, n - done)] * step % _PRIME
+        done *= 2
+    return out
+
+
+class SoundSpanHash(SpanHash):
+    """Hashes of spans of any length, for deciding equality.
+
+    Polynomials modulo 2^64 agree for some long texts whatever their base (a Thue-Morse word and its complement); a
+    second polynomial over a prime field tells those apart.
+    """
+
+    _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, data: np.ndarray, kind: int = 0):
+        super().__init__(data, kind)
+        size = max(len(data) + 1, SLICE_BYTES + (SLICE_BYTES >> 1))
+        up, self._field_down = self._tables.get(kind, (np.zeros(0, np.uint64),) * 2)
+        if len(up) < size:
+            base = _FIELD_BASES[kind]
+            up, self._field_down = (_field_powers(b, size) for b in (base, pow(base, -1, int(_PRIME))))
+            if size <= SLICE_BYTES * 2:
+                self._tables[kind] = (up, self._field_down)
+        self._field = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((_VALUES[kind] % _PRIME)[data] * up[: len(data)] % _PRIME, out=self._field[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        field = (self._field[end] - self._field[start]) % _PRIME * self._field_down[start] % _PRIME
+        return mix(super().__call__(start, end) ^ field * np.uint64(_BASES[0]))
+
+
 def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, start and end of every word; words never run across rows."""
     inside = ~SPACE[data]

@@ -4,7 +4,7 @@ import pytest
 
 SF_DIR = "/root/testdata/sf0.001"
 #: Columns whose names clash with computed ones.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, n_words long, ids string, block string, k1 string, score string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, n_words long, ids string, block string, k1 string, score string, kept boolean, spans string"
 
 
 def make_texts(seed=5, n=60):
@@ -42,8 +42,8 @@ def texts():
 @pytest.fixture(scope="session")
 def docs(spark, texts):
     """Documents in no order, with a null id and a wholly repeated row."""
-    rows = [(k, t, "en", f"src{k % 3}", len(t or ""), 7, 7, 7, "x", "x", "x", "x") for k, t in enumerate(texts)]
-    rows.append((None, "a text without an id " * 5, None, None, None, None, None, None, None, None, None, None))
+    rows = [(k, t, "en", f"src{k % 3}", len(t or ""), 7, 7, 7, "x", "x", "x", "x", True, "x") for k, t in enumerate(texts)]
+    rows.append((None, "a text without an id " * 5, None, None, None, None, None, None, None, None, None, None, None, None))
     rows.append(rows[3])
     random.Random(1).shuffle(rows)
     return spark.createDataFrame(rows, SCHEMA).repartition(3)

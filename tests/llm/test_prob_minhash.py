@@ -11,6 +11,7 @@ from terraloom.llm import prob_minhash
 from terraloom.llm import text as tx
 from terraloom.llm.graph import components
 from tests.llm.conftest import SF_DIR, make_texts
+from tests.llm.test_rowwise import thue_morse
 
 
 def shingle_set(text):
@@ -119,3 +120,22 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 2000), (2000, 1500)], "a long, b long")
     got = {r.id: r.component for r in components(edges).collect()}
     assert got == {**dict.fromkeys(range(n + 1), 0), 1000: 1000, 2000: 1000, 1500: 1000}
+
+
+def test_unlike_texts_with_equal_polynomials(spark):
+    """A Thue-Morse word and its complement stay two texts, alone and beside an equal word."""
+    one, two = thue_morse(12)
+    frame = spark.createDataFrame([(1, one), (2, two), (3, f"{one} x"), (4, f"{two} x"), (5, one)], "doc_id long, text string")
+    assert {r.doc_id: (r.text_id, r.class_id) for r in prob_minhash.classes(frame).collect()} == {1: (1, 1), 2: (2, 2), 3: (3, 3), 4: (4, 4), 5: (1, 1)}
+
+
+def test_one_of_each_goes_by_text(spark):
+    """Rows with equal ids and different texts: copies go, what is in no other row stays; ids do not tie texts together."""
+    a, b, c, d = ("text a", "text b", " ".join(f"c{k}" for k in range(80)), " ".join(f"d{k}" for k in range(80)))
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (7, d), (8, c + " end"), (9, d + " end"), (9, None), (9, None), (None, a), (None, None)]
+    frame = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, k1 int")
+    found = prob_minhash.one_of_each(frame)
+    assert found.columns == frame.columns
+    kept = [(1, a), (5, b), (7, c), (7, d), (9, None), (None, a), (None, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in found.collect()))) == sorted(map(str, kept))
+    assert {(r.doc_id, r.class_id) for r in prob_minhash.classes(frame).collect()} == {(1, 1), (5, 1), (5, 5), (7, 7), (8, 7), (9, 7), (9, 9), (None, 1), (None, None)}

@@ -9,6 +9,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from terraloom.llm import bpe, compression_quality, decontamination, quality_rules, token_counts
@@ -85,8 +86,36 @@ def test_pieces_encode_as_the_whole(texts, size):
     plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(), special_tokens={})
     for text in texts:
         cut = list(bpe.pieces(text or "", size))
-        assert "".join(cut) == (text or "")
-        assert [i for p in cut for i in plain.encode_ordinary(p)] == plain.encode_ordinary(text or "")
+        assert "".join(p for p, _ in cut) == (text or "")
+        assert [i for p, _ in cut for i in plain.encode_ordinary(p)] == plain.encode_ordinary(text or "")
+
+
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, "\t\u3000 \r\n" * 400_000, " " * bpe.LONG_RUN, "\x85" * (bpe.LONG_RUN - 1)])
+def test_white_space_of_any_length(run):
+    """Runs at the beginning, inside and at the end give the ids of the pattern's matches, each encoded alone."""
+    own, plain = bpe.codec(RANKS), tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(), special_tokens={})
+    split = regex.compile(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    for text in (f"x{run}y", f"{run}x y", f"a word{run}", run, f"one{run}two {run}\n. {run}'s"):
+        text += "" if len(text) > bpe.PIECE_CHARS else " filler" * bpe.PIECE_CHARS
+        ids = own.encode(text)
+        assert ids == [i for m in split.finditer(text) for i in plain._encode_single_piece(m[0])]
+        assert own.decode(ids) == text.encode()
+
+
+def thue_morse(n):
+    """A word of 2^n letters and its complement: every polynomial hash modulo 2^64 takes them for equal, from some length on."""
+    word, other = "a", "b"
+    for _ in range(n):
+        word, other = word + other, other + word
+    return word, other
+
+
+def test_long_equal_hashes_do_not_make_repeats(spark):
+    one, two = thue_morse(12)
+    lines, words = f"{one}\n{two}\n{one}", f"{one} b x {two} b x"
+    found = quality_rules.measured(spark.createDataFrame([(1, f"{one}\n{two}"), (2, lines), (3, words), (4, words + " " + words)], "doc_id long, text string"), "doc_id")
+    counts = {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in found.collect()}
+    assert counts == {k: tuple(rule_counts(t)[3:]) for k, t in ((1, f"{one}\n{two}"), (2, lines), (3, words), (4, words + " " + words))}
 
 
 def rule_counts(text):
