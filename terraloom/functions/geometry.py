@@ -273,6 +273,43 @@ def segments(geom: Column | str) -> Column:
     return F.flatten(F.transform(F.flatten(_c(geom)["parts"]), ring_segments))
 
 
+def running_totals(values: Column) -> Column:
+    """The sums of the values up to and with each, as an array, in time n log n.
+
+    Each step adds the totals of up to seven neighbours to the left, so that runs of 8, 64, 512 ... values are summed;
+    an array that is no longer than a run is done.
+    """
+
+    def step(totals: Column, reach: int) -> Column:
+        def widened(own: Column) -> Column:
+            def added(total: Column, at: Column) -> Column:
+                for k in range(1, 8):
+                    total = total + F.when(at >= k * reach, F.get(own, at - k * reach)).otherwise(0.0)
+                return total
+
+            return F.transform(own, added)
+
+        if reach >= 1 << 30:
+            return totals
+        return let(totals, lambda own: F.when(F.size(own) <= reach, own).otherwise(step(widened(own), reach * 8)))
+
+    return step(values, 1)
+
+
+def measured_segments(geom: Column | str) -> Column:
+    """:func:`segments` with their ``length`` and the length of the line ``before`` them."""
+
+    def measured(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda s: F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]))
+        def placed(own: Column) -> Column:
+            ways = F.zip_with(own, running_totals(own), lambda way, upto: F.struct(way.alias("length"), (upto - way).alias("before")))
+            return F.zip_with(parts, ways, lambda s, w: F.struct(s["a"].alias("a"), s["b"].alias("b"), w["length"].alias("length"), w["before"].alias("before")))
+
+        return let(lengths, placed)
+
+    return let(segments(geom), measured)
+
+
 # ---------------------------------------------------------------- predicates
 
 
@@ -285,6 +322,11 @@ def box_contains(outer: Sequence[Column], inner: Sequence[Column]) -> Column:
     return (outer[0] <= inner[0]) & (outer[1] <= inner[1]) & (inner[2] <= outer[2]) & (inner[3] <= outer[3])
 
 
+def box_strictly_contains(outer: Sequence[Column], inner: Sequence[Column]) -> Column:
+    """The inner box does not reach the outer one's boundary."""
+    return (outer[0] < inner[0]) & (outer[1] < inner[1]) & (inner[2] < outer[2]) & (inner[3] < outer[3])
+
+
 def box_columns(geom: Column | str) -> tuple[Column, Column, Column, Column]:
     g = _c(geom)
     return g["xmin"], g["ymin"], g["xmax"], g["ymax"]

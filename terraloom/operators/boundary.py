@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..errors import NoRiverDataError, NoTideDataError
 from ..functions import geometry as g
+from ..session import cut_lineage
 from .spatial_join import intersecting_pairs, semi_join
 
 # Side labels.
@@ -75,49 +76,60 @@ def uncovered_positions(areas: DataFrame, pieces: DataFrame) -> DataFrame:
 def crossings(lines: DataFrame, areas: DataFrame, cell_size: float, line_id: str = "objectid", geom: str = "geometry") -> DataFrame:
     """Points where lines cross area boundaries: ``aoi_id, line_id, x, y, distance`` along the line, and ``starts_inside``.
 
-    The lines' boxes meet the areas through the grid; only lines that meet one are cut into segments, and each
-    side is solved in closed form. The length before a crossing is summed within the line. A crossing at a shared
-    vertex or corner is reported once. ``starts_inside``: the line's first node lies strictly inside the area.
+    The lines' boxes meet the areas through the grid; a line whose box lies strictly inside an area cannot cross its
+    boundary and goes before its geometry is fetched. What is left is measured once along the line, and only segments
+    whose box meets the area's and does not lie strictly inside become rows; each side is solved in closed form. A
+    crossing at a shared vertex or corner is reported once. ``starts_inside``: the line's first node lies strictly
+    inside the area.
     """
     box = [f"_line_{side}" for side in g.BOX]
-    boxes = lines.select(line_id, *(F.col(f"{geom}.{side}").alias(name) for side, name in zip(g.BOX, box, strict=True)))
-    pairs = intersecting_pairs(boxes, areas.select("aoi_id", *g.BOX), cell_size, left_box=box).drop(*box)
+    # Written once: the grid join reads the boxes twice, and they are few bytes beside the geometry.
+    boxes = cut_lineage(lines.select(line_id, *(F.col(f"{geom}.{side}").alias(name) for side, name in zip(g.BOX, box, strict=True))))
+    area = [F.col(side) for side in g.BOX]
+    pairs = intersecting_pairs(boxes, areas.select("aoi_id", *g.BOX), cell_size, left_box=box, refine=~g.box_strictly_contains(area, [F.col(c) for c in box]))
     first = g.first_point("_line")
     inside = (first["x"] > F.col("xmin")) & (first["x"] < F.col("xmax")) & (first["y"] > F.col("ymin")) & (first["y"] < F.col("ymax"))
-    cut = pairs.join(lines.select(line_id, F.col(geom).alias("_line")), line_id).select(
-        "aoi_id", line_id, *g.BOX, inside.alias("starts_inside"), g.segments("_line").alias("_segments")
-    )
-    segs = cut.select("*", F.posexplode("_segments").alias("seg_no", "s")).select(
-        "*", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by")
-    )
-    met = segs.filter(
-        g.boxes_intersect([F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")], [F.col(c) for c in g.BOX])
-    )
 
-    def length(s: Column) -> Column:
-        return F.hypot(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])
-
-    def on_side(fixed: str, low: str, high: str, vertical: bool) -> Column:
-        a, b = ("ax", "bx") if vertical else ("ay", "by")
-        o, q = ("ay", "by") if vertical else ("ax", "bx")
-        run = F.col(b) - F.col(a)
-        t = (F.col(fixed) - F.col(a)) / F.when(run != 0, run)
-        along = F.col(o) + t * (F.col(q) - F.col(o))
-        hit = (t >= 0) & (t <= 1) & (along >= F.col(low)) & (along <= F.col(high))
-        x, y = (F.col(fixed), along) if vertical else (along, F.col(fixed))
-        return F.when(hit, F.struct(t.alias("t"), x.cast("double").alias("x"), y.cast("double").alias("y")))
-
-    found = F.array(
-        on_side("ymin", "xmin", "xmax", False),
-        on_side("xmax", "ymin", "ymax", True),
-        on_side("ymax", "xmin", "xmax", False),
-        on_side("xmin", "ymin", "ymax", True),
-    )
-    before = F.aggregate(F.slice("_segments", 1, F.col("seg_no")), F.lit(0.0), lambda total, s: total + length(s))
-    points = met.select("*", F.explode(F.array_compact(found)).alias("_c")).select(
-        "aoi_id", line_id, "starts_inside", "_c.x", "_c.y", (before + F.col("_c.t") * length(F.col("s"))).alias("distance")
+    def may_cross(s: Column) -> Column:
+        own = [F.least(s["a"]["x"], s["b"]["x"]), F.least(s["a"]["y"], s["b"]["y"]), F.greatest(s["a"]["x"], s["b"]["x"]), F.greatest(s["a"]["y"], s["b"]["y"])]
+        return g.boxes_intersect(own, area) & ~g.box_strictly_contains(area, own)
+
+    def on_side(s: Column, fixed: str, low: str, high: str, vertical: bool) -> Column:
+        along, across = ("x", "y") if vertical else ("y", "x")
+        run = s["b"][along] - s["a"][along]
+        t = (F.col(fixed) - s["a"][along]) / F.when(run != 0, run)
+
+        def solved(t: Column) -> Column:
+            other = s["a"][across] + t * (s["b"][across] - s["a"][across]) + F.lit(0.0)
+            hit = (t >= 0) & (t <= 1) & (other >= F.col(low)) & (other <= F.col(high))
+            x, y = (F.col(fixed), other) if vertical else (other, F.col(fixed))
+            return F.when(hit, F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), (s["before"] + t * s["length"]).alias("distance")))
+
+        return g.let(t, solved)
+
+    def on_sides(s: Column) -> Column:
+        return F.array(
+            on_side(s, "ymin", "xmin", "xmax", False),
+            on_side(s, "xmax", "ymin", "ymax", True),
+            on_side(s, "ymax", "xmin", "xmax", False),
+            on_side(s, "xmin", "ymin", "ymax", True),
+        )
+
+    def first_of_each(points: Column) -> Column:
+        def is_first(p: Column, at: Column) -> Column:
+            before = F.get(points, at - 1)
+            return (at == 0) | (before["x"] != p["x"]) | (before["y"] != p["y"])
+
+        return F.filter(points, is_first)
+
+    # All crossings of a pair come from its one row: sorted by place and distance, the first of each place stays.
+    segments = F.filter(g.measured_segments("_line"), may_cross)
+    found = g.let(F.sort_array(F.array_compact(F.flatten(F.transform(segments, on_sides)))), first_of_each)
+    # By shuffle also where one side is small, as what follows the join is the work.
+    met = pairs.drop(*box).join(lines.select(line_id, F.col(geom).alias("_line")).hint("merge"), line_id)
+    return met.select("aoi_id", line_id, inside.alias("starts_inside"), F.explode(found).alias("_c")).select(
+        "aoi_id", line_id, "_c.x", "_c.y", "_c.distance", "starts_inside"
     )
-    return points.groupBy("aoi_id", line_id, "x", "y").agg(F.min("distance").alias("distance"), F.first("starts_inside").alias("starts_inside"))
 
 
 def require_crossings(points: DataFrame) -> DataFrame:
