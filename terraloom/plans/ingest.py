@@ -23,7 +23,7 @@ from ..sources import instructions, tables, vector_files
 log = logging.getLogger(__name__)
 
 # A fetcher gets a registry row and the rectangles to fetch (None: everything) and returns features with a
-# geometry struct. Connectors push the rectangles' total bounds to the service.
+# geometry struct; ``features.fetcher`` makes one that asks for the pages that meet the rectangles.
 Fetch = Callable[[Row, DataFrame | None], DataFrame]
 
 
@@ -44,7 +44,7 @@ class Store:
 def load_country_layers(store: Store, fetch: Fetch) -> list[str]:
     """Load each country-wide layer whose table does not exist yet; returns the tables written."""
     written = []
-    for layer in instructions.layer_info(instructions.country_layers(store.spark.table(store.registry))).collect():
+    for layer in instructions.layer_info(instructions.country_layers(store.spark.table(store.registry)), "url").collect():
         if tables.exists(store.spark, layer["table_name"]):
             log.info("%s is already loaded", layer["table_name"])
             continue
@@ -99,7 +99,7 @@ def load_layer(store: Store, layer: Row, areas: DataFrame, fetch: Fetch) -> None
 
 
 def load_area_layers(store: Store, areas: DataFrame, fetch: Fetch) -> None:
-    for layer in instructions.layer_info(instructions.area_layers(store.spark.table(store.registry))).collect():
+    for layer in instructions.layer_info(instructions.area_layers(store.spark.table(store.registry)), "url").collect():
         try:
             load_layer(store, layer, areas, fetch)
         except NothingUncoveredError as done:

@@ -3,7 +3,12 @@
 ``format("feature_pages")`` serves two public protocols. ``protocol=layer`` is a feature layer queried by
 offset; ``protocol=wfs`` a Web Feature Service queried by start index. ``transport=http`` fetches over the
 network, ``transport=files`` reads the same documents from a shared folder (``layer.json``, ``count.json``,
-``page_<offset>.json``).
+``page_<offset>.json``, each a file or a folder of a text writer's parts), as :func:`store_pages` lays them out, with
+``pages``, a table of the pages' extents.
+
+With ``box_columns`` a feature also has the sides of its box, and conditions on all four of them are pushed down: only
+pages of features that meet that box are planned. :func:`fetch_in` does the same for any number of rectangles at once:
+tasks plan the pages of each, and every page that meets one is fetched once.
 """
 
 from __future__ import annotations
@@ -14,16 +19,20 @@ import sys
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..errors import SourceError
 from ..functions import geometry as g
+from ..operators.spatial_join import semi_join
 from . import tables
 
 # Workers unpickle the reader without importing this package, so it need not be installed on them.
@@ -47,6 +56,11 @@ FIELD_TYPES = {
 }
 
 
+ARROW_TYPES = {"LongType": pa.int64(), "IntegerType": pa.int32(), "DoubleType": pa.float64(), "StringType": pa.string()}
+#: Extents of stored pages beside their documents.
+INDEX = "pages"
+
+
 class PagePartition(InputPartition):
     def __init__(self, offset: int, params: dict):
         super().__init__(offset)
@@ -54,8 +68,8 @@ class PagePartition(InputPartition):
         self.params = params
 
 
-def selection(bbox: str | None, area_srid: int | None) -> dict:
-    """Which features are meant: all, or those inside an envelope. Counting and paging use the same."""
+def selection(bbox: str | None, area_srid: int | None, meeting: bool = False) -> dict:
+    """Which features are meant: all, those inside an envelope, or those ``meeting`` it. Counting and paging use the same."""
     # Parameters of the query protocol.
     if not bbox:
         return {"where": "1=1"}
@@ -64,7 +78,7 @@ def selection(bbox: str | None, area_srid: int | None) -> dict:
         "geometry": bbox,
         "geometryType": "esriGeometryEnvelope",
         "inSR": area_srid or DEFAULT_SRID,
-        "spatialRel": "esriSpatialRelContains",
+        "spatialRel": "esriSpatialRelIntersects" if meeting else "esriSpatialRelContains",
     }
 
 
@@ -98,7 +112,8 @@ def _fetch(url: str, params: dict, retries: int, delay: float) -> dict:
 
 
 class FeaturePages(DataSource):
-    """Options: ``path``, ``protocol``, ``transport``, ``bbox``, ``area_srid``, ``output_srid``, ``provider``, ``layer_id``, ``key``, ``retries``, ``delay``."""
+    """Options: ``path``, ``protocol``, ``transport``, ``bbox``, ``meeting``, ``area_srid``, ``output_srid``, ``provider``, ``layer_id``, ``key``,
+    ``retries``, ``delay``, ``box_columns``."""
 
     @classmethod
     def name(cls) -> str:
@@ -108,7 +123,8 @@ class FeaturePages(DataSource):
         """Fields the layer declares, all names as served, and the geometry as GeoJSON text."""
         meta = self._service().metadata()
         fields = [StructField(f["name"], FIELD_TYPES.get(f.get("type", ""), StringType())) for f in meta.get("fields", []) if f.get("type") != "esriFieldTypeGeometry"]
-        return StructType([*fields, StructField("geometry", StringType())])
+        box = [StructField(side, DoubleType()) for side in g.BOX] if self.options.get("box_columns") == "true" else []
+        return StructType([*fields, *box, StructField("geometry", StringType())])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return PageReader(self._service(), schema)
@@ -139,8 +155,7 @@ class Service:
     def document(self, name: str, suffix: str, params: dict) -> dict:
         if self.files:
             try:
-                with open(os.path.join(self.url, name), encoding="utf-8") as handle:
-                    return json.load(handle)
+                return json.loads(_text_of(self.url, name))
             except OSError as error:
                 raise SourceError(f"could not read {name} of {self.url}") from error
         return _fetch(self.url + suffix, params, self.retries, self.delay)
@@ -152,6 +167,16 @@ class Service:
             return {"fields": [{"name": p["name"], "type": p.get("localType", "")} for p in kinds if not p.get("type", "").startswith("gml:")]}
         return self.document("layer.json", "", {"f": "json"})
 
+    def stored_pages(self, bbox: str | None) -> list[PagePartition] | None:
+        """Pages of a stored layer, those that meet the box if there is one; None without an index of them."""
+        store, root = pa.fs.FileSystem.from_uri(self.url)
+        if store.get_file_info(f"{root}/{INDEX}").type != pa.fs.FileType.Directory:
+            return None
+        index = pa.dataset.dataset(f"{root}/{INDEX}", filesystem=store, format="parquet")
+        x0, y0, x1, y1 = map(float, bbox.split(",")) if bbox else (None,) * 4
+        met = (pa.dataset.field("xmin") <= x1) & (pa.dataset.field("xmax") >= x0) & (pa.dataset.field("ymin") <= y1) & (pa.dataset.field("ymax") >= y0) if bbox else None
+        return [PagePartition(o, {}) for o in index.to_table(columns=["offset"], filter=met).column("offset").to_pylist()]
+
     def _wfs(self, request: str, **more) -> dict:
         base = {"service": "WFS", "version": "2.0.0", "request": request, "typeNames": f"layer-{self.options['layer_id']}"}
         return base | more
@@ -159,6 +184,9 @@ class Service:
     def pages(self) -> list[PagePartition]:
         bbox = self.options.get("bbox")
         srid = self.options.get("output_srid")
+        stored = self.stored_pages(bbox) if self.files else None
+        if stored is not None:
+            return stored
         if self.wfs:
             code = int(srid or self.options.get("area_srid") or DEFAULT_SRID)
             box = {"bbox": f"{bbox},EPSG:{self.options.get('area_srid', code)}"} if bbox else {}
@@ -170,7 +198,7 @@ class Service:
         else:
             layer = self.metadata()
             area_srid = self.options.get("area_srid")
-            chosen = selection(bbox, area_srid and int(area_srid))
+            chosen = selection(bbox, area_srid and int(area_srid), self.options.get("meeting") == "true")
             counted = self.document("count.json", "/query", chosen | {"f": "json", "returnCountOnly": "true"})
             size, total = _known(layer.get("maxRecordCount")), _known(counted.get("count"))
             params = page_params(size, total, chosen, srid and int(srid), _id_field(layer))
@@ -195,40 +223,167 @@ def _known(count: object) -> int:
     return int(count)
 
 
+def _text_of(folder: str, name: str) -> bytes:
+    """A document as one file, or as the part of a folder that Spark's text writer made."""
+    store, root = pa.fs.FileSystem.from_uri(folder)
+    for path in (f"{root}/{name}", f"{root}/document={name}"):
+        kind = store.get_file_info(path).type
+        if kind == pa.fs.FileType.File:
+            with store.open_input_stream(path) as stream:
+                return stream.readall()
+        if kind == pa.fs.FileType.Directory:
+            found = store.get_file_info(pa.fs.FileSelector(path))
+            parts = sorted(f.path for f in found if f.base_name.startswith("part-"))
+            return b"".join(store.open_input_stream(p).readall() for p in parts)
+    raise FileNotFoundError(f"{folder}/{name}")
+
+
+def page_batch(page: dict, offset: int, columns: list[tuple[str, str]]) -> pa.RecordBatch:
+    """The rows of one page; an answer without features fails the job rather than losing a page."""
+    if "features" not in page:
+        raise SourceError(f"page at offset {offset} holds no feature list: {str(page)[:200]}")
+    served = page["features"]
+    convert = {"LongType": int, "IntegerType": int, "DoubleType": float, "StringType": lambda v: v if isinstance(v, str) else json.dumps(v)}
+    boxes = [_box_of(f.get("geometry")) for f in served] if any(name in g.BOX for name, _ in columns) else []
+    arrays = []
+    for name, kind in columns:
+        if name == "geometry":
+            values = [None if f.get("geometry") is None else json.dumps(f["geometry"]) for f in served]
+        elif boxes and name in g.BOX:
+            values = [box and box[g.BOX.index(name)] for box in boxes]
+        else:
+            values = [(f.get("properties") or {}).get(name) for f in served]
+            values = [None if v is None else convert[kind](v) for v in values]
+        arrays.append(pa.array(values, ARROW_TYPES[kind]))
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in columns])
+
+
+def _box_of(shape: dict | None) -> tuple[float, float, float, float] | None:
+    points, waiting = [], [shape["coordinates"]] if shape else []
+    while waiting:
+        part = waiting.pop()
+        if part and isinstance(part[0], (int, float)):
+            points.append(part)
+        else:
+            waiting.extend(part)
+    if not points:
+        return None
+    xs, ys = [float(p[0]) for p in points], [float(p[1]) for p in points]
+    return min(xs), min(ys), max(xs), max(ys)
+
+
+def _columns(schema: StructType) -> list[tuple[str, str]]:
+    return [(f.name, type(f.dataType).__name__) for f in schema.fields]
+
+
 class PageReader(DataSourceReader):
     def __init__(self, service: Service, schema: StructType):
         self.service = service
-        self.columns = [(f.name, type(f.dataType).__name__) for f in schema.fields]
+        self.columns = _columns(schema)
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """A lower bound of the upper sides and an upper bound of the lower sides, all four, are a box that features
+        have to meet; the service is asked for those alone. Spark still applies all conditions."""
+        if self.service.options.get("box_columns") == "true":
+            bounds = dict.fromkeys(g.BOX)
+            for f in filters:
+                side = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+                if side in ("xmax", "ymax") and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    low = side.replace("max", "min")
+                    bounds[low] = f.value if bounds[low] is None else max(bounds[low], f.value)
+                elif side in ("xmin", "ymin") and isinstance(f, (LessThan, LessThanOrEqual)):
+                    high = side.replace("min", "max")
+                    bounds[high] = f.value if bounds[high] is None else min(bounds[high], f.value)
+            if None not in bounds.values() and "bbox" not in self.service.options:
+                self.service.options |= {"bbox": box_option(tuple(bounds[side] for side in g.BOX)), "meeting": "true"}
+        return filters
 
     def partitions(self) -> list[PagePartition]:
         return self.service.pages()
 
-    def read(self, partition: PagePartition) -> Iterator[tuple]:
-        """Rows of one page; an answer without features fails the job rather than losing a page."""
-        page = self.service.page(partition)
-        if "features" not in page:
-            raise SourceError(f"page at offset {partition.offset} holds no feature list: {str(page)[:200]}")
-        convert = {"LongType": int, "IntegerType": int, "DoubleType": float}
-        for feature in page["features"]:
-            values = feature.get("properties") or {}
-            row = []
-            for name, kind in self.columns:
-                if name == "geometry":
-                    shape = feature.get("geometry")
-                    row.append(None if shape is None else json.dumps(shape))
-                    continue
-                value = values.get(name)
-                if value is not None:
-                    value = convert[kind](value) if kind in convert else value if isinstance(value, str) else json.dumps(value)
-                row.append(value)
-            yield tuple(row)
+    def read(self, partition: PagePartition) -> Iterator[pa.RecordBatch]:
+        yield page_batch(self.service.page(partition), partition.offset, self.columns)
 
 
 def fetch_features(spark: SparkSession, **options: str) -> DataFrame:
     """Features of one layer: lower-case names, geometry struct last."""
+    return _shaped(read_pages(spark, **options))
+
+
+def read_pages(spark: SparkSession, **options: str) -> DataFrame:
+    """The layer as served. With ``box_columns=true`` conditions on the sides of features' boxes reach the service."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FeaturePages)
-    raw = tables.normalise_columns(spark.read.format("feature_pages").options(**options).load())
-    return raw.withColumn("geometry", g.from_geojson("geometry"))
+    return spark.read.format("feature_pages").options(**options).load()
+
+
+def _shaped(raw: DataFrame) -> DataFrame:
+    return tables.normalise_columns(raw).withColumn("geometry", g.from_geojson("geometry"))
+
+
+def fetch_in(pieces: DataFrame, cell_size: float = 10_000.0, **options: str) -> DataFrame:
+    """Features of the pages that meet any of the rectangles ``pieces(xmin..ymax)``; of a stored layer those are looked
+    up in its index by a spatial join, of a service tasks ask for the count of every rectangle. Each page is fetched
+    once, a request of its own; a feature that several rectangles' answers hold comes as often."""
+    spark, service = pieces.sparkSession, Service(dict(options))
+    columns = _columns(schema := FeaturePages(dict(options)).schema())
+    boxes = pieces.select(*(F.col(side).cast("double").alias(side) for side in g.BOX)).distinct()
+    if service.files:
+        index = spark.read.parquet(f"{service.url}/{INDEX}")
+        asked = [f"_p_{side}" for side in g.BOX]
+        met = semi_join(index, boxes.toDF(*asked), ["offset"], cell_size, right_box=asked)
+        pages = met.select("offset", F.lit("{}").alias("params"))
+    else:
+        pages = boxes.mapInArrow(_planned(dict(options)), "offset long, params string").distinct()
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for offset, params in zip(batch.column("offset").to_pylist(), batch.column("params").to_pylist(), strict=True):
+                yield page_batch(service.page(PagePartition(offset, json.loads(params))), offset, columns)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _shaped(pages.repartition(tasks, "offset", "params").mapInArrow(fetch, schema))
+
+
+def _planned(options: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for box in zip(*(batch.column(side).to_pylist() for side in g.BOX), strict=True):
+                pages = Service(options | {"bbox": box_option(box), "meeting": "true"}).pages()
+                params = [json.dumps(p.params, sort_keys=True) for p in pages]
+                yield pa.RecordBatch.from_arrays([pa.array([p.offset for p in pages], pa.int64()), pa.array(params, pa.string())], names=["offset", "params"])
+
+    return run
+
+
+def fetcher(spark: SparkSession, cell_size: float = 10_000.0, **common: str) -> Callable[[Row, DataFrame | None], DataFrame]:
+    """What the ingestion jobs call for a layer of the registry: whole without rectangles, else the pages that meet
+    them. Layers of a known provider are asked by WFS, others as feature layers at their URL."""
+
+    def fetch(layer: Row, pieces: DataFrame | None) -> DataFrame:
+        own = {"path": layer["url"]} | common
+        if layer["data_provider"] in WFS_HOSTS:
+            own |= {"protocol": "wfs", "provider": layer["data_provider"], "layer_id": str(layer["layer_id"])}
+        return fetch_features(spark, **own) if pieces is None else fetch_in(pieces, cell_size, **own)
+
+    return fetch
+
+
+def store_pages(features: DataFrame, folder: str, fields: list[dict]) -> None:
+    """A layer's documents in a shared folder, by Spark's own writers: ``features`` has the GeoJSON text ``feature``, the
+    number ``page`` of its page and its box. ``fields`` are the layer's, as its description has them."""
+    spark = features.sparkSession
+    pages = features.groupBy(F.col("page").cast("long").alias("offset")).agg(
+        *(F.min(side).alias(side) for side in g.BOX[:2]), *(F.max(side).alias(side) for side in g.BOX[2:]), F.count(F.lit(1)).alias("n"),
+        F.concat(F.lit('{"features":['), F.concat_ws(",", F.collect_list("feature")), F.lit("]}")).alias("value"),
+    )
+    named = pages.select(F.format_string("page_%d.json", "offset").alias("document"), "value")
+    named.write.mode("overwrite").partitionBy("document").text(folder)
+    pages.drop("value").write.mode("overwrite").parquet(f"{folder}/{INDEX}")
+    counted = spark.read.parquet(f"{folder}/{INDEX}").agg(F.to_json(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))).alias("value"))
+    counted.coalesce(1).write.mode("overwrite").text(f"{folder}/count.json")
+    described = json.dumps({"maxRecordCount": 1, "fields": fields})
+    spark.range(1).select(F.lit(described).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/layer.json")
 
 
 def fetch_with_backup(spark: SparkSession, primary: dict[str, str], backup: dict[str, str]) -> DataFrame:

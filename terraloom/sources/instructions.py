@@ -102,5 +102,5 @@ def area_layers(registry: DataFrame) -> DataFrame:
     return registry.filter(F.col("unique_column_name").isNotNull() & elsewhere).drop("unique_id")
 
 
-def layer_info(registry: DataFrame) -> DataFrame:
-    return registry.select("data_provider", "layer_id", "table_name", "unique_column_name")
+def layer_info(registry: DataFrame, *more: str) -> DataFrame:
+    return registry.select("data_provider", "layer_id", "table_name", "unique_column_name", *more)

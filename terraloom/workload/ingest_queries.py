@@ -1,8 +1,5 @@
 """Connectors, files, table writes, the ingestion jobs and the request stream."""
 
-import json
-import os
-
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -16,7 +13,7 @@ from .registry import query, scratch, scratch_database
 from .series_queries import inflows
 from .shapes import COAST, FACING, coast, inverse_sql
 
-PAGE = 300
+TILE = 10_000
 
 
 def box_json(x0, y0, x1, y1):
@@ -29,39 +26,19 @@ def feature_json(properties, shape):
     return F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*properties)), F.lit(',"geometry":'), shape, F.lit("}"))
 
 
-def serve_pages(fx, rows, fields, folder):
-    """Lay out page documents (``row_no, feature``) as the service would answer them; tasks write the pages."""
-    os.makedirs(folder, exist_ok=True)
-    pages = rows.groupBy((F.floor(F.col("row_no") / PAGE) * PAGE).alias("offset")).agg(
-        F.concat(F.lit('{"features":['), F.concat_ws(",", F.collect_list("feature")), F.lit("]}")).alias("page")
-    )
-
-    def write(batches):
-        import pathlib
-
-        for pdf in batches:
-            for offset, page in zip(pdf["offset"], pdf["page"], strict=True):
-                pathlib.Path(folder, f"page_{offset}.json").write_text(page, encoding="utf-8")
-            yield pdf[["offset"]]
-
-    pages.mapInPandas(write, "offset bigint").count()
-    total = rows.agg(F.max("row_no")).first()[0] + 1
-    for name, document in (("layer.json", {"maxRecordCount": PAGE, "fields": fields}), ("count.json", {"count": total})):
-        with open(os.path.join(folder, name), "w", encoding="utf-8") as handle:
-            json.dump(document, handle)
+def serve_pages(rows, fields, folder):
+    """Lay out page documents of ``feature`` and box as the service would answer them, a tile of the ground per page."""
+    tile = [F.floor(F.col(side) / TILE).cast("long") for side in ("xmin", "ymin")]
+    features.store_pages(rows.withColumn("page", tile[0] * 1_000_000 + tile[1]), folder, fields)
 
 
 ASSET_FIELDS = [{"name": "Asset_ID", "type": "esriFieldTypeOID"}, {"name": "Label", "type": "esriFieldTypeString"}]
 
 
 def asset_pages(fx, folder):
-    rows = fx("fx_asset").select(
-        F.col("asset_id").alias("row_no"),
-        feature_json(
-            (F.col("asset_id").alias("Asset_ID"), F.concat(F.lit("a"), F.col("asset_id").cast("string")).alias("Label")), box_json("xmin", "ymin", "xmax", "ymax")
-        ).alias("feature"),
-    )
-    serve_pages(fx, rows, ASSET_FIELDS, folder)
+    properties = (F.col("asset_id").alias("Asset_ID"), F.concat(F.lit("a"), F.col("asset_id").cast("string")).alias("Label"))
+    rows = fx("fx_asset").select(*g.BOX, feature_json(properties, box_json("xmin", "ymin", "xmax", "ymax")).alias("feature"))
+    serve_pages(rows, ASSET_FIELDS, folder)
 
 
 @query(
@@ -85,6 +62,16 @@ def src4(fx):
     return found.select("asset_id", "label", *(F.col(f"geometry.{s}").cast("long").alias(s) for s in g.BOX))
 
 
+@query("src3_pushed_down_pages", f"{ASSET_ROWS} WHERE xmax >= 1520000 AND xmin <= 1540000 AND ymax >= 5110000 AND ymin <= 5150000")
+def src3(fx):
+    """A box condition on the layer: only pages that meet it are planned."""
+    folder = scratch(fx, "layer")
+    asset_pages(fx, folder)
+    found = features.read_pages(fx.spark, path=folder, transport="files", box_columns="true")
+    found = found.filter("xmax >= 1520000.0 AND xmin <= 1540000.0 AND ymax >= 5110000.0 AND ymin <= 5150000.0")
+    return found.select(F.col("Asset_ID").alias("asset_id"), F.col("Label").alias("label"), *(F.col(s).cast("long").alias(s) for s in g.BOX))
+
+
 @query("src5_provider_features", ASSET_ROWS)
 def src5(fx):
     folder = scratch(fx, "wfs")
@@ -99,8 +86,9 @@ def src16(fx):
     folder = scratch(fx, "reaches")
     xy = [F.concat(F.lit("["), F.col(x).cast("string"), F.lit(","), F.col(y).cast("string"), F.lit("]")) for x, y in (("ax", "ay"), ("bx", "b_y"))]
     shape = F.concat(F.lit('{"type":"LineString","coordinates":['), F.concat_ws(",", *xy), F.lit("]}"))
-    rows = fx("fx_line").select((F.col("objectid") - 1).alias("row_no"), feature_json((F.col("objectid").alias("OBJECTID"),), shape).alias("feature"))
-    serve_pages(fx, rows, [{"name": "OBJECTID", "type": "esriFieldTypeOID"}], folder)
+    sides = [f(x, y).alias(side) for side, f, x, y in zip(g.BOX, (F.least, F.least, F.greatest, F.greatest), ("ax", "ay") * 2, ("bx", "b_y") * 2, strict=True)]
+    rows = fx("fx_line").select(*sides, feature_json((F.col("objectid").alias("OBJECTID"),), shape).alias("feature"))
+    serve_pages(rows, [{"name": "OBJECTID", "type": "esriFieldTypeOID"}], folder)
     found = features.fetch_with_backup(fx.spark, {"path": f"{folder}/absent", "transport": "files"}, {"path": folder, "transport": "files"})
     return found.select("objectid", g.to_wkt("geometry").alias("wkt"))
 
@@ -228,11 +216,15 @@ def asset_store(fx):
     rows = layers.select(F.col("l.layer_id").cast("bigint").alias("unique_id"), F.lit("LINZ").alias("data_provider"), "l.*", F.lit("https://example.org").alias("url"))
     tables.append(rows, store.registry)
 
+    folder = scratch(fx, "layers")
+    asset_pages(fx, f"{folder}/LINZ/layer-1")
+    paged = features.fetcher(fx.spark, path=folder, transport="files")
+
     def fetch(layer, pieces):
         if layer["layer_id"] == 2:
             x, y = F.col("gx") * 100, F.col("gy") * 100
             return fx("fx_parcel").select("parcel_id", g.geometry("POLYGON", F.array(F.array(g.box_ring(x, y, x + 100, y + 100)))).alias("geometry"))
-        return fx("fx_asset").select("asset_id", g.box_geometry(*g.BOX).alias("geometry"))
+        return paged(layer, pieces)
 
     return store, database, fetch
 
@@ -250,7 +242,7 @@ def c1(fx):
 
 @query("c2_area_layers", f"SELECT asset_id, xmin, ymin FROM fx_asset s WHERE {MET}")
 def c2(fx):
-    """Areas arrive in two overlapping batches; the second adds only features of uncovered ground."""
+    """Areas arrive in two overlapping batches; the second adds only features of uncovered ground, from pages that meet it."""
     store, database, fetch = asset_store(fx)
     half = F.col("xmax") - F.col("xmin") < 10_000
     for batch in (fx("fx_aoi").filter(half), fx("fx_aoi")):

@@ -80,6 +80,77 @@ def test_page_parameters():
     assert features.page_params(10, 0, features.selection(None, None)) == []
 
 
+def stored_layer(spark, folder, n=100):
+    """Points on a grid of ten by ten, a page per column."""
+    rows = spark.range(n).select((F.col("id") % 10).cast("double").alias("x"), F.floor(F.col("id") / 10).cast("double").alias("y"), "id")
+    shape = F.format_string('{"type":"Feature","properties":{"ID":%d},"geometry":{"type":"Point","coordinates":[%.1f,%.1f]}}', "id", "x", "y")
+    boxed = rows.select(shape.alias("feature"), F.col("x").cast("long").alias("page"), *(F.col(c).alias(s) for c, s in zip("xyxy", g.BOX, strict=True)))
+    features.store_pages(boxed, folder, [{"name": "ID", "type": "esriFieldTypeOID"}])
+    return folder
+
+
+def break_pages(folder, offsets):
+    """Pages that must not be fetched answer with an error."""
+    import pathlib
+    import shutil
+
+    for offset in offsets:
+        page = pathlib.Path(folder, f"document=page_{offset}.json")
+        shutil.rmtree(page)
+        page.mkdir()
+        (page / "part-0.txt").write_text('{"error": "not to be fetched"}')
+
+
+def test_box_conditions_reach_the_pages(spark, tmp_path):
+    folder = stored_layer(spark, str(tmp_path / "layer"))
+    break_pages(folder, [0, 1, 5, 6, 7, 8, 9])
+    found = features.read_pages(spark, path=folder, transport="files", box_columns="true")
+    met = found.filter("xmax >= 2.0 AND xmin <= 4.5 AND ymax > 3.0 AND ymin <= 6.0")
+    assert met.rdd.getNumPartitions() == 3
+    assert sorted(r.ID for r in met.collect()) == [10 * y + x for y in (4, 5, 6) for x in (2, 3, 4)]
+    with pytest.raises(Exception, match="not to be fetched"):
+        found.filter("xmax >= 2.0 AND xmin <= 4.5").count()  # no box: all pages
+
+
+def test_pages_of_rectangles(spark, tmp_path):
+    """Only pages that meet a rectangle are fetched, and each once."""
+    folder = stored_layer(spark, str(tmp_path / "layer"))
+    break_pages(folder, [0, 3, 4, 5, 8, 9])
+    pieces = spark.createDataFrame([(0.5, 0.0, 2.0, 3.0), (1.5, 1.0, 2.5, 9.0), (6.0, 0.0, 7.0, 0.0), (50.0, 50.0, 60.0, 60.0)], list(g.BOX))
+    found = features.fetch_in(pieces, 10.0, path=folder, transport="files")
+    assert found.columns == ["id", "geometry"]
+    assert sorted(r.id for r in found.collect()) == sorted(10 * y + x for y in range(10) for x in (1, 2, 6, 7))
+    assert features.fetch_in(pieces.limit(0), 10.0, path=folder, transport="files").count() == 0
+
+
+def test_service_pages_are_planned_by_tasks(spark, monkeypatch):
+    """The plan of a service: each rectangle's count, pages by offset, all features that meet it."""
+    asked = []
+
+    def answer(url, params, retries, delay):
+        asked.append((url, dict(params), retries))
+        return {"count": 5} if "returnCountOnly" in params else {"maxRecordCount": 2, "objectIdField": "ID", "fields": []}
+
+    monkeypatch.setattr(features, "_fetch", answer)
+    plan = features._planned({"path": "https://example.org/0", "retries": "3", "area_srid": "2193"})
+    import pyarrow as pa
+
+    batches = list(plan([pa.RecordBatch.from_pydict({s: [v] for s, v in zip(g.BOX, (1.0, 2.0, 3.0, 4.0), strict=True)})]))
+    params = [json.loads(p) for b in batches for p in b.column("params").to_pylist()]
+    assert [p["resultOffset"] for p in params] == [0, 2, 4]
+    assert {(p["geometry"], p["spatialRel"], p["orderByFields"]) for p in params} == {("1.0,2.0,3.0,4.0", "esriSpatialRelIntersects", "ID")}
+    assert all(r == 3 for _, _, r in asked)
+
+
+def test_fetcher_follows_the_registry(spark, tmp_path):
+    stored_layer(spark, str(tmp_path / "LINZ" / "layer-7"))
+    fetch = features.fetcher(spark, 10.0, path=str(tmp_path), transport="files")
+    layer_row = {"data_provider": "LINZ", "layer_id": 7, "url": "https://example.org"}
+    assert fetch(layer_row, None).count() == 100
+    one = spark.createDataFrame([(2.0, 2.0, 2.0, 2.0)], list(g.BOX))
+    assert sorted(r.id for r in fetch(layer_row, one).collect()) == [10 * y + 2 for y in range(10)]
+
+
 def test_unknown_provider(spark, tmp_path):
     with pytest.raises(Exception, match="unsupported data provider"):
         features.fetch_features(spark, path=str(tmp_path), transport="files", protocol="wfs", provider="Nobody", layer_id="1")
