@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -47,34 +49,38 @@ def reach_ends(reaches: DataFrame, geom: str = "geometry") -> DataFrame:
     )
 
 
-def unique_nodes(ends: DataFrame) -> DataFrame:
-    """Distinct end points with consecutive integer ids: ``node_id, x, y``."""
-    points = (
-        ends.select(F.explode(F.array(F.struct(F.col("first_x").alias("x"), F.col("first_y").alias("y")), F.struct(F.col("last_x").alias("x"), F.col("last_y").alias("y")))).alias("p"))
-        .select("p.x", "p.y")
-        .distinct()
-    )
+def unique_nodes(ends: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Distinct end points with consecutive integer ids: ``node_id, x, y``, and the columns ``within`` that part them."""
+    ends_of = F.array(*(F.struct(F.col(f"{end}_x").alias("x"), F.col(f"{end}_y").alias("y")) for end in ("first", "last")))
+    points = ends.select(*within, F.explode(ends_of).alias("p")).select(*within, "p.x", "p.y").distinct()
     none = points.select(F.lit(0).cast("bigint").alias("node_id")).limit(0)
-    return tables.with_new_ids(points, none, "node_id", ["x", "y"]).select("node_id", "x", "y")
+    return tables.with_new_ids(points, none, "node_id", [*within, "x", "y"]).select("node_id", *within, "x", "y")
 
 
-def prepared_edges(ends: DataFrame, nodes: DataFrame, area: tuple[float, float, float, float]) -> DataFrame:
-    """Edges ``src -> dst`` in digitised direction with the AOI intersection type of their end nodes."""
+def intersection_type(area: Sequence[Column]) -> Column:
+    """Whether both, one or none of the ends of an edge lie in the rectangle: inside, crossing or outside."""
     xmin, ymin, xmax, ymax = area
 
-    def inside(prefix: str):
+    def inside(prefix: str) -> Column:
         return F.col(f"{prefix}_x").between(xmin, xmax) & F.col(f"{prefix}_y").between(ymin, ymax)
 
-    kind = (
+    return (
         F.when(inside("first") & inside("last"), "inside")
         .when(inside("first") | inside("last"), "crossing")
         .otherwise("outside")
     )
-    source = nodes.select(F.col("node_id").alias("src"), F.col("x").alias("first_x"), F.col("y").alias("first_y"))
-    target = nodes.select(F.col("node_id").alias("dst"), F.col("x").alias("last_x"), F.col("y").alias("last_y"))
-    return (
-        ends.withColumn("intersection_type", kind).join(source, ["first_x", "first_y"]).join(target, ["last_x", "last_y"])
-    )
+
+
+def edges_between(ends: DataFrame, nodes: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Reaches as edges ``src -> dst`` in digitised direction."""
+    source = nodes.select(*within, F.col("node_id").alias("src"), F.col("x").alias("first_x"), F.col("y").alias("first_y"))
+    target = nodes.select(*within, F.col("node_id").alias("dst"), F.col("x").alias("last_x"), F.col("y").alias("last_y"))
+    return ends.join(source, [*within, "first_x", "first_y"]).join(target, [*within, "last_x", "last_y"])
+
+
+def prepared_edges(ends: DataFrame, nodes: DataFrame, area: tuple[float, float, float, float]) -> DataFrame:
+    """Edges ``src -> dst`` with the intersection type of their ends and one area."""
+    return edges_between(ends, nodes).withColumn("intersection_type", intersection_type([F.lit(float(v)) for v in area]))
 
 
 def absent_edges(prepared: DataFrame, present: DataFrame) -> DataFrame:
@@ -141,6 +147,85 @@ def build_network(
     return nodes, kept, judged.filter("exclusion_cause IS NOT NULL").select("objectid", "exclusion_cause")
 
 
+# ---------------------------------------------------------------- networks of many areas
+
+
+def _outlines(catchments: DataFrame, catchment_id: str) -> DataFrame:
+    return catchments.select(catchment_id, F.col("geometry").alias("_outline"), *(F.col(f"geometry.{s}").alias(f"_b_{s}") for s in g.BOX))
+
+
+def catchments_of_areas(areas: DataFrame, catchments: DataFrame, catchment_id: str, cell_size: float) -> DataFrame:
+    """Catchments that meet each area, with the area's box: ``aoi_id, xmin .. ymax`` and the catchment."""
+    boxes = areas.select("aoi_id", *(F.col(s).cast("double").alias(s) for s in g.BOX))
+    pairs = intersecting_pairs(
+        _outlines(catchments, catchment_id),
+        boxes,
+        cell_size,
+        left_box=[f"_b_{s}" for s in g.BOX],
+        refine=g.intersects("_outline", g.box_geometry(*g.BOX)),
+    )
+    return pairs.select("aoi_id", *g.BOX, catchment_id)
+
+
+def directed_edges(
+    tagged: DataFrame, end_nodes: DataFrame, catchment_id: str
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes, and reaches with their direction or exclusion cause, of all catchments in one keyed graph.
+
+    ``tagged`` are reaches with their catchment. A point that ends reaches of two catchments is a node of each, so no
+    path leaves a catchment. One search from all ``end_nodes`` (the catchment, ``x, y``) gives depths, and with them
+    also what is connected.
+    """
+    within = [catchment_id]
+    ends = cut_lineage(reach_ends(tagged).select("objectid", catchment_id, "first_x", "first_y", "last_x", "last_y"))
+    nodes = cut_lineage(unique_nodes(ends, within))
+    edges = cut_lineage(edges_between(ends, nodes, within))
+    outlets = nodes.join(end_nodes.select(catchment_id, "x", "y").distinct(), [catchment_id, "x", "y"], "left_semi")
+    directed = edge_directions(edges, outlets.select(F.col("node_id").alias("id")))
+    cause = F.when(F.col("src_depth").isNull(), CAUSE_UNCONNECTED).when(F.col("edge_direction").isNull(), CAUSE_DIRECTION)
+    return nodes, cut_lineage(directed.drop("dst_depth").withColumn("exclusion_cause", cause).drop("src_depth"))
+
+
+def build_networks(
+    areas: DataFrame, reaches: DataFrame, catchments: DataFrame, end_nodes: DataFrame, catchment_id: str, cell_size: float
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Networks of many areas at once: nodes, kept edges and excluded reaches, each with its ``aoi_id``.
+
+    An area's network is that of all catchments that meet it (``end_nodes`` are their mouths: catchment, ``x, y``).
+    Depths, directions and causes do not depend on the area, so the graph is searched once per catchment, however many
+    areas share it, and areas meet its rows in one join at the end. A reach inside no catchment is excluded from the
+    networks of all areas of the catchments it meets; one that meets no catchment is in none. A reach without a
+    geometry counts as the latter. Columns other than ``objectid`` and ``geometry`` of the reaches are not carried.
+    """
+    scope = cut_lineage(catchments_of_areas(areas, catchments, catchment_id, cell_size))
+    wanted = scope.select(catchment_id).distinct()
+    lines = reaches.select("objectid", "geometry").filter("geometry IS NOT NULL")
+    tags = cut_lineage(tag_catchments(lines, catchments, catchment_id, cell_size))
+    held = tags.filter("exclusion_cause IS NULL").select("objectid", catchment_id).join(wanted, catchment_id, "left_semi")
+    nodes, judged = directed_edges(lines.join(held, "objectid"), end_nodes, catchment_id)
+
+    stray = lines.join(tags.filter("exclusion_cause IS NOT NULL").select("objectid"), "objectid", "left_semi")
+    stray = stray.select("objectid", F.col("geometry").alias("_line"), *(F.col(f"geometry.{s}").alias(f"_l_{s}") for s in g.BOX))
+    met = intersecting_pairs(
+        stray,
+        _outlines(catchments.join(wanted, catchment_id, "left_semi"), catchment_id),
+        cell_size,
+        left_box=[f"_l_{s}" for s in g.BOX],
+        right_box=[f"_b_{s}" for s in g.BOX],
+        refine=g.intersects("_line", "_outline"),
+    ).select("objectid", catchment_id)
+    # A reach may meet several catchments of an area.
+    outside = met.join(scope.select("aoi_id", catchment_id), catchment_id).select("aoi_id", "objectid").distinct()
+
+    of_areas = judged.join(scope, catchment_id)
+    kept = of_areas.filter("exclusion_cause IS NULL").select(
+        "aoi_id", "objectid", catchment_id, "src", "dst", intersection_type([F.col(s) for s in g.BOX]).alias("intersection_type"), "edge_direction"
+    )
+    excluded = of_areas.filter("exclusion_cause IS NOT NULL").select("aoi_id", "objectid", "exclusion_cause")
+    excluded = excluded.unionByName(outside.withColumn("exclusion_cause", F.lit(CAUSE_CATCHMENT)))
+    return nodes.join(scope.select("aoi_id", catchment_id), catchment_id).select("aoi_id", "node_id", catchment_id, "x", "y"), kept, excluded
+
+
 # ---------------------------------------------------------------- stored networks
 
 
@@ -189,3 +274,57 @@ def store_network(
     tables.create_if_absent(spark, table, tables.RIVER_NETWORK_SCHEMA)
     tables.append(spark.createDataFrame([row], metadata.schema), table)
     return row["rec_network_id"]
+
+
+def _write_partitions(df: DataFrame, path: str) -> None:
+    """One folder per network; a repeated run replaces the folders it writes and no others."""
+    spread = df.hint("rebalance", "rec_network_id")
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rec_network_id").parquet(path)
+
+
+def networks_of_areas(
+    spark: SparkSession,
+    areas: DataFrame,
+    reaches: DataFrame,
+    catchments: DataFrame,
+    end_nodes: DataFrame,
+    catchment_id: str,
+    cell_size: float,
+    root: str,
+    table: str,
+    exclusion_table: str,
+) -> DataFrame:
+    """``aoi_id, rec_network_id`` of every area; networks are built and stored for areas that no stored one contains.
+
+    All new networks are built by one keyed graph. Nodes and edges go to ``root`` in a folder per network and excluded
+    reaches to their table; the metadata rows come last, so networks of a run that died are unknown, and the next run
+    takes the same ids, replaces their folders and adds only exclusions not stored yet. Areas of one call do not share
+    a network even where one contains another.
+    """
+    tables.create_if_absent(spark, table, tables.RIVER_NETWORK_SCHEMA)
+    tables.create_if_absent(spark, exclusion_table, tables.NETWORK_EXCLUSION_SCHEMA)
+    known = existing_network(areas, spark.table(table), cell_size)
+    missing = cut_lineage(areas.select("aoi_id", *(F.col(s).cast("double").alias(s) for s in g.BOX)).join(known.filter("rec_network_id IS NULL"), "aoi_id", "left_semi"))
+    if not missing.isEmpty():
+        numbered = cut_lineage(tables.with_new_ids(missing, spark.table(table), "rec_network_id", ["aoi_id"]))
+        ids = numbered.select("aoi_id", "rec_network_id")
+        nodes, edges, excluded = build_networks(missing, reaches, catchments, end_nodes, catchment_id, cell_size)
+        _write_partitions(nodes.join(ids, "aoi_id").drop("aoi_id"), f"{root}/nodes")
+        _write_partitions(edges.join(ids, "aoi_id").drop("aoi_id"), f"{root}/edges")
+        rows = excluded.join(ids, "aoi_id").join(reaches.select("objectid", g.to_wkt("geometry").alias("wkt")), "objectid")
+        rows = rows.select("rec_network_id", "objectid", "exclusion_cause", "wkt")
+        stored = spark.table(exclusion_table)
+        tables.append(cut_lineage(tables.unseen(rows, stored, ["rec_network_id", "objectid"])), exclusion_table)
+
+        def folder(kind: str) -> Column:
+            return F.concat(F.lit(f"{root}/{kind}/rec_network_id="), F.col("rec_network_id").cast("string"))
+
+        metadata = numbered.select(
+            "rec_network_id",
+            folder("nodes").alias("network_path"),
+            folder("edges").alias("network_data_path"),
+            F.current_timestamp().alias("created_at"),
+            *g.BOX,
+        )
+        tables.append(metadata, table)
+    return existing_network(areas, spark.table(table), cell_size)

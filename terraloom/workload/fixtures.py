@@ -240,3 +240,24 @@ fixture(
               1500000 + (s_suppkey * 7919) % 70000 + 20000 + (s_suppkey % 5) * 3000 AS xmax,
               5100000 + (s_suppkey * 104729) % 70000 + 20000 + (s_suppkey % 7) * 2000 AS ymax FROM {supplier}""",
 )
+fixture(
+    "fx_basin",
+    """SELECT basin_id, 1500000 + slot % 45 * 2000 AS ox,
+              5100000 + (CAST(floor(slot / 45) AS BIGINT) + 45 * CAST(floor(basin_id / 2025) AS BIGINT)) * 2000 AS oy
+       FROM (SELECT basin_id, basin_id * 733 % 2025 AS slot
+             FROM (SELECT DISTINCT CAST(floor(c_custkey / 16) AS BIGINT) AS basin_id FROM {customer}) n) s""",
+)
+fixture(
+    "fx_branch",
+    """SELECT objectid, ox + CASE WHEN turned THEN qx ELSE px END AS ax, oy + CASE WHEN turned THEN qy ELSE py END AS ay,
+              ox + CASE WHEN turned THEN px ELSE qx END AS bx, oy + CASE WHEN turned THEN py ELSE qy END AS b_y
+       FROM (SELECT objectid, basin_id, n % 4 = 1 AS turned,
+                    CASE n WHEN 0 THEN 20 WHEN 14 THEN 500 ELSE 200 + a * 7 % 16 * 100 END AS px,
+                    CASE n WHEN 0 THEN 20 WHEN 14 THEN 1350 ELSE 200 + a * 5 % 8 * 100 END AS py,
+                    CASE n WHEN 0 THEN 60 WHEN 12 THEN 2600 WHEN 13 THEN 1800 WHEN 14 THEN 1500 ELSE 200 + b * 7 % 16 * 100 END AS qx,
+                    CASE n WHEN 0 THEN 60 WHEN 12 THEN 600 WHEN 13 THEN 350 WHEN 14 THEN 1350 ELSE 200 + b * 5 % 8 * 100 END AS qy
+             FROM (SELECT objectid, basin_id, n, CASE n WHEN 11 THEN 4 WHEN 15 THEN 7 ELSE n END AS a,
+                          CASE n WHEN 11 THEN 3 WHEN 15 THEN 6 ELSE CAST(floor(n / 2) AS BIGINT) END AS b
+                   FROM (SELECT c_custkey AS objectid, CAST(floor(c_custkey / 16) AS BIGINT) AS basin_id, c_custkey % 16 AS n FROM {customer}) c) e) l
+       JOIN fx_basin USING (basin_id)""",
+)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import components, network
 from . import fixtures  # noqa: F401
-from .registry import query
+from .registry import query, scratch, scratch_database
 
 AREA = (1500000.0, 5100000.0, 1504000.0, 5100010.0)
 
@@ -149,3 +149,79 @@ def snk11_metadata(fx):
 )
 def j16(fx):
     return network.existing_network(fx("fx_aoi"), fx("fx_network"), 10_000.0)
+
+
+# ---------------------------------------------------------------- many areas and their catchments
+
+
+def basins(fx):
+    """Concave catchments: squares with a notch from the upper side to their middle."""
+    corners = ((100, 100), (1900, 100), (1900, 1900), (1000, 1000), (100, 1900), (100, 100))
+    ring = F.array(*(g.point(F.col("ox") + x, F.col("oy") + y) for x, y in corners))
+    return fx("fx_basin").select("basin_id", g.geometry(F.lit("POLYGON"), F.array(F.array(ring))).alias("geometry"))
+
+
+def branches(fx):
+    return fx("fx_branch").select("objectid", g.line_geometry(F.array(g.point("ax", "ay"), g.point("bx", "b_y"))).alias("geometry"))
+
+
+def mouths(fx):
+    return fx("fx_basin").select("basin_id", (F.col("ox") + 200).cast("double").alias("x"), (F.col("oy") + 200).cast("double").alias("y"))
+
+
+def in_basin(x, y):
+    return f"({x} BETWEEN ox + 100 AND ox + 1900 AND {y} >= oy + 100 AND {y} <= oy + 1000 + abs({x} - ox - 1000))"
+
+
+AREA_NETWORKS = f"""WITH RECURSIVE met AS (SELECT r.*, basin_id, {in_basin('ax', 'ay')} AND {in_basin('bx', 'b_y')}
+         AND (greatest(ax, bx) <= ox + 1000 OR least(ax, bx) >= ox + 1000 OR ay + (b_y - ay) * (ox + 1000 - ax)::DOUBLE / (bx - ax) <= oy + 1000) AS held
+       FROM fx_branch r JOIN fx_basin ON {in_basin('ax', 'ay')} OR {in_basin('bx', 'b_y')}),
+  held AS (SELECT objectid, min(basin_id) AS basin_id FROM met WHERE held GROUP BY objectid),
+  links AS (SELECT h.*, ax, ay, bx, b_y FROM held h JOIN fx_branch r ON r.objectid = h.objectid),
+  ways AS (SELECT basin_id, ax, ay, bx, b_y FROM links UNION SELECT basin_id, bx, b_y, ax, ay FROM links),
+  walk(basin_id, x, y, depth) AS (SELECT basin_id, ox + 200, oy + 200, 0 FROM fx_basin
+    UNION SELECT w.basin_id, s.bx, s.b_y, depth + 1 FROM walk w JOIN ways s ON s.basin_id = w.basin_id AND s.ax = x AND s.ay = y WHERE depth < 20),
+  deep AS (SELECT basin_id, x, y, min(depth) AS depth FROM walk GROUP BY ALL),
+  judged AS (SELECT l.*, a.depth AS up, b.depth AS down FROM links l LEFT JOIN deep a ON a.basin_id = l.basin_id AND a.x = ax AND a.y = ay
+    LEFT JOIN deep b ON b.basin_id = l.basin_id AND b.x = bx AND b.y = b_y),
+  scope AS (SELECT aoi_id, xmin, ymin, xmax, ymax, basin_id FROM fx_aoi JOIN fx_basin ON xmin <= ox + 1900 AND xmax >= ox + 100 AND ymax >= oy + 100
+    AND ymin <= oy + 1000 + greatest(abs(greatest(xmin, ox + 100) - ox - 1000), abs(least(xmax, ox + 1900) - ox - 1000))),
+  of_areas AS (SELECT aoi_id, objectid, CASE WHEN up > down THEN 'to' WHEN up < down THEN 'from' END AS edge_direction,
+      CASE (ax BETWEEN xmin AND xmax AND ay BETWEEN ymin AND ymax)::INT + (bx BETWEEN xmin AND xmax AND b_y BETWEEN ymin AND ymax)::INT
+        WHEN 2 THEN 'inside' WHEN 1 THEN 'crossing' ELSE 'outside' END AS intersection_type,
+      CASE WHEN up IS NULL THEN '{network.CAUSE_UNCONNECTED}' WHEN up = down THEN '{network.CAUSE_DIRECTION}' END AS exclusion_cause
+    FROM judged j JOIN scope s ON s.basin_id = j.basin_id),
+  networks AS (SELECT aoi_id, objectid, edge_direction, intersection_type, exclusion_cause FROM of_areas WHERE exclusion_cause IS NULL
+    UNION ALL SELECT aoi_id, objectid, NULL, NULL, exclusion_cause FROM of_areas WHERE exclusion_cause IS NOT NULL
+    UNION ALL SELECT DISTINCT aoi_id, objectid, NULL, NULL, '{network.CAUSE_CATCHMENT}' FROM met JOIN scope s ON s.basin_id = met.basin_id
+      WHERE objectid NOT IN (SELECT objectid FROM held))"""
+
+
+@query("g6_area_networks", f"{AREA_NETWORKS} SELECT * FROM networks")
+def g6_areas(fx):
+    """Networks of all areas by catchments: kept edges and all three causes of exclusion."""
+    _, kept, excluded = network.build_networks(fx("fx_aoi"), branches(fx), basins(fx), mouths(fx), "basin_id", 10_000.0)
+    return kept.select("aoi_id", "objectid", "edge_direction", "intersection_type").unionByName(excluded, allowMissingColumns=True)
+
+
+@query("g1_catchment_nodes", f"{AREA_NETWORKS} SELECT aoi_id, n.basin_id, x, y FROM (SELECT basin_id, ax AS x, ay AS y FROM ways) n JOIN scope s ON s.basin_id = n.basin_id GROUP BY ALL")
+def g1_catchments(fx):
+    nodes, _, _ = network.build_networks(fx("fx_aoi"), branches(fx), basins(fx), mouths(fx), "basin_id", 10_000.0)
+    return nodes.select("aoi_id", "basin_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+
+
+@query(
+    "snk11_stored_networks",
+    f"""{AREA_NETWORKS} SELECT a.xmin, a.ymin, a.xmax, a.ymax, n.objectid, edge_direction, intersection_type, exclusion_cause,
+          CASE WHEN exclusion_cause IS NOT NULL THEN 'LINESTRING (' || ax || ' ' || ay || ', ' || bx || ' ' || b_y || ')' END AS wkt
+        FROM networks n JOIN fx_aoi a ON a.aoi_id = n.aoi_id JOIN fx_branch r ON r.objectid = n.objectid""",
+)
+def snk11_stored(fx):
+    """Networks of all areas, stored and read back by their metadata; a second request for the areas builds none."""
+    database, root = scratch_database(fx), scratch(fx, "networks")
+    table, exclusions = f"{database}.networks", f"{database}.exclusions"
+    for _ in range(2):
+        network.networks_of_areas(fx.spark, fx("fx_aoi"), branches(fx), basins(fx), mouths(fx), "basin_id", 10_000.0, root, table, exclusions)
+    boxes = fx.spark.table(table).select("rec_network_id", *(F.col(s).cast("long").alias(s) for s in g.BOX))
+    edges = fx.spark.read.parquet(f"{root}/edges").select("rec_network_id", "objectid", "edge_direction", "intersection_type")
+    return boxes.join(edges.unionByName(fx.spark.table(exclusions), allowMissingColumns=True), "rec_network_id").drop("rec_network_id")
