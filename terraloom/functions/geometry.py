@@ -259,6 +259,13 @@ def last_point(geom: Column | str) -> Column:
     return F.element_at(F.flatten(F.flatten(_c(geom)["parts"])), -1)
 
 
+def reversed_line(geom: Column | str) -> Column:
+    """The same line or lines, drawn from the other end."""
+    geom = _c(geom)
+    turned = F.transform(geom["parts"], lambda part: F.transform(part, lambda points: F.reverse(points)))
+    return geom.withField("parts", F.reverse(turned))
+
+
 def segments(geom: Column | str) -> Column:
     """Array of ``struct<a,b>`` over all consecutive point pairs."""
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..errors import NoRiverDataError, NoTideDataError
 from ..functions import geometry as g
 from ..session import cut_lineage
-from .spatial_join import intersecting_pairs, semi_join
+from .spatial_join import closest_within, intersecting_pairs, semi_join
 
 # Side labels.
 SIDES = ("bottom", "right", "top", "left")
@@ -173,6 +173,30 @@ def inflows(classified: DataFrame) -> DataFrame:
     return classified.filter("flow = 'inflow'")
 
 
+def entry_points(areas: DataFrame, lines: DataFrame, kept: DataFrame, cell_size: float) -> DataFrame:
+    """Where each kept reach of an area first flows into it: ``aoi_id, objectid, ex, ey``.
+
+    ``lines`` are drawn downstream and ``kept(aoi_id, objectid)`` are the reaches of each area's own network. Water that
+    leaves an area and comes back along one reach enters once, so its flow is not counted twice.
+    """
+    own = crossings(lines, areas, cell_size).join(kept.select("aoi_id", "objectid"), ["aoi_id", "objectid"], "left_semi")
+    entering = inflows(classify_crossings(own))
+    first = entering.groupBy("aoi_id", "objectid").agg(F.min_by(F.struct("x", "y"), "crossing_no").alias("_p"))
+    return first.select("aoi_id", "objectid", F.col("_p.x").alias("ex"), F.col("_p.y").alias("ey"))
+
+
+def aligned_entries(entries: DataFrame, areas: DataFrame, waterways: DataFrame, distance: float, cell_size: float) -> DataFrame:
+    """Entry points with the mapped waterway that crosses the same area's boundary nearest to them; those with none
+    within ``distance`` go. Ties go to the smaller ``osm_id``."""
+    mapped = crossings(waterways, areas, cell_size, "osm_id").select("aoi_id", "osm_id", F.col("x").alias("wx"), F.col("y").alias("wy"))
+    # Written once, as the grid join reads its boxes twice.
+    found = closest_within(
+        cut_lineage(entries), cut_lineage(mapped), distance, ["aoi_id", "objectid"], "osm_id",
+        left_box=("ex", "ey", "ex", "ey"), right_box=("wx", "wy", "wx", "wy"), keys=["aoi_id"],
+    )
+    return found.select("aoi_id", "objectid", "ex", "ey", "osm_id")
+
+
 # ---------------------------------------------------------------- tide locations
 
 

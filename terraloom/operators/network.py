@@ -226,6 +226,13 @@ def build_networks(
     return nodes.join(scope.select("aoi_id", catchment_id), catchment_id).select("aoi_id", "node_id", catchment_id, "x", "y"), kept, excluded
 
 
+def downstream_lines(reaches: DataFrame, kept: DataFrame) -> DataFrame:
+    """``objectid, geometry`` of the reaches of kept edges, once each, drawn the way the water flows."""
+    directions = kept.select("objectid", "edge_direction").distinct()
+    turned = F.when(F.col("edge_direction") == "from", g.reversed_line("geometry")).otherwise(F.col("geometry"))
+    return reaches.select("objectid", "geometry").join(directions, "objectid").select("objectid", turned.alias("geometry"))
+
+
 # ---------------------------------------------------------------- stored networks
 
 

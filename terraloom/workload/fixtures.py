@@ -261,3 +261,14 @@ fixture(
                    FROM (SELECT c_custkey AS objectid, CAST(floor(c_custkey / 16) AS BIGINT) AS basin_id, c_custkey % 16 AS n FROM {customer}) c) e) l
        JOIN fx_basin USING (basin_id)""",
 )
+fixture(
+    "fx_channel",
+    """SELECT objectid AS osm_id, CASE objectid % 5 WHEN 0 THEN 'drain' WHEN 1 THEN 'stream' ELSE 'river' END AS waterway,
+              ax + objectid * 37 % 500 - 250 AS ax, ay + objectid * 53 % 400 - 200 AS ay,
+              bx + objectid * 37 % 500 - 250 AS bx, b_y + objectid * 53 % 400 - 200 AS b_y FROM fx_branch""",
+)
+fixture(
+    "fx_ground",
+    """SELECT ox + 50 + i * 100 AS x, oy + 50 + j * 100 AS y, (basin_id * 31 + i * 7 + j * 13) % 101 AS z
+       FROM fx_basin {each:i:0,1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18,19} {each:j:0,1,2,3,4,5,6,7,8,9,10}""",
+)

@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import components, network
+from ..plans import scenario
 from . import fixtures  # noqa: F401
 from .registry import query, scratch, scratch_database
+from .series_queries import inflows
+from .shapes import SIDE_ROWS
 
 AREA = (1500000.0, 5100000.0, 1504000.0, 5100010.0)
 
@@ -225,3 +228,56 @@ def snk11_stored(fx):
     boxes = fx.spark.table(table).select("rec_network_id", *(F.col(s).cast("long").alias(s) for s in g.BOX))
     edges = fx.spark.read.parquet(f"{root}/edges").select("rec_network_id", "objectid", "edge_direction", "intersection_type")
     return boxes.join(edges.unionByName(fx.spark.table(exclusions), allowMissingColumns=True), "rec_network_id").drop("rec_network_id")
+
+
+# ---------------------------------------------------------------- river leg of the scenario chain
+
+
+def crossed(name, lines, line_id):
+    """Where straight lines ``(aoi_id, line_id, ax, ay, bx, b_y)`` cross the sides of their area."""
+    return f"""{name}_solved AS (SELECT l.*, x0, y0, x1, y1, position,
+    CASE WHEN position IN ('bottom', 'top') THEN (y0 - ay)::DOUBLE / nullif(b_y - ay, 0) ELSE (x0 - ax)::DOUBLE / nullif(bx - ax, 0) END AS t
+    FROM {lines} l JOIN sides s ON s.aoi_id = l.aoi_id),
+  {name}_points AS (SELECT *, CASE WHEN position IN ('bottom', 'top') THEN ax + t * (bx - ax) ELSE x0 END AS x,
+    CASE WHEN position IN ('bottom', 'top') THEN y0 ELSE ay + t * (b_y - ay) END AS y FROM {name}_solved WHERE t BETWEEN 0 AND 1),
+  {name} AS (SELECT aoi_id, {line_id}, ax, ay, x, y, min(t) AS t FROM {name}_points WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL)"""
+
+
+RIVER_INPUTS = f"""{AREA_NETWORKS}, {SIDE_ROWS},
+  down AS (SELECT n.aoi_id, n.objectid, CASE edge_direction WHEN 'to' THEN ax ELSE bx END AS ax, CASE edge_direction WHEN 'to' THEN ay ELSE b_y END AS ay,
+    CASE edge_direction WHEN 'to' THEN bx ELSE ax END AS bx, CASE edge_direction WHEN 'to' THEN b_y ELSE ay END AS b_y
+    FROM networks n JOIN fx_branch r ON r.objectid = n.objectid WHERE exclusion_cause IS NULL),
+  flowing AS (SELECT aoi_id, osm_id, ax, ay, bx, b_y FROM fx_channel JOIN fx_aoi ON least(ax, bx) <= xmax AND greatest(ax, bx) >= xmin
+    AND least(ay, b_y) <= ymax AND greatest(ay, b_y) >= ymin WHERE waterway IN ('river', 'stream')),
+  {crossed('cut', 'down', 'objectid')}, {crossed('mapped', 'flowing', 'osm_id')},
+  ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.aoi_id, objectid ORDER BY t, x, y) AS no, ax > xmin AND ax < xmax AND ay > ymin AND ay < ymax AS starts_inside
+    FROM cut c JOIN fx_aoi a ON a.aoi_id = c.aoi_id),
+  entry AS (SELECT aoi_id, objectid, arg_min(x, no) AS ex, arg_min(y, no) AS ey FROM ranked WHERE (no % 2 = 1) <> starts_inside GROUP BY ALL),
+  aligned AS (SELECT e.*, arg_min(osm_id, ((x - ex) * (x - ex) + (y - ey) * (y - ey), osm_id)) AS osm_id FROM entry e JOIN mapped m ON m.aoi_id = e.aoi_id
+    AND (x - ex) * (x - ex) + (y - ey) * (y - ey) <= 300 * 300 GROUP BY ALL),
+  lowest AS (SELECT a.aoi_id, objectid, osm_id, arg_min((g.x, g.y), (z, (g.x - ex) * (g.x - ex) + (g.y - ey) * (g.y - ey), g.x, g.y)) AS v
+    FROM aligned a JOIN fx_aoi o ON o.aoi_id = a.aoi_id JOIN fx_ground g ON g.x BETWEEN xmin AND xmax AND g.y BETWEEN ymin AND ymax
+    AND (g.x - ex) * (g.x - ex) + (g.y - ey) * (g.y - ey) <= 300 * 300 GROUP BY ALL),
+  inputs AS (SELECT aoi_id, objectid, osm_id, v[1] AS x, v[2] AS y FROM lowest)"""
+
+
+def river_inputs(fx):
+    _, kept, _ = network.build_networks(fx("fx_aoi"), branches(fx), basins(fx), mouths(fx), "basin_id", 10_000.0)
+    mapped = fx("fx_channel").select("osm_id", "waterway", g.line_geometry(F.array(g.point("ax", "ay"), g.point("bx", "b_y"))).alias("geometry"))
+    return scenario.river_inputs(fx("fx_aoi"), branches(fx), kept, mapped, fx("fx_ground"), 10_000.0)
+
+
+@query("c4_river_inputs", f"{RIVER_INPUTS} SELECT * FROM inputs")
+def c4_river_inputs(fx):
+    """Input points of all areas: network, entries, mapped waterways and the lowest ground near them."""
+    return river_inputs(fx)
+
+
+@query(
+    "c4_river_forcing",
+    f"""{RIVER_INPUTS} SELECT aoi_id, i.objectid, i.x, i.y, m * 60.0::DOUBLE AS seconds, CASE WHEN m = 1440 THEN (f * 100)::DOUBLE ELSE 0 END AS flow
+        FROM inputs i JOIN fx_inflow q ON q.objectid = i.objectid CROSS JOIN (SELECT unnest([0, 1440, 2880]) AS m) t""",
+)
+def c4_river_forcing(fx):
+    """Hydrographs at the input points of all areas."""
+    return scenario.area_river_forcing(river_inputs(fx), inflows(fx), scenario.Options(maf=False, ari=100))

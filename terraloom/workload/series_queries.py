@@ -459,5 +459,14 @@ def w11(fx):
 @query("snk8_river_files", f"WITH {HYDROGRAPH} SELECT objectid, seconds, flow FROM hydro")
 def snk8(fx):
     path = scratch(fx, "river")
-    forcing.write_river(hydrographs(fx), path, folders=32)
-    return forcing.read_river(fx.spark, path, in_folders=True)
+    forcing.write_batch(hydrographs(fx), path, ["objectid"], "flow")
+    return forcing.read_batch(fx.spark, path, "flow")
+
+
+@query("snk8_river_manifest", f"WITH {HYDROGRAPH} SELECT objectid, count(*) AS steps, min(seconds) AS first_seconds, max(seconds) AS last_seconds FROM hydro GROUP BY objectid")
+def snk8_manifest(fx):
+    """The manifest of the written series; a series over several files has a row for each."""
+    path = scratch(fx, "river")
+    forcing.write_batch(hydrographs(fx), path, ["objectid"], "flow")
+    rows = fx.spark.read.parquet(f"{path}/manifest").groupBy("objectid")
+    return rows.agg(F.sum("steps").alias("steps"), F.min("first_seconds").alias("first_seconds"), F.max("last_seconds").alias("last_seconds"))
