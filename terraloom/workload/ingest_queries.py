@@ -10,7 +10,8 @@ from ..sources import features, tables, vector_files, waterways
 from ..streaming import requests as stream
 from . import fixtures  # noqa: F401
 from .registry import query, scratch, scratch_database
-from .series_queries import inflows
+from .network_queries import RIVER_INPUTS, river_inputs
+from .series_queries import ALTERNATING, PEAK, STEP, STORM, inflows
 from .shapes import COAST, FACING, coast, inverse_sql
 
 TILE = 10_000
@@ -285,13 +286,49 @@ def c4(fx):
     options = scenario.Options()
     rain = scenario.rain_forcing(fx("fx_aoi"), fx("fx_site"), fx("fx_rain"), options, 10_000.0)
     river = scenario.river_forcing(inflows(fx), options)
-    places = boundary.tide_query_locations(fx("fx_aoi"), coast(fx))
-    readings = places.select("position", F.concat_ws(":", F.col("aoi_id").cast("string"), "position").alias("location_id")).join(fx("fx_tide"), "position")
-    sea = scenario.tide_forcing(fx("fx_aoi"), coast(fx), readings.drop("position"), fx("fx_slr"), options, 1000.0)
+    sea = water_level(fx, options)
     counted = [df.agg(F.lit(name).alias("forcing"), F.count("*").alias("n")) for name, df in (("rain", rain), ("river", river), ("water_level", sea))]
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
+def water_level(fx, options):
+    levels = fx("fx_tide").withColumnRenamed("position", "series_id")
+    return scenario.tide_forcing(fx("fx_aoi"), coast(fx), levels, lambda places: F.col("position"), fx("fx_slr"), options, 1000.0)
+
+
+@query(
+    "c4_written_forcing",
+    f"""{RIVER_INPUTS}, {COAST}, facing AS (SELECT DISTINCT aoi_id, {FACING} AS position FROM near),
+      places AS (SELECT f.*, (x0 + x1) / 2.0 AS x, (y0 + y1) / 2.0 AS y FROM facing f JOIN sides s ON s.aoi_id = f.aoi_id AND s.position = f.position),
+      future AS (SELECT * FROM fx_slr WHERE confidence_level = 'medium' AND ssp_scenario = 'SSP2-4.5' AND NOT add_vlm AND percentile = 50 AND year = 2050),
+      risen AS (SELECT aoi_id, position, arg_min(rise, ((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), point_id)) AS rise FROM places p CROSS JOIN future s GROUP BY ALL),
+      buckets AS (SELECT position, epoch // 600 * 600 AS epoch, avg(level) AS level FROM fx_tide GROUP BY ALL),
+      peak AS (SELECT position, arg_max(epoch, (level, -epoch)) AS p FROM buckets GROUP BY position),
+      event AS (SELECT b.position, epoch - p + {PEAK} * 60 AS seconds, level FROM buckets b JOIN peak ON peak.position = b.position WHERE abs(epoch - p) <= {STORM} * 30),
+      {ALTERNATING}, storms AS (SELECT minutes * 60 AS seconds, depth * 60 / {STEP} / (10 + site_id % 17) AS intensity FROM blocks
+        WHERE site_id = (SELECT min(site_id) FROM fx_rain))
+      SELECT 'rain' AS forcing, aoi_id, NULL AS series, seconds::DOUBLE AS seconds, round(intensity, 6) AS value FROM storms
+        CROSS JOIN (SELECT DISTINCT aoi_id FROM fx_aoi a JOIN fx_site s ON s.x BETWEEN a.xmin AND a.xmax AND s.y BETWEEN a.ymin AND a.ymax)
+      UNION ALL SELECT 'water_level', aoi_id, r.position, seconds::DOUBLE, round(level + rise, 6) FROM risen r JOIN event e ON e.position = r.position
+      UNION ALL SELECT 'river', aoi_id, objectid::VARCHAR, m * 60.0::DOUBLE, CASE WHEN m = {PEAK} THEN (f * 100)::DOUBLE ELSE 0 END
+        FROM inputs i JOIN fx_inflow q USING (objectid) CROSS JOIN (SELECT unnest([{PEAK} - {STORM} // 2, {PEAK}, {PEAK} + {STORM} // 2]) AS m) t""",
+)
+def c4_written(fx):
+    """All forcing sets of all areas, written and read back. Every site has the same rain, so its mean is known whatever the shares."""
+    options = scenario.Options(storm_length=STORM, time_to_peak=PEAK, increment=STEP, maf=False, ari=100)
+    depths = fx("fx_rain").withColumn("depth", F.col("depth") / (10 + F.col("site_id") % 17))
+    rain = scenario.rain_forcing(fx("fx_aoi"), fx("fx_site"), depths, options, 10_000.0)
+    river = scenario.area_river_forcing(river_inputs(fx), inflows(fx), options)
+    root = scratch(fx, "forcing")
+    scenario.write_forcing(rain, water_level(fx, options), river, root)
+
+    def back(name, series):
+        value = F.round(scenario.FORCING_SETS[name][1], 6).alias("value")
+        return scenario.read_forcing(fx.spark, root, name).select(F.lit(name).alias("forcing"), "aoi_id", series.cast("string").alias("series"), "seconds", value)
+
+    return back("rain", F.lit(None)).unionByName(back("water_level", F.col("position"))).unionByName(back("river", F.col("objectid")))
+
+
 @query(
     "st1_request_stream",
     f"""WITH src AS (SELECT aoi_id, xmin AS x, ymin AS y FROM fx_aoi), {inverse_sql('x', 'y')}

@@ -250,9 +250,9 @@ RIVER_INPUTS = f"""{AREA_NETWORKS}, {SIDE_ROWS},
   flowing AS (SELECT aoi_id, osm_id, ax, ay, bx, b_y FROM fx_channel JOIN fx_aoi ON least(ax, bx) <= xmax AND greatest(ax, bx) >= xmin
     AND least(ay, b_y) <= ymax AND greatest(ay, b_y) >= ymin WHERE waterway IN ('river', 'stream')),
   {crossed('cut', 'down', 'objectid')}, {crossed('mapped', 'flowing', 'osm_id')},
-  ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.aoi_id, objectid ORDER BY t, x, y) AS no, ax > xmin AND ax < xmax AND ay > ymin AND ay < ymax AS starts_inside
+  passed AS (SELECT c.*, row_number() OVER (PARTITION BY c.aoi_id, objectid ORDER BY t, x, y) AS no, ax > xmin AND ax < xmax AND ay > ymin AND ay < ymax AS starts_inside
     FROM cut c JOIN fx_aoi a ON a.aoi_id = c.aoi_id),
-  entry AS (SELECT aoi_id, objectid, arg_min(x, no) AS ex, arg_min(y, no) AS ey FROM ranked WHERE (no % 2 = 1) <> starts_inside GROUP BY ALL),
+  entry AS (SELECT aoi_id, objectid, arg_min(x, no) AS ex, arg_min(y, no) AS ey FROM passed WHERE (no % 2 = 1) <> starts_inside GROUP BY ALL),
   aligned AS (SELECT e.*, arg_min(osm_id, ((x - ex) * (x - ex) + (y - ey) * (y - ey), osm_id)) AS osm_id FROM entry e JOIN mapped m ON m.aoi_id = e.aoi_id
     AND (x - ex) * (x - ex) + (y - ey) * (y - ey) <= 300 * 300 GROUP BY ALL),
   lowest AS (SELECT a.aoi_id, objectid, osm_id, arg_min((g.x, g.y), (z, (g.x - ex) * (g.x - ex) + (g.y - ey) * (g.y - ey), g.x, g.y)) AS v
