@@ -59,4 +59,14 @@ def cut_lineage(df: DataFrame, spark: SparkSession | None = None, compression: s
     spark = spark or df.sparkSession
     path = f"{scratch_root(spark)}/terraloom-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`cut_lineage` once all that was computed from them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
