@@ -103,17 +103,36 @@ def adaptive_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 def _grams(offsets: np.ndarray, data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and code of every (context, symbol) of a piece of texts; the symbol is the code's lowest byte."""
     rows, lengths = len(offsets) - 1, np.diff(offsets)
-    line = np.full(len(data) + rows * (order + 1) + 8, BEFORE, dtype=np.uint8)
-    line[np.arange(len(data)) + np.repeat(np.arange(rows) * (order + 1) + order, lengths)] = data
-    line[offsets[1:] + np.arange(1, rows + 1) * (order + 1) - 1] = END
-    # Every eight bytes as one number, most significant first; a text's first grams begin in what precedes it.
-    eights = np.ndarray((len(line) - 8,), dtype=">u8", buffer=line, strides=(1,))
-    code = (eights.astype(np.uint64) >> np.uint64(8 * (7 - order))).astype(np.int64)
     first = offsets[:-1] + np.arange(rows) * (order + 1)
+    last = first + lengths + order
+    inner = np.ones(len(data) + rows * (order + 1) + 8, dtype=bool)
+    inner[-8:] = False
+    inner[last] = False
+    for k in range(order):
+        inner[first + k] = False
+    line = np.full(len(inner), BEFORE, dtype=np.uint8)
+    line[inner] = data
+    line[last] = END
+    # Every eight bytes as one number, most significant first; a text's first grams begin in what precedes it.
+    code = np.ndarray((len(line) - 8,), dtype=">u8", buffer=line, strides=(1,)).astype(np.uint64)
+    code >>= np.uint64(8 * (7 - order))
     whole = np.ones(len(code), dtype=bool)
     for k in range(order):
         whole[first + lengths + 1 + k] = False
-    return np.repeat(np.arange(rows), lengths + 1), code[whole]
+    return np.repeat(np.arange(rows, dtype=np.int32), lengths + 1), code.view(np.int64)[whole]
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct codes and the sums of their counts, or how often each occurs."""
+    if counts is None:
+        codes = np.sort(codes)
+    else:
+        by_code = np.argsort(codes, kind="stable")
+        codes, counts = codes[by_code], counts[by_code]
+    starts = np.flatnonzero(np.diff(codes, prepend=codes[:1] - 1))
+    if counts is None:
+        return codes[starts], np.diff(starts, append=len(codes))
+    return codes[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -130,24 +149,24 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
 def _count_block(table: pa.Table, block: int, order: int) -> pa.RecordBatch:
     """What occurs in a block: every gram and word with its count in training texts (0: only in others)."""
     train = table.column("train").to_numpy().astype(bool)
-    codes, counts = [], []
+    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for base, piece in row_slices(table):
         row, code = _grams(*tx.buffers(piece.column("text")), order)
-        which, distinct = pd.factorize(code)
-        codes.append(distinct)
-        counts.append(np.bincount(which, weights=train[row + base], minlength=len(distinct)).astype(np.int64))
-    which, grams = pd.factorize(np.concatenate(codes) if codes else np.zeros(0, np.int64))
-    gram_counts = np.bincount(which, weights=np.concatenate(counts) if counts else None, minlength=len(grams)).astype(np.int64)
-    by_code = np.argsort(grams)
+        learnt = train[base : base + piece.num_rows][row]
+        for weight, own in ((1, code[learnt]), (0, code[~learnt])):
+            distinct, times = _summed(own)
+            codes.append(distinct)
+            counts.append(times * weight)
+    grams, gram_counts = _summed(np.concatenate(codes), np.concatenate(counts))
     row, words = _words(_column(table))
     word_counts = np.bincount(words.indices.to_numpy(), weights=train[row], minlength=len(words.dictionary)).astype(np.int64)
     n, m = len(grams), len(words.dictionary) + 1
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(n + m, block), pa.int64()),
-            pa.concat_arrays([pa.array(grams[by_code], pa.int64()), pa.nulls(m, pa.int64())]),
+            pa.concat_arrays([pa.array(grams, pa.int64()), pa.nulls(m, pa.int64())]),
             pa.concat_arrays([pa.nulls(n, pa.binary()), words.dictionary.cast(pa.binary()), pa.array([END_WORD], pa.binary())]),
-            pa.array(np.concatenate((gram_counts[by_code], word_counts, [train.sum()])), pa.int64()),
+            pa.array(np.concatenate((gram_counts, word_counts, [train.sum()])), pa.int64()),
         ],
         names=["block", "gram", "word", "count"],
     )
@@ -181,7 +200,8 @@ def code_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
     full = contexts[order]
     seen = tables[order].join(full, F.shiftright("gram", 8) == F.col("context"))
     seen = seen.select("gram", F.log10(F.col("count") / (F.col("n") + F.col("d"))).alias("log10"))
-    return seen.union(_escaped(counted.filter("count = 0").select("gram"), tables, contexts, order))
+    out = cut_lineage(seen.union(_escaped(counted.filter("count = 0").select("gram"), tables, contexts, order)))
+    return out
 
 
 def _escaped(unseen: DataFrame, tables: dict[int, DataFrame], contexts: dict[int, DataFrame], order: int) -> DataFrame:
@@ -224,7 +244,7 @@ def scored(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int
     counted = cut_lineage(texts.mapInArrow(count, "block long, gram long, word binary, count long"), compression="zstd")
     grams, words = counted.filter("gram is not null").drop("word"), counted.filter("word is not null").drop("gram")
     distinct = cut_lineage(grams.groupBy("gram").agg(F.sum("count").alias("count")))
-    lengths = cut_lineage(code_lengths(distinct, order))
+    lengths = code_lengths(distinct, order)
     of_grams = grams.select("block", "gram").join(lengths, "gram").select("block", "gram", "log10").mapInArrow(_parcels(_parcel), "block long, parcel binary")
     # A word has one row per block at most. The first block that has a known word counts it.
     same = Window.partitionBy("word")
