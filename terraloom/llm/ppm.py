@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from terraloom.llm import text as tx
 from terraloom.llm.blocks import BLOCK_BYTES, packed, row_slices, unpacked
-from terraloom.session import cut_lineage
+from terraloom.session import cut_lineage, discard
 
 ORDER = 5
 #: Bytes that UTF-8 never uses stand for the end and for what precedes a text.
@@ -201,6 +201,7 @@ def code_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
     seen = tables[order].join(full, F.shiftright("gram", 8) == F.col("context"))
     seen = seen.select("gram", F.log10(F.col("count") / (F.col("n") + F.col("d"))).alias("log10"))
     out = cut_lineage(seen.union(_escaped(counted.filter("count = 0").select("gram"), tables, contexts, order)))
+    discard(*(tables[k] for k in range(order)), *contexts.values())
     return out
 
 
@@ -245,6 +246,7 @@ def scored(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int
     grams, words = counted.filter("gram is not null").drop("word"), counted.filter("word is not null").drop("gram")
     distinct = cut_lineage(grams.groupBy("gram").agg(F.sum("count").alias("count")))
     lengths = code_lengths(distinct, order)
+    discard(distinct)
     of_grams = grams.select("block", "gram").join(lengths, "gram").select("block", "gram", "log10").mapInArrow(_parcels(_parcel), "block long, parcel binary")
     # A word has one row per block at most. The first block that has a known word counts it.
     same = Window.partitionBy("word")
@@ -255,9 +257,12 @@ def scored(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int
     schema = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, score double, fresh long"
     found = texts.groupBy("block").cogroup(findings.groupBy("block")).applyInArrow(lambda key, left, right: _score_block(left, right, order), schema)
     found = cut_lineage(found)
+    discard(texts, lengths)
     sizes = found.agg(F.coalesce(F.sum("fresh"), F.lit(0)).alias("kinds")).join(
         counted.filter("word is not null").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("train_tokens"))
     )
+    sizes = cut_lineage(sizes)
+    discard(counted)
     base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("kinds") + 1)
     return found.join(F.broadcast(sizes)).select("doc_id", "train", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
 
