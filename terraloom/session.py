@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,9 @@ SPARK_DEFAULTS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+#: Spark's setting by which a query's shuffle files are removed when the query ends.
+RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def session(app_name: str = "terraloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library's defaults; ``conf`` keys use ``__`` for ``.``."""
@@ -50,6 +55,21 @@ def scratch_root(spark: SparkSession) -> str:
     return local
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of every query executed go when that query ends, not when the driver collects garbage.
+
+    For jobs of many written tables: each is read from its files, so no shuffle is needed twice. A frame that is executed
+    twice computes its shuffles twice.
+    """
+    before = spark.conf.get(RELEASE_SHUFFLES)
+    spark.conf.set(RELEASE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE_SHUFFLES, before)
+
+
 def cut_lineage(df: DataFrame, spark: SparkSession | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back, in ``spark`` or the frame's own session.
 
