@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from terraloom.llm import text as tx
 from terraloom.llm.blocks import BLOCK_BYTES, packed, row_slices, unpacked
-from terraloom.session import cut_lineage, discard
+from terraloom.session import cut_lineage, discard, shuffles_released
 
 ORDER = 5
 #: Bytes that UTF-8 never uses stand for the end and for what precedes a text.
@@ -232,6 +232,14 @@ def _escaped(unseen: DataFrame, tables: dict[int, DataFrame], contexts: dict[int
 def scored(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document ``score`` (log10 probability of the whole text), and of the base: ``n_tokens``, ``n_known``,
     ``train_tokens`` and ``base_score``; ``train`` says which rows are learnt from."""
+    with shuffles_released(docs.sparkSession):
+        found, sizes = _found(docs, train, order, block_bytes)
+    base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("kinds") + 1)
+    return found.join(F.broadcast(sizes)).select("doc_id", "train", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
+
+
+def _found(docs: DataFrame, train: Column, order: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """What :func:`scored` finds of each document, and the one row of ``kinds`` and ``train_tokens`` of the corpus."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     # Written once: a second scan of docs may be split otherwise, and its blocks would not fit the counts.
     texts = cut_lineage(packed(rows, block_bytes))
@@ -263,8 +271,7 @@ def scored(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int
     )
     sizes = cut_lineage(sizes)
     discard(counted)
-    base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("kinds") + 1)
-    return found.join(F.broadcast(sizes)).select("doc_id", "train", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
+    return found, sizes
 
 
 def _parcels(pack: Callable[[pa.Table], bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
