@@ -14,7 +14,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from terraloom.llm.text import bounded, release_memory, slices
+from terraloom.llm.text import SLICE_BYTES, bounded, release_memory, slices
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -66,10 +66,10 @@ def ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
 
 
-def row_slices(table: pa.Table) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The rows in pieces for numpy, each with the number of its first row."""
+def row_slices(table: pa.Table, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows in pieces for numpy, of about ``limit`` bytes of text, each with the number of its first row."""
     at = 0
     for batch in table.to_batches():
-        for piece in slices(batch):
+        for piece in slices(batch, limit=limit):
             yield at, piece
             at += piece.num_rows

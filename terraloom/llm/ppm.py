@@ -47,6 +47,8 @@ _LOWER_BYTES = np.frombuffer(LOWER, dtype=np.uint8)
 END_WORD = b""
 #: Findings that a task puts together before it sends them to their blocks.
 PARCEL_ROWS = 1 << 20
+#: Grams of a block's pieces that are held before they are summed, and bytes of text whose words are split at once.
+HELD_GRAMS, WORD_SLICE = 1 << 20, 2 << 20
 
 
 class ContextTrie:
@@ -149,7 +151,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
 def _count_block(table: pa.Table, block: int, order: int) -> pa.RecordBatch:
     """What occurs in a block: every gram and word with its count in training texts (0: only in others)."""
     train = table.column("train").to_numpy().astype(bool)
-    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    codes, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for base, piece in row_slices(table):
         row, code = _grams(*tx.buffers(piece.column("text")), order)
         learnt = train[base : base + piece.num_rows][row]
@@ -157,25 +159,34 @@ def _count_block(table: pa.Table, block: int, order: int) -> pa.RecordBatch:
             distinct, times = _summed(own)
             codes.append(distinct)
             counts.append(times * weight)
+            held += len(distinct)
+        if held >= HELD_GRAMS:
+            codes, counts, held = *([part] for part in _summed(np.concatenate(codes), np.concatenate(counts))), 0
     grams, gram_counts = _summed(np.concatenate(codes), np.concatenate(counts))
-    row, words = _words(_column(table))
-    word_counts = np.bincount(words.indices.to_numpy(), weights=train[row], minlength=len(words.dictionary)).astype(np.int64)
-    n, m = len(grams), len(words.dictionary) + 1
+    del codes, counts
+    words, word_counts = _counted_words(table, train)
+    n, m = len(grams), len(words) + 1
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(n + m, block), pa.int64()),
             pa.concat_arrays([pa.array(grams, pa.int64()), pa.nulls(m, pa.int64())]),
-            pa.concat_arrays([pa.nulls(n, pa.binary()), words.dictionary.cast(pa.binary()), pa.array([END_WORD], pa.binary())]),
+            pa.concat_arrays([pa.nulls(n, pa.binary()), words.cast(pa.binary()), pa.array([END_WORD], pa.binary())]),
             pa.array(np.concatenate((gram_counts, word_counts, [train.sum()])), pa.int64()),
         ],
         names=["block", "gram", "word", "count"],
     )
 
 
-def _column(table: pa.Table) -> pa.Array:
-    """The texts of a table as one array."""
-    whole = table.column("text").combine_chunks()
-    return pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+def _counted_words(table: pa.Table, train: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of a block and how often each occurs in its training texts."""
+    kinds, times = [pa.array([], pa.string())], [np.zeros(0)]
+    for base, piece in row_slices(table, WORD_SLICE):
+        row, words = _words(piece.column("text"))
+        kinds.append(words.dictionary)
+        times.append(np.bincount(words.indices.to_numpy(), weights=train[base : base + piece.num_rows][row], minlength=len(words.dictionary)))
+    together = pa.concat_arrays(kinds).dictionary_encode()
+    sums = np.bincount(together.indices.to_numpy(), weights=np.concatenate(times), minlength=len(together.dictionary))
+    return together.dictionary, sums.astype(np.int64)
 
 
 def _suffix(gram: str, order: int) -> Column:
@@ -351,12 +362,17 @@ def _score_block(texts: pa.Table, findings: pa.Table, order: int) -> pa.Table:
         if not len(codes) or not np.array_equal(codes[at], distinct):
             raise ValueError("a block's findings do not fit its texts")
         score.append(np.bincount(row, weights=values[at][which], minlength=piece.num_rows))
-    row, words = _words(_column(table))
     known = pa.concat_arrays(of_words.column("word").chunks)
-    at = pc.index_in(words.dictionary.cast(pa.binary()), value_set=known).to_numpy(zero_copy_only=False)
     logs = np.log10(of_words.column("total").to_numpy() + 1.0)
-    own = logs[at.astype(np.int64)][words.indices.to_numpy()] if len(row) else np.zeros(0)
     end = float(logs[pc.index_in(pa.array([END_WORD], pa.binary()), value_set=known)[0].as_py()])
+    tokens, knowns, log_counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for _, piece in row_slices(table, WORD_SLICE):
+        row, words = _words(piece.column("text"))
+        at = pc.index_in(words.dictionary.cast(pa.binary()), value_set=known).to_numpy(zero_copy_only=False)
+        own = logs[at.astype(np.int64)][words.indices.to_numpy()] if len(row) else np.zeros(0)
+        tokens.append(np.bincount(row, minlength=piece.num_rows) + 1)
+        knowns.append(np.bincount(row[own > 0], minlength=piece.num_rows) + int(end > 0))
+        log_counts.append(np.bincount(row, weights=own, minlength=piece.num_rows) + end)
     rows = table.num_rows
     once = np.zeros(rows, dtype=np.int64)
     once[:1] = int(np.sum(of_words.column("fresh").to_numpy()))
@@ -364,9 +380,9 @@ def _score_block(texts: pa.Table, findings: pa.Table, order: int) -> pa.Table:
         [
             table.column("doc_id").cast(pa.int64()),
             table.column("train"),
-            pa.array(np.bincount(row, minlength=rows) + 1, pa.int64()),
-            pa.array(np.bincount(row[own > 0], minlength=rows) + int(end > 0), pa.int64()),
-            pa.array(np.bincount(row, weights=own, minlength=rows) + end, pa.float64()),
+            pa.array(np.concatenate(tokens), pa.int64()),
+            pa.array(np.concatenate(knowns), pa.int64()),
+            pa.array(np.concatenate(log_counts), pa.float64()),
             pa.array(np.concatenate(score), pa.float64()),
             pa.array(once, pa.int64()),
         ],
