@@ -273,15 +273,16 @@ def _found(docs: DataFrame, train: Column, order: int, block_bytes: int) -> tupl
     of_words = words.select("block", "word", total.alias("total"), ((F.min("block").over(same) == F.col("block")) & (total > 0)).alias("fresh"))
     of_words = of_words.mapInArrow(_parcels(_word_parcel), "block long, parcel binary")
     findings = of_grams.withColumn("of_words", F.lit(False)).union(of_words.withColumn("of_words", F.lit(True)))
+    # Written before they meet the texts, so that the join's shuffle and all counts are gone by then.
+    parcels = cut_lineage(findings)
+    tokens = cut_lineage(words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("train_tokens")))
+    discard(lengths, counted)
     schema = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, score double, fresh long"
-    found = texts.groupBy("block").cogroup(findings.groupBy("block")).applyInArrow(lambda key, left, right: _score_block(left, right, order), schema)
+    found = texts.groupBy("block").cogroup(parcels.groupBy("block")).applyInArrow(lambda key, left, right: _score_block(left, right, order), schema)
     found = cut_lineage(found)
-    discard(texts, lengths)
-    sizes = found.agg(F.coalesce(F.sum("fresh"), F.lit(0)).alias("kinds")).join(
-        counted.filter("word is not null").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("train_tokens"))
-    )
-    sizes = cut_lineage(sizes)
-    discard(counted)
+    discard(texts, parcels)
+    sizes = cut_lineage(found.agg(F.coalesce(F.sum("fresh"), F.lit(0)).alias("kinds")).join(tokens))
+    discard(tokens)
     return found, sizes
 
 
