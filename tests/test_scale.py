@@ -23,3 +23,12 @@ def test_large_boxes_have_few_candidates(spark):
     assert lhs.join(rhs, on).count() < 4.5 * 100 * 144
     assert "Broadcast" not in plan(pairs)
     assert "Broadcast" not in plan(sj.matching_ids(points, areas, ["p"], 10_000.0, left_box=("x", "y", "x", "y")))
+
+
+def test_sea_level_rows_are_not_broadcast(spark):
+    """A short list of points with very many rows each."""
+    rows = spark.range(20).select(F.col("id").alias("point_id"), (F.col("id") * 10.0).alias("x"), F.lit(0.0).alias("y"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("year"))
+    places = spark.range(5).select(F.col("id").alias("location_id"), (F.col("id") * 20.0 + 1).alias("x"), F.lit(1.0).alias("y"))
+    found = tide.closest_sea_level(places, rows)
+    assert "SortMergeJoin [point_id" in plan(found) and "SortMergeJoin [_k" in plan(found)
+    assert sorted({(r.location_id, r.point_id) for r in found.collect()}) == [(k, 2 * k) for k in range(5)] and found.count() == 250
