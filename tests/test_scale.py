@@ -32,3 +32,21 @@ def test_sea_level_rows_are_not_broadcast(spark):
     found = tide.closest_sea_level(places, rows)
     assert "SortMergeJoin [point_id" in plan(found) and "SortMergeJoin [_k" in plan(found)
     assert sorted({(r.location_id, r.point_id) for r in found.collect()}) == [(k, 2 * k) for k in range(5)] and found.count() == 250
+
+
+def test_old_cache_entries_leave_early(spark):
+    """Many entries over one place: only those newer than one that holds all requests of the cell meet the requests."""
+    entries = spark.range(2000).select(
+        F.lit("k").alias("options_key"), F.col("id").alias("unique_id"), (F.col("id") * 10).alias("flood_model_id"), F.floor(F.col("id") / 100).alias("created_at"),
+        (F.col("id") % 7 * -1.0).alias("xmin"), F.lit(-5.0).alias("ymin"), F.when(F.col("id") > 1990, 3.0).otherwise(9000.0).alias("xmax"), F.lit(9000.0).alias("ymax"),
+    )
+    requests = spark.createDataFrame([(1, 1.0, 1.0, 2.0, 2.0), (2, 5.0, 5.0, 6.0, 6.0), (3, 1.0, 1.0, 9999.0, 2.0)], "request_id long, xmin double, ymin double, xmax double, ymax double")
+    asked = requests.select("request_id", F.lit('{"a":1}').alias("scenario_options"), *BOX)
+    key = cache.with_options_key(asked).first()["options_key"]
+    held = entries.withColumn("options_key", F.lit(key))
+    found = {r.request_id: r.flood_model_id for r in cache.lookup(asked, held, 20_000.0).collect()}
+    assert found == {1: 19990, 2: 19900, 3: None}
+    wanted = cache.with_options_key(asked.filter("request_id < 3")).select("request_id", "options_key", *(F.col(s).alias(f"want_{s}") for s in BOX))
+    corner = ("want_xmin", "want_ymin", "want_xmin", "want_ymin")
+    lhs, rhs, on = sj._gridded(wanted, held, 20_000.0, corner, BOX, ["options_key"])
+    assert cache._may_win(lhs, rhs, on).count() <= 20
