@@ -50,3 +50,10 @@ def test_old_cache_entries_leave_early(spark):
     corner = ("want_xmin", "want_ymin", "want_xmin", "want_ymin")
     lhs, rhs, on = sj._gridded(wanted, held, 20_000.0, corner, BOX, ["options_key"])
     assert cache._may_win(lhs, rhs, on).count() <= 20
+
+
+def test_storm_steps_are_dealt_by_their_number(spark):
+    depths = spark.range(3).select(F.col("id").alias("site_id"), F.explode(F.array(*(F.lit(m).cast("long") for m in (10, 60, 1440, 7200)))).alias("mins")).withColumn("depth", F.col("mins") * 0.5)
+    storms = rainfall.hyetograph(depths, 1440, 1000, 10)
+    assert "REPARTITION_BY_COL" in plan(storms)
+    assert storms.count() == 3 * 144
