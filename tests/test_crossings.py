@@ -67,3 +67,33 @@ def test_running_totals(spark):
             total += v
             want.append(total)
         assert len(r.t) == len(want) and all(math.isclose(a, b, rel_tol=1e-12) for a, b in zip(r.t, want, strict=True))
+
+
+def zigzags(spark, ids):
+    """Lines in and out of the first two areas."""
+    return line_frame(spark, [(k, [(-5.0, 5.0 + i), (50.0, 20.0 + i), (105.0, 30.0 + i), (70.0, 15.5 + i)]) for i, k in enumerate(ids)])
+
+
+def test_numbered_where_found(spark):
+    """Crossings are numbered as by windows over all of them, and no pair is dealt anew for it."""
+    areas = spark.createDataFrame(AREAS, "aoi_id long, xmin double, ymin double, xmax double, ymax double")
+    lines = zigzags(spark, range(9))
+    plain, numbered = boundary.crossings(lines, areas, 50.0), boundary.crossings(lines, areas, 50.0, numbered=True)
+    flows = boundary.classify_crossings(numbered)
+    old = boundary.classify_crossings(plain)
+    for mine, theirs in (
+        (flows.drop("last_distance"), old),
+        (boundary.first_inflow_index(flows), boundary.first_inflow_index(old)),
+        (boundary.crossing_distances(numbered), boundary.crossing_distances(plain)),
+    ):
+        assert sorted(map(tuple, mine.select(*theirs.columns).collect())) == sorted(map(tuple, theirs.collect()))
+    plan = boundary.first_inflow_index(flows)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(aoi_id" not in plan and "hashpartitioning(objectid" not in plan
+
+
+def test_ids_that_repeat_are_numbered_together(spark):
+    areas = spark.createDataFrame(AREAS, "aoi_id long, xmin double, ymin double, xmax double, ymax double")
+    points = boundary.crossings(zigzags(spark, [1, 1, 2]), areas, 50.0, numbered=True)
+    assert "last_distance" not in points.columns
+    counts = {(r.aoi_id, r.objectid): r.crossing_count for r in boundary.classify_crossings(points).collect()}
+    assert counts[2, 1] > counts[2, 2] > 0
