@@ -97,3 +97,12 @@ def test_ids_that_repeat_are_numbered_together(spark):
     assert "last_distance" not in points.columns
     counts = {(r.aoi_id, r.objectid): r.crossing_count for r in boundary.classify_crossings(points).collect()}
     assert counts[2, 1] > counts[2, 2] > 0
+
+
+def test_pieces_with_boxes_meet_no_areas_again(spark):
+    areas = spark.createDataFrame([*AREAS, AREAS[0]], "aoi_id long, xmin double, ymin double, xmax double, ymax double")
+    pieces = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 4.0), (2, 30.0, 10.0, 40.0, 30.0)], "aoi_id long, x0 double, y0 double, x1 double, y1 double")
+    boxes = boundary.with_own_boxes(areas).select("aoi_id", "own_boxes").dropDuplicates(["aoi_id"])
+    carried = boundary.uncovered_positions(areas, pieces.join(boxes, "aoi_id"))
+    joined = boundary.uncovered_positions(areas, pieces)
+    assert sorted(map(tuple, carried.collect())) == sorted(map(tuple, joined.collect())) == [(1, 5.0, 2.0, "bottom")] * 2 + [(2, 35.0, 20.0, "right")]
