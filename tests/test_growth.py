@@ -2,11 +2,25 @@
 
 from pyspark.sql import functions as F
 
-from terraloom.operators import overlay
+from terraloom.operators import overlay, raster
 
 BOXES = "xmin double, ymin double, xmax double, ymax double"
 
 
+def test_series_of_a_cell_is_made_once(spark):
+    cells = spark.createDataFrame(
+        [(1, 0, 0, 0.0, 0.0, t, h) for t, h in ((1, 3), (0, 2), (1, 5), (2, None))] + [(1, 1, 0, 10.0, 0.0, t, h) for t, h in ((1, 9), (0, 1))],
+        "raster_id int, cx int, cy int, x double, y double, t int, h int",
+    )
+    points = spark.createDataFrame([(1, 7, 1.0, 0.0), (1, 7, 1.0, 0.0), (1, 8, 9.0, 0.0), (1, 9, 1.0, 0.0), (1, 9, 9.0, 0.0)], "raster_id int, point_id int, x double, y double")
+    series = raster.depth_series(points, cells)
+    got = {r["point_id"]: (r["times"], r["depths"]) for r in series.collect()}
+    assert got == {7: ([0, 1, 2], [2, 5, None]), 8: ([0, 1], [1, 9]), 9: ([0, 1, 2], [2, 9, None])} and series.count() == 3
+    # The join with the points comes after the cells' lists, not before them.
+    plan = series._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") >= 2
+
+
 def test_free_ground_does_not_grow_with_covered_ground(spark):
     log = spark.range(3000).select(
         F.col("id").alias("unique_id"), F.array(F.lit("roads")).alias("source_table_list"),
