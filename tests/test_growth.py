@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from terraloom.functions import geometry as g
 from terraloom.operators import overlay, raster
+from terraloom.operators import spatial_join as sj
 
 BOXES = "xmin double, ymin double, xmax double, ymax double"
 
@@ -32,3 +34,22 @@ def test_free_ground_does_not_grow_with_covered_ground(spark):
     pieces = overlay.uncovered_area(areas, log, 16.0)
     left = {r["aoi_id"]: r["a"] for r in pieces.groupBy("aoi_id").agg(F.sum((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("a")).collect()}
     assert abs(left[1] - (32.0 - 15.98) * 16.0) < 1e-6
+
+
+def test_a_box_meets_what_has_a_vertex_in_it(spark):
+    box = "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))"
+    cases = {
+        "POLYGON ((1 1, 2 1, 2 2, 1 1))": True, "POLYGON ((4 4, 6 4, 6 6, 4 4))": True, "POLYGON ((-9 -9, 20 -9, 20 20, -9 20, -9 -9))": True,
+        "POLYGON ((-1 2, 2 -1, -3 -3, -1 2))": True, "POLYGON ((3 5.5, 5.5 3, 6 6, 3 5.5))": False, "LINESTRING (-1 2, 5 2)": True, "POINT (4 0)": True,
+        "LINESTRING (3 -2, 6 1)": False,
+    }
+    rows = spark.createDataFrame([(w, box) for w in cases], "w string, b string").select("w", g.from_wkt("w").alias("g"), g.from_wkt("b").alias("b"))
+    got = rows.select("w", g.intersects("g", "b").alias("ab"), g.intersects("b", "g").alias("ba")).collect()
+    assert {r["w"]: (r["ab"], r["ba"]) for r in got} == {w: (v, v) for w, v in cases.items()}
+
+
+def test_grid_joins_keep_their_tasks(spark):
+    boxes = spark.range(300).select("id", *((F.col("id") * k % 100).cast("double").alias(c) for k, c in zip((7, 13, 7, 13), g.BOX, strict=True)))
+    pairs = sj.intersecting_pairs(boxes, boxes.withColumnsRenamed({"id": "other", **{c: f"o_{c}" for c in g.BOX}}), 10.0, right_box=[f"o_{c}" for c in g.BOX])
+    # Few bytes, of which AQE would make one task.
+    assert pairs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
