@@ -284,10 +284,9 @@ def store_network(
     return row["rec_network_id"]
 
 
-def _write_partitions(df: DataFrame, path: str) -> None:
-    """One folder per network; a repeated run replaces the folders it writes and no others."""
-    spread = df.hint("rebalance", "rec_network_id")
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rec_network_id").parquet(path)
+def _write_run(df: DataFrame, path: str) -> None:
+    """The networks of one run as files of many networks, each in few of them; a repeated run replaces its folder."""
+    df.hint("rebalance", "rec_network_id").sortWithinPartitions("rec_network_id", "objectid" if "objectid" in df.columns else "node_id").write.mode("overwrite").parquet(path)
 
 
 def networks_of_areas(
@@ -304,10 +303,11 @@ def networks_of_areas(
 ) -> DataFrame:
     """``aoi_id, rec_network_id`` of every area; networks are built and stored for areas that no stored one contains.
 
-    All new networks are built by one keyed graph. Nodes and edges go to ``root`` in a folder per network and excluded
-    reaches to their table; the metadata rows come last, so networks of a run that died are unknown, and the next run
-    takes the same ids, replaces their folders and adds only exclusions not stored yet. Areas of one call do not share
-    a network even where one contains another.
+    All new networks are built by one keyed graph. Nodes and edges go to ``root`` in a folder per run, named by its first
+    network (a folder and a file per network would be all the work where areas are many), with ``rec_network_id`` as a
+    column that the files are sorted by; excluded reaches go to their table. The metadata rows come last, so networks of a
+    run that died are unknown, and the next run takes the same ids, replaces the run's folder and adds only exclusions not
+    stored yet. Areas of one call do not share a network even where one contains another.
     """
     tables.create_if_absent(spark, table, tables.RIVER_NETWORK_SCHEMA)
     tables.create_if_absent(spark, exclusion_table, tables.NETWORK_EXCLUSION_SCHEMA)
@@ -317,20 +317,21 @@ def networks_of_areas(
         numbered = cut_lineage(tables.with_new_ids(missing, spark.table(table), "rec_network_id", ["aoi_id"]))
         ids = numbered.select("aoi_id", "rec_network_id")
         nodes, edges, excluded = build_networks(missing, reaches, catchments, end_nodes, catchment_id, cell_size)
-        _write_partitions(nodes.join(ids, "aoi_id").drop("aoi_id"), f"{root}/nodes")
-        _write_partitions(edges.join(ids, "aoi_id").drop("aoi_id"), f"{root}/edges")
+        first = numbered.agg(F.min("rec_network_id")).first()[0]
+
+        def folder(kind: str) -> str:
+            return f"{root}/{kind}/first_network={first}"
+
+        _write_run(nodes.join(ids, "aoi_id").drop("aoi_id"), folder("nodes"))
+        _write_run(edges.join(ids, "aoi_id").drop("aoi_id"), folder("edges"))
         rows = excluded.join(ids, "aoi_id").join(reaches.select("objectid", g.to_wkt("geometry").alias("wkt")), "objectid")
         rows = rows.select("rec_network_id", "objectid", "exclusion_cause", "wkt")
         stored = spark.table(exclusion_table)
         tables.append(cut_lineage(tables.unseen(rows, stored, ["rec_network_id", "objectid"])), exclusion_table)
-
-        def folder(kind: str) -> Column:
-            return F.concat(F.lit(f"{root}/{kind}/rec_network_id="), F.col("rec_network_id").cast("string"))
-
         metadata = numbered.select(
             "rec_network_id",
-            folder("nodes").alias("network_path"),
-            folder("edges").alias("network_data_path"),
+            F.lit(folder("nodes")).alias("network_path"),
+            F.lit(folder("edges")).alias("network_data_path"),
             F.current_timestamp().alias("created_at"),
             *g.BOX,
         )

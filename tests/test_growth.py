@@ -1,9 +1,11 @@
 """Work that must not grow with what rows share: cell series, covered ground, stored networks, tasks of grid joins."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as g
-from terraloom.operators import overlay, raster
+from terraloom.operators import network, overlay, raster
 from terraloom.operators import spatial_join as sj
 
 BOXES = "xmin double, ymin double, xmax double, ymax double"
@@ -53,3 +55,18 @@ def test_grid_joins_keep_their_tasks(spark):
     pairs = sj.intersecting_pairs(boxes, boxes.withColumnsRenamed({"id": "other", **{c: f"o_{c}" for c in g.BOX}}), 10.0, right_box=[f"o_{c}" for c in g.BOX])
     # Few bytes, of which AQE would make one task.
     assert pairs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_networks_of_a_run_share_a_folder(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE many_nets LOCATION '{tmp_path}/many_nets'")
+    reaches = spark.createDataFrame([(1, 1.0, 1.0, 2.0, 2.0)], "objectid bigint, ax double, ay double, bx double, by double")
+    lines = reaches.select("objectid", g.line_geometry(F.array(g.point("ax", "ay"), g.point("bx", "by"))).alias("geometry"))
+    catchments = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0)], f"c bigint, {BOXES}").select("c", g.box_geometry(*g.BOX).alias("geometry"))
+    mouths = spark.createDataFrame([(1, 1.0, 1.0)], "c bigint, x double, y double")
+    areas = spark.range(40).select(F.col("id").alias("aoi_id"), *(F.lit(float(v)).alias(s) for v, s in zip((0, 0, 9, 9), g.BOX, strict=True)))
+    root = str(tmp_path / "root")
+    network.networks_of_areas(spark, areas, lines, catchments, mouths, "c", 8.0, root, "many_nets.networks", "many_nets.exclusions")
+    assert len([d for d in os.listdir(f"{root}/edges") if not d.startswith((".", "_"))]) == 1
+    assert spark.read.parquet(f"{root}/edges").select("rec_network_id").distinct().count() == 40
+    paths = spark.table("many_nets.networks").select("network_data_path").distinct().collect()
+    assert [p[0] for p in paths] == [f"{root}/edges/first_network=1"]
