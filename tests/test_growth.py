@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as g
-from terraloom.operators import network, overlay, raster
+from terraloom.operators import network, overlay, rainfall, raster
 from terraloom.operators import spatial_join as sj
 
 BOXES = "xmin double, ymin double, xmax double, ymax double"
@@ -70,3 +70,13 @@ def test_networks_of_a_run_share_a_folder(spark, tmp_path):
     assert spark.read.parquet(f"{root}/edges").select("rec_network_id").distinct().count() == 40
     paths = spark.table("many_nets.networks").select("network_data_path").distinct().collect()
     assert [p[0] for p in paths] == [f"{root}/edges/first_network=1"]
+
+
+def test_wide_form_has_a_bounded_width(spark, monkeypatch):
+    monkeypatch.setattr(rainfall, "SITES_PER_BLOCK", 4)
+    series = spark.range(10).select((F.col("id") * 3).alias("site_id"), F.explode(F.array(F.lit(0.0), F.lit(60.0))).alias("seconds"), F.col("id").cast("double").alias("v"))
+    places = rainfall.wide_columns(series.select("site_id"))
+    wide = rainfall.wide_from_long(series, places, "v")
+    assert len(wide.columns) == 2 + 4 and wide.count() == 2 * 3
+    got = sorted(tuple(r) for r in rainfall.long_from_wide(wide, places, "v").collect())
+    assert got == sorted((r["site_id"], r["seconds"], r["v"]) for r in series.collect())
