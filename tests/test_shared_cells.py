@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as g
-from terraloom.operators import overlay
+from terraloom.operators import boundary, overlay
 
 BOXES = "xmin double, ymin double, xmax double, ymax double"
 
@@ -53,3 +53,17 @@ def test_an_area_of_several_boxes_has_the_sites_of_all(spark):
     sites = spark.createDataFrame([(1, 1.0, 2.0), (2, 5.0, 2.0)], "site_id int, x double, y double")
     got = {(r["aoi_id"], r["site_id"]): r["cell_area"] for r in overlay.thiessen_cells(areas, sites, 5.0).collect()}
     assert got == {(1, 1): 12.0, (1, 2): 16.0, (2, 1): 16.0}
+
+
+def test_sides_by_a_near_end_take_no_segment_distance(spark, monkeypatch):
+    areas = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0), (2, 300.0, 0.0, 400.0, 100.0)], f"aoi_id int, {BOXES}")
+    ends = [(50.0, -3.0, 50.0, -60.0), (104.0, 50.0, 180.0, 50.0), (-1.0, 60.0, 1.0, 60.0)]
+    line = g.line_geometry(F.array(g.point("a", "b"), g.point("c", "d"))).alias("geometry")
+    # Passes the second area's top, with both ends far from it.
+    far = [(200.0, 104.0, 500.0, 104.0)]
+    coast = spark.createDataFrame([*ends, *far], "a double, b double, c double, d double").select(line)
+    found = {(r["aoi_id"], r["position"]) for r in boundary.tide_query_locations(areas, coast, 5.0).collect()}
+    assert found == {(1, "bottom"), (1, "right"), (1, "left"), (2, "top")}
+    monkeypatch.setattr(g, "segment_box_distance_sq", lambda *_: F.raise_error(F.lit("not to be measured")).cast("double"))
+    near = spark.createDataFrame(ends, "a double, b double, c double, d double").select(line)
+    assert boundary.tide_query_locations(areas.filter("aoi_id = 1"), near, 5.0).count() == 3
