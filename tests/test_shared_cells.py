@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as g
-from terraloom.operators import boundary, overlay
+from terraloom.operators import boundary, overlay, raster
+from terraloom.operators import spatial_join as sj
 
 BOXES = "xmin double, ymin double, xmax double, ymax double"
 
@@ -67,3 +68,20 @@ def test_sides_by_a_near_end_take_no_segment_distance(spark, monkeypatch):
     monkeypatch.setattr(g, "segment_box_distance_sq", lambda *_: F.raise_error(F.lit("not to be measured")).cast("double"))
     near = spark.createDataFrame(ends, "a double, b double, c double, d double").select(line)
     assert boundary.tide_query_locations(areas.filter("aoi_id = 1"), near, 5.0).count() == 3
+
+
+def test_terrain_is_not_listed_in_many_cells(spark, monkeypatch):
+    entries = spark.createDataFrame([(1, 5.0, 5.0), (2, 900.0, 0.0)], "objectid int, ex double, ey double")
+    terrain = spark.range(100).select((F.col("id") % 10).cast("double").alias("x"), F.floor(F.col("id") / 10).cast("double").alias("y"), (F.col("id") % 7).alias("z"))
+    listed, inner = [], sj._gridded
+
+    def watched(*args):
+        sides = inner(*args)
+        listed.extend(side for side in sides[:2] if "z" in side.columns)
+        return sides
+
+    monkeypatch.setattr(sj, "_gridded", watched)
+    got = [tuple(r) for r in raster.lowest_near(entries, terrain, 2.0).collect()]
+    best = min((z, (x - 5) ** 2 + (y - 5) ** 2, x, y) for i in range(100) for x, y, z in [(i % 10, i // 10, i % 7)] if (x - 5) ** 2 + (y - 5) ** 2 <= 4)
+    assert got == [(1, float(best[2]), float(best[3]), best[0])]
+    assert [side.count() for side in listed] == [100]
