@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..errors import SourceError
 from ..functions import geometry as g
 from ..operators.spatial_join import semi_join
+from ..session import cut_lineage
 from . import tables
 
 # Workers unpickle the reader without importing this package, so it need not be installed on them.
@@ -42,6 +44,8 @@ cloudpickle.register_pickle_by_value(sys.modules[SourceError.__module__])
 # Service hosts, geometry columns and field types of the public services.
 WFS_HOSTS = {"StatsNZ": "datafinder.stats.govt.nz", "LINZ": "data.linz.govt.nz", "MFE": "data.mfe.govt.nz"}
 WFS_PAGE = 10_000
+#: Features of a stored page at most.
+PAGE_FEATURES = 10_000
 DEFAULT_SRID = 2193
 FIELD_TYPES = {
     "esriFieldTypeOID": LongType(),
@@ -369,11 +373,14 @@ def fetcher(spark: SparkSession, cell_size: float = 10_000.0, **common: str) ->
     return fetch
 
 
-def store_pages(features: DataFrame, folder: str, fields: list[dict]) -> None:
+def store_pages(features: DataFrame, folder: str, fields: list[dict], page_size: int = PAGE_FEATURES) -> None:
     """A layer's documents in a shared folder, by Spark's own writers: ``features`` has the GeoJSON text ``feature``, the
-    number ``page`` of its page and its box. ``fields`` are the layer's, as its description has them."""
+    number ``page`` of its page and its box. ``fields`` are the layer's, as its description has them.
+
+    A reader holds a page whole, so a page of more than ``page_size`` features becomes several.
+    """
     spark = features.sparkSession
-    pages = features.groupBy(F.col("page").cast("long").alias("offset")).agg(
+    pages = _bounded_pages(features, page_size).groupBy("offset").agg(
         *(F.min(side).alias(side) for side in g.BOX[:2]), *(F.max(side).alias(side) for side in g.BOX[2:]), F.count(F.lit(1)).alias("n"),
         F.concat(F.lit('{"features":['), F.concat_ws(",", F.collect_list("feature")), F.lit("]}")).alias("value"),
     )
@@ -386,6 +393,25 @@ def store_pages(features: DataFrame, folder: str, fields: list[dict]) -> None:
     spark.range(1).select(F.lit(described).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/layer.json")
 
 
+def _bounded_pages(features: DataFrame, page_size: int) -> DataFrame:
+    """Features with the ``offset`` of their document: their page's number, or one above all pages for the further parts
+    of a crowded page. Such a page is dealt by hash to twice the parts it needs, so that no task numbers all of it; what
+    is still above the size, as equal features are, is cut by number."""
+    numbered = features.withColumn("page", F.col("page").cast("long"))
+    counts = cut_lineage(numbered.groupBy("page").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("page", "_of"))
+    parts = F.when(F.col("_n") > page_size, F.ceil(2 * F.col("_n") / page_size)).otherwise(F.lit(1))
+    dealt = numbered.join(counts, F.col("page").eqNullSafe(F.col("_of"))).withColumn("_part", F.pmod(F.xxhash64("feature"), parts)).drop("_of", "_n")
+    place = F.row_number().over(Window.partitionBy("page", "_part").orderBy("feature", *g.BOX)) - 1
+    cut = cut_lineage(dealt.withColumn("_cut", F.floor(place / page_size)))
+    further = cut.filter("_part > 0 OR _cut > 0").select("page", "_part", "_cut").distinct()
+    offsets = cut_lineage(tables.with_new_ids(further, counts, "_of", ["page", "_part", "_cut"]))
+    same = F.lit(True)
+    for column in ("page", "_part", "_cut"):
+        same = same & F.col(column).eqNullSafe(F.col(f"_at_{column}"))
+    joined = cut.join(offsets.toDF("_at_page", "_at__part", "_at__cut", "_at"), same, "left")
+    return joined.select("feature", *g.BOX, F.coalesce("_at", "page").alias("offset"))
+
+
 def fetch_with_backup(spark: SparkSession, primary: dict[str, str], backup: dict[str, str]) -> DataFrame:
     """The primary layer, or the backup when the primary cannot be described or planned.
 

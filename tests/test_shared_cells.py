@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terraloom.functions import geometry as g
 from terraloom.operators import boundary, overlay, raster
 from terraloom.operators import spatial_join as sj
+from terraloom.sources import features
 
 BOXES = "xmin double, ymin double, xmax double, ymax double"
 
@@ -70,6 +71,20 @@ def test_sides_by_a_near_end_take_no_segment_distance(spark, monkeypatch):
     assert boundary.tide_query_locations(areas.filter("aoi_id = 1"), near, 5.0).count() == 3
 
 
+def test_crowded_pages_become_several(spark, tmp_path):
+    """Pages keep their numbers and none holds more features than a reader may take; equal features count each."""
+    rows = spark.range(200).select(F.when(F.col("id") < 90, 3).when(F.col("id") < 180, 4).otherwise(5).alias("page"), F.when(F.col("id") < 90, F.col("id")).otherwise(F.floor(F.col("id") / 90) * 1000).alias("id"))
+    shape = F.format_string('{"type":"Feature","properties":{"ID":%d},"geometry":{"type":"Point","coordinates":[%d,1]}}', "id", "id")
+    boxed = rows.select("page", shape.alias("feature"), *(F.col("id").cast("double").alias(s) for s in g.BOX))
+    folder = str(tmp_path / "layer")
+    features.store_pages(boxed, folder, [{"name": "ID", "type": "esriFieldTypeOID"}], page_size=20)
+    index = spark.read.parquet(f"{folder}/{features.INDEX}").collect()
+    assert sum(r["n"] for r in index) == 200 and max(r["n"] for r in index) <= 20
+    assert len({r["offset"] for r in index}) == len(index) and {r["offset"] for r in index if r["n"] == 20 and r["xmin"] == 2000.0} >= {5}
+    found = features.fetch_features(spark, path=folder, transport="files")
+    assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in rows.collect())
+
+
 def test_terrain_is_not_listed_in_many_cells(spark, monkeypatch):
     entries = spark.createDataFrame([(1, 5.0, 5.0), (2, 900.0, 0.0)], "objectid int, ex double, ey double")
     terrain = spark.range(100).select((F.col("id") % 10).cast("double").alias("x"), F.floor(F.col("id") / 10).cast("double").alias("y"), (F.col("id") % 7).alias("z"))
