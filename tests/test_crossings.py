@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from terraloom.functions import crossing
 from terraloom.functions import geometry as g
 from terraloom.operators import boundary
 
@@ -106,3 +107,43 @@ def test_pieces_with_boxes_meet_no_areas_again(spark):
     carried = boundary.uncovered_positions(areas, pieces.join(boxes, "aoi_id"))
     joined = boundary.uncovered_positions(areas, pieces)
     assert sorted(map(tuple, carried.collect())) == sorted(map(tuple, joined.collect())) == [(1, 5.0, 2.0, "bottom")] * 2 + [(2, 35.0, 20.0, "right")]
+
+
+def test_pairs_are_solved_in_blocks(spark, monkeypatch):
+    """Whatever the size of the blocks and batches, crossings are the same; no pair is a row of a join."""
+    rng = random.Random(5)
+    lines = [(k, [(rng.uniform(-50, 150), rng.uniform(-50, 100)) for _ in range(rng.choice([2, 3, 40]))]) for k in range(40)]
+    frame = line_frame(spark, lines).unionByName(line_frame(spark, [(78, [(1.0, 1.0)])]))
+    areas = spark.createDataFrame([*AREAS, (None, 20.0, 10.0, 40.0, 30.0)], "aoi_id long, xmin double, ymin double, xmax double, ymax double")
+    points = boundary.crossings(frame, areas, 50.0, numbered=True)
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan
+    whole = sorted(map(str, points.collect()))
+    assert {(r.aoi_id, r.objectid, round(r.x, 6), round(r.y, 6)) for r in points.filter("aoi_id IS NOT NULL").collect()} == set(expected(lines))
+    assert points.filter("aoi_id IS NULL").count() == points.filter("aoi_id = 2").count() > 0
+    monkeypatch.setattr(crossing, "PAIRS", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(str, boundary.crossings(frame, areas, 50.0, numbered=True).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_distance_that_is_not_known(spark):
+    """Behind a vertex without a place distances are null, and come first."""
+    frame = spark.sql("SELECT 1L AS objectid, array(array(-10.0D, 5.0D), array(10.0D, 5.0D), array(NULL, 5.0D), array(50.0D, 50.0D), array(50.0D, 90.0D)) AS p")
+    frame = frame.select("objectid", g.line_geometry(F.transform("p", lambda p: g.point(p[0], p[1]))).alias("geometry"))
+    areas = spark.createDataFrame(AREAS[:1], "aoi_id long, xmin double, ymin double, xmax double, ymax double")
+    rows = boundary.crossings(frame, areas, 50.0, numbered=True).orderBy("crossing_no").collect()
+    assert [(r.x, r.y, r.distance, r.crossing_no, r.crossing_count, r.last_distance) for r in rows] == [(50.0, 60.0, None, 1, 2, 10.0), (0.0, 5.0, 10.0, 2, 2, 10.0)]
+
+
+def test_rounding_by_the_nearest_number(spark):
+    from terraloom.workload.shapes import rounded
+
+    rng = random.Random(3)
+    values = [rng.uniform(-6e6, 6e6) for _ in range(2000)] + [k / 2 / 10**4 + d for k in range(-20, 20) for d in (0.0, 1e-12, -1e-12)]
+    values += [float("nan"), float("inf"), -0.0, -0.00001, 1e300, 1.00005, 2.675, 5100000.00005, None]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in frame.select("v", rounded("v", 4).alias("a"), F.round("v", 4).alias("b")).collect():
+        assert str(r.a) == str(r.b), r
