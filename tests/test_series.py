@@ -99,3 +99,38 @@ def test_highest_tide_per_period(spark):
     rows = [("left", h * 3600, float((h * 7) % 11)) for h in range(72)]
     got = tide.highest_per_period(spark.createDataFrame(rows, "position string, epoch bigint, level double"), 1).orderBy("period").collect()
     assert len(got) == 3 and all(r["level"] == 10.0 for r in got)
+
+
+def test_mean_rainfall_of_blocks(spark, monkeypatch):
+    """Sums over the sites of an area, whatever the blocks: repeated and unknown rows count as in a join; no series is broadcast."""
+    from terraloom.functions import weighted
+
+    rain = [(s, 60.0 * t, float(s * t)) for s in range(12) for t in range(5)]
+    rain += [(3, 0.0, 7.0), (4, 999.0, None), (5, 30.0, 2.0), (5, None, 8.0), (None, 0.0, 1.0), (6, 0.0, None)]
+    shares = [(a, s, (a + s) / 10.0) for a in range(5) for s in range(14) if (a + s) % 3] + [(None, 2, 0.5), (2, 2, 0.25), (2, None, 1.0), (9, 77, 1.0), (1, 7, None), (8, 4, None)]
+    storms = spark.createDataFrame(rain, "site_id long, seconds double, intensity double")
+    cover = spark.createDataFrame(shares, "aoi_id long, site_id long, site_share double")
+    want = {}
+    for a, s, share in shares:
+        for site, t, value in rain:
+            if s is not None and s == site:
+                total = want.setdefault((a, t), None)
+                if share is not None and value is not None:
+                    want[a, t] = (total or 0.0) + share * value
+    for values in (weighted.VALUES, 12):
+        monkeypatch.setattr(weighted, "VALUES", values)
+        mean = rainfall.mean_rainfall(storms, cover)
+        assert "Broadcast" not in mean._jdf.queryExecution().executedPlan().toString()
+        found = {(r.aoi_id, r.seconds): r.intensity for r in mean.collect()}
+        assert found.keys() == want.keys()
+        assert all(found[k] == v if v is None else abs(found[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_series_of_the_rain_cube_are_shuffled(spark):
+    cells = spark.createDataFrame([(1, 0, 0), (1, 0, 1)], "raster_id int, cx long, cy long")
+    storms = spark.createDataFrame([(s, 60.0 * t, float(s + t)) for s in range(3) for t in range(3)], "site_id long, seconds double, intensity double")
+    sites = spark.createDataFrame([(1, 0, 0, 2), (1, 0, 1, 0)], "raster_id int, cx long, cy long, site_id long")
+    cube = rainfall.rain_cube(cells, storms, sites)
+    plan = cube._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [site_id" in plan
+    assert cube.count() == 6
