@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from terraloom.functions import crossing
 from terraloom.functions import geometry as g
 from terraloom.functions import pairs
 from terraloom.operators import boundary, network
@@ -93,3 +94,27 @@ def test_boxes_settle_pairs(spark):
 def test_rows_without_pairs():
     empty = pa.RecordBatch.from_pydict({c: pa.array([], pa.float64()) for c in (*pairs.ENDS, *pairs.BOX)})
     assert [b.num_rows for b in pairs.near_boxes(1.0)(iter([empty]))] == [0]
+
+
+def test_facing_sides_of_crowded_areas(spark, monkeypatch):
+    """One segment near a side tells; however batches and blocks are cut, the sides are those of all pairs."""
+    rng = random.Random(8)
+    boxes = [(k if k else None, x, y, x + rng.randint(1, 30), y + rng.randint(1, 30)) for k in range(40) for x, y in [(rng.randint(0, 90), rng.randint(0, 90))]]
+    areas = spark.createDataFrame([*boxes, (5, 70, 70, 75, 71)], "aoi_id long, xmin long, ymin long, xmax long, ymax long")
+    ends = [(x, y, x + rng.uniform(-9, 9), None if k % 9 == 0 else y + rng.uniform(-9, 9)) for k in range(150) for x, y in [(rng.uniform(0, 60), rng.uniform(0, 120))]]
+    coast = spark.createDataFrame(ends, "a double, b double, c double, d double").select(g.line_geometry(F.array(g.point("a", "b"), g.point("c", "d"))).alias("geometry"))
+    middle = [(F.col(f"sa.{c}") + F.col(f"sb.{c}")) / 2.0 for c in "xy"]
+    near = boundary.coastline_near(areas, coast, 2.5, 10.0).select("aoi_id", boundary.nearest_side(*middle).alias("position")).distinct()
+    want = boundary.side_centroids(boundary.sides(areas)).join(near, ["aoi_id", "position"], "left_semi")
+    want = sorted(map(str, want.collect()))
+    assert 20 < len(want) < 120
+    found = boundary.tide_query_locations(areas, coast, 2.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "_part" in plan
+    assert sorted(map(str, found.collect())) == want
+    monkeypatch.setattr(crossing, "PAIRS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert sorted(map(str, boundary.tide_query_locations(areas, coast, 2.5).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
