@@ -2,7 +2,6 @@
 
 import random
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from terraloom.functions import crossing
@@ -13,21 +12,23 @@ from terraloom.operators import boundary, network
 
 def test_segments_near_boxes(spark):
     rng = random.Random(4)
-    rows = []
-    for k in range(1500):
+    ends = []
+    for k in range(150):
         values = [float(rng.randint(-6, 16)) if k % 2 else rng.uniform(-6, 16) for _ in range(4)]
         if k % 7 == 0:
             values[2:] = values[:2]
         if k % 5 == 0:
             values[k % 4] = None
-        x, y = rng.randint(0, 6), rng.randint(0, 6)
-        rows.append((k, *values, x, y, x + rng.randint(0, 5), y + rng.randint(0, 5)))
-    frame = spark.createDataFrame(rows, "aoi_id long, ax double, ay double, bx double, by double, xmin long, ymin long, xmax long, ymax long")
-    near = frame.mapInArrow(pairs.near_boxes(3.0), "aoi_id long, ax double, ay double, bx double, by double, xmin long, ymin long, xmax long, ymax long, dist_sq double")
-    box = [F.col(s).cast("double") for s in g.BOX]
-    want = frame.withColumn("dist_sq", g.segment_box_distance_sq(g.point("ax", "ay"), g.point("bx", "by"), *box)).filter("dist_sq <= 9")
+        ends.append(tuple(values))
+    boxes = [(k if k else None, x, y, x + rng.randint(0, 5), y + rng.randint(0, 5)) for k in range(12) for x, y in [(rng.randint(0, 6), rng.randint(0, 6))]]
+    areas = spark.createDataFrame(boxes, "aoi_id long, xmin long, ymin long, xmax long, ymax long")
+    coast = spark.createDataFrame(ends, "a double, b double, c double, d double")
+    near = boundary.coastline_near(areas, coast.select(g.line_geometry(F.array(g.point("a", "b"), g.point("c", "d"))).alias("geometry")), 3.0, 5.0)
+    sa, sb, box = g.point("a", "b"), g.point("c", "d"), [F.col(s).cast("double") for s in g.BOX]
+    met = g.boxes_intersect([F.least("a", "c"), F.least("b", "d"), F.greatest("a", "c"), F.greatest("b", "d")], g.grow(box, 3.0))
+    want = coast.crossJoin(areas).filter(met).select("aoi_id", sa.alias("sa"), sb.alias("sb"), g.segment_box_distance_sq(sa, sb, *box).alias("dist_sq"), *g.BOX).filter("dist_sq <= 9")
     assert sorted(map(str, near.collect())) == sorted(map(str, want.collect()))
-    assert 100 < want.count() < 1400
+    assert 100 < want.count() < 1500
 
 
 def test_coast_is_measured_in_batches(spark):
@@ -67,6 +68,7 @@ def test_contained_lines(spark, monkeypatch):
         best[line] = zone
     for compared in (pairs.COMPARED, 30):
         monkeypatch.setattr(pairs, "COMPARED", compared)
+        monkeypatch.setattr(crossing, "PAIRS", compared)
         tagged = network.tag_catchments(lines, areas, "zone_id", 3.0)
         assert "MapInArrow" in tagged._jdf.queryExecution().executedPlan().toString()
         assert {r.objectid: r.zone_id for r in tagged.collect()} == {k: best.get(k) for k in range(400)}
@@ -91,11 +93,6 @@ def test_boxes_settle_pairs(spark):
         assert i == i_ring == i_turned and c == c_ring
 
 
-def test_rows_without_pairs():
-    empty = pa.RecordBatch.from_pydict({c: pa.array([], pa.float64()) for c in (*pairs.ENDS, *pairs.BOX)})
-    assert [b.num_rows for b in pairs.near_boxes(1.0)(iter([empty]))] == [0]
-
-
 def test_facing_sides_of_crowded_areas(spark, monkeypatch):
     """One segment near a side tells; however batches and blocks are cut, the sides are those of all pairs."""
     rng = random.Random(8)
